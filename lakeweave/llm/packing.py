@@ -144,7 +144,7 @@ def _best_configurations(sizes: list[int], demand: list[int], capacity: int, mos
     return [(int(n + 1e-6), {i: int(a) for i, a in enumerate(col) if a > 0}) for n, col in zip(x, columns, strict=True) if int(n + 1e-6) > 0]
 
 
-def plan_bins(counts: dict[int, int], capacity: int = CAPACITY, n_groups: int = 24, small: float = 1 / 8) -> list[tuple[int, list[int]]]:
+def plan_bins(counts: dict[int, int], capacity: int = CAPACITY, n_groups: int = 48, small: float = 0.45) -> list[tuple[int, list[int]]]:
     """Bins for ``counts`` items of each length: (how many bins, lengths in each of them).
 
     Items over ``small`` of the capacity are dealt by size into groups of equal cardinality and
