@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeweave.llm import exact_dedup, packing, piece_codec, sharding
+from lakeweave.llm import exact_dedup, packing, piece_codec, sharding, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -27,6 +27,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = warc.archive_round_trip(_table(spark, sf_dir, "pages"))
+    return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "whole")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -36,11 +41,17 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kk_sharding, op2_exact_dedup, op9_best_fit_packing, op10_piece_codec)}
+    return {f.__name__: f for f in (op1_kk_sharding, op2_exact_dedup, op7_warc, op9_best_fit_packing, op10_piece_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_warc": """
+            WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+            g AS (SELECT *, strlen(h) >= 1000 AND page_id <> max(page_id) OVER (PARTITION BY h) AS again, max(page_id) OVER (PARTITION BY h) AS stored FROM p)
+            SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest,
+                   CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+                   CASE WHEN again THEN stored END AS refers_to, true AS whole FROM g""",
         "op2_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
