@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeweave.llm import exact_dedup, packing, piece_codec, sharding, suffix_dedup, warc
+from lakeweave.llm import exact_dedup, ngram_join, packing, piece_codec, sharding, suffix_dedup, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -27,6 +27,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"), n=5, threshold=0.8, recall=0.9999)
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_digests(_table(spark, sf_dir, "documents"), window=200)
 
@@ -45,11 +49,25 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kk_sharding, op2_exact_dedup, op5_suffix_dedup, op7_warc, op9_best_fit_packing, op10_piece_codec)}
+    return {f.__name__: f for f in (op1_kk_sharding, op2_exact_dedup, op4_ngram_join, op5_suffix_dedup, op7_warc, op9_best_fit_packing, op10_piece_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_ngram_join": """
+            WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM documents),
+            g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                  ELSE list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g FROM w),
+            c AS (SELECT g, min(doc_id) AS class_id, count(*) AS size FROM g WHERE len(g) > 0 GROUP BY g),
+            e AS (SELECT class_id, size, len(g) AS n, unnest(g) AS gram FROM c),
+            p AS (SELECT a.class_id AS a, b.class_id AS b, any_value(b.size) AS size FROM e a JOIN e b ON a.gram = b.gram AND a.class_id <> b.class_id
+                  GROUP BY 1, 2 HAVING count(*) >= 0.8 * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-6),
+            l AS (SELECT a, sum(size)::BIGINT AS links FROM p GROUP BY a),
+            r AS (SELECT class_id AS id, class_id AS to_ FROM c UNION SELECT r.id, p.b FROM r JOIN p ON r.to_ = p.a),
+            k AS (SELECT id, min(to_) AS component FROM r GROUP BY id)
+            SELECT g.doc_id, coalesce(c.class_id, g.doc_id) AS class_id, (coalesce(links, 0) + coalesce(size, 1) - 1)::BIGINT AS n_links,
+                   coalesce(component, g.doc_id) AS component_id, g.doc_id = coalesce(component, g.doc_id) AS kept
+            FROM g LEFT JOIN c USING (g) LEFT JOIN l ON l.a = c.class_id LEFT JOIN k ON k.id = c.class_id""",
         "op7_warc": """
             WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
             g AS (SELECT *, strlen(h) >= 1000 AND page_id <> max(page_id) OVER (PARTITION BY h) AS again, max(page_id) OVER (PARTITION BY h) AS stored FROM p)
