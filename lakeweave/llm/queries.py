@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeweave.llm import exact_dedup, ngram_join, packing, piece_codec, sharding, suffix_dedup, warc
+from lakeweave.llm import embed_dedup, exact_dedup, ngram_join, packing, piece_codec, sharding, suffix_dedup, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -35,6 +35,10 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_digests(_table(spark, sf_dir, "documents"), window=200)
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = warc.archive_round_trip(_table(spark, sf_dir, "pages"))
     return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "whole")
@@ -49,7 +53,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kk_sharding, op2_exact_dedup, op4_ngram_join, op5_suffix_dedup, op7_warc, op9_best_fit_packing, op10_piece_codec)}
+    return {f.__name__: f for f in (op1_kk_sharding, op2_exact_dedup, op4_ngram_join, op5_suffix_dedup, op6_embedding_near_dedup, op7_warc, op9_best_fit_packing, op10_piece_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -68,6 +72,15 @@ def oracle_sql() -> dict[str, str]:
             SELECT g.doc_id, coalesce(c.class_id, g.doc_id) AS class_id, (coalesce(links, 0) + coalesce(size, 1) - 1)::BIGINT AS n_links,
                    coalesce(component, g.doc_id) AS component_id, g.doc_id = coalesce(component, g.doc_id) AS kept
             FROM g LEFT JOIN c USING (g) LEFT JOIN l ON l.a = c.class_id LEFT JOIN k ON k.id = c.class_id""",
+        "op6_embedding_near_dedup": """
+            WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+            u AS (SELECT vec_id, label, e FROM v WHERE label IS NOT NULL AND list_dot_product(e, e) > 0),
+            p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
+                  WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)) >= 0.98),
+            r AS (SELECT vec_id AS id, vec_id AS to_ FROM v UNION SELECT r.id, p.b FROM r JOIN p ON r.to_ = p.a),
+            k AS (SELECT id, min(to_) AS component_id FROM r GROUP BY id)
+            SELECT v.vec_id, (SELECT count(*) FROM p WHERE p.a = v.vec_id) AS n_links, component_id, v.vec_id = component_id AS kept
+            FROM v JOIN k ON k.id = v.vec_id""",
         "op7_warc": """
             WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
             g AS (SELECT *, strlen(h) >= 1000 AND page_id <> max(page_id) OVER (PARTITION BY h) AS again, max(page_id) OVER (PARTITION BY h) AS stored FROM p)
