@@ -19,7 +19,7 @@ from lakeweave.llm.common import gapless_rank, written
 from lakeweave.llm.words import slices, span_index, split_words, sums_by_span
 
 CAPACITY = 2048
-MOST_KEPT = 400_000
+MOST_KEPT = 250_000
 #: What the vocabulary's own splitting pattern finds in lower-case ASCII text.
 ASCII_UNIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 TAIL = re.compile(r"[!-&(-/:-@\[-`{-~]+\Z")
@@ -73,12 +73,12 @@ class WordIds:
         kept = self.kept
         raw = [kept[parts[0]] if len(parts) == 1 else b"".join([kept[u] for u in parts]) for parts in cut]
         raw.append(np.array([last_id], "<u4").tobytes())
-        length = np.array([len(x) for x in raw], np.int64) // 4
-        first = np.cumsum(length) - length
-        table = np.frombuffer(b"".join(raw), "<u4")
-        codes = np.insert(w.codes.astype(np.int64), w.ends, len(raw) - 1)
+        table = pa.array(raw, pa.binary())
+        del cut, raw
+        length = pc.binary_length(table).to_numpy() // 4
+        codes = np.insert(w.codes, w.ends, len(table) - 1)
         ends = w.ends + np.arange(1, len(w.ends) + 1)
-        ids = table[span_index(first[codes], length[codes])]
+        ids = np.frombuffer(table.take(pa.array(codes)).buffers()[2], "<u4")
         return ids, np.cumsum(sums_by_span(length[codes], ends))
 
 
@@ -87,11 +87,11 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, last_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokenize and cut: rows doc_id, piece, start, length, ids_crc32, ids (little-endian unsigned 32-bit)."""
+def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, last_id: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Tokenize and cut: rows doc_id, piece, start, length, ids_crc32 and, if asked for, ids (little-endian unsigned 32-bit)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most_bytes=8 << 20):
             ids, ends = word_ids(tokenizer_path).documents(batch.column("text"), last_id)
             n = np.diff(ends, prepend=0)
             pieces = -(-n // capacity)
@@ -100,12 +100,13 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
             start = piece * capacity
             length = np.minimum(n[row] - start, capacity)
             a = (ends - n)[row] + start
-            data = memoryview(ids.tobytes())
+            data = memoryview(ids).cast("B")
             cuts = [data[4 * i : 4 * j] for i, j in zip(a.tolist(), (a + length).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(piece.astype("int32")), pa.array(start), pa.array(length), pa.array([zlib.crc32(x) for x in cuts], pa.int64()), pa.array(cuts, pa.binary())], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+            columns = [batch.column("doc_id").take(pa.array(row)), pa.array(piece.astype("int32")), pa.array(start), pa.array(length), pa.array([zlib.crc32(x) for x in cuts], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(cuts, pa.binary())] if with_ids else [])], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def _best_configurations(sizes: list[int], demand: list[int], capacity: int, most_steps: int = 600) -> list[tuple[int, dict[int, int]]]:
@@ -275,7 +276,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     the single ``last_id``; repeated rows are packed each; an empty table gives no rows; other
     columns are not looked at.
     """
-    cut = token_pieces(docs, tokenizer_path, capacity, last_id, id_col, text_col)
-    pieces = written(cut if with_ids else cut.drop("ids"), "pieces")
+    pieces = written(token_pieces(docs, tokenizer_path, capacity, last_id, with_ids, id_col, text_col), "pieces")
     placed = place_pieces(pieces, capacity)
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if with_ids else []))
