@@ -93,7 +93,7 @@ def merge(symbols: list[np.ndarray], depth: int) -> list[np.ndarray]:
     return np.split(block[by_shard], np.cumsum([len(s) for s in symbols])[:-1])
 
 
-def repeated_starts(strings: list[bytes], window: int = WINDOW, shard_bytes: int = 1 << 20) -> list[np.ndarray]:
+def repeated_starts(strings: list[bytes], window: int = WINDOW, shard_bytes: int = 1 << 19) -> list[np.ndarray]:
     """For each string and each start, whether the ``window`` bytes from there also start elsewhere in any string.
 
     The window must be a multiple of STEP. Strings are dealt to shards of about ``shard_bytes``,
@@ -294,7 +294,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(t).alias("h"), t.alias("text"))
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = 4 << 20, hot_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = 3 << 19, hot_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Stretches of window starts that occur twice: rows doc, h (see ``_keyed``), start, n.
 
     1. Each text's windows are cut into runs that share a minimizer, the least hash of the grams
