@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeweave.llm import embed_dedup, exact_dedup, ngram_join, packing, piece_codec, sharding, suffix_dedup, warc
+from lakeweave.llm import embed_dedup, exact_dedup, ngram_join, packing, piece_codec, quality, sharding, suffix_dedup, toxicity, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -27,6 +27,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.fit_quality(docs, _table(spark, sf_dir, "labels")))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"), n=5, threshold=0.8, recall=0.9999)
 
@@ -44,6 +49,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "whole")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, _table(spark, sf_dir, "labels")))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -53,7 +63,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kk_sharding, op2_exact_dedup, op4_ngram_join, op5_suffix_dedup, op6_embedding_near_dedup, op7_warc, op9_best_fit_packing, op10_piece_codec)}
+    return {f.__name__: f for f in (op1_kk_sharding, op2_exact_dedup, op3_quality_classifier, op4_ngram_join, op5_suffix_dedup, op6_embedding_near_dedup, op7_warc, op8_toxicity, op9_best_fit_packing, op10_piece_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
