@@ -198,8 +198,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     spread = classes.select("ident", F.explode("bands").alias("bucket"))
     full = spread.groupBy("bucket").agg(F.min("ident").alias("a"), F.max("ident").alias("z")).where("a < z").select("bucket", "a")
     met = written(spread.join(full.hint("merge"), "bucket"), "met")
-    groups = components(met.select("a", F.col("ident").alias("b")))
-    groups = groups.select(F.col("id").alias("ident"), F.col("component").alias("grp"))
+    # a class is in the group of the least head of its buckets; edges between heads, few to a group, join the groups
+    headed = written(met.select("ident", "a", F.min("a").over(Window.partitionBy("ident")).alias("head")), "heads")
+    reach = components(headed.select("a", F.col("head").alias("b")))
+    groups = headed.groupBy("ident").agg(F.min("head").alias("head")).join(reach.withColumnRenamed("id", "head").hint("merge"), "head", "left")
+    groups = groups.select("ident", F.coalesce("component", "head").alias("grp"))
     sized = written(groups.join(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("members")).hint("merge"), "grp"), "groups")
     candidates = written(classes.join(sized.hint("merge"), "ident"), "candidates")
 
