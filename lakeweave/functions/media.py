@@ -7,6 +7,7 @@ import struct
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakeweave.functions.text import strict_base64
 from lakeweave.functions.urls import DATA_URI, url_media_class
@@ -126,7 +127,7 @@ def header(b: bytes | None) -> tuple[str, int, int] | tuple[None, None, None]:
     return (form, *size) if size else (None, None, None)
 
 
-@F.pandas_udf("format string, width int, height int")
+@F.pandas_udf(T.StructType().add("format", "string").add("width", "int").add("height", "int"))
 def _dims(content: pd.Series) -> pd.DataFrame:
     rows = pd.DataFrame([header(b) for b in content], columns=["format", "width", "height"])
     return rows.astype({"width": "Int32", "height": "Int32"})

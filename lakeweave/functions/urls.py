@@ -7,6 +7,7 @@ from urllib.parse import unquote
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Patterns and suffixes that decide which URLs match.
 DOMAIN = r"(?:https?:\/\/)?(?:www\.)?([-a-zA-Z0-9@:%._\+~#=]{1,256}\.[a-zA-Z0-9()]{1,6})/?"
@@ -23,7 +24,7 @@ VIDEO = ("mp4", "webm", "mov", "m4v", "mkv", "avi", "flv", "wmv", "ts")
 HLS = ("m3u8",)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _lenient_decode(url: pd.Series) -> pd.Series:
     return url.map(lambda u: None if u is None else unquote(u))
 

@@ -9,6 +9,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakeweave.functions import dom
 from lakeweave.functions.media import decode_data_uri_media, header
@@ -107,7 +108,7 @@ def drop_tags(html: Column, tags: tuple[str, ...] = DROPPED) -> Column:
     return run(html)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _select(pages: pd.Series, selectors: pd.Series) -> pd.Series:
     """First match of ``tag#id`` or ``tag.class`` alternatives; an id gives its inner HTML, a class the element."""
 
@@ -161,7 +162,7 @@ def rewritten(html: str, media: dict[int, str]) -> dom.Node | None:
     return root
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _rewrite(html: pd.Series, media: pd.Series) -> pd.Series:
     def one(page: str | None, found: object) -> str | None:
         root = rewritten(page, {int(m["ordinal"]): m["token"] for m in (found if found is not None else [])}) if page is not None else None
@@ -170,7 +171,7 @@ def _rewrite(html: pd.Series, media: pd.Series) -> pd.Series:
     return pd.Series([one(p, m) for p, m in zip(html, media, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _rewrite_to_markdown(html: pd.Series, media: pd.Series) -> pd.Series:
     def one(page: str | None, found: object) -> str | None:
         if page is None:
@@ -181,7 +182,7 @@ def _rewrite_to_markdown(html: pd.Series, media: pd.Series) -> pd.Series:
     return pd.Series([one(p, m) for p, m in zip(html, media, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _markdown(html: pd.Series) -> pd.Series:
     return html.map(lambda p: None if p is None else dom.markdown(dom.parse(p)))
 
@@ -205,7 +206,7 @@ def rewrite_media(pages: DataFrame, attached: DataFrame) -> DataFrame:
     return pages.join(_tokens(attached), "page_id", "left").withColumn("html", _rewrite("html", "media")).drop("media")
 
 
-@F.pandas_udf("width int, height int")
+@F.pandas_udf(T.StructType().add("width", "int").add("height", "int"))
 def _size(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([header(b)[1:] for b in content], columns=["width", "height"]).astype("Int32")
 
@@ -233,10 +234,17 @@ def to_documents(captures: DataFrame, blobs: DataFrame | None = None, include_me
     return joined.select("page_id", "url", tidy_markdown(_rewrite_to_markdown("html", "media")).alias("text"), F.coalesce("media", F.array().cast("array<struct<ordinal:int,token:string>>")).alias("items"))
 
 
-FEATURES = "size int, text_length int, has_media boolean, has_wayback boolean, has_ghost boolean, has_nested boolean, body_children int, photo_wraps int, videos int, images int"
+FEATURES = {"size": "int", "text_length": "int", "has_media": "boolean", "has_wayback": "boolean", "has_ghost": "boolean", "has_nested": "boolean", "body_children": "int", "photo_wraps": "int", "videos": "int", "images": "int"}
 
 
-@F.pandas_udf(FEATURES)
+def _struct(fields: dict[str, str]) -> T.StructType:
+    out = T.StructType()
+    for name, kind in fields.items():
+        out = out.add(name, kind)
+    return out
+
+
+@F.pandas_udf(_struct(FEATURES))
 def _features(html: pd.Series) -> pd.DataFrame:
     rows = []
     for page in html:
@@ -250,7 +258,7 @@ def _features(html: pd.Series) -> pd.DataFrame:
         content = any(n.tag in ("article", "main") or n.attrs.get("role") == "main" for n in nodes)
         media = bool(src) or wraps > 0 or any("background-image" in (n.attrs.get("style") or "") or "tgme_widget_message_video" in n.classes for n in nodes)
         rows.append((len(page or ""), len(dom.text_of(root)), media, any("/web/" in u for u in srcs + hrefs) or bool(src) or content, any("_/http" in u for u in srcs + hrefs), any(n.tag == "iframe" for n in nodes), sum(k.tag is not None for k in body.kids), wraps, sum(n.tag == "video" and bool(n.attrs.get("src")) for n in nodes), sum(n.tag == "img" for n in nodes)))
-    return pd.DataFrame(rows, columns=[x.split()[0] for x in FEATURES.split(", ")])
+    return pd.DataFrame(rows, columns=list(FEATURES))
 
 
 def page_readiness(pages: DataFrame) -> DataFrame:

@@ -8,11 +8,12 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakeweave.functions.media import over_cap
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def join_url(base: pd.Series, uri: pd.Series) -> pd.Series:
     return pd.Series([None if b is None or u is None else urljoin(b, u) for b, u in zip(base, uri, strict=True)])
 
