@@ -127,7 +127,7 @@ def header(b: bytes | None) -> tuple[str, int, int] | tuple[None, None, None]:
     return (form, *size) if size else (None, None, None)
 
 
-@F.pandas_udf(T.StructType().add("format", "string").add("width", "int").add("height", "int"))
+@F.pandas_udf(T.StructType().add("format", "string").add("width", "integer").add("height", "integer"))
 def _dims(content: pd.Series) -> pd.DataFrame:
     rows = pd.DataFrame([header(b) for b in content], columns=["format", "width", "height"])
     return rows.astype({"width": "Int32", "height": "Int32"})

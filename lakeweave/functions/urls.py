@@ -96,8 +96,6 @@ def expand_short_urls(urls, redirects):
 
 # --- platform links -------------------------------------------------------------------------
 
-NOTHING = F.lit(None).cast("string")
-
 
 def query_value(url: Column, name: str) -> Column:
     """Decoded value of a query parameter; null if it isn't there."""
@@ -113,7 +111,8 @@ def _first(parts: Column) -> Column:
     return F.try_element_at(parts, F.lit(1))
 
 
-def _link(platform: str, kind: Column, ident: Column = NOTHING, username: Column = NOTHING, number: Column | None = None, url: Column = NOTHING) -> Column:
+def _link(platform: str, kind: Column, ident: Column | None = None, username: Column | None = None, number: Column | None = None, url: Column | None = None) -> Column:
+    ident, username, url = (F.lit(None).cast("string") if x is None else x for x in (ident, username, url))
     number = F.lit(None).cast("int") if number is None else number
     return F.struct(F.lit(platform).alias("platform"), kind.alias("kind"), ident.alias("id"), username.alias("username"), number.alias("media_number"), url.alias("normalized_url"))
 

@@ -206,7 +206,7 @@ def rewrite_media(pages: DataFrame, attached: DataFrame) -> DataFrame:
     return pages.join(_tokens(attached), "page_id", "left").withColumn("html", _rewrite("html", "media")).drop("media")
 
 
-@F.pandas_udf(T.StructType().add("width", "int").add("height", "int"))
+@F.pandas_udf(T.StructType().add("width", "integer").add("height", "integer"))
 def _size(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([header(b)[1:] for b in content], columns=["width", "height"]).astype("Int32")
 
@@ -234,7 +234,7 @@ def to_documents(captures: DataFrame, blobs: DataFrame | None = None, include_me
     return joined.select("page_id", "url", tidy_markdown(_rewrite_to_markdown("html", "media")).alias("text"), F.coalesce("media", F.array().cast("array<struct<ordinal:int,token:string>>")).alias("items"))
 
 
-FEATURES = {"size": "int", "text_length": "int", "has_media": "boolean", "has_wayback": "boolean", "has_ghost": "boolean", "has_nested": "boolean", "body_children": "int", "photo_wraps": "int", "videos": "int", "images": "int"}
+FEATURES = {"size": "integer", "text_length": "integer", "has_media": "boolean", "has_wayback": "boolean", "has_ghost": "boolean", "has_nested": "boolean", "body_children": "integer", "photo_wraps": "integer", "videos": "integer", "images": "integer"}
 
 
 def _struct(fields: dict[str, str]) -> T.StructType:
