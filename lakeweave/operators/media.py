@@ -49,7 +49,8 @@ def cap_media_size(media: DataFrame, thumbnails: bool = False) -> DataFrame:
     if not thumbnails:
         return media.where(~F.coalesce(over, F.lit(False)))
     gone = F.coalesce(over, F.lit(False)) | F.col("url").isNull()
-    return media.withColumn("kind", F.when(gone & F.col("thumbnail").isNotNull(), "image").otherwise(F.col("kind"))).withColumn("url", F.when(gone, F.col("thumbnail")).otherwise(F.col("url"))).where("url is not null")
+    swapped = {"kind": F.when(gone & F.col("thumbnail").isNotNull(), "image").otherwise(F.col("kind")), "url": F.when(gone, F.col("thumbnail")).otherwise(F.col("url"))}
+    return media.withColumns(swapped).where("url is not null")
 
 
 def assemble_album(posts: DataFrame, anchors: DataFrame, reach: int = 10) -> DataFrame:
