@@ -486,7 +486,7 @@ def _ran(stream: DataFrame, mode: str = "append") -> DataFrame:
 def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as a stream of files, written in order of time."""
     path = _scratch(spark)
-    table(spark, sf_dir, "events").repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(path)
+    table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(path)
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
 
 
@@ -496,7 +496,7 @@ def stream_dedupe_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ran(S.stream_dedupe_requests(feed, "90 days")).groupBy("url").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT date_trunc('day', ts) AS window_start, event_type AS method, count(*) AS n, round(avg(value), 6) AS avg_time, event_type = 'click' AND count(*) > 60 AS over_budget FROM events GROUP BY 1, 2")
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type AS method, count(*) AS n, round(avg(value), 6) AS avg_time, event_type = 'click' AND count(*) > 60 AS over_budget FROM events GROUP BY 1, 2")
 def stream_method_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = _feed(spark, sf_dir).select("ts", F.col("event_type").alias("method"), F.col("value").alias("elapsed"))
     # one row per window in the end: complete results of the batch that the files make
@@ -507,7 +507,7 @@ def stream_method_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{path}/rows")
 
     stats.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    return spark.read.parquet(f"{path}/rows")
+    return spark.read.parquet(f"{path}/rows").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("""WITH a AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS step, CASE WHEN event_id % 3 = 0 THEN props END AS content FROM events QUALIFY step < 6)
@@ -517,7 +517,7 @@ def stream_first_success(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = _scratch(spark)
     step = (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).cast("int")
-    log = table(spark, sf_dir, "events").select(F.concat(F.lit("https://example.org/"), F.col("user_id").cast("string")).alias("url"), step.alias("step"), F.col("event_type").alias("method"), "ts", F.when(F.col("event_id") % 3 == 0, F.col("props")).alias("content"), F.lit(None).cast("string").alias("error_message"))
+    log = table(spark, sf_dir, "events").select(F.concat(F.lit("https://example.org/"), F.col("user_id").cast("string")).alias("url"), step.alias("step"), F.col("event_type").alias("method"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_id") % 3 == 0, F.col("props")).alias("content"), F.lit(None).cast("string").alias("error_message"))
     log.where("step < 6").coalesce(1).write.parquet(path)
     feed = spark.readStream.schema(log.schema).parquet(path)
     return _ran(S.stream_first_success(feed, last_step=5, timeout="90 days")).select("url", "content", "step", "successful")
