@@ -16,13 +16,18 @@ from lakeweave.llm.common import components, written
 
 
 def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
-    """Unit vectors of the sample that lie far from each other: each next one is least like those chosen."""
+    """Unit vectors of the sample that lie far from each other: each next one is least like those chosen.
+
+    When none is left that is unlike enough, random directions follow: pivots inside one tight
+    group would order its members by chance.
+    """
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     chosen, like = [0], unit @ unit[0]
-    while len(chosen) < min(n, len(unit)):
+    while len(chosen) < n and like.min() < 0.7:
         chosen.append(int(like.argmin()))
         like = np.maximum(like, unit @ unit[chosen[-1]])
-    return unit[chosen]
+    more = np.random.default_rng(5).normal(size=(n - len(chosen), unit.shape[1]))
+    return np.concatenate([unit[chosen], more / np.linalg.norm(more, axis=1, keepdims=True)])
 
 
 def nearest_pivots(unit: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
