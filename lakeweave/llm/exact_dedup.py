@@ -37,11 +37,12 @@ def exact_groups(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id",
     alone = hashed.select("doc_id", "h", sha).join(groups.select("h").hint("merge"), "h", "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
 
     members = written(hashed.select("doc_id", "h", "t", sha).join(groups.hint("merge"), "h"), "members")
-    stays = members.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("h").agg(F.min("t").alias("kept_text"))
+    # tables of their own: Spark splits a hot key only where plain rows, not aggregates, meet
+    stays = written(members.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("h").agg(F.min("t").alias("kept_text")), "stays")
     met = members.join(stays.hint("merge"), "h").withColumn("same", F.col("t") == F.col("kept_text"))
     met = written(met.select("doc_id", "h", "keep_id", "text_sha256", "same", F.when(~F.col("same"), F.col("t")).alias("t")), "compared")
 
-    size = met.where("same").groupBy("h").agg(F.count(F.lit(1)).alias("group_size"))
+    size = written(met.where("same").groupBy("h").agg(F.count(F.lit(1)).alias("group_size")), "sizes")
     equal = met.where("same").join(size.hint("merge"), "h").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
     collided = met.where("not same").select("doc_id", "h", "t", "text_sha256")
