@@ -174,7 +174,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, n_pivots: int = 64
     pivots = choose_pivots(np.array([_fit(v, max(map(len, some))) for v in some]), n_pivots)
 
     postings = written(classes.select("ident", "space", "vector").mapInArrow(_postings(pivots, prefix), "list long, ident long"), "postings")
-    long = postings.groupBy("list").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    long = written(postings.groupBy("list").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "lists")
     parts = F.ceil(F.col("members") / block).cast("int")
     dealt = postings.join(long.hint("merge"), "list").withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("ident"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("list", "ident", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))

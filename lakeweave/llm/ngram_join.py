@@ -197,6 +197,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
 
     spread = classes.select("ident", F.explode("bands").alias("bucket"))
     full = spread.groupBy("bucket").agg(F.min("ident").alias("a"), F.max("ident").alias("z")).where("a < z").select("bucket", "a")
+    full = written(full, "buckets")
     met = written(spread.join(full.hint("merge"), "bucket"), "met")
     # a class is in the group of the least head of its buckets; edges between heads, few to a group, join the groups
     headed = written(met.select("ident", "a", F.min("a").over(Window.partitionBy("ident")).alias("head")), "heads")

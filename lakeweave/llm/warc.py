@@ -105,6 +105,7 @@ def with_roles(pages: DataFrame, least: int = 1000, id_col: str = "page_id", htm
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), payload.alias("payload"))
     base = base.select("*", F.sha1("payload").alias("digest"), F.sha2("payload", 256).alias("key"), F.octet_length("payload").alias("bytes"))
     groups = base.where(F.col("bytes") >= least).groupBy("key").agg(F.max("page_id").alias("stored"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "stored")
+    groups = written(groups, "groups")
     other = F.when(F.col("page_id").eqNullSafe(F.col("stored")), F.lit(None)).otherwise(F.col("stored"))
     return base.join(groups.hint("merge"), "key", "left").select("page_id", "url", "payload", "digest", other.alias("original"))
 
