@@ -204,7 +204,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     reach = components(headed.select("a", F.col("head").alias("b")))
     groups = headed.groupBy("ident").agg(F.min("head").alias("head")).join(reach.withColumnRenamed("id", "head").hint("merge"), "head", "left")
     groups = groups.select("ident", F.coalesce("component", "head").alias("grp"))
-    sized = written(groups.join(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("members")).hint("merge"), "grp"), "groups")
+    groups = written(groups, "groups")
+    members = written(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("members")), "members")
+    sized = written(groups.join(members.hint("merge"), "grp"), "sized")
     candidates = written(classes.join(sized.hint("merge"), "ident"), "candidates")
 
     wanted = candidates.select("doc", "h", F.col("ident").alias("cls")).where("doc is not null")
