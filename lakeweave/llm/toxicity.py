@@ -17,6 +17,8 @@ from lakeweave.llm.words import Words, slices, split_words
 BITS = 18
 STRIP = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»„“”‘’¿¡…"
 ENDS = (".", "!", "?", "…")
+#: Words without an end mark, as in tables, make sentences of at most so many.
+LONGEST = 40
 
 
 def _slot(word: str) -> int:
@@ -24,11 +26,14 @@ def _slot(word: str) -> int:
 
 
 def sentences(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Number of the sentence that each word is in, counted through all texts, and each sentence's text. A sentence ends with a word that ends in a full stop or the like, or with its text."""
+    """Number of the sentence that each word is in, counted through all texts, and each sentence's text. A sentence ends with a word that ends in a full stop or the like, after ``LONGEST`` words, or with its text."""
     if not len(w.codes):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     last = np.array([x.rstrip("\"'»”)]*#$%&|").endswith(ENDS) for x in w.distinct], bool)[w.codes]
     last[w.ends[w.ends > 0] - 1] = True
+    begins = np.flatnonzero(np.concatenate([[True], last[:-1]]))
+    place = np.arange(len(last)) - np.repeat(begins, np.diff(np.append(begins, len(last))))
+    last |= place % LONGEST == LONGEST - 1
     number = np.cumsum(last) - last
     text = np.repeat(np.arange(len(w.ends)), np.diff(w.ends, prepend=0))
     return number, text[last]
@@ -36,7 +41,7 @@ def sentences(w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class NoisyOr:
-    """Weights of hashed words; a sentence's score is the logistic of their sum, a text's is 1 - prod(1 - sentence)."""
+    """Weights of hashed words; a sentence's score is the logistic of their sum, each word once, a text's is 1 - prod(1 - sentence)."""
 
     weight: np.ndarray
     bias: float
@@ -44,8 +49,10 @@ class NoisyOr:
     def sentence_scores(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Score and text of each sentence, and the sentence of each word."""
         number, text = sentences(w)
-        weight = self.weight[np.array([_slot(x) for x in w.distinct], np.int64)] if w.distinct else np.zeros(0)
-        total = np.bincount(number, weight[w.codes], len(text)) if len(text) else np.zeros(0)
+        slots = np.array([_slot(x) for x in w.distinct], np.int64)[w.codes] if w.distinct else np.zeros(0, np.int64)
+        tells = self.weight[slots] > 0
+        once = np.unique(number[tells] << BITS | slots[tells])
+        total = np.bincount(once >> BITS, self.weight[once & ((1 << BITS) - 1)], len(text)) if len(text) else np.zeros(0)
         return 1 / (1 + np.exp(-np.clip(self.bias + total, -30, 30))), text, number
 
     def scores(self, w: Words) -> np.ndarray:
@@ -58,7 +65,7 @@ def train(words: np.ndarray, sentence: np.ndarray, text: np.ndarray, y: np.ndarr
 
     Words of fewer than ``least_texts`` texts get no weight: they would only learn single labels by heart.
     """
-    model = NoisyOr(np.zeros(1 << BITS), -5.0)
+    model = NoisyOr(np.zeros(1 << BITS), -9.0)  # stays: a long clean text has thousands of sentences
     if not len(y) or y.min() == y.max() or not len(words):
         share = float(np.clip(y.mean(), 1e-6, 1 - 1e-6)) if len(y) else 0.5
         model.bias = float(np.log(share / (1 - share)))
@@ -68,10 +75,12 @@ def train(words: np.ndarray, sentence: np.ndarray, text: np.ndarray, y: np.ndarr
     times, bad = (np.bincount(has, v, 1 << BITS) for v in (None, y[pairs % (len(y) + 1)]))
     common = times[words] >= least_texts
     sentence = sentence[common]
-    slots, at = np.unique(words[common], return_inverse=True)
+    once = np.unique(sentence.astype(np.int64) << BITS | words[common])
+    sentence = once >> BITS
+    slots, at = np.unique(once & ((1 << BITS) - 1), return_inverse=True)
     # each word starts at how much likelier it makes label 1 by itself: words of copied texts then explain no others away
     odds = np.log((bad + 0.5) / (y.sum() + 1)) - np.log((times - bad + 0.5) / (len(y) - y.sum() + 1))
-    theta = np.append(np.clip(odds[slots] - start, 0, None), model.bias)
+    theta = np.append(1.5 * np.clip(odds[slots] - start, 0, None), model.bias)
     held = ridge / times[slots]  # rare words are held back the more
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     balance = np.where(y > 0.5, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)) ** 0.5
@@ -82,7 +91,7 @@ def train(words: np.ndarray, sentence: np.ndarray, text: np.ndarray, y: np.ndarr
         doc = np.clip(1 - clean, 1e-9, 1 - 1e-9)
         # d loss / d z of a sentence: p for label 0; p (doc - 1) / doc for label 1
         slope = p * (balance * (1 - y / doc))[text] / len(y)
-        grad = np.append(np.bincount(at, slope[sentence], len(slots)), slope.sum()) + np.append(held * theta[:-1], 0)
+        grad = np.append(np.bincount(at, slope[sentence], len(slots)), 0) + np.append(held * theta[:-1], 0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         np.maximum(theta[:-1], 0, out=theta[:-1])  # no word speaks for a sentence: padding an insult must not hide it
@@ -94,7 +103,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modul
     """A model fitted on at most ``most`` labelled documents; their hashed words reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most_bytes=4 << 20):
+        for batch in slices(batches, most_bytes=2 << 20):
             w = split_words(batch.column("text"))
             slots = np.array([_slot(x) for x in w.distinct], np.int32)[w.codes] if w.distinct else np.zeros(0, np.int32)
             number, _ = sentences(w)
@@ -121,7 +130,7 @@ def score_toxicity(docs: DataFrame, model: NoisyOr, modulus: int = 5, remainder:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most_bytes=4 << 20):
+        for batch in slices(batches, most_bytes=2 << 20):
             score = model.scores(split_words(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -133,7 +142,7 @@ def offending_sentences(docs: DataFrame, model: NoisyOr, threshold: float = 0.5,
     """A row for each sentence that reaches the threshold: doc_id, sentence (from 0), score, its words joined by spaces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most_bytes=4 << 20):
+        for batch in slices(batches, most_bytes=2 << 20):
             w = split_words(batch.column("text"))
             p, text, number = model.sentence_scores(w)
             bad = np.flatnonzero(p >= threshold)
@@ -152,7 +161,8 @@ def drop_toxic(docs: DataFrame, model: NoisyOr, threshold: float = 0.5, id_col:
         import pandas as pd
 
         for t in texts:
-            yield pd.Series(model.scores(split_words(pa.array(t, pa.string(), from_pandas=True))))
+            batch = pa.RecordBatch.from_arrays([pa.array(t, pa.string(), from_pandas=True)], ["text"])
+            yield pd.Series(np.concatenate([np.zeros(0), *(model.scores(split_words(b.column("text"))) for b in slices([batch], most_bytes=2 << 20))]))
 
     from collections.abc import Iterator as It
 
