@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from urllib.parse import unquote
 
 import pandas as pd
@@ -111,6 +112,11 @@ def _first(parts: Column) -> Column:
     return F.try_element_at(parts, F.lit(1))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _link(platform: str, kind: Column, ident: Column | None = None, username: Column | None = None, number: Column | None = None, url: Column | None = None) -> Column:
     ident, username, url = (F.lit(None).cast("string") if x is None else x for x in (ident, username, url))
     number = F.lit(None).cast("int") if number is None else number
@@ -119,8 +125,11 @@ def _link(platform: str, kind: Column, ident: Column | None = None, username: Co
 
 def _x(url: Column) -> Column:
     published = url.startswith("https://publish.twitter.com/?query=")
-    url = F.when(published, F.coalesce(query_value(url, "query"), url)).otherwise(url)
-    path = url_path(url)
+    plain = F.when(published, F.coalesce(query_value(url, "query"), url)).otherwise(url)
+    return _let(plain, lambda u: _let(url_path(u), lambda path: _x_parts(u, path)))
+
+
+def _x_parts(url: Column, path: Column) -> Column:
     post = path.rlike(X_POST)
     name = F.try_element_at(F.filter(_parts(path), lambda p: F.length(p) >= 3), F.lit(1))
     short = F.regexp_extract(url, r"^https?://([^/?#]+)", 1) == "t.co"
@@ -130,7 +139,10 @@ def _x(url: Column) -> Column:
 
 
 def _tiktok(url: Column) -> Column:
-    parts = _parts(url_path(url))
+    return _let(_parts(url_path(url)), lambda parts: _tiktok_parts(url, parts))
+
+
+def _tiktok_parts(url: Column, parts: Column) -> Column:
     moving = url.contains("vm.tiktok.com")
     video = url.contains("/video/") | moving | url.rlike(r"/\d{10,}")
     digits = F.try_element_at(F.filter(parts, lambda p: p.rlike(r"^\d{10,}$")), F.lit(-1))
@@ -141,10 +153,12 @@ def _tiktok(url: Column) -> Column:
 
 
 def _facebook(url: Column) -> Column:
-    login = url.contains("/login") & query_value(url, "next").isNotNull()
-    url = F.when(login, query_value(url, "next")).otherwise(url)
-    embed = url.contains("/plugins/") & query_value(url, "href").isNotNull()
-    url = F.when(embed, query_value(url, "href")).otherwise(url)
+    past_login = F.coalesce(F.when(url.contains("/login"), query_value(url, "next")), url)
+    bare = _let(past_login, lambda u: F.coalesce(F.when(u.contains("/plugins/"), query_value(u, "href")), u))
+    return _let(bare, _facebook_parts)
+
+
+def _facebook_parts(url: Column) -> Column:
     parts = _parts(url_path(url))
     video = url.contains("/watch") | url.contains("/reel") | url.rlike(FACEBOOK_VIDEO) | url.contains("fb.watch") | url.contains("/videos/")
     kind = F.when(video, "video").when(url.contains("facebook.com/photo"), "photo").when(url.rlike(r"facebook\.com/.+/posts/.+"), "post").when(_first(parts) == "profile.php", "profile").otherwise("other")
@@ -157,7 +171,10 @@ def _instagram(url: Column) -> Column:
 
 
 def _telegram(url: Column) -> Column:
-    parts = _parts(url_path(url))
+    return _let(_parts(url_path(url)), lambda parts: _telegram_parts(url, parts))
+
+
+def _telegram_parts(url: Column, parts: Column) -> Column:
     ident = F.try_element_at(parts, F.lit(2))
     good = F.coalesce(ident.rlike(r"^\d+$"), F.lit(False))
     return _link("telegram", F.when(good, "post").otherwise("invalid"), F.when(good, ident), F.when(good, _first(parts)), url=url)
@@ -173,7 +190,10 @@ def _bluesky(url: Column) -> Column:
 
 def classify_link(url: Column) -> Column:
     """Struct of platform, kind, id, username, media_number and normalized_url of a cleaned URL; null for other sites."""
-    domain = url_domain(url)
+    return _let(url_domain(url), lambda domain: _by_domain(url, domain))
+
+
+def _by_domain(url: Column, domain: Column) -> Column:
     return (
         F.when(domain.isin("x.com", "twitter.com", "t.co"), _x(url))
         .when(domain == "tiktok.com", _tiktok(url))
