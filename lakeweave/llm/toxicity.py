@@ -73,11 +73,13 @@ def train(words: np.ndarray, sentence: np.ndarray, text: np.ndarray, y: np.ndarr
     pairs = np.unique(words.astype(np.int64) * (len(y) + 1) + text[sentence])
     has = pairs // (len(y) + 1)
     times, bad = (np.bincount(has, v, 1 << BITS) for v in (None, y[pairs % (len(y) + 1)]))
+    del pairs, has
     common = times[words] >= least_texts
     sentence = sentence[common]
     once = np.unique(sentence.astype(np.int64) << BITS | words[common])
     sentence = once >> BITS
-    slots, at = np.unique(once & ((1 << BITS) - 1), return_inverse=True)
+    slots, at = np.unique((once & ((1 << BITS) - 1)).astype(np.int32), return_inverse=True)
+    del once, common
     # each word starts at how much likelier it makes label 1 by itself: words of copied texts then explain no others away
     odds = np.log((bad + 0.5) / (y.sum() + 1)) - np.log((times - bad + 0.5) / (len(y) - y.sum() + 1))
     theta = np.append(1.5 * np.clip(odds[slots] - start, 0, None), model.bias)
