@@ -7,13 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeweave.functions import media as M
 from lakeweave.functions import pagequality as Q
-from lakeweave.functions import text as X
 from lakeweave.functions import urls as U
-from lakeweave.operators import html as H
-from lakeweave.operators import media as J
-from lakeweave.operators import pages as P
 from lakeweave.plans import attempts as A
 from lakeweave.plans import requests as R
 from lakeweave.sources import io
