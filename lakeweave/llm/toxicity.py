@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakeweave.llm.common import written
 from lakeweave.llm.learn import held_out, labelled_sample
 from lakeweave.llm.words import Words, slices, split_words
 
@@ -19,6 +20,8 @@ STRIP = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»„“”‘
 ENDS = (".", "!", "?", "…")
 #: Words without an end mark, as in tables, make sentences of at most so many.
 LONGEST = 40
+#: Words get weights that are in so many texts at least and make label 1 likelier by so much, as a logarithm.
+LEAST_TEXTS, START = 3, 1.0
 
 
 def _slot(word: str) -> int:
@@ -60,9 +63,11 @@ class NoisyOr:
         return 1 - np.exp(np.bincount(text, np.log1p(-np.minimum(p, 1 - 1e-12)), len(w.ends)))
 
 
-def train(words: np.ndarray, sentence: np.ndarray, text: np.ndarray, y: np.ndarray, rounds: int = 120, rate: float = 0.05, ridge: float = 2e-4, least_texts: int = 3, start: float = 1.0) -> NoisyOr:
+def train(words: np.ndarray, sentence: np.ndarray, text: np.ndarray, y: np.ndarray, plain: np.ndarray | None = None, rounds: int = 120, rate: float = 0.05, ridge: float = 2e-4, least_texts: int = LEAST_TEXTS, start: float = START) -> NoisyOr:
     """Fit on words (hashed), each one's sentence, each sentence's text, and the texts' labels, by Adam on the log loss.
 
+    ``plain`` counts each text's further sentences, those without any of the words.
+
     Words of fewer than ``least_texts`` texts get no weight: they would only learn single labels by heart.
     """
     model = NoisyOr(np.zeros(1 << BITS), -9.0)  # stays: a long clean text has thousands of sentences
@@ -83,13 +88,14 @@ def train(words: np.ndarray, sentence: np.ndarray, text: np.ndarray, y: np.ndarr
     # each word starts at how much likelier it makes label 1 by itself: words of copied texts then explain no others away
     odds = np.log((bad + 0.5) / (y.sum() + 1)) - np.log((times - bad + 0.5) / (len(y) - y.sum() + 1))
     theta = np.append(1.5 * np.clip(odds[slots] - start, 0, None), model.bias)
+    others = 0.0 if plain is None else plain * np.log1p(-1 / (1 + np.exp(-model.bias)))
     held = ridge / times[slots]  # rare words are held back the more
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     balance = np.where(y > 0.5, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)) ** 0.5
     for t in range(1, rounds + 1):
         z = np.clip(theta[-1] + np.bincount(sentence, theta[at], len(text)), -30, 30)
         p = 1 / (1 + np.exp(-z))
-        clean = np.exp(np.bincount(text, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y)))
+        clean = np.exp(np.bincount(text, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y)) + others)
         doc = np.clip(1 - clean, 1e-9, 1 - 1e-9)
         # d loss / d z of a sentence: p for label 0; p (doc - 1) / doc for label 1
         slope = p * (balance * (1 - y / doc))[text] / len(y)
@@ -102,26 +108,41 @@ def train(words: np.ndarray, sentence: np.ndarray, text: np.ndarray, y: np.ndarr
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, remainder: int = 0, most: int = 8_000) -> NoisyOr:
-    """A model fitted on at most ``most`` labelled documents; their hashed words reach the driver."""
+    """A model fitted on at most ``most`` labelled documents.
+
+    Spark counts which words speak for label 1; only the places of these, out of at most
+    ``most`` documents, reach the driver.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most_bytes=2 << 20):
             w = split_words(batch.column("text"))
-            slots = np.array([_slot(x) for x in w.distinct], np.int32)[w.codes] if w.distinct else np.zeros(0, np.int32)
-            number, _ = sentences(w)
-            offsets = pa.array(np.concatenate([[0], w.ends]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.ListArray.from_arrays(offsets, pa.array(slots)), pa.ListArray.from_arrays(offsets, pa.array(number.astype(np.int32)))], ["doc_id", "label", "words", "sentence"])
-
-    got = labelled_sample(docs, labels, label, modulus, remainder, most).mapInArrow(run, "doc_id long, label double, words array<int>, sentence array<int>").toArrow().sort_by("doc_id").combine_chunks()
-    if not got.num_rows:
-        return train(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    words = got.column("words").combine_chunks()
-    n = words.value_lengths().to_numpy(zero_copy_only=False)
-    owner = np.repeat(np.arange(len(n)), n)
-    local = got.column("sentence").combine_chunks().flatten().to_numpy()
-    new = np.ones(len(local), bool)
-    new[1:] = (local[1:] != local[:-1]) | (owner[1:] != owner[:-1])
-    return train(words.flatten().to_numpy(), np.cumsum(new) - 1, owner[new], got.column("label").to_numpy())
+            number, text = sentences(w)
+            n = np.bincount(text, minlength=len(w.ends))
+            slots = np.array([_slot(x) for x in w.distinct], np.int64)[w.codes] if w.distinct else np.zeros(0, np.int64)
+            once = np.unique(number << BITS | slots)
+            sentence = once >> BITS
+            ends = np.cumsum(np.bincount(text[sentence], minlength=len(w.ends)))
+            offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+            local = sentence - (np.cumsum(n) - n)[text[sentence]]
+            columns = [batch.column("doc_id"), batch.column("label"), pa.array(n.astype(np.int32)), *(pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (once & ((1 << BITS) - 1), local))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "n", "words", "sentence"])
+
+    sample = labelled_sample(docs, labels, label, modulus, remainder, most)
+    sample = written(sample.mapInArrow(run, "doc_id long, label double, n int, words array<int>, sentence array<int>"), "sample")
+    known = sample.select("doc_id", "label", "n").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending"), ("n", "ascending")])
+    y, n = known.column("label").to_numpy(), known.column("n").to_numpy()
+    by_word = sample.select("label", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("times"), F.sum("label").alias("bad"))
+    odds = F.log((F.col("bad") + 0.5) / (y.sum() + 1)) - F.log((F.col("times") - F.col("bad") + 0.5) / (len(y) - y.sum() + 1))
+    tells = by_word.where((F.col("times") >= LEAST_TEXTS) & (odds > START)).select("word")  # at most 2**BITS numbers
+    at = sample.select("doc_id", F.explode(F.arrays_zip("words", "sentence")).alias("at")).select("doc_id", F.col("at.words").alias("word"), F.col("at.sentence").alias("sentence"))
+    got = at.join(F.broadcast(tells), "word").toArrow().sort_by([("doc_id", "ascending"), ("sentence", "ascending"), ("word", "ascending")])
+    ids = known.column("doc_id").to_numpy()
+    owner = np.searchsorted(ids, got.column("doc_id").to_numpy())  # rows of one id count as its first
+    place = got.column("sentence").to_numpy().astype(np.int64)
+    key, sentence = np.unique(owner.astype(np.int64) << 32 | place, return_inverse=True)
+    text = key >> 32
+    return train(got.column("word").to_numpy(), sentence, text, y, n - np.bincount(text, minlength=len(y)))
 
 
 def score_toxicity(docs: DataFrame, model: NoisyOr, modulus: int = 5, remainder: int = 0, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
