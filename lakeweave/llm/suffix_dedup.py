@@ -181,7 +181,7 @@ def minimizer_runs(data: np.ndarray, ends: np.ndarray, window: int = WINDOW, gra
 
 def _runs(window: int):
     """Map texts to rows of their runs; a text met before in the batch makes one row that says so."""
-    limit = 2 << 20
+    limit = 1 << 20
 
     def flush(keys: list, texts: list[bytes], copies: list[int], offsets: list[int]) -> pa.RecordBatch | None:
         ends = np.cumsum([len(t) for t in texts])
@@ -197,7 +197,7 @@ def _runs(window: int):
         return _rows(least, np.array(digest, np.uint64).astype(np.int64), doc, h, start, n, np.array(copies)[text] > 1, again)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most_bytes=4 << 20):
             doc, h = batch.column("doc").to_pylist(), batch.column("h").to_pylist()
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             met: dict[bytes, list[int]] = {}
@@ -239,7 +239,7 @@ def _cut_out(window: int):
     """Map rows of (text, runs) to a row for each run with its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most_bytes=4 << 20):
             out: list[tuple] = []
             size = 0
             for doc, h, text, runs in zip(*(batch.column(c).to_pylist() for c in ("doc", "h", "text", "runs")), strict=True):
@@ -293,7 +293,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(t).alias("h"), t.alias("text"))
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = 3 << 19, hot_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = 1 << 20, hot_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Stretches of window starts that occur twice: rows doc, h (see ``_keyed``), start, n.
 
     1. Each text's windows are cut into runs that share a minimizer, the least hash of the grams
@@ -369,7 +369,7 @@ def removal_digests(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most_bytes=4 << 20):
             out = []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 data = text.encode()
