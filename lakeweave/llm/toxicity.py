@@ -63,10 +63,11 @@ class NoisyOr:
         return 1 - np.exp(np.bincount(text, np.log1p(-np.minimum(p, 1 - 1e-12)), len(w.ends)))
 
 
-def train(words: np.ndarray, sentence: np.ndarray, text: np.ndarray, y: np.ndarray, plain: np.ndarray | None = None, rounds: int = 120, rate: float = 0.05, ridge: float = 2e-4, least_texts: int = LEAST_TEXTS, start: float = START) -> NoisyOr:
+def train(words: np.ndarray, sentence: np.ndarray, text: np.ndarray, y: np.ndarray, plain: np.ndarray | None = None, share: float | None = None, rounds: int = 60, rate: float = 0.05, ridge: float = 2e-4, least_texts: int = LEAST_TEXTS, start: float = START) -> NoisyOr:
     """Fit on words (hashed), each one's sentence, each sentence's text, and the texts' labels, by Adam on the log loss.
 
-    ``plain`` counts each text's further sentences, those without any of the words.
+    ``plain`` counts each text's further sentences, those without any of the words. With
+    ``share``, texts are weighted as if label 1 had that share of them.
 
     Words of fewer than ``least_texts`` texts get no weight: they would only learn single labels by heart.
     """
@@ -91,7 +92,8 @@ def train(words: np.ndarray, sentence: np.ndarray, text: np.ndarray, y: np.ndarr
     others = 0.0 if plain is None else plain * np.log1p(-1 / (1 + np.exp(-model.bias)))
     held = ridge / times[slots]  # rare words are held back the more
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    balance = np.where(y > 0.5, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)) ** 0.5
+    share = y.mean() if share is None else share
+    balance = np.where(y > 0.5, share / y.mean(), (1 - share) / (1 - y.mean()))
     for t in range(1, rounds + 1):
         z = np.clip(theta[-1] + np.bincount(sentence, theta[at], len(text)), -30, 30)
         p = 1 / (1 + np.exp(-z))
@@ -137,12 +139,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modul
     tells = by_word.where((F.col("times") >= LEAST_TEXTS) & (odds > START)).select("word")  # at most 2**BITS numbers
     at = sample.select("doc_id", F.explode(F.arrays_zip("words", "sentence")).alias("at")).select("doc_id", F.col("at.words").alias("word"), F.col("at.sentence").alias("sentence"))
     got = at.join(F.broadcast(tells), "word").toArrow().sort_by([("doc_id", "ascending"), ("sentence", "ascending"), ("word", "ascending")])
+    share = labels.where(F.col(label).isNotNull() & ~held_out("doc_id", modulus, remainder)).agg(F.avg(label)).first()[0]
     ids = known.column("doc_id").to_numpy()
     owner = np.searchsorted(ids, got.column("doc_id").to_numpy())  # rows of one id count as its first
     place = got.column("sentence").to_numpy().astype(np.int64)
     key, sentence = np.unique(owner.astype(np.int64) << 32 | place, return_inverse=True)
     text = key >> 32
-    return train(got.column("word").to_numpy(), sentence, text, y, n - np.bincount(text, minlength=len(y)))
+    return train(got.column("word").to_numpy(), sentence, text, y, n - np.bincount(text, minlength=len(y)), share)
 
 
 def score_toxicity(docs: DataFrame, model: NoisyOr, modulus: int = 5, remainder: int = 0, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
