@@ -22,6 +22,8 @@ ENDS = (".", "!", "?", "…")
 LONGEST = 40
 #: Words get weights that are in so many texts at least and make label 1 likelier by so much, as a logarithm.
 LEAST_TEXTS, START = 3, 1.0
+#: The sum that a sentence starts from, and the most that a text scores which says nothing telling.
+BIAS, MOST_BASE = -9.0, 0.4
 
 
 def _slot(word: str) -> int:
@@ -42,12 +44,25 @@ def sentences(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return number, text[last]
 
 
+def _clean(z: np.ndarray, bias: float) -> np.ndarray:
+    """Logarithm of how much likelier a plain sentence is left than one of sum ``z``."""
+    return np.logaddexp(0, bias) - np.logaddexp(0, np.clip(z, -30, 30))
+
+
 @dataclass
 class NoisyOr:
-    """Weights of hashed words; a sentence's score is the logistic of their sum, each word once, a text's is 1 - prod(1 - sentence)."""
+    """Weights of hashed words and a text's base score; a text's score is 1 - (1 - base) prod(1 - sentence).
+
+    A sentence's score is what its words, each once, add to the logistic of the bias: it is 0
+    without a telling word, so that plain sentences, however many, don't move a text's score.
+    From the logarithm of the product goes what as many sentences of clean texts have by the way,
+    ``rate`` each, but the strongest sentence always counts in full: no padding hides it.
+    """
 
     weight: np.ndarray
     bias: float
+    base: float = 0.0
+    rate: float = 0.0
 
     def sentence_scores(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Score and text of each sentence, and the sentence of each word."""
@@ -56,25 +71,33 @@ class NoisyOr:
         tells = self.weight[slots] > 0
         once = np.unique(number[tells] << BITS | slots[tells])
         total = np.bincount(once >> BITS, self.weight[once & ((1 << BITS) - 1)], len(text)) if len(text) else np.zeros(0)
-        return 1 / (1 + np.exp(-np.clip(self.bias + total, -30, 30))), text, number
+        return -np.expm1(_clean(self.bias + total, self.bias)), text, number
 
     def scores(self, w: Words) -> np.ndarray:
         p, text, _ = self.sentence_scores(w)
-        return 1 - np.exp(np.bincount(text, np.log1p(-np.minimum(p, 1 - 1e-12)), len(w.ends)))
+        h = -np.log1p(-np.minimum(p, 1 - 1e-12))
+        total, most = np.bincount(text, h, len(w.ends)), np.zeros(len(w.ends))
+        np.maximum.at(most, text, h)
+        return 1 - (1 - self.base) * np.exp(-np.maximum(most, total - self.rate * np.bincount(text, minlength=len(w.ends))))
 
 
-def train(words: np.ndarray, sentence: np.ndarray, text: np.ndarray, y: np.ndarray, plain: np.ndarray | None = None, share: float | None = None, rounds: int = 60, rate: float = 0.05, ridge: float = 2e-4, least_texts: int = LEAST_TEXTS, start: float = START) -> NoisyOr:
-    """Fit on words (hashed), each one's sentence, each sentence's text, and the texts' labels, by Adam on the log loss.
+def train(words: np.ndarray, sentence: np.ndarray, text: np.ndarray, y: np.ndarray, n: np.ndarray | None = None, share: float | None = None, rounds: int = 60, rate: float = 0.05, ridge: float = 2e-4, least_texts: int = LEAST_TEXTS, start: float = START) -> NoisyOr:
+    """Fit on words (hashed), each one's sentence, each sentence's text, and the texts' labels and numbers of sentences ``n``, by Adam on the log loss.
 
-    ``plain`` counts each text's further sentences, those without any of the words. With
-    ``share``, texts are weighted as if label 1 had that share of them.
+    With ``share``, texts are weighted as if label 1 had that share of them. The base score is
+    the share of label 1 in texts without any of the words, at most ``MOST_BASE``; without labels
+    of both kinds all scores are 0.
 
     Words of fewer than ``least_texts`` texts get no weight: they would only learn single labels by heart.
     """
-    model = NoisyOr(np.zeros(1 << BITS), -9.0)  # stays: a long clean text has thousands of sentences
-    if not len(y) or y.min() == y.max() or not len(words):
-        share = float(np.clip(y.mean(), 1e-6, 1 - 1e-6)) if len(y) else 0.5
-        model.bias = float(np.log(share / (1 - share)))
+    model = NoisyOr(np.zeros(1 << BITS), BIAS)
+    if not len(y) or y.min() == y.max():
+        return model
+    share = y.mean() if share is None else share
+    balance = np.where(y > 0.5, share / y.mean(), (1 - share) / (1 - y.mean()))
+    bare = np.bincount(text[sentence], minlength=len(y)) == 0
+    model.base = float(min(MOST_BASE, ((balance * y)[bare].sum() + share) / (balance[bare].sum() + 1)))
+    if not len(words):
         return model
     pairs = np.unique(words.astype(np.int64) * (len(y) + 1) + text[sentence])
     has = pairs // (len(y) + 1)
@@ -89,15 +112,12 @@ def train(words: np.ndarray, sentence: np.ndarray, text: np.ndarray, y: np.ndarr
     # each word starts at how much likelier it makes label 1 by itself: words of copied texts then explain no others away
     odds = np.log((bad + 0.5) / (y.sum() + 1)) - np.log((times - bad + 0.5) / (len(y) - y.sum() + 1))
     theta = np.append(1.5 * np.clip(odds[slots] - start, 0, None), model.bias)
-    others = 0.0 if plain is None else plain * np.log1p(-1 / (1 + np.exp(-model.bias)))
     held = ridge / times[slots]  # rare words are held back the more
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    share = y.mean() if share is None else share
-    balance = np.where(y > 0.5, share / y.mean(), (1 - share) / (1 - y.mean()))
     for t in range(1, rounds + 1):
         z = np.clip(theta[-1] + np.bincount(sentence, theta[at], len(text)), -30, 30)
         p = 1 / (1 + np.exp(-z))
-        clean = np.exp(np.bincount(text, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y)) + others)
+        clean = (1 - model.base) * np.exp(np.bincount(text, _clean(z, model.bias), len(y)))
         doc = np.clip(1 - clean, 1e-9, 1 - 1e-9)
         # d loss / d z of a sentence: p for label 0; p (doc - 1) / doc for label 1
         slope = p * (balance * (1 - y / doc))[text] / len(y)
@@ -106,6 +126,9 @@ def train(words: np.ndarray, sentence: np.ndarray, text: np.ndarray, y: np.ndarr
         theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         np.maximum(theta[:-1], 0, out=theta[:-1])  # no word speaks for a sentence: padding an insult must not hide it
     model.weight[slots], model.bias = theta[:-1], float(theta[-1])
+    if n is not None:
+        left = _clean(model.bias + np.bincount(sentence, theta[at], len(text)), model.bias)
+        model.rate = float(-left[y[text] < 0.5].sum() / max(1, n[y < 0.5].sum()))
     return model
 
 
@@ -145,14 +168,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modul
     place = got.column("sentence").to_numpy().astype(np.int64)
     key, sentence = np.unique(owner.astype(np.int64) << 32 | place, return_inverse=True)
     text = key >> 32
-    return train(got.column("word").to_numpy(), sentence, text, y, n - np.bincount(text, minlength=len(y)), share)
+    return train(got.column("word").to_numpy(), sentence, text, y, n, share)
 
 
 def score_toxicity(docs: DataFrame, model: NoisyOr, modulus: int = 5, remainder: int = 0, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted of every whole text.
 
-    Null, empty and blank texts have no sentences and score 0. Without labels of both kinds all
-    sentences score alike. Repeated rows give repeated results; other columns are not looked at.
+    Null, empty and blank texts have no sentences and score as any text that says nothing telling. Without labels of both kinds all
+    texts score 0. Repeated rows give repeated results; other columns are not looked at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

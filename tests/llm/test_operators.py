@@ -276,6 +276,25 @@ def test_models_without_labels(spark, odd):
         assert len(got.collect()) == len(ODD) and all(0 <= r.score <= 1 for r in got.collect())
 
 
+def test_toxicity_of_long_clean_texts(spark):
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(80)]
+    said = lambda: " ".join(r.choices(words, k=6)) + "."
+    docs = [(i, " ".join([said(), said(), *([f"you {r.choice(['oaf', 'lout'])} there."] * (i % 3 == 0)), said()])) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in docs], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(spark.createDataFrame(docs, "doc_id long, text string"), labels)
+    clean = " ".join(said() for _ in range(20_000))
+    long = spark.createDataFrame([(1000, clean), (1001, clean + " you oaf there. " + clean), (1002, "word. " * 20_000)], "doc_id long, text string")
+    assert [r.doc_id for r in toxicity.drop_toxic(long, model).orderBy("doc_id").collect()] == [1000, 1002]
+    assert {r.doc_id: r.predicted for r in toxicity.score_toxicity(long, model).collect()} == {1000: 0, 1001: 1, 1002: 0}
+
+
+@pytest.mark.parametrize("labels", [[], [(i, 1, 1) for i in range(16)], [(i, 1, 0) for i in range(16)], [(i, 1, i % 2) for i in range(16)]])
+def test_nothing_goes_where_no_word_tells(spark, odd, labels):
+    model = toxicity.fit_toxicity(odd, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert toxicity.drop_toxic(odd, model).count() == len(ODD)
+
+
 # --- archives -------------------------------------------------------------------------------
 
 
