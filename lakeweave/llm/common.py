@@ -33,6 +33,11 @@ def text_or_empty(text_col: str = "text") -> Column:
     return F.coalesce(F.col(text_col), F.lit(""))
 
 
+def row_name(row_id: Column) -> Column:
+    """The id as text that is never null."""
+    return F.coalesce(F.concat(F.lit("="), row_id.cast("string")), F.lit(""))
+
+
 def gapless_rank(df: DataFrame, keys: list[str], order: list[str], rows: int, out: str = "rank", per_task: int = 20_000) -> DataFrame:
     """Number the rows of each key from 0 without gaps, though one key may hold most rows.
 

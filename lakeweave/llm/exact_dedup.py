@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import text_or_empty, written
+from lakeweave.llm.common import row_name, text_or_empty, written
 
 
 def content_hash(text: Column) -> Column:
@@ -52,6 +52,11 @@ def exact_groups(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id",
 
 
 def drop_copies(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text another row has too; all columns stay as they are."""
-    stays = exact_groups(docs, keep, id_col, text_col).where("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(stays, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates([id_col])
+    """``docs`` without the rows whose text another row has too; all columns stay as they are.
+
+    Rows are told apart by id and text, so that different texts under one id, or none, all stay.
+    """
+    groups = exact_groups(docs, keep, id_col, text_col).where("kept")
+    stays = groups.select(row_name(F.col("doc_id")).alias("__id"), F.col("text_sha256").alias("__text")).distinct()
+    named = docs.withColumns({"__id": row_name(F.col(id_col)), "__text": F.sha2(text_or_empty(text_col).cast("binary"), 256)})
+    return named.join(stays, ["__id", "__text"], "left_semi").dropDuplicates(["__id", "__text"]).select(*docs.columns)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import components, text_or_empty, written
+from lakeweave.llm.common import components, row_name, text_or_empty, written
 from lakeweave.llm.words import Words, slices, span_index, split_words
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -186,13 +186,20 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
 
     Words are what white space parts. A text of fewer than ``n`` words is one gram; null, empty
     and blank texts have none and link with nothing. Repeated rows of one id and text link with
-    each other. An empty table gives no rows. Other columns are not looked at.
+    each other. A null id names a class or component only where no other does; of rows with the
+    component's id, or none, those with a single text stay. An empty table gives no rows. Other
+    columns are not looked at.
     """
+    return _near_rows(docs, n, threshold, recall, block, giant, id_col, text_col).drop("h")
+
+
+def _near_rows(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, block: int = 256, giant: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``near_duplicates`` with h, the hash of each row's text."""
     bands, rows = choose_bands(threshold, recall)
     t = text_or_empty(text_col)
     keyed = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(t).alias("h"), t.alias("text"))
     signed = written(keyed.mapInArrow(_signatures(n, bands, rows), "doc long, h long, same binary, bands array<long>"), "signatures")
-    classes = signed.where("same is not null").groupBy("same").agg(F.min(F.struct("doc", "h")).alias("r"), F.count(F.lit(1)).alias("size"), F.any_value("bands").alias("bands"))
+    classes = signed.where("same is not null").groupBy("same").agg(F.min(F.struct(F.isnull("doc").alias("none"), "doc", "h")).alias("r"), F.count(F.lit(1)).alias("size"), F.any_value("bands").alias("bands"))
     classes = written(classes.select("same", F.col("r.doc").alias("doc"), F.col("r.h").alias("h"), "size", "bands", F.xxhash64("same").alias("ident")), "classes")
 
     spread = classes.select("ident", F.explode("bands").alias("bucket"))
@@ -228,19 +235,24 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     loaded = dealt.join(sets.withColumnRenamed("cls", "ident").hint("merge"), "ident").withColumn("bundle", bundle)
     links = written(loaded.groupBy("bundle").applyInArrow(_verify(threshold), "ident long, links long, peer long"), "links")
 
-    known = classes.select("same", "ident", F.col("doc").alias("class_id"), "size")
     total = links.groupBy("ident").agg(F.sum("links").alias("links"))
-    name = known.select("ident", "class_id")
-    edges = links.where("ident <> peer").select("ident", "peer").distinct().join(name.hint("merge"), "ident").select("peer", F.col("class_id").alias("a")).join(name.select(F.col("ident").alias("peer"), F.col("class_id").alias("b")).hint("merge"), "peer").select("a", "b")
-    reach = components(edges.where("a is not null and b is not null"))
-    told = known.join(total.hint("merge"), "ident", "left").join(reach.withColumnRenamed("id", "class_id").hint("merge"), "class_id", "left")
-    told = told.select("same", "class_id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links"), F.coalesce("component", "class_id").alias("component"))
-    out = signed.select("doc", "same").join(told.hint("merge"), "same", "left")
-    component = F.coalesce("component", "doc")
-    return out.select(F.col("doc").alias("doc_id"), F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("doc").eqNullSafe(component).alias("kept"))
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
-    """``docs`` with the document of the smallest id of every near-duplicate component, and all documents without links."""
-    stays = near_duplicates(docs, id_col=id_col, **options).where("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(stays.hint("merge"), F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates([id_col])
+    reach = components(links.where("ident <> peer").select(F.col("ident").alias("a"), F.col("peer").alias("b")).distinct())
+    known = classes.select("same", "ident", F.col("doc").alias("class_id"), "h", "size")
+    known = known.join(total.hint("merge"), "ident", "left").join(reach.withColumnRenamed("id", "ident").hint("merge"), "ident", "left")
+    known = written(known.select("same", "class_id", "h", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links"), F.coalesce("component", "ident").alias("root")), "known")
+    # of classes and components the row with the least id, and hash of text, is the one that stays
+    first = F.min(F.struct(F.isnull("class_id").alias("none"), F.col("class_id").alias("doc"), "h"))
+    roots = written(known.groupBy("root").agg(first.alias("first")), "roots")
+    told = known.drop("h").join(roots.hint("merge"), "root").select("same", "class_id", "links", F.col("first.doc").alias("component"), F.col("first.h").alias("kept_h"))
+    out = signed.join(told.hint("merge"), "same", "left")
+    linked = F.col("links").isNotNull()
+    stays = ~linked | (F.col("doc").eqNullSafe(F.col("component")) & (F.col("h") == F.col("kept_h")))
+    name = lambda c: F.when(linked, F.col(c)).otherwise(F.col("doc")).alias
+    return out.select(F.col("doc").alias("doc_id"), name("class_id")("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), name("component")("component_id"), stays.alias("kept"), "h")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
+    """``docs`` with the document of the smallest id of every near-duplicate component, and all documents without links. Rows are told apart by id and text."""
+    stays = _near_rows(docs, id_col=id_col, text_col=text_col, **options).where("kept").select(row_name(F.col("doc_id")).alias("__id"), F.col("h").alias("__text")).distinct()
+    named = docs.withColumns({"__id": row_name(F.col(id_col).cast("long")), "__text": F.xxhash64(text_or_empty(text_col))})
+    return named.join(stays.hint("merge"), ["__id", "__text"], "left_semi").dropDuplicates(["__id", "__text"]).select(*docs.columns)

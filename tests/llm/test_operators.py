@@ -60,6 +60,27 @@ def test_drop_copies_keeps_columns(odd):
     assert sorted(r.doc_id for r in out.where("text = 'one two'").collect()) == [12]
 
 
+TWINS = [(None, "a b c d e f g"), (None, "h i j k l m"), (None, "h i j k l m"), (7, "n o p q r s"), (7, "t u v w x y"), (8, "n o p q r s"), (9, "t u v w x y"), (None, "t u v w x y")]
+
+
+def test_rows_of_one_id_or_none_are_told_apart(spark):
+    df = spark.createDataFrame([(i, t, "z") for i, t in TWINS], "doc_id long, text string, h string")
+    got = [(r.doc_id, r.text) for r in exact_dedup.drop_copies(df, keep="smallest").collect()]
+    assert sorted(got, key=str) == sorted({(i, t) for i, t in TWINS if i in (None, 7) and (i, t) != (None, "t u v w x y")}, key=str)
+    near = ngram_join.drop_near_copies(df)
+    assert near.columns == df.columns and sorted([(r.doc_id, r.text) for r in near.collect()], key=str) == sorted(got, key=str)
+    told = ngram_join.near_duplicates(df).collect()
+    assert all(r.class_id == r.component_id == 7 for r in told if r.doc_id in (7, 8, 9)) and sorted((r.doc_id for r in told if r.kept), key=str) == [7, 7, None, None, None]
+
+
+def test_near_copies_under_one_id_or_none(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    docs = [(5, long + " x"), (5, long + " y"), (6, long + " z"), (None, long + " u"), (None, other + " x"), (None, other + " y")]
+    got = ngram_join.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text[0]) for r in got), key=str) == [(5, "w"), (None, "v")]
+
+
 def test_differencing_is_tight_and_whole():
     r = random.Random(3)
     parts = [np.array([0.0] * 3 + [float(r.randint(1, 1000))]) for _ in range(200)]
