@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ from lakeweave.llm.words import slices, span_index, split_words, sums_by_span
 CAPACITY = 2048
 MOST_KEPT = 250_000
 #: What the vocabulary's own splitting pattern finds in lower-case ASCII text.
-ASCII_UNIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+ASCII_UNIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\v\f\ra-z0-9]+")
 TAIL = re.compile(r"[!-&(-/:-@\[-`{-~]+\Z")
 
 
@@ -45,7 +46,8 @@ class WordIds:
         if word.isascii():
             return [word] if word.isalpha() and word.islower() or "<|" in word else ASCII_UNIT.findall(word.lower())
         tail = TAIL.search(word)
-        if tail and (head := word[: tail.start()]).isalpha():
+        # what the vocabulary makes of the head must be letters only: a mark would join the signs
+        if tail and unicodedata.normalize("NFC", head := word[: tail.start()]).lower().isalpha():
             return [head, tail[0]]
         return [word]
 

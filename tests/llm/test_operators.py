@@ -361,6 +361,16 @@ def test_encoding_digests(odd):
     assert rows(piece_codec.encoding_digests(odd, PIECES)) == sorted(want, key=str)
 
 
+def test_ids_equal_the_library_on_whole_texts():
+    w = packing.WordIds(WORDS)
+    signs = [x for i in range(128) for x in (chr(i), f"a{chr(i)}b", f"a {chr(i)}{chr(i)}9")]
+    letters = [f"{c}!" for i in range(128, 0x11000) if not 0xD800 <= i < 0xE000 and (c := chr(i)).isalpha()]
+    texts = [*signs, *letters, "xİ!", "a\u0958.)"]
+    ids, ends = w.documents(pa.array(texts), 0)
+    whole = [e.ids for e in w.library.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, a, b, x in zip(texts, [0, *ends[:-1]], ends, whole, strict=True) if ids[a : b - 1].tolist() != x] == []
+
+
 def test_packing(odd, spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").union(odd.select((F.coalesce("doc_id", F.lit(0)) + 10**6).alias("doc_id"), "text"))
     lib = packing.word_ids(WORDS).library
