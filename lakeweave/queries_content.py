@@ -10,6 +10,7 @@ from lakeweave.functions import media as M
 from lakeweave.functions import pagequality as Q
 from lakeweave.functions import text as X
 from lakeweave.functions import urls as U
+from lakeweave.llm.common import written
 from lakeweave.operators import html as H
 from lakeweave.operators import media as J
 from lakeweave.operators import pages as P
@@ -517,7 +518,12 @@ def stream_first_success(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = _scratch(spark)
     step = (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).cast("int")
-    log = table(spark, sf_dir, "events").select(F.concat(F.lit("https://example.org/"), F.col("user_id").cast("string")).alias("url"), step.alias("step"), F.col("event_type").alias("method"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_id") % 3 == 0, F.col("props")).alias("content"), F.lit(None).cast("string").alias("error_message"))
-    log.where("step < 6").coalesce(1).write.parquet(path)
-    feed = spark.readStream.schema(log.schema).parquet(path)
+    log = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("https://example.org/"), F.col("user_id").cast("string")).alias("url"), step.alias("step"), F.col("event_type").alias("method"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_id") % 3 == 0, F.col("props")).alias("content"), F.lit(None).cast("string").alias("error_message"))
+    parts, e = 4, F.col("event_id")
+    ends = table(spark, sf_dir, "events").agg(F.min("event_id").alias("low"), F.max("event_id").alias("high")).first()
+    size = max(1, ((ends.high or 0) - (ends.low or 0)) // parts + 1)
+    log = written(log.withColumn("part", F.floor((e - (ends.low or 0)) / size).cast("int")).drop("event_id"), "log")
+    for k in range(parts):  # one after another, as the stream takes files by their time; a URL's rows of a part are in one file
+        log.where(F.col("part") == k).drop("part").repartition("url").write.mode("append").parquet(path)
+    feed = spark.readStream.schema(log.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(path)
     return _ran(S.stream_first_success(feed, last_step=5, timeout="90 days")).select("url", "content", "step", "successful")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 RESPONSE = "url string, method string, step int, content string, errors string, successful boolean"
-STATE = "errors string, last_step int"
+STATE = "errors string, done boolean"
 
 
 def stream_dedupe_requests(requests: DataFrame, delay: str = "1 hour", time_col: str = "ts") -> DataFrame:
@@ -30,32 +30,33 @@ def stream_method_stats(attempts: DataFrame, budgets: dict[str, int] | None = No
 def stream_first_success(attempts: DataFrame, last_step: int, timeout: str = "1 hour") -> DataFrame:
     """Emit each URL's response at its first attempt with content, at its last step, or when no more comes in event time.
 
-    The state of a URL is its errors so far, and goes with the response. Attempts that come
-    after a response begin anew.
+    The state of a URL is its errors so far, and after its response a mark that it is done, so
+    that further attempts are dropped however the stream is cut into batches. The mark goes when
+    no more comes in event time; attempts after that begin anew.
     """
     wait_ms = int(pd.Timedelta(timeout).total_seconds() * 1000)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        errors, last = state.get if state.exists else ("", -1)
+        errors, done = state.get if state.exists else ("", False)
+        answer = None
         if state.hasTimedOut:
             state.remove()
-            yield pd.DataFrame([(key[0], None, None, None, errors, False)], columns=["url", "method", "step", "content", "errors", "successful"])
+            if not done:
+                yield pd.DataFrame([(key[0], None, None, None, errors, False)], columns=["url", "method", "step", "content", "errors", "successful"])
             return
         rows = pd.concat(list(batches)).sort_values("step", kind="stable")
         for r in rows.itertuples(index=False):
+            if done:
+                break
             if r.content is not None and r.content == r.content:
-                if state.exists:
-                    state.remove()
-                yield pd.DataFrame([(key[0], r.method, r.step, r.content, errors, True)], columns=["url", "method", "step", "content", "errors", "successful"])
-                return
+                answer, done = (key[0], r.method, r.step, r.content, errors, True), True
+                break
             errors = "; ".join(filter(None, [errors, f"{r.method}: {r.error_message or f'Method {r.method} returned no content.'}"]))
-            last = max(last, int(r.step))
-        if last >= last_step:
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame([(key[0], None, None, None, errors, False)], columns=["url", "method", "step", "content", "errors", "successful"])
-            return
-        state.update((errors, last))
+            if r.step >= last_step:
+                answer, done = (key[0], None, None, None, errors, False), True
+        state.update(("" if done else errors, done))
         state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows["ts"].max().timestamp() * 1000)) + wait_ms)
+        if answer:
+            yield pd.DataFrame([answer], columns=["url", "method", "step", "content", "errors", "successful"])
 
     return attempts.withWatermark("ts", timeout).groupBy("url").applyInPandasWithState(step, RESPONSE, STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -159,3 +159,18 @@ def test_oversize_video_gives_way_to_its_thumbnail(spark):
     rows = [("video", 10, 0, "v", "t"), ("video", 10, 9, "v", "t"), ("video", 9, 9, "v", None), ("video", 10, 9, "v", None), ("video", None, 9, None, "t")]
     df = spark.createDataFrame(rows, "kind string, size long, max_video_size long, url string, thumbnail string")
     assert [(r.kind, r.url) for r in J.cap_media_size(df, thumbnails=True).collect()] == [("video", "v"), ("image", "t"), ("video", "v"), ("image", "t")]
+
+
+def test_first_success_across_batches(spark, tmp_path):
+    from lakeweave.streaming import streams as S
+
+    rows = [("a", 0, None), ("b", 0, "x"), ("c", 0, None), ("a", 1, "y"), ("b", 1, "z"), ("c", 1, None), ("a", 2, "w"), ("b", 2, None), ("c", 2, "late")]
+    kind = "url string, step int, content string, method string, ts timestamp, error_message string"
+    for cuts in ([0, 9], [0, 3, 6, 9], list(range(10))):
+        path = tmp_path / str(len(cuts))
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            spark.createDataFrame(rows[i:j], "url string, step int, content string").selectExpr("*", "'m' AS method", "timestamp'2024-01-01' AS ts", "cast(null AS string) AS error_message").coalesce(1).write.mode("append").parquet(f"{path}/log")
+        feed = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{path}/log")
+        S.stream_first_success(feed, last_step=1).writeStream.format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/rows").trigger(availableNow=True).start().awaitTermination()
+        got = spark.read.parquet(f"{path}/rows").collect()
+        assert sorted((r.url, r.content or "", r.successful) for r in got) == [("a", "y", True), ("b", "x", True), ("c", "", False)], cuts
