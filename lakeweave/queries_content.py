@@ -37,6 +37,14 @@ def inline_text_data_uris(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.inline_text_data_uris(html).alias("html"))
 
 
+@query("""SELECT doc_id, '<p>' || CASE text WHEN '' THEN 'data:text/plain;base64,' ELSE text END || ' data:text/plain;base64,/w== data:text/plain;base64,aGk data:image/png;base64,' || to_base64(encode(text)) || '</p>' AS html FROM documents""")
+def inline_whole_text_data_uris(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text as a data URI, beside two broken ones and an image."""
+    code = F.regexp_replace(F.base64(F.encode("text", "UTF-8")), r"\s", "")
+    html = F.concat(F.lit("<p>data:text/plain;base64,"), code, F.lit(" data:text/plain;base64,/w== data:text/plain;base64,aGk data:image/png;base64,"), code, F.lit("</p>"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.inline_text_data_uris(html).alias("html"))
+
+
 def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pages with media markup put before </body>, or at the end."""
     i = _id()
