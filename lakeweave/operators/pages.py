@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeweave.llm.common import written
+
 
 def settled_snapshot(snapshots: DataFrame, archived: bool = False) -> DataFrame:
     """For each page its first snapshot (page_id, snap_ts, size, ready) after two stable steps in a row, or its last one, with settled false.
@@ -29,20 +31,23 @@ def media_score(photo_wraps: Column, videos: Column, images: Column, url: Column
     return 10 * photo_wraps + 10 * videos + F.least(images, F.lit(3)) + F.when(url.contains("embed=1"), 5).otherwise(0)
 
 
-def best_frame(frames: DataFrame, roots: DataFrame, most_depth: int = 32) -> DataFrame:
+def best_frame(frames: DataFrame, roots: DataFrame) -> DataFrame:
     """Of each root (page_id, frame_id) and its descendants the frame with the highest score; the root wins ties, then the lowest index.
 
-    The tree is walked a level at a time by joins on the parent, in a recursive query.
+    Descendants are found at any depth, by joins with ancestors twice as far each round, until no
+    frame meets a further root; each round's result is a written table.
     """
-    spark = frames.sparkSession
-    frames.createOrReplaceTempView("__frames")
-    roots.createOrReplaceTempView("__roots")
-    found = spark.sql(f"""
-        WITH RECURSIVE below (page_id, root_id, frame_id, depth) MAX RECURSION LEVEL {most_depth + 1} AS (
-            SELECT page_id, frame_id, frame_id, 0 FROM __roots
-            UNION ALL
-            SELECT b.page_id, b.root_id, f.frame_id, b.depth + 1 FROM below b JOIN __frames f ON f.page_id = b.page_id AND f.parent_id = b.frame_id WHERE b.depth < {most_depth})
-        SELECT b.page_id, b.root_id, f.frame_id, f.score, f.frame_idx, b.depth = 0 AS is_root
-        FROM below b JOIN __frames f ON f.page_id = b.page_id AND f.frame_id = b.frame_id""")
+    at = ["page_id", "frame_id"]
+    under = written(roots.select(*at, F.col("frame_id").alias("root_id")).distinct(), "under")
+    up = written(frames.where("page_id is not null and parent_id is not null").select(*at, F.col("parent_id").alias("far_id")).distinct(), "up")
+    n = under.count()
+    while True:
+        far = under.withColumnRenamed("frame_id", "far_id")
+        under = written(under.unionByName(up.join(far, ["page_id", "far_id"]).select(*at, "root_id")).distinct(), "under")
+        if (more := under.count()) == n:
+            break
+        n = more
+        up = written(up.join(up.select("page_id", F.col("frame_id").alias("far_id"), F.col("far_id").alias("farther")), ["page_id", "far_id"]).select(*at, F.col("farther").alias("far_id")).distinct(), "up")
+    found = under.join(frames.select(*at, "score", "frame_idx"), at).withColumn("is_root", F.col("frame_id") == F.col("root_id"))
     best = F.max_by("frame_id", F.struct(F.col("score"), F.col("is_root"), -F.col("frame_idx"), -F.col("frame_id")))
     return found.groupBy("page_id", "root_id").agg(best.alias("best_frame_id"), F.max("score").alias("score"), F.count(F.lit(1)).alias("candidates"))

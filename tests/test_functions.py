@@ -174,3 +174,11 @@ def test_first_success_across_batches(spark, tmp_path):
         S.stream_first_success(feed, last_step=1).writeStream.format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/rows").trigger(availableNow=True).start().awaitTermination()
         got = spark.read.parquet(f"{path}/rows").collect()
         assert sorted((r.url, r.content or "", r.successful) for r in got) == [("a", "y", True), ("b", "x", True), ("c", "", False)], cuts
+
+
+def test_best_frame_at_any_depth(spark):
+    rows = [(1, i, i - 1 if i else None, i, i // 99) for i in range(100)] + [(2, 0, 2, 0, 1), (2, 1, 0, 1, 5), (2, 2, 1, 2, 3)]
+    frames = spark.createDataFrame(rows, "page_id long, frame_id long, parent_id long, frame_idx long, score long")
+    roots = spark.createDataFrame([(1, 0), (1, 50), (2, 0)], "page_id long, frame_id long")
+    got = {(r.page_id, r.root_id): (r.best_frame_id, r.score, r.candidates) for r in P.best_frame(frames, roots).collect()}
+    assert got == {(1, 0): (99, 1, 100), (1, 50): (99, 1, 50), (2, 0): (1, 5, 3)}
