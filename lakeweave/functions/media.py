@@ -134,5 +134,7 @@ def _dims(content: pd.Series) -> pd.DataFrame:
 
 
 def image_dims(content: Column, first: int = 65_536) -> Column:
-    """Struct of format, width, height from an image's header; null fields if unreadable. Large JPEGs may state them past the first bytes: pass a larger ``first`` then."""
-    return _dims(F.substring(content, 1, first))
+    """Struct of format, width, height from an image's header; null fields if unreadable. Where the ``first`` bytes don't state them, as in large JPEGs, the whole image is looked at."""
+    near = _dims(F.substring(content, 1, first))
+    whole = _dims(F.when(near["format"].isNull() & (F.octet_length(content) > first), content))
+    return F.when(near["format"].isNotNull(), near).otherwise(whole)

@@ -83,6 +83,14 @@ def test_image_headers(spark):
     assert [(g.format, g.width, g.height) for g in got] == [("jpeg", 40, 30), ("webp", 10, 20), ("bmp", 5, 6), (None, None, None), (None, None, None)]
 
 
+def test_sizes_after_long_segments(spark):
+    app = b"\xff\xe1\xff\xfe" + bytes(65_532)
+    jpeg = b"\xff\xd8" + 3 * app + b"\xff\xe1\x0c\x02" + bytes(3_072) + b"\xff\xc0\x00\x11\x08" + struct.pack(">HH", 600, 800) + bytes(9)
+    cut = [jpeg[: 2 + k] for k in (65_530, 65_534, 65_540)]
+    got = column(spark, [bytearray(x) for x in (jpeg, *cut, b"x" * 70_000)], media.image_dims, "binary")
+    assert len(jpeg) > 199_000 and [(g.format, g.width, g.height) for g in got] == [("jpeg", 800, 600), *[(None, None, None)] * 4]
+
+
 def test_variants_and_streams(spark):
     v = "array<struct<content_type:string,bit_rate:long,url:string>>"
     assert column(spark, [[("video/mp4", 5, "a"), ("video/mp4", 5, "b")], [("application/x", 9, "c")], []], media.best_video_variant, v) == ["a", None, None]
