@@ -29,8 +29,29 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def column(name: str) -> Column:
+    """The column of just this name, whatever signs are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them as long as ``df`` has columns of these names."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_or_empty(text_col: str = "text") -> Column:
-    return F.coalesce(F.col(text_col), F.lit(""))
+    return F.coalesce(column(text_col), F.lit(""))
+
+
+def row_id(id_col: str = "doc_id") -> Column:
+    """The id as a long; a null id is taken as the least long."""
+    return F.coalesce(column(id_col).cast("long"), F.lit(-(2**63)))
 
 
 def row_name(row_id: Column) -> Column:

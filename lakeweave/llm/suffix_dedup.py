@@ -10,14 +10,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import text_or_empty, written
+from lakeweave.llm.common import column, row_id, text_or_empty, written
 from lakeweave.llm.words import slices
 
 WINDOW, GRAM = 200, 64
-STEP = 8  # bytes to a symbol of the transforms
+#: Most bytes to a symbol of the transforms, and bytes that the first sort of prefixes looks at.
+STEP, FIRST = 40, 5
 LONGEST_RUN = 4096
 #: Bytes that UTF-8 never has, between the strings of a shard.
 GAP = b"\xff"
@@ -29,95 +30,148 @@ _TABLE = np.random.default_rng(7).integers(0, 2**64, 256, np.uint64)
 # --- transforms of shards and their merging -------------------------------------------------
 
 
-def leading(text: np.ndarray) -> np.ndarray:
-    """The STEP bytes from each position on, circularly, as a number."""
+def _sorted(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stable order of keys of at most ``bits`` bits, and the keys in it."""
+    low = max(1, int(len(key) - 1).bit_length())
+    if bits + low > 63:
+        order = np.argsort(key, kind="stable")
+        return order, key[order]
+    both = np.sort((key << np.int64(low)) | np.arange(len(key)))
+    return both & np.int64((1 << low) - 1), both >> np.int64(low)
+
+
+def _run_starts(*keys: np.ndarray) -> np.ndarray:
+    """Where a new run of equal keys begins."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return new
+
+
+def _settled(new: np.ndarray) -> np.ndarray:
+    """Which items are runs by themselves."""
+    return new & np.append(new[1:], True)
+
+
+def prefix_order(text: np.ndarray, size: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sort all positions by the ``depth`` bytes from each on, or more, by prefix doubling.
+
+    ``text`` is made of circular stretches of ``size`` bytes. Returns the positions in order and
+    each one's rank, the place in that order of the first position with equal bytes. Positions
+    that no other one is equal to any more leave the doubling.
+    """
     n = len(text)
-    ring = np.concatenate([text, np.resize(text, STEP)]).astype(np.uint64)
-    key = np.zeros(n, np.uint64)
-    for j in range(STEP):
-        key = (key << np.uint64(8)) | ring[j : j + n]
-    return key
-
-
-def ranks(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Order of the keys, dense rank of each, whether all differ."""
-    order = np.argsort(key)
-    new = np.empty(len(key), bool)
-    new[0] = False
-    s = key[order]
-    np.not_equal(s[1:], s[:-1], out=new[1:])
-    rank = np.empty(len(key), np.int64)
-    rank[order] = np.cumsum(new)
-    return order, rank, bool(new[1:].all())
-
-
-def transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order of a shard to ``depth`` bytes or more, by prefix doubling, and the STEP bytes before each suffix."""
-    n, key = len(text), leading(text)
-    order, rank, distinct = ranks(key)
-    h = STEP
-    while h < depth and not distinct:
-        order, rank, distinct = ranks((rank << np.int64(32)) | np.roll(rank, -h % n))
-        h *= 2
-    return order, key[(order - STEP) % n]
-
-
-def merge(symbols: list[np.ndarray], depth: int) -> list[np.ndarray]:
-    """Merge shards' transforms; per shard, in its suffix order, the number of the block a suffix ends up in.
-
-    The interleave says which shard each slot of the merged order comes from. A pass hands every
-    slot its symbol, in the shard's own order, and sorts the slots stably by symbol: the
-    interleave is then right to STEP bytes more. Slots stay in one block as long as their common
-    prefix is at least the depth reached, so block bounds are where common prefixes end. No
+    end = np.repeat(np.cumsum(size), size)
+
+    def ahead(x: np.ndarray, h: int) -> np.ndarray:
+        y = x + h
+        over = np.flatnonzero(y >= end[x])
+        around = size[np.searchsorted(ends, x[over], side="right")]
+        y[over] -= -(-(y[over] - end[x[over]] + 1) // around) * around
+        return y
+
+    ends, every = np.cumsum(size), np.arange(n)
+    h = min(FIRST, depth)
+    wide = text.astype(np.int64)
+    key = wide.copy()
+    for j in range(1, h):
+        shifted = np.roll(wide, -j)
+        tail = np.flatnonzero(every + j >= end)
+        shifted[tail] = wide[ahead(tail, j)]
+        key = (key << np.int64(8)) | shifted
+    order, key = _sorted(key, 8 * h)
+    new = _run_starts(key)
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, every, 0))
+    live = order[~_settled(new)]
+    bits = max(1, int(n - 1).bit_length())
+    while h < depth and len(live):
+        step = min(h, depth - h)  # prefixes may overlap
+        nth, key = _sorted((rank[live] << np.int64(bits)) | rank[ahead(live, step)], 2 * bits)
+        live = live[nth]
+        group = key >> np.int64(bits)
+        count = np.arange(len(live))
+        slot = group + count - np.maximum.accumulate(np.where(_run_starts(group), count, 0))
+        order[slot] = live
+        new = _run_starts(key)
+        rank[live] = slot[np.maximum.accumulate(np.where(new, count, 0))]
+        live = live[~_settled(new)]
+        h += step
+    return order, rank
+
+
+def transform(text: np.ndarray, depth: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a shard: its suffixes in order, to ``depth`` bytes, and for each the place in that order of the suffix that begins ``step`` bytes earlier."""
+    order, _ = prefix_order(text, np.array([len(text)]), depth)
+    place = np.empty(len(text), np.int64)
+    place[order] = np.arange(len(text))
+    return order, place[(order - step) % len(text)]
+
+
+def merge(shard: np.ndarray, symbol: np.ndarray, earlier: np.ndarray, block: np.ndarray, interleave: np.ndarray, passes: int) -> np.ndarray:
+    """Merge shards' transforms by refining their interleave; which suffixes share all their leading bytes with another.
+
+    Suffixes are numbered shard by shard, in each shard's own order. ``symbol`` holds the bytes
+    before each (as a rank), ``earlier`` the suffix that begins with these. The interleave says
+    which shard each slot of the merged order comes from, ``block`` which slots share the bytes
+    seen so far. A pass hands every slot its symbol, in the shard's own order, and sorts the
+    slots stably by symbol: the interleave is then right to one symbol more, and block bounds are
+    where common prefixes end. Slots alone in their block are settled and leave the passes. No
     suffixes are compared or sorted anew.
     """
-    all_symbols = np.concatenate(symbols)
-    _, symbol, _ = ranks(all_symbols)
-    shard = np.repeat(np.arange(len(symbols), dtype=np.uint8), [len(s) for s in symbols])
-    n = len(shard)
-    interleave, block = shard, np.zeros(n, np.int64)
-    slot, low = np.arange(n, dtype=np.int64), np.int64(0xFFFFFFFF)
-    by_shard = slot
-    for _ in range(depth // STEP):
-        at = np.empty(n, np.int64)
-        at[by_shard] = symbol
-        key = np.sort((at << np.int64(32)) | slot)
-        moved = key & low
-        head, was = key >> np.int64(32), block[moved]
-        new = np.zeros(n, bool)
-        np.logical_or(head[1:] != head[:-1], was[1:] != was[:-1], out=new[1:])
-        block = np.cumsum(new)
-        interleave = interleave[moved]
-        by_shard = np.argsort(interleave, kind="stable")
-    return np.split(block[by_shard], np.cumsum([len(s) for s in symbols])[:-1])
-
-
-def repeated_starts(strings: list[bytes], window: int = WINDOW, shard_bytes: int = 1 << 19) -> list[np.ndarray]:
-    """For each string and each start, whether the ``window`` bytes from there also start elsewhere in any string.
-
-    The window must be a multiple of STEP. Strings are dealt to shards of about ``shard_bytes``,
-    at most 255; each is transformed by itself and the transforms are merged.
+    bits = max(1, int(len(shard)).bit_length())
+    live = np.arange(len(shard))
+
+    def drop(new: np.ndarray, live: np.ndarray, block: np.ndarray, interleave: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        stays = ~_settled(new)
+        of_shard = np.argsort(interleave, kind="stable")
+        return live[stays[of_shard]], block[stays], interleave[stays]
+
+    live, block, interleave = drop(_run_starts(block), live, block, interleave)
+    for _ in range(passes):
+        if not len(live):
+            break
+        handed = np.empty(len(live), np.int64)
+        handed[np.argsort(interleave, kind="stable")] = symbol[live]
+        moved, head = _sorted(handed, bits)
+        new = _run_starts(head, block[moved])
+        mark = np.zeros(len(shard), bool)
+        mark[earlier[live]] = True
+        live, block, interleave = drop(new, np.flatnonzero(mark), np.cumsum(new), interleave[moved])
+    found = np.zeros(len(shard), bool)
+    found[live] = True
+    return found
+
+
+def repeated_starts(strings: list[bytes], window: int = WINDOW, shard_bytes: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    """For every byte of the strings, one after another with a gap behind each, whether the ``window`` bytes from there also start elsewhere in any string; and where each string begins.
+
+    Flags of a string's last ``window`` - 1 bytes say nothing. Strings are dealt to shards of
+    about ``shard_bytes``, at most 255; each is transformed by itself and the transforms are merged.
     """
-    if window % STEP:
-        raise ValueError(f"the window must be a multiple of {STEP}")
+    step = next(s for s in range(min(STEP, window), 0, -1) if window % s == 0)
     size = np.array([len(s) + 1 for s in strings], np.int64)
     share = np.cumsum(size) - size
     shard_bytes = max(shard_bytes, -(-int(size.sum()) // 200))
     cuts = [0, *(np.flatnonzero(np.diff(share // shard_bytes)) + 1).tolist(), len(strings)]
-    orders, symbols = [], []
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        order, symbol = transform(np.frombuffer(GAP.join([*strings[a:b], b""]), np.uint8), window)
-        orders.append(order)
-        symbols.append(symbol)
-    blocks = merge(symbols, window)
-    total = np.bincount(np.concatenate(blocks))
-    flags = []
-    for order, block in zip(orders, blocks, strict=True):
-        twice = np.empty(len(order), bool)
-        twice[order] = total[block] > 1
-        flags.append(twice)
-    flat = np.concatenate(flags)
-    return [flat[a : a + max(0, len(s) - window + 1)] for a, s in zip(share.tolist(), strings, strict=True)]
+    text = np.frombuffer(GAP.join([*strings, b""]), np.uint8)
+    bounds = [*share[cuts[:-1]].tolist(), len(text)]
+    orders, before = [], []
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        order, earlier = transform(text[a:b], window, step)
+        orders.append(order + a)
+        before.append(earlier + a)
+    order, earlier = np.concatenate(orders), np.concatenate(before)
+    length = np.diff(bounds)
+    shard = np.repeat(np.arange(len(length), dtype=np.uint8), length)
+    _, rank = prefix_order(text, length, step)
+    head = rank[order]
+    first, key = _sorted(head, max(1, int(len(text)).bit_length()))
+    live = merge(shard, head[earlier], earlier, np.cumsum(_run_starts(key)), shard[first], window // step - 1)
+    found = np.zeros(len(text), bool)
+    found[order[live]] = True
+    return found, share
 
 
 # --- runs of windows with one minimizer -----------------------------------------------------
@@ -130,8 +184,8 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def minimizer_runs(data: np.ndarray, ends: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Cut the windows of texts (``data``, each ending at ``ends``) into runs that share the least gram hash.
+def minimizer_runs(data: np.ndarray, ends: np.ndarray, window: int = WINDOW, gram: int = GRAM, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Cut the windows of texts (``data``, each ending at ``ends``) into runs that share the least gram hash; each ``seed`` has its own order of hashes.
 
     Returns start, number of windows, 40-bit minimizer, and whether the minimizer occurs more
     than once in the run. Equal windows have the same minimizer wherever they are. ``data`` has
@@ -144,7 +198,7 @@ def minimizer_runs(data: np.ndarray, ends: np.ndarray, window: int = WINDOW, gra
     base = int(_BASE)
     prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[data] * _powers(base, n))])
     hashed = (prefix[gram:] - prefix[:-gram]) * _powers(pow(base, -1, 2**64), n - gram + 1)
-    hashed ^= hashed >> np.uint64(29)
+    hashed ^= (hashed >> np.uint64(29)) ^ np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
     hashed *= np.uint64(0xBF58476D1CE4E5B9)
     hashed ^= hashed >> np.uint64(32)
     least = (hashed & ~np.uint64(0xFFFFFF)) | np.arange(len(hashed), dtype=np.uint64)  # leftmost of equal hashes
@@ -179,11 +233,20 @@ def minimizer_runs(data: np.ndarray, ends: np.ndarray, window: int = WINDOW, gra
     return at, count, value[at].astype(np.int64), again
 
 
+RUN = "m long, c long, h long, g int, doc long, start long, n long, copies long, again boolean"
+CUT = "key long, m long, c long, off long, times int, asks boolean, again boolean, bytes binary"
+SPAN = "m long, c long, start long, n long"
+
+
+def _batch(schema: str, columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], [x.split()[0] for x in schema.split(", ")])
+
+
 def _runs(window: int):
-    """Map texts to rows of their runs; a text met before in the batch makes one row that says so."""
+    """Map texts to rows of their runs; a text that is there several times in a batch gives its rows once, with its number."""
     limit = 1 << 20
 
-    def flush(keys: list, texts: list[bytes], copies: list[int], offsets: list[int]) -> pa.RecordBatch | None:
+    def flush(keys: list[tuple], texts: list[bytes]) -> pa.RecordBatch | None:
         ends = np.cumsum([len(t) for t in texts])
         whole = b"".join(texts)
         at, n, least, again = minimizer_runs(np.frombuffer(whole, np.uint8), ends, window)
@@ -192,49 +255,34 @@ def _runs(window: int):
         text = np.searchsorted(ends, at, side="right")
         view = memoryview(whole)
         digest = [xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(at.tolist(), (at + n + window - 1).tolist(), strict=True)]
-        start = at - np.concatenate([[0], ends[:-1]])[text] + np.array(offsets)[text]
-        doc, h = np.array([k[0] for k in keys], np.int64)[text], np.array([k[1] for k in keys], np.int64)[text]
-        return _rows(least, np.array(digest, np.uint64).astype(np.int64), doc, h, start, n, np.array(copies)[text] > 1, again)
+        h, g, doc, copies, offset = (np.array(c)[text] for c in zip(*keys, strict=True))
+        start = at - np.concatenate([[0], ends[:-1]])[text] + offset
+        return _batch(RUN, [least, np.array(digest, np.uint64).astype(np.int64), h, g.astype(np.int32), doc, start, n, copies, again])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most_bytes=4 << 20):
-            doc, h = batch.column("doc").to_pylist(), batch.column("h").to_pylist()
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            h, g, doc = (batch.column(c).to_pylist() for c in ("h", "g", "doc"))
             met: dict[bytes, list[int]] = {}
-            for i, t in enumerate(texts):
+            for i, t in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
                 if len(t) >= window:
                     met.setdefault(t, []).append(i)
-            twins = [i for rows in met.values() for i in rows[1:]]
-            if twins:  # wholly covered, whatever else there is
-                size = np.array([len(texts[i]) for i in twins], np.int64) - window + 1
-                d, hh = np.array([doc[i] for i in twins], np.int64), np.array([h[i] for i in twins], np.int64)
-                yield _rows(hh ^ d, hh, d, hh, np.zeros(len(twins), np.int64), size, np.ones(len(twins), bool), np.zeros(len(twins), bool))
-            keys, kept, copies, offsets, size = [], [], [], [], 0
+            keys, kept, size = [], [], 0
             for t, rows in met.items():
-                for a in range(0, max(1, len(t) - window + 1), limit):  # very long texts in overlapping stretches
+                for a in range(0, len(t) - window + 1, limit):  # very long texts in overlapping stretches
                     part = t[a : a + limit + window - 1]
-                    keys.append((doc[rows[0]], h[rows[0]]))
+                    keys.append((h[rows[0]], g[rows[0]], doc[rows[0]], len(rows), a))
                     kept.append(part)
-                    copies.append(len(rows))
-                    offsets.append(a)
                     size += len(part)
                     if size > limit:
-                        if (out := flush(keys, kept, copies, offsets)) is not None:
+                        if (out := flush(keys, kept)) is not None:
                             yield out
-                        keys, kept, copies, offsets, size = [], [], [], [], 0
-            if kept and (out := flush(keys, kept, copies, offsets)) is not None:
+                        keys, kept, size = [], [], 0
+            if kept and (out := flush(keys, kept)) is not None:
                 yield out
 
     return run
 
 
-RUN = "m long, c long, doc long, h long, start long, n long, twice boolean, again boolean"
-
-
-def _rows(*columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [x.split()[0] for x in RUN.split(", ")])
-
-
 def _cut_out(window: int):
     """Map rows of (text, runs) to a row for each run with its bytes."""
 
@@ -242,44 +290,63 @@ def _cut_out(window: int):
         for batch in slices(batches, most_bytes=4 << 20):
             out: list[tuple] = []
             size = 0
-            for doc, h, text, runs in zip(*(batch.column(c).to_pylist() for c in ("doc", "h", "text", "runs")), strict=True):
+            for text, runs in zip(*(batch.column(c).to_pylist() for c in ("text", "runs")), strict=True):
                 data = text.encode()
                 for r in runs:
-                    out.append((r["m"], doc, h, r["start"], r["asks"], data[r["start"] : r["start"] + r["n"] + window - 1]))
+                    out.append((r["m"], r["m"], r["c"], 0, r["times"], r["asks"], r["again"], data[r["start"] : r["start"] + r["n"] + window - 1]))
                     size += r["n"] + window
-                if size > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["m", "doc", "h", "start", "asks", "bytes"])
-                    out, size = [], 0
+                    if size > 4 << 20:
+                        yield _cut_batch(out)
+                        out, size = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["m", "doc", "h", "start", "asks", "bytes"])
+                yield _cut_batch(out)
 
     return run
 
 
-def _marked(window: int):
-    """Of a bucket's runs: the stretches of starts whose windows occur twice in the bucket."""
+def _cut_batch(out: list[tuple]) -> pa.RecordBatch:
+    key, m, c, off, times, asks, again, data = zip(*out, strict=True)
+    return _batch(CUT, [*(pa.array(x, pa.int64()) for x in (key, m, c, off)), pa.array(times, pa.int32()), pa.array(asks), pa.array(again), pa.array(data, pa.binary())])
 
-    def run(table: pa.Table) -> pa.Table:
-        asks = table.column("asks").to_numpy()
-        doc, h, start = (table.column(c).to_numpy() for c in ("doc", "h", "start"))
-        found = repeated_starts(table.column("bytes").to_pylist(), window)
-        rows: list[tuple[int, int, int, int]] = []
-        for i in np.flatnonzero(asks).tolist():
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], found[i].view(np.int8), [0]])))
-            rows += [(doc[i], h[i], start[i] + a, b - a) for a, b in zip(edge[::2], edge[1::2], strict=True)]
-        return pa.table({k: pa.array([r[j] for r in rows], pa.int64()) for j, k in enumerate(("doc", "h", "start", "n"))})
+
+def _cut_again(window: int, seed: int):
+    """Map strings to those of their runs under another order of gram hashes: a string's windows part where the new minimizer changes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "bytes", most_bytes=1 << 20):
+            strings = batch.column("bytes").to_pylist()
+            ends = np.cumsum([len(x) for x in strings])
+            whole = b"".join(strings)
+            at, n, least, again = minimizer_runs(np.frombuffer(whole, np.uint8), ends, window, seed=seed)
+            row = np.searchsorted(ends, at, side="right")
+            key, m, c, off, times, asks = (batch.column(x).to_numpy(zero_copy_only=False)[row] for x in ("key", "m", "c", "off", "times", "asks"))
+            with np.errstate(over="ignore"):
+                key = (key * np.int64(0x2545F4914F6CDD1D)) ^ least
+            off = off + at - (ends - np.diff(ends, prepend=0))[row]
+            parts = [whole[a:b] for a, b in zip(at.tolist(), (at + n + window - 1).tolist(), strict=True)]
+            yield _batch(CUT, [key, m, c, off, times.astype(np.int32), asks.astype(bool), again, pa.array(parts, pa.binary())])
 
     return run
 
 
-def _windows(window: int):
-    """A row for each window of a run: its 128-bit hash and place."""
+def _marked(window: int):
+    """Of a bucket's strings: the stretches of starts whose windows occur twice in the bucket."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, h, start, asks, data in zip(*(batch.column(c).to_pylist() for c in ("doc", "h", "start", "asks", "bytes")), strict=True):
-                k = len(data) - window + 1
-                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(data[i : i + window]) for i in range(k)]), pa.array(np.full(k, doc)), pa.array(np.full(k, h)), pa.array(start + np.arange(k)), pa.array([asks] * k)], ["w", "doc", "h", "start", "asks"])
+    def run(table: pa.Table) -> pa.Table:
+        # a string that is there twice follows itself
+        row = np.repeat(np.arange(table.num_rows), table.column("times").to_numpy())
+        strings = table.column("bytes").take(pa.array(row)).to_pylist()
+        found, share = repeated_starts(strings, window)
+        size = np.array([len(x) for x in strings], np.int64)
+        asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)[row] & (np.diff(row, prepend=-1) > 0)
+        valid = np.zeros(len(found) + 1, np.int32)
+        np.add.at(valid, share[asks], 1)
+        np.add.at(valid, (share + size - window + 1)[asks], -1)
+        edge = np.diff(np.concatenate([[0], (found & (np.cumsum(valid)[:-1] > 0)).view(np.int8), [0]]))
+        a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        of = np.searchsorted(share, a, side="right") - 1
+        m, c, off = (table.column(x).to_numpy()[row[of]] for x in ("m", "c", "off"))
+        return pa.table({"m": m, "c": c, "start": off + a - share[of], "n": b - a})
 
     return run
 
@@ -287,52 +354,65 @@ def _windows(window: int):
 # --- the operator ---------------------------------------------------------------------------
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, h, text: h tells rows of one id but different texts apart; a null id is taken as the least long."""
-    t = text_or_empty(text_col)
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(t).alias("h"), t.alias("text"))
+def _text_key(t: Column) -> list[Column]:
+    """96 bits that stand for a text."""
+    return [F.xxhash64(t).alias("h"), F.hash(t).alias("g")]
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = 1 << 20, hot_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stretches of window starts that occur twice: rows doc, h (see ``_keyed``), start, n.
+def repeated_spans(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = 1 << 20, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Stretches of window starts that occur twice: rows h, g (see ``_text_key``), start, n.
 
     1. Each text's windows are cut into runs that share a minimizer, the least hash of the grams
-       inside a window: equal windows meet under the same one. Runs are rows of a few numbers.
-    2. Runs with the same minimizer and bytes are repeated as a whole. Where a minimizer has
-       several byte strings, or recurs inside a run, one run of each string goes on with its bytes.
+       inside a window: equal windows meet under the same one. Runs are rows of a few numbers;
+       those whose minimizer is nowhere else can't repeat and go no further.
+    2. Of runs with the same minimizer and digest (104 bits together) two go on with their bytes,
+       or one where there is only one; what is found for them holds for all.
     3. These are dealt by minimizer into buckets of about ``bucket_bytes``. In a bucket, shards
-       are transformed, the transforms merged, and windows in blocks of two or more are marked.
-       A minimizer with more than ``hot_bytes`` would not fit a task: its windows are counted one
-       by one by a 128-bit hash instead, which is as exact and needs no group in one place.
+       are transformed and the transforms merged; windows whose block has two or more repeat.
+    4. Strings of a minimizer that would overfill a bucket are cut again, by a second minimizer,
+       and so on for ``rounds`` rounds; where that does not part them (they differ in few places),
+       they are dealt to blocks, and each pair of blocks is merged in a task of its own.
     """
-    keyed = _keyed(docs, id_col, text_col)
-    runs = keyed.mapInArrow(_runs(window), RUN)
-    same, minimizer = Window.partitionBy("m", "c"), Window.partitionBy("m")
-    counted = (
-        runs.withColumn("copies", F.sum(F.when(F.col("twice"), 2).otherwise(1)).over(same))
-        .withColumn("nth", F.row_number().over(same.orderBy("c")))
-        .withColumn("several", F.min("c").over(minimizer) != F.max("c").over(minimizer))
-        .where("copies > 1 or several or again")
-    )
-    covered = F.col("copies") > 1
-    goes_on = F.when(covered, F.col("several") & (F.col("nth") == 1)).otherwise(F.col("several") | F.col("again"))
-    found = written(counted.select("m", "doc", "h", "start", "n", covered.alias("covered"), goes_on.alias("goes_on")), "runs")
-
-    load = written(found.where("goes_on").groupBy("m").agg(F.sum(F.col("n") + window).alias("bytes")), "load")
-    total = load.agg(F.sum("bytes")).first()[0] or 0
-    hot = load.where(F.col("bytes") > hot_bytes).select("m", F.lit(True).alias("hot"))
-    wanted = found.where("goes_on").groupBy("doc", "h").agg(F.collect_list(F.struct("m", "start", "n", (~F.col("covered")).alias("asks"))).alias("runs"))
-    texts = keyed.join(wanted.hint("merge"), ["doc", "h"]).dropDuplicates(["doc", "h"])
-    cut = written(texts.mapInArrow(_cut_out(window), "m long, doc long, h long, start long, asks boolean, bytes binary"), "bytes")
-
+    t = text_or_empty(text_col)
+    keyed = docs.select(*_text_key(t), row_id(id_col).alias("doc"), t.alias("text"))
+    runs = written(keyed.mapInArrow(_runs(window), RUN), "runs")
+    shared = runs.groupBy("m").agg(F.sum("copies").alias("copies"), F.max("again").alias("again")).where("copies > 1 or again").select("m")
+    found = written(runs.join(written(shared, "minimizers").hint("merge"), "m", "left_semi"), "found")
+
+    at = F.struct("h", "g", "doc", "start")
+    strings = found.groupBy("m", "c").agg(F.min(at).alias("a"), F.max(at).alias("z"), F.sum("copies").alias("copies"), F.max("n").alias("n"), F.max("again").alias("again"))
+    alone = F.col("a") == F.col("z")
+    first = F.struct("a.*", F.when(alone & (F.col("copies") > 1), 2).otherwise(1).alias("times"), F.lit(True).alias("asks"))
+    last = F.struct("z.*", F.lit(1).alias("times"), F.lit(False).alias("asks"))
+    taken = strings.select("m", "c", "n", "again", F.explode(F.when(alone, F.array(first)).otherwise(F.array(first, last))).alias("one"))
+    wanted = taken.groupBy("one.h", "one.g", "one.doc").agg(F.collect_list(F.struct("m", "c", "one.start", "n", "one.times", "one.asks", "again")).alias("runs"))
+    texts = keyed.join(written(wanted, "wanted").hint("merge"), ["h", "g", "doc"]).dropDuplicates(["h", "g", "doc"]).select("text", "runs")
+    cut = written(texts.mapInArrow(_cut_out(window), CUT), "bytes")
+
+    usual, blocks = None, None
+    for seed in range(1, rounds + 2):
+        load = cut.groupBy("key").agg(F.sum("times").alias("k"), F.max("again").alias("again"), F.sum(F.octet_length("bytes") * F.col("times")).alias("load"))
+        load = written(load.where("k > 1 or again").select("key", F.ceil(F.col("load") / bucket_bytes).cast("int").alias("parts"), "load"), "load")
+        part = cut.join(load.where("parts = 1").select("key").hint("merge"), "key", "left_semi")
+        usual = part if usual is None else usual.unionByName(part)
+        hot = load.where("parts > 1")
+        if hot.isEmpty():
+            break
+        if seed > rounds:
+            mine = F.pmod(F.xxhash64("c", "off", "asks"), F.col("parts")).cast("int")
+            other = F.explode(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: i != F.col("mine")))
+            dealt = cut.join(hot.select("key", "parts").hint("merge"), "key").withColumn("mine", mine).withColumn("other", other)
+            blocks = dealt.select(F.col("key").alias("bucket"), F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), *cut.columns)
+        else:
+            cut = written(cut.join(hot.select("key").hint("merge"), "key", "left_semi").mapInArrow(_cut_again(window, seed), CUT), "bytes")
+    total = usual.agg(F.sum(F.octet_length("bytes") * F.col("times"))).first()[0] or 0
     buckets = max(1, math.ceil(total / bucket_bytes))
-    spans = "doc long, h long, start long, n long"
-    usual = cut.join(hot.hint("merge"), "m", "left_anti")
-    marked = usual.groupBy(F.pmod(F.xxhash64("m"), F.lit(buckets)).alias("bucket")).applyInArrow(_marked(window), spans)
-    apart = cut.join(hot.hint("merge"), "m", "left_semi").mapInArrow(_windows(window), "w binary, doc long, h long, start long, asks boolean")
-    times = apart.groupBy("w").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    one_by_one = apart.where("asks").join(times.hint("merge"), "w", "left_semi").select("doc", "h", "start", F.lit(1).cast("long").alias("n"))
-    return written(found.where("covered").select("doc", "h", "start", "n").union(marked).union(one_by_one), "spans")
+    grouped = usual.select(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), *cut.columns)
+    if blocks is not None:
+        grouped = grouped.unionByName(blocks)
+    marked = written(grouped.groupBy("bucket", "lo", "hi").applyInArrow(_marked(window), SPAN), "marked")
+    own = marked.select("m", "c", F.col("start").alias("off"), F.col("n").alias("length"))
+    return written(found.join(own.hint("merge"), ["m", "c"]).select("h", "g", (F.col("start") + F.col("off")).alias("start"), F.col("length").alias("n")), "spans")
 
 
 def merged_spans(spans: list[dict] | None, window: int, most: int) -> list[tuple[int, int]]:
@@ -351,12 +431,13 @@ def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(data[a:b] for a, b in zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), len(data)], strict=True))
 
 
-def _with_spans(docs: DataFrame, window: int, id_col: str, text_col: str, more: list[str] = ()) -> DataFrame:
+def _with_spans(docs: DataFrame, window: int, id_col: str, text_col: str, others: list[str] = ()) -> DataFrame:
+    """__id, text, spans, and the columns ``others`` as __0, __1, ..."""
     spans = repeated_spans(docs, window, id_col=id_col, text_col=text_col)
-    listed = spans.groupBy("doc", "h").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    listed = written(spans.distinct().groupBy("h", "g").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "listed")
     t = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(t).alias("h"), t.alias("text"), *(F.col(c).alias(f"__{i}") for i, c in enumerate(more)))
-    return rows.join(listed.hint("merge"), ["doc", "h"], "left")
+    rows = docs.select(column(id_col).cast("long").alias("__id"), *_text_key(t), t.alias("text"), *(column(c).alias(f"__{i}") for i, c in enumerate(others)))
+    return rows.join(listed.hint("merge"), ["h", "g"], "left")
 
 
 def removal_digests(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -393,7 +474,9 @@ def inner_characters(data: bytes, a: int, b: int) -> tuple[int, int]:
 def cut_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated stretches cut out of the text; characters are cut whole or not at all.
 
-    All other columns stay. A null text without repeats becomes empty.
+    All other columns stay, whatever their names. A null text becomes empty; null and repeated
+    ids play no part, rows of one text are cut alike, and repeated rows of ``window`` bytes or
+    more lose all of them. An empty table gives no rows.
     """
     others = [c for c in docs.columns if c != text_col]
 

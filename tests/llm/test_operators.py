@@ -219,29 +219,51 @@ def cut_brute(docs, w=200):
 
 def test_merged_transforms_find_what_repeats():
     r = random.Random(1)
-    for t in range(30):
-        w = r.choice([8, 16, 24])
-        strings = [bytes(r.choices(b"ab" if t % 2 else b"abcdefgh", k=r.choice([0, 3, 10, 50, 200]))) for _ in range(r.choice([1, 3, 20]))]
+    for t in range(60):
+        w = r.choice([1, 7, 8, 16, 24, 40, 60, 200])
+        strings = [bytes(r.choices(b"ab" if t % 2 else b"abcdefgh", k=r.choice([0, 3, 10, 50, 200, 500]))) for _ in range(r.choice([1, 3, 20]))]
+        strings += strings[: 2 * (t % 3 == 0)]
         seen = collections.Counter(s[i : i + w] for s in strings for i in range(len(s) - w + 1))
-        got = suffix_dedup.repeated_starts(strings, w, shard_bytes=r.choice([50, 100, 10_000]))
-        assert [g.tolist() for g in got] == [[seen[s[i : i + w]] > 1 for i in range(len(s) - w + 1)] for s in strings]
+        flags, share = suffix_dedup.repeated_starts(strings, w, shard_bytes=r.choice([50, 100, 10_000]))
+        got = [flags[a : a + max(0, len(s) - w + 1)].tolist() for a, s in zip(share, strings, strict=True)]
+        assert got == [[seen[s[i : i + w]] > 1 for i in range(len(s) - w + 1)] for s in strings]
 
 
 def test_removed_bytes(odd):
     assert rows(suffix_dedup.removal_digests(odd)) == cut_brute(ODD)
 
 
-def test_hot_minimizers_take_the_other_way(spark, monkeypatch):
+def shared_passages(n=30):
     r = random.Random(2)
-    hot = "".join(r.choices("abcdef ", k=230))
-    docs = [(i, "".join(r.choices("ghijkl ", k=150)) + hot[r.randrange(20) :] + "".join(r.choices("mnop", k=90))) for i in range(30)]
-    monkeypatch.setattr(suffix_dedup.repeated_spans, "__defaults__", (200, 4000, 500, "doc_id", "text"))
+    hot = "".join(r.choices("abcdef ", k=330))
+    docs = [(i, "".join(r.choices("ghijkl ", k=150)) + hot[r.randrange(40) : 330 - r.randrange(40)] + "".join(r.choices("mnop", k=90))) for i in range(n)]
+    return [*docs, *((n + i, hot[20 * (i % 3) :]) for i in range(9)), (3, docs[3][1]), (None, docs[4][1]), (None, hot)]
+
+
+@pytest.mark.parametrize(("bucket_bytes", "rounds"), [(1 << 20, 4), (4000, 4), (1500, 2), (1000, 0)])
+def test_minimizers_beyond_a_bucket(spark, monkeypatch, bucket_bytes, rounds):
+    docs = shared_passages()
+    monkeypatch.setattr(suffix_dedup.repeated_spans, "__defaults__", (200, bucket_bytes, rounds, "doc_id", "text"))
     assert rows(suffix_dedup.removal_digests(spark.createDataFrame(docs, "doc_id long, text string"))) == cut_brute(docs)
 
 
+def test_every_repeated_window_comes_from_a_merge(spark, monkeypatch):
+    docs = shared_passages()
+    got = suffix_dedup.repeated_spans(spark.createDataFrame(docs, "doc_id long, text string"))
+    seen = collections.Counter(t[i : i + 200] for _, t in docs for i in range(len(t) - 199))
+    texts = {t for _, t in docs}
+    spans = collections.defaultdict(set)
+    for r in got.collect():
+        spans[r.h].update(range(r.start, r.start + r.n))
+    assert sum(map(len, spans.values())) == sum(seen[t[i : i + 200]] > 1 for t in texts for i in range(len(t) - 199))
+    # with merges that find nothing there is nothing
+    monkeypatch.setattr(suffix_dedup, "_marked", lambda window: lambda table: pa.table({k: pa.array([], pa.int64()) for k in ("m", "c", "start", "n")}))
+    assert suffix_dedup.repeated_spans(spark.createDataFrame(docs, "doc_id long, text string")).count() == 0
+
+
 def test_cut_repeats_leaves_whole_characters(spark):
-    docs = spark.createDataFrame([(1, "ä" + "é" * 150 + "ö", 1), (2, "ß" + "é" * 150 + "ü", 2), (3, None, 3)], "doc_id long, text string, spans int")
-    got = {r.doc_id: (r.text, r.spans) for r in suffix_dedup.cut_repeats(docs).collect()}
+    docs = spark.createDataFrame([(1, "ä" + "é" * 150 + "ö", 1), (2, "ß" + "é" * 150 + "ü", 2), (3, None, 3)], "doc_id long, text string, `a.b` int")
+    got = {r.doc_id: (r.text, r["a.b"]) for r in suffix_dedup.cut_repeats(docs).collect()}
     assert got == {1: ("äö", 1), 2: ("ßü", 2), 3: ("", 3)}
 
 
