@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import written
+from lakeweave.scratch import written
 
 
 def settled_snapshot(snapshots: DataFrame, archived: bool = False) -> DataFrame:
