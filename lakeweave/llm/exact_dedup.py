@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import row_name, text_or_empty, written
+from lakeweave.llm.common import column, fresh, row_name, text_or_empty, written
 
 
 def content_hash(text: Column) -> Column:
@@ -29,7 +29,7 @@ def exact_groups(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id",
     gives no rows. Other columns are not looked at.
     """
     best = {"largest": F.max, "smallest": F.min}[keep]
-    base = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("t"))
+    base = docs.select(column(id_col).alias("doc_id"), text_or_empty(text_col).alias("t"))
     hashed = base.select("doc_id", hash_of(F.col("t")).alias("h"), "t")
     groups = written(hashed.groupBy("h").agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")).where("n > 1"), "groups")
 
@@ -52,11 +52,14 @@ def exact_groups(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id",
 
 
 def drop_copies(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text another row has too; all columns stay as they are.
+    """``docs`` without the rows whose text another row has too; all columns, whatever their names, stay as they are.
 
-    Rows are told apart by id and text, so that different texts under one id, or none, all stay.
+    Rows are told apart by id and text, so that different texts under one id, or none, all stay;
+    of rows with one id and text one stays. Null text counts as empty. A null id stays only where
+    no other row has the text. An empty table gives no rows.
     """
+    own, text = fresh(docs, "id", "sha")
     groups = exact_groups(docs, keep, id_col, text_col).where("kept")
-    stays = groups.select(row_name(F.col("doc_id")).alias("__id"), F.col("text_sha256").alias("__text")).distinct()
-    named = docs.withColumns({"__id": row_name(F.col(id_col)), "__text": F.sha2(text_or_empty(text_col).cast("binary"), 256)})
-    return named.join(stays, ["__id", "__text"], "left_semi").dropDuplicates(["__id", "__text"]).select(*docs.columns)
+    stays = groups.select(row_name(F.col("doc_id")).alias(own), F.col("text_sha256").alias(text)).distinct()
+    named = docs.withColumns({own: row_name(column(id_col)), text: F.sha2(text_or_empty(text_col).cast("binary"), 256)})
+    return named.join(stays, [own, text], "left_semi").dropDuplicates([own, text]).select(*map(column, docs.columns))

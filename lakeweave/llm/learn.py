@@ -8,10 +8,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakeweave.llm.common import column, text_or_empty
+
 
 def held_out(id_col: str, modulus: int, remainder: int):
     """Whether crc32 of the id as text leaves the remainder; an id that is null counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus == remainder
+    return F.crc32(F.coalesce(column(id_col).cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -24,8 +26,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     rows = rows.groupBy(F.col("doc_id").alias("__id")).agg(F.avg(label).alias("label"))
     drawn = [rows.where(part).orderBy(F.xxhash64("__id"), "__id").limit(most // 2) for part in ("label >= 0.5", "label < 0.5")]
     ids = drawn[0].union(drawn[1])
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), t.alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "label")
+    return docs.select(column(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "label")
 
 
 @dataclass

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import gapless_rank, written
+from lakeweave.llm.common import column, gapless_rank, written
 from lakeweave.llm.words import slices, span_index, split_words, sums_by_span
 
 CAPACITY = 2048
@@ -107,7 +107,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
             columns = [batch.column("doc_id").take(pa.array(row)), pa.array(piece.astype("int32")), pa.array(start), pa.array(length), pa.array([zlib.crc32(x) for x in cuts], pa.int64())]
             yield pa.RecordBatch.from_arrays([*columns, *([pa.array(cuts, pa.binary())] if with_ids else [])], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 

@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakeweave.llm.common import column
 from lakeweave.llm.learn import Trees, boost, held_out, labelled_sample
 from lakeweave.llm.words import Words, slices, split_words, sums_by_span
 
@@ -86,7 +87,8 @@ def score_quality(docs: DataFrame, trees: Trees, modulus: int = 4, remainder: in
 
     The score uses statistics of the text alone. Null and empty texts have those of no bytes and
     get a score too; without labels of both kinds every score is the share of label 1 (0.5
-    without any). Repeated rows give repeated results; other columns are not looked at.
+    without any). Repeated rows give repeated results; an empty table
+    gives none; other columns are not looked at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,5 +96,5 @@ def score_quality(docs: DataFrame, trees: Trees, modulus: int = 4, remainder: in
             score = trees.score(statistics(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col, modulus, remainder).alias("held_out"), F.col(text_col).alias("text"))
+    rows = docs.select(column(id_col).cast("long").alias("doc_id"), held_out(id_col, modulus, remainder).alias("held_out"), column(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import gapless_rank, text_or_empty, written
+from lakeweave.llm.common import column, gapless_rank, text_or_empty, written
 
 
 def difference(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +115,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, overhead: int = 16, id_
     alone. An empty table gives no rows. Other columns are not looked at.
     """
     t = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(t) + overhead).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(t.cast("binary"), 256)).alias("key"))
+    rows = docs.select(column(id_col).alias("doc_id"), (F.octet_length(t) + overhead).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(t.cast("binary"), 256)).alias("key"))
     rows = written(rows, "sizes")
     shards = balance(rows.groupBy("key").agg(F.sum("size").cast("double").alias("weight")), n_shards)
     placed = rows.join(shards, "key").select("doc_id", "size", "text_crc32", "shard")
