@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -54,59 +54,81 @@ def _settled(new: np.ndarray) -> np.ndarray:
     return new & np.append(new[1:], True)
 
 
-def prefix_order(text: np.ndarray, size: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sort all positions by the ``depth`` bytes from each on, or more, by prefix doubling.
+def _doubled(order: np.ndarray, rank: np.ndarray, live: np.ndarray, ahead: Callable[[np.ndarray, int], np.ndarray], h: int, depth: int) -> None:
+    """Carry an order by ``h`` leading bytes on to ``depth`` by prefix doubling, in place.
 
-    ``text`` is made of circular stretches of ``size`` bytes. Returns the positions in order and
-    each one's rank, the place in that order of the first position with equal bytes. Positions
-    that no other one is equal to any more leave the doubling.
+    A position's rank is the place in the order of the first position with equal bytes; ``live``
+    are, in order, those that share theirs. Positions that no other one is equal to any more
+    leave the doubling.
     """
-    n = len(text)
-    end = np.repeat(np.cumsum(size), size)
-
-    def ahead(x: np.ndarray, h: int) -> np.ndarray:
-        y = x + h
-        over = np.flatnonzero(y >= end[x])
-        around = size[np.searchsorted(ends, x[over], side="right")]
-        y[over] -= -(-(y[over] - end[x[over]] + 1) // around) * around
-        return y
-
-    ends, every = np.cumsum(size), np.arange(n)
-    h = min(FIRST, depth)
-    wide = text.astype(np.int64)
-    key = wide.copy()
-    for j in range(1, h):
-        shifted = np.roll(wide, -j)
-        tail = np.flatnonzero(every + j >= end)
-        shifted[tail] = wide[ahead(tail, j)]
-        key = (key << np.int64(8)) | shifted
-    order, key = _sorted(key, 8 * h)
-    new = _run_starts(key)
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(new, every, 0))
-    live = order[~_settled(new)]
-    bits = max(1, int(n - 1).bit_length())
+    bits = max(1, int(len(rank) - 1).bit_length())
     while h < depth and len(live):
         step = min(h, depth - h)  # prefixes may overlap
-        nth, key = _sorted((rank[live] << np.int64(bits)) | rank[ahead(live, step)], 2 * bits)
+        nth, key = _sorted((rank[live].astype(np.int64) << np.int64(bits)) | rank[ahead(live, step)], 2 * bits)
         live = live[nth]
-        group = key >> np.int64(bits)
-        count = np.arange(len(live))
+        group = (key >> np.int64(bits)).astype(np.int32)
+        count = np.arange(len(live), dtype=np.int32)
         slot = group + count - np.maximum.accumulate(np.where(_run_starts(group), count, 0))
         order[slot] = live
         new = _run_starts(key)
         rank[live] = slot[np.maximum.accumulate(np.where(new, count, 0))]
         live = live[~_settled(new)]
         h += step
-    return order, rank
 
 
-def transform(text: np.ndarray, depth: int, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of a shard: its suffixes in order, to ``depth`` bytes, and for each the place in that order of the suffix that begins ``step`` bytes earlier."""
-    order, _ = prefix_order(text, np.array([len(text)]), depth)
-    place = np.empty(len(text), np.int64)
-    place[order] = np.arange(len(text))
-    return order, place[(order - step) % len(text)]
+def _ranked(order: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of positions in the order of their keys, and those that share theirs."""
+    new = _run_starts(key)
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(len(order), dtype=np.int32), 0))
+    return rank, order[~_settled(new)]
+
+
+def symbols(text: np.ndarray, size: np.ndarray, step: int) -> np.ndarray:
+    """Ranks of the ``step`` bytes from each position on, by byte order; ``text`` is made of circular shards of ``size`` bytes."""
+    ends = np.cumsum(size)
+
+    def ahead(x: np.ndarray, h: int) -> np.ndarray:
+        y = x + h
+        if len(ends) == 1:
+            over = np.flatnonzero(y >= ends[0])
+            of = np.zeros(len(over), np.int64)
+        else:
+            of = np.searchsorted(ends, x, side="right")
+            over = np.flatnonzero(y >= ends[of])
+            of = of[over]
+        y[over] -= -(-(y[over] - ends[of] + 1) // size[of]) * size[of]
+        return y
+
+    h = min(FIRST, step)
+    key = np.ndarray(len(text), ">u8", text.tobytes() + bytes(8), strides=(1,)).astype(np.int64) >> np.int64(8 * (8 - h))
+    key &= np.int64((1 << 8 * h) - 1)
+    tail = np.unique(np.concatenate([np.arange(max(e - n, e - h + 1), e) for e, n in zip(ends.tolist(), size.tolist(), strict=True)]).astype(np.int64))
+    around = np.zeros(len(tail), np.int64)
+    for j in range(h):
+        around = (around << np.int64(8)) | text[ahead(tail, j)]
+    key[tail] = around
+    order, key = _sorted(key, 8 * h)
+    rank, live = _ranked(order, key)
+    _doubled(order, rank, live, ahead, h, step)
+    return rank
+
+
+def transform(symbol: np.ndarray, depth: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a shard whose positions' first ``step`` bytes are given as symbols: its suffixes in order, to ``depth`` bytes, and for each the place in that order of the suffix that begins ``step`` bytes earlier."""
+    n = len(symbol)
+
+    def ahead(x: np.ndarray, h: int) -> np.ndarray:
+        y = x + h % n
+        y[y >= n] -= n
+        return y
+
+    order, key = _sorted(symbol.astype(np.int64), max(1, int(symbol.max()).bit_length()))
+    rank, live = _ranked(order, key)
+    _doubled(order, rank, live, ahead, step, depth)
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
+    return order, place[ahead(order, -step)]
 
 
 def merge(shard: np.ndarray, symbol: np.ndarray, earlier: np.ndarray, block: np.ndarray, interleave: np.ndarray, passes: int) -> np.ndarray:
@@ -157,17 +179,17 @@ def repeated_starts(strings: list[bytes], window: int = WINDOW, shard_bytes: int
     cuts = [0, *(np.flatnonzero(np.diff(share // shard_bytes)) + 1).tolist(), len(strings)]
     text = np.frombuffer(GAP.join([*strings, b""]), np.uint8)
     bounds = [*share[cuts[:-1]].tolist(), len(text)]
+    length = np.diff(bounds)
+    symbol = symbols(text, length, step)
     orders, before = [], []
     for a, b in zip(bounds, bounds[1:], strict=False):
-        order, earlier = transform(text[a:b], window, step)
+        order, earlier = transform(symbol[a:b], window, step)
         orders.append(order + a)
         before.append(earlier + a)
     order, earlier = np.concatenate(orders), np.concatenate(before)
-    length = np.diff(bounds)
     shard = np.repeat(np.arange(len(length), dtype=np.uint8), length)
-    _, rank = prefix_order(text, length, step)
-    head = rank[order]
-    first, key = _sorted(head, max(1, int(len(text)).bit_length()))
+    head = symbol[order]
+    first, key = _sorted(head.astype(np.int64), max(1, int(len(text)).bit_length()))
     live = merge(shard, head[earlier], earlier, np.cumsum(_run_starts(key)), shard[first], window // step - 1)
     found = np.zeros(len(text), bool)
     found[order[live]] = True
@@ -387,7 +409,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = 1
     taken = strings.select("m", "c", "n", "again", F.explode(F.when(alone, F.array(first)).otherwise(F.array(first, last))).alias("one"))
     wanted = taken.groupBy("one.h", "one.g", "one.doc").agg(F.collect_list(F.struct("m", "c", "one.start", "n", "one.times", "one.asks", "again")).alias("runs"))
     texts = keyed.join(written(wanted, "wanted").hint("merge"), ["h", "g", "doc"]).dropDuplicates(["h", "g", "doc"]).select("text", "runs")
-    cut = written(texts.mapInArrow(_cut_out(window), CUT), "bytes")
+    cut = written(texts.mapInArrow(_cut_out(window), CUT), "bytes", "zstd")
 
     usual, blocks = None, None
     for seed in range(1, rounds + 2):
