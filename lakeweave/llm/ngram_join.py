@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import components, row_name, text_or_empty, written
+from lakeweave.llm.common import column, components, fresh, row_name, text_or_empty, written
 from lakeweave.llm.words import Words, slices, span_index, split_words
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -86,7 +86,7 @@ def _signatures(n: int, bands: int, rows: int):
             same = [None] * len(counts)
             for i, a, b in zip(full.tolist(), (ends - counts)[full].tolist(), ends[full].tolist(), strict=True):
                 same[i] = xxhash.xxh3_128_digest(view[8 * a : 8 * b])
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("h"), pa.array(same, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))], ["doc", "h", "same", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("h"), pa.array(same, pa.binary()), pa.array(counts), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))], ["doc", "h", "same", "grams", "bands"])
 
     return run
 
@@ -141,34 +141,41 @@ def _roots(hit: np.ndarray) -> np.ndarray:
 
 
 def _verify(threshold: float):
-    """Of a bundle of blocks: for each set with links there, how many documents they lead to and a peer that is reached."""
+    """Of a bundle of blocks: for each set with links there, how many documents they lead to and a peer that is reached.
+
+    Only pairs that share a bucket count; where the group is a bucket itself, only in the first bucket that they share.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("grp", "ascending"), ("lo", "ascending"), ("hi", "ascending")])
-        grp, lo, hi, mine, size, ident = (table.column(c).to_numpy() for c in ("grp", "lo", "hi", "mine", "size", "ident"))
+        table = table.sort_by([("grp", "ascending"), ("lo", "ascending"), ("hi", "ascending"), ("cid", "ascending")])
+        grp, lo, hi, mine, size, cid = (table.column(c).to_numpy() for c in ("grp", "lo", "hi", "mine", "size", "cid"))
+        bucket = table.column("bucket").to_numpy(zero_copy_only=False)
         cells = table.column("grams").combine_chunks()
         flat, at = cells.flatten().to_numpy(), np.concatenate([[0], np.cumsum(cells.value_lengths().to_numpy())])
-        bands = table.column("bands").combine_chunks()
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
         cuts = np.flatnonzero((grp[1:] != grp[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(grp)], strict=True):
             if b - a < 2:
                 continue
             hit = linked([flat[at[i] : at[i + 1]] for i in range(a, b)], mine[a:b] if lo[a] != hi[a] else None, threshold)
-            if bands[a].is_valid:  # the group is a bucket: a pair counts in the first bucket that it shares
-                own = np.array(bands.slice(a, b - a).to_pylist())
-                for i, j in np.argwhere(np.triu(hit)).tolist():
-                    same = own[i] == own[j]
-                    hit[i, j] = hit[j, i] = bool(same.any()) and own[i][same.argmax()] == grp[a]
+            i, j = np.nonzero(np.triu(hit))
+            for c in range(0, len(i), 1 << 14):
+                one, two = i[c : c + (1 << 14)], j[c : c + (1 << 14)]
+                same = bands[a + one] == bands[a + two]
+                counts = same.any(axis=1)
+                if bucket[a]:
+                    counts &= bands[a + one, same.argmax(axis=1)] == grp[a]
+                hit[one[~counts], two[~counts]] = hit[two[~counts], one[~counts]] = False
             some = np.flatnonzero(hit.any(axis=1))
-            out.append((ident[a:b][some], (hit @ size[a:b])[some], ident[a:b][_roots(hit)[some]]))
+            out.append((cid[a:b][some], (hit @ size[a:b])[some], cid[a:b][_roots(hit)[some]]))
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
-        return pa.table(dict(zip(("ident", "links", "peer"), (pa.array(c.astype(np.int64)) for c in cols), strict=True)))
+        return pa.table(dict(zip(("cid", "links", "peer"), (pa.array(c.astype(np.int64)) for c in cols), strict=True)))
 
     return run
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, block: int = 256, giant: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, block: int = 256, giant: int = 20_000, bundle_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Join documents whose sets of word ``n``-grams have a Jaccard similarity of ``threshold`` or more.
 
     Returns one row per row of ``docs``: doc_id; class_id, the smallest doc_id with the same
@@ -178,11 +185,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     1. Texts with equal sets make one class. A class's MinHash signature gives band keys; their
        number and length are chosen so that a pair at the threshold shares one with at least the
        probability ``recall``.
-    2. Classes are shuffled on band keys; those that share buckets, directly or through others,
-       form candidate groups, by edges to each bucket's least member.
-    3. Inside a group all pairs are verified on the full sets, in pairs of blocks of ``block``
-       classes, so that a set moves once for each block of its group and no pair is a row. Groups
-       of over ``giant`` classes are verified bucket by bucket in the same way instead.
+    2. Classes are shuffled on band keys. Pairs in one bucket are candidates and are verified on
+       the full sets. So that a set moves once and not for each of its buckets, buckets that share
+       classes, directly or through others, make a group, found by edges to each bucket's least
+       member; groups of over ``giant`` classes go bucket by bucket instead. Both ways verify the
+       same pairs: those that share a bucket.
+    3. Groups are dealt to pairs of blocks of about ``block`` classes, fewer where these are long,
+       and blocks to tasks by their bytes. No pair is a row.
 
     Words are what white space parts. A text of fewer than ``n`` words is one gram; null, empty
     and blank texts have none and link with nothing. Repeated rows of one id and text link with
@@ -190,56 +199,57 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     component's id, or none, those with a single text stay. An empty table gives no rows. Other
     columns are not looked at.
     """
-    return _near_rows(docs, n, threshold, recall, block, giant, id_col, text_col).drop("h")
+    return _near_rows(docs, n, threshold, recall, block, giant, bundle_bytes, id_col, text_col).drop("h")
 
 
-def _near_rows(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, block: int = 256, giant: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _near_rows(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, block: int = 256, giant: int = 20_000, bundle_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``near_duplicates`` with h, the hash of each row's text."""
     bands, rows = choose_bands(threshold, recall)
     t = text_or_empty(text_col)
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(t).alias("h"), t.alias("text"))
-    signed = written(keyed.mapInArrow(_signatures(n, bands, rows), "doc long, h long, same binary, bands array<long>"), "signatures")
-    classes = signed.where("same is not null").groupBy("same").agg(F.min(F.struct(F.isnull("doc").alias("none"), "doc", "h")).alias("r"), F.count(F.lit(1)).alias("size"), F.any_value("bands").alias("bands"))
-    classes = written(classes.select("same", F.col("r.doc").alias("doc"), F.col("r.h").alias("h"), "size", "bands", F.xxhash64("same").alias("ident")), "classes")
+    keyed = docs.select(column(id_col).cast("long").alias("doc"), F.xxhash64(t).alias("h"), t.alias("text"))
+    signed = written(keyed.mapInArrow(_signatures(n, bands, rows), "doc long, h long, same binary, grams long, bands array<long>"), "signatures")
+    classes = signed.where("same is not null").groupBy("same").agg(F.min(F.struct(F.isnull("doc").alias("none"), "doc", "h")).alias("r"), F.count(F.lit(1)).alias("size"), F.max("grams").alias("grams"), F.any_value("bands").alias("bands"))
+    classes = written(classes.select("same", F.col("r.doc").alias("doc"), F.col("r.h").alias("h"), "size", "grams", "bands", F.monotonically_increasing_id().alias("cid")), "classes")
 
-    spread = classes.select("ident", F.explode("bands").alias("bucket"))
-    full = spread.groupBy("bucket").agg(F.min("ident").alias("a"), F.max("ident").alias("z")).where("a < z").select("bucket", "a")
+    spread = classes.select("cid", F.explode("bands").alias("bucket"))
+    full = spread.groupBy("bucket").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).where("a < z").select("bucket", "a")
     full = written(full, "buckets")
     met = written(spread.join(full.hint("merge"), "bucket"), "met")
     # a class is in the group of the least head of its buckets; edges between heads, few to a group, join the groups
-    headed = written(met.select("ident", "a", F.min("a").over(Window.partitionBy("ident")).alias("head")), "heads")
+    headed = written(met.select("cid", "a", F.min("a").over(Window.partitionBy("cid")).alias("head")), "heads")
     reach = components(headed.select("a", F.col("head").alias("b")))
-    groups = headed.groupBy("ident").agg(F.min("head").alias("head")).join(reach.withColumnRenamed("id", "head").hint("merge"), "head", "left")
-    groups = groups.select("ident", F.coalesce("component", "head").alias("grp"))
-    groups = written(groups, "groups")
-    members = written(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("members")), "members")
-    sized = written(groups.join(members.hint("merge"), "grp"), "sized")
-    candidates = written(classes.join(sized.hint("merge"), "ident"), "candidates")
-
-    wanted = candidates.select("doc", "h", F.col("ident").alias("cls")).where("doc is not null")
+    groups = headed.groupBy("cid").agg(F.min("head").alias("head")).join(reach.withColumnRenamed("id", "head").hint("merge"), "head", "left")
+    groups = written(groups.select("cid", F.coalesce("component", "head").alias("grp")), "groups")
+    candidates = written(classes.select("cid", "doc", "h", "size", "bands", (F.col("grams") * 8 + 400).alias("bytes")).join(groups.hint("merge"), "cid"), "candidates")
+    members = F.count(F.lit(1)).alias("members")
+    parts = F.ceil(F.greatest(F.col("members") / block, F.col("load") * 2 / bundle_bytes)).cast("int").alias("parts")
+    sized = written(candidates.groupBy("grp").agg(members, F.sum("bytes").alias("load")).select("grp", "members", parts), "members")
+
+    wanted = candidates.select("doc", "h", F.col("cid").alias("cls")).where("doc is not null")
     text_of = keyed.join(wanted.hint("merge"), ["doc", "h"]).dropDuplicates(["cls"]).select("cls", "text")
-    alone = candidates.where("doc is null").select("h", F.col("ident").alias("cls"))
+    alone = candidates.where("doc is null").select("h", F.col("cid").alias("cls"))
     text_of = text_of.unionByName(keyed.where("doc is null").join(alone.hint("merge"), "h").dropDuplicates(["cls"]).select("cls", "text"))
     sets = text_of.mapInArrow(_gram_sets(n), "cls long, grams array<long>")
-    whole = candidates.where(F.col("members") <= giant).select("ident", "size", "grp", "members", F.lit(None).cast("array<long>").alias("bands"))
-    per = met.select("ident", "bucket").join(candidates.where(F.col("members") > giant).select("ident", "size", "bands").hint("merge"), "ident")
-    count = per.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"))
-    whole = whole.unionByName(per.join(count.hint("merge"), "bucket").select("ident", "size", F.col("bucket").alias("grp"), "members", "bands"))
-
-    parts = F.ceil(F.col("members") / block).cast("int")
-    mine = F.pmod(F.xxhash64("ident"), parts).cast("int")
-    dealt = whole.withColumn("parts", parts).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("ident", "size", "grp", "bands", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
-    load = dealt.count()
-    bundle = F.pmod(F.xxhash64("grp", "lo", "hi"), F.lit(max(1, math.ceil(load / 1000))))
-    loaded = dealt.join(sets.withColumnRenamed("cls", "ident").hint("merge"), "ident").withColumn("bundle", bundle)
-    links = written(loaded.groupBy("bundle").applyInArrow(_verify(threshold), "ident long, links long, peer long"), "links")
-
-    total = links.groupBy("ident").agg(F.sum("links").alias("links"))
-    reach = components(links.where("ident <> peer").select(F.col("ident").alias("a"), F.col("peer").alias("b")).distinct())
-    known = classes.select("same", "ident", F.col("doc").alias("class_id"), "h", "size")
-    known = known.join(total.hint("merge"), "ident", "left").join(reach.withColumnRenamed("id", "ident").hint("merge"), "ident", "left")
-    known = written(known.select("same", "class_id", "h", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links"), F.coalesce("component", "ident").alias("root")), "known")
+
+    ways = candidates.join(sized.hint("merge"), "grp").select("cid", "size", "bytes", "bands", "grp", "members", "parts")
+    whole = ways.where(F.col("members") <= giant).select("cid", "size", "bytes", "bands", "grp", F.lit(False).alias("bucket"), "parts")
+    per = met.select("cid", F.col("bucket").alias("grp")).join(ways.where(F.col("members") > giant).select("cid", "size", "bytes", "bands").hint("merge"), "cid")
+    count = per.groupBy("grp").agg(members, F.sum("bytes").alias("load")).select("grp", parts)
+    whole = whole.unionByName(per.join(count.hint("merge"), "grp").select("cid", "size", "bytes", "bands", "grp", F.lit(True).alias("bucket"), "parts"))
+
+    mine = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")
+    dealt = whole.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = written(dealt.select("cid", "size", "bytes", "grp", "bucket", "bands", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi")), "dealt")
+    load = dealt.agg(F.sum("bytes")).first()[0] or 0
+    bundle = F.pmod(F.xxhash64("grp", "bucket", "lo", "hi"), F.lit(max(1, math.ceil(load / bundle_bytes))))
+    loaded = dealt.join(sets.withColumnRenamed("cls", "cid").hint("merge"), "cid").withColumn("bundle", bundle)
+    links = written(loaded.groupBy("bundle").applyInArrow(_verify(threshold), "cid long, links long, peer long"), "links")
+
+    total = links.groupBy("cid").agg(F.sum("links").alias("links"))
+    reach = components(links.where("cid <> peer").select(F.col("cid").alias("a"), F.col("peer").alias("b")).distinct())
+    known = classes.select("same", "cid", F.col("doc").alias("class_id"), "h", "size")
+    known = known.join(total.hint("merge"), "cid", "left").join(reach.withColumnRenamed("id", "cid").hint("merge"), "cid", "left")
+    known = written(known.select("same", "class_id", "h", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links"), F.coalesce("component", "cid").alias("root")), "known")
     # of classes and components the row with the least id, and hash of text, is the one that stays
     first = F.min(F.struct(F.isnull("class_id").alias("none"), F.col("class_id").alias("doc"), "h"))
     roots = written(known.groupBy("root").agg(first.alias("first")), "roots")
@@ -252,7 +262,13 @@ def _near_rows(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
-    """``docs`` with the document of the smallest id of every near-duplicate component, and all documents without links. Rows are told apart by id and text."""
-    stays = _near_rows(docs, id_col=id_col, text_col=text_col, **options).where("kept").select(row_name(F.col("doc_id")).alias("__id"), F.col("h").alias("__text")).distinct()
-    named = docs.withColumns({"__id": row_name(F.col(id_col).cast("long")), "__text": F.xxhash64(text_or_empty(text_col))})
-    return named.join(stays.hint("merge"), ["__id", "__text"], "left_semi").dropDuplicates(["__id", "__text"]).select(*docs.columns)
+    """``docs`` with the document of the smallest id of every near-duplicate component, and all documents without links; all columns, whatever their names, stay as they are.
+
+    Rows are told apart by id and text; of rows with one id and text one stays. Null, empty and
+    blank texts have no links. A null id stays only where no row of its component has another. An
+    empty table gives no rows.
+    """
+    own, text = fresh(docs, "id", "hash")
+    stays = _near_rows(docs, id_col=id_col, text_col=text_col, **options).where("kept").select(row_name(F.col("doc_id")).alias(own), F.col("h").alias(text)).distinct()
+    named = docs.withColumns({own: row_name(column(id_col).cast("long")), text: F.xxhash64(text_or_empty(text_col))})
+    return named.join(stays.hint("merge"), [own, text], "left_semi").dropDuplicates([own, text]).select(*map(column, docs.columns))
