@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import scratch_dir, written
+from lakeweave.llm.common import column, scratch_dir, written
 
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Records carry one fixed date: pages have none.
@@ -82,12 +82,16 @@ def page_records(record_id: str, uri: str, payload: bytes, digest: str, refers_t
         yield record({"WARC-Type": "continuation", "WARC-Record-ID": f"<{record_id}:{n}>", "WARC-Date": DATE, "WARC-Target-URI": uri, "WARC-Segment-Origin-ID": f"<{record_id}>", "WARC-Segment-Number": n, **last}, block[at : at + segment_bytes])
 
 
-def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields, lower-case, and block of each record of an archive."""
-    while data:
-        z = zlib.decompressobj(31)
-        raw = z.decompress(data) + z.flush()
-        data = z.unused_data
+def parsed(data: bytes, step: int = 1 << 14) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields, lower-case, and block of each record of an archive; each byte is inflated once, a slice of ``step`` bytes at a time."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        z, out = zlib.decompressobj(31), []
+        while not z.eof and at < len(view):
+            part = view[at : at + step]
+            out.append(z.decompress(part))
+            at += len(part) - len(z.unused_data)
+        raw = b"".join([*out, z.flush()])
         head, _, rest = raw.partition(b"\r\n\r\n")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode().split("\r\n")[1:])}
         yield fields, rest[: int(fields["content-length"])]
@@ -100,9 +104,9 @@ def with_roles(pages: DataFrame, least: int = 1000, id_col: str = "page_id", htm
     Groups are counted on digests, pre-aggregated; payloads meet the groups in one plain join,
     whose skewed partitions Spark splits.
     """
-    payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    url = F.coalesce(F.col(url_col), F.lit("")) if url_col in pages.columns else F.lit("")
-    base = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), payload.alias("payload"))
+    payload = F.coalesce(column(html_col), F.lit("")).cast("binary")
+    url = F.coalesce(column(url_col), F.lit("")) if url_col in pages.columns else F.lit("")
+    base = pages.select(column(id_col).cast("long").alias("page_id"), url.alias("url"), payload.alias("payload"))
     base = base.select("*", F.sha1("payload").alias("digest"), F.sha2("payload", 256).alias("key"), F.octet_length("payload").alias("bytes"))
     groups = base.where(F.col("bytes") >= least).groupBy("key").agg(F.max("page_id").alias("stored"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "stored")
     groups = written(groups, "groups")
@@ -110,52 +114,62 @@ def with_roles(pages: DataFrame, least: int = 1000, id_col: str = "page_id", htm
     return base.join(groups.hint("merge"), "key", "left").select("page_id", "url", "payload", "digest", other.alias("original"))
 
 
+class _Archives:
+    """Files of one kind that a task attempt writes."""
+
+    def __init__(self, folder: str, name: str, segmented: bool, most: int) -> None:
+        from pyarrow import fs
+
+        self.folder, self.name, self.segmented, self.most = folder, name, segmented, most
+        self.store, self.top = fs.FileSystem.from_uri(folder)
+        self.store.create_dir(self.top, recursive=True)
+        self.buffer: list[bytes] = []
+        self.size = self.made = 0
+
+    def add(self, member: bytes) -> Iterator[pa.RecordBatch]:
+        self.buffer.append(member)
+        self.size += len(member)
+        if self.size >= self.most:
+            yield from self.close()
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        if self.buffer:
+            name = f"{self.name}-{self.made}.warc.gz"
+            with self.store.open_output_stream(f"{self.top}/{name}", compression=None) as out:
+                out.write(b"".join(self.buffer))
+            yield pa.RecordBatch.from_pydict({"path": [f"{self.folder}/{name}"], "records": [len(self.buffer)], "segmented": [self.segmented]})
+            self.buffer, self.size, self.made = [], 0, self.made + 1
+
+
 def write_archives(pages: DataFrame, folder: str, segment_bytes: int = 16_384, archive_bytes: int = 16 << 20) -> DataFrame:
-    """Write the rows of ``with_roles`` as ``.warc.gz`` files of about ``archive_bytes`` into ``folder``; a manifest (path, records).
+    """Write the rows of ``with_roles`` as ``.warc.gz`` files of about ``archive_bytes`` into ``folder``; a manifest (path, records, segmented).
 
     Every task attempt writes files of its own name, and the manifest names those of the attempts
-    that counted, so that a lost executor leaves no double records. Records of a segmented page
-    may lie in different archives.
+    that counted, so that a lost executor leaves no double records. Records of segmented pages go
+    to archives of their own, so that the reader knows which ones to group; those of one page may
+    lie in different archives.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         ctx = TaskContext.get()
         me = f"{ctx.partitionId()}-{ctx.taskAttemptId()}"
-        store, top = fs.FileSystem.from_uri(folder)
-        store.create_dir(top, recursive=True)
-        buffer, records, made, row = [], 0, 0, 0
-
-        def close() -> pa.RecordBatch:
-            nonlocal buffer, records, made
-            name = f"pages-{me}-{made}.warc.gz"
-            with store.open_output_stream(f"{top}/{name}", compression=None) as out:
-                out.write(b"".join(buffer))
-            done = pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": [records]})
-            buffer, records, made = [], 0, made + 1
-            return done
-
-        size = 0
+        whole, parts = _Archives(folder, f"pages-{me}", False, archive_bytes), _Archives(folder, f"segments-{me}", True, archive_bytes)
+        row = 0
         for batch in batches:
             for page_id, url, payload, digest, original in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 name = "" if page_id is None else page_id
-                for r in page_records(f"urn:page:{name}:{me}-{row}", url, payload, digest, None if original is None else f"urn:page:{original}", segment_bytes):
-                    buffer.append(r)
-                    records += 1
-                    size += len(r)
-                    if size >= archive_bytes:
-                        size = 0
-                        yield close()
+                records = list(page_records(f"urn:page:{name}:{me}-{row}", url, payload, digest, None if original is None else f"urn:page:{original}", segment_bytes))
+                for r in records:
+                    yield from (whole if len(records) == 1 else parts).add(r)
                 row += 1
-        if buffer:
-            yield close()
+        yield from whole.close()
+        yield from parts.close()
 
-    return written(pages.select("page_id", "url", "payload", "digest", "original").mapInArrow(run, "path string, records long"), "manifest")
+    return written(pages.select("page_id", "url", "payload", "digest", "original").mapInArrow(run, "path string, records long, segmented boolean"), "manifest")
 
 
 def read_records(manifest: DataFrame) -> DataFrame:
-    """All records of the archives that ``manifest`` names, as they stand in the files."""
+    """All records of the archives that ``manifest`` names, as they stand in the files; about one file a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -178,34 +192,51 @@ def read_records(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return manifest.select("path").repartition(F.col("path")).mapInArrow(run, RECORD)
+    return manifest.select("path").repartitionByRange(max(1, manifest.count()), "path").mapInArrow(run, RECORD)
 
 
-def reassemble(records: DataFrame) -> DataFrame:
-    """One row per page record: page_id, record_type, refers_to, uri, payload, payload_bytes, payload_digest, whole.
+HEAD = ("kind", "refers_to", "uri", "digest", "length")
+
+
+def joined(records: DataFrame) -> DataFrame:
+    """One row per record that is whole or in segments: record_id, its header fields, block, and joined.
 
     Segments are grouped by their origin's identifier and joined in the order of their numbers;
-    ``whole`` tells that the numbers run from 1 without gaps, the total length is as stated, the
-    framing is sound and the payload has the digest and length stated. Records in one piece skip
-    the shuffle. A group is one page, so that no key is hot. A revisit has no payload; its length
-    and digest are those stated.
+    ``joined`` tells that the numbers run from 1 without gaps and the total length is as stated.
+    A group is one page, so that no key is hot.
     """
-    one = records.where("segment = 0").select("record_id", "kind", "refers_to", "uri", "digest", "length", "block", F.lit(True).alias("joined"))
-    first = F.col("segment") == 1
-    parts = (
-        records.where("segment > 0")
-        .groupBy(F.col("origin").alias("record_id"))
-        .agg(
-            *(F.max(F.when(first, F.col(c))).alias(c) for c in ("kind", "refers_to", "uri", "digest", "length")),
-            F.expr("listagg(block) within group (order by segment)").alias("block"),
-            F.countDistinct("segment").alias("n"),
-            F.count(F.lit(1)).alias("rows"),
-            F.max("segment").alias("last"),
-            F.max("total").alias("total"),
-        )
+    first = F.col("segment") <= 1
+    parts = records.groupBy(F.col("origin").alias("record_id")).agg(
+        *(F.max(F.when(first, F.col(c))).alias(c) for c in HEAD),
+        F.expr("listagg(block) within group (order by segment)").alias("block"),
+        F.countDistinct("segment").alias("n"),
+        F.count(F.lit(1)).alias("rows"),
+        F.max("segment").alias("last"),
+        F.max("total").alias("total"),
     )
-    joined = F.coalesce((F.col("n") == F.col("last")) & (F.col("n") == F.col("rows")) & (F.col("total") == F.octet_length("block")), F.lit(False))
-    parts = parts.select("record_id", "kind", "refers_to", "uri", "digest", "length", "block", joined.alias("joined"))
+    alone = (F.col("last") == 0) & (F.col("rows") == 1)
+    sound = F.coalesce(alone | ((F.col("n") == F.col("last")) & (F.col("n") == F.col("rows")) & (F.col("total") == F.octet_length("block"))), F.lit(False))
+    return parts.select("record_id", *HEAD, "block", sound.alias("joined"))
+
+
+def reassemble(records: DataFrame) -> DataFrame:
+    """One row per page record: page_id, record_type, refers_to, uri, payload, payload_bytes, payload_digest, whole.
+
+    ``whole`` tells that a record's segments join (see ``joined``), the framing is sound and the
+    payload has the digest and length stated. A revisit has no payload; its length and digest are
+    those stated.
+    """
+    return decoded(joined(records))
+
+
+def read_archives(manifest: DataFrame) -> DataFrame:
+    """``reassemble``'s rows of the archives that ``write_archives`` made. Every file is read once; only those of segmented pages are grouped."""
+    one = read_records(manifest.where("not segmented")).select("record_id", *HEAD, "block", F.lit(True).alias("joined"))
+    return decoded(one.unionByName(joined(read_records(manifest.where("segmented")))))
+
+
+def decoded(blocks: DataFrame) -> DataFrame:
+    """Payloads of the joined blocks, checked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,7 +251,7 @@ def reassemble(records: DataFrame) -> DataFrame:
                     out[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.bool_()), strict=True)], list(out))
 
-    return one.unionByName(parts).mapInArrow(run, "page_id long, record_type string, refers_to long, uri string, payload binary, payload_bytes long, payload_digest string, whole boolean")
+    return blocks.mapInArrow(run, "page_id long, record_type string, refers_to long, uri string, payload binary, payload_bytes long, payload_digest string, whole boolean")
 
 
 def archive_round_trip(pages: DataFrame, least: int = 1000, segment_bytes: int = 16_384, archive_bytes: int = 16 << 20) -> DataFrame:
@@ -231,4 +262,4 @@ def archive_round_trip(pages: DataFrame, least: int = 1000, segment_bytes: int =
     table gives no rows. Columns other than page_id, url and html are not looked at.
     """
     folder = f"{scratch_dir(pages.sparkSession)}/archives"
-    return reassemble(read_records(write_archives(with_roles(pages, least), folder, segment_bytes, archive_bytes)))
+    return read_archives(write_archives(with_roles(pages, least), folder, segment_bytes, archive_bytes))
