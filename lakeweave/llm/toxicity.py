@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import written
+from lakeweave.llm.common import column, written
 from lakeweave.llm.learn import held_out, labelled_sample
 from lakeweave.llm.words import Words, slices, split_words
 
@@ -75,10 +75,20 @@ class NoisyOr:
 
     def scores(self, w: Words) -> np.ndarray:
         p, text, _ = self.sentence_scores(w)
+        return self.combined(p, text, len(w.ends))
+
+    def combined(self, p: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+        """Scores of ``n`` texts from those of their sentences."""
         h = -np.log1p(-np.minimum(p, 1 - 1e-12))
-        total, most = np.bincount(text, h, len(w.ends)), np.zeros(len(w.ends))
+        total, most = np.bincount(text, h, n), np.zeros(n)
         np.maximum.at(most, text, h)
-        return 1 - (1 - self.base) * np.exp(-np.maximum(most, total - self.rate * np.bincount(text, minlength=len(w.ends))))
+        return 1 - (1 - self.base) * np.exp(-np.maximum(most, total - self.rate * np.bincount(text, minlength=n)))
+
+
+def said(w: Words, number: np.ndarray, sentence: int) -> str:
+    """The words of a sentence, joined by spaces."""
+    a, b = np.searchsorted(number, [sentence, sentence + 1])
+    return " ".join(w.distinct[c] for c in w.codes[a:b])
 
 
 def train(words: np.ndarray, sentence: np.ndarray, text: np.ndarray, y: np.ndarray, n: np.ndarray | None = None, share: float | None = None, rounds: int = 60, rate: float = 0.05, ridge: float = 2e-4, least_texts: int = LEAST_TEXTS, start: float = START) -> NoisyOr:
@@ -172,23 +182,38 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modul
 
 
 def score_toxicity(docs: DataFrame, model: NoisyOr, modulus: int = 5, remainder: int = 0, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score and predicted of every whole text.
+    """doc_id, held_out, score and predicted of every whole text, and of texts that reach the threshold the sentence that scores highest: worst_sentence (its number from 0), worst_score, worst_words (null for all others).
 
-    Null, empty and blank texts have no sentences and score as any text that says nothing telling. Without labels of both kinds all
-    texts score 0. Repeated rows give repeated results; other columns are not looked at.
+    Null, empty and blank texts have no sentences and score as any text that says nothing telling.
+    Without labels of both kinds all texts score 0. Repeated rows give repeated results, also
+    under null ids; an empty table gives no rows; other columns are not looked at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most_bytes=2 << 20):
-            score = model.scores(split_words(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            w = split_words(batch.column("text"))
+            p, text, number = model.sentence_scores(w)
+            score = model.combined(p, text, len(w.ends))
+            place: list[int | None] = [None] * len(score)
+            worst: list[float | None] = [None] * len(score)
+            words: list[str | None] = [None] * len(score)
+            first = np.searchsorted(text, np.arange(len(score) + 1))
+            for i in np.flatnonzero((score >= threshold) & (np.diff(first) > 0)).tolist():
+                place[i] = int(p[first[i] : first[i + 1]].argmax())
+                worst[i], words[i] = float(p[first[i] + place[i]]), said(w, number, first[i] + place[i])
+            columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(place, pa.int32()), pa.array(worst, pa.float64()), pa.array(words, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted", "worst_sentence", "worst_score", "worst_words"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col, modulus, remainder).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    rows = docs.select(column(id_col).cast("long").alias("doc_id"), held_out(id_col, modulus, remainder).alias("held_out"), column(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, worst_sentence int, worst_score double, worst_words string")
 
 
 def offending_sentences(docs: DataFrame, model: NoisyOr, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each sentence that reaches the threshold: doc_id, sentence (from 0), score, its words joined by spaces."""
+    """A row for each sentence that reaches the threshold: doc_id, sentence (from 0), score, its words joined by spaces.
+
+    Null, empty and blank texts have none. Repeated rows give repeated results; an empty table
+    gives no rows; other columns are not looked at.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most_bytes=2 << 20):
@@ -196,15 +221,19 @@ def offending_sentences(docs: DataFrame, model: NoisyOr, threshold: float = 0.5,
             p, text, number = model.sentence_scores(w)
             bad = np.flatnonzero(p >= threshold)
             first = np.searchsorted(text, text[bad])
-            said = [" ".join(w.distinct[c] for c in w.codes[np.searchsorted(number, s) : np.searchsorted(number, s, side="right")]) for s in bad.tolist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(text[bad])), pa.array((bad - first).astype(np.int32)), pa.array(p[bad]), pa.array(said, pa.string())], ["doc_id", "sentence", "score", "words"])
+            words = [said(w, number, s) for s in bad.tolist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(text[bad])), pa.array((bad - first).astype(np.int32)), pa.array(p[bad]), pa.array(words, pa.string())], ["doc_id", "sentence", "score", "words"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, sentence int, score double, words string")
 
 
 def drop_toxic(docs: DataFrame, model: NoisyOr, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text reaches the threshold; all columns stay as they are."""
+    """``docs`` without the rows whose text reaches the threshold; all columns, whatever their names, stay as they are.
+
+    Each row is judged by its text alone, so that null and repeated ids play no part. Null, empty
+    and blank texts stay; an empty table gives no rows.
+    """
 
     def run(texts: Iterator) -> Iterator:
         import pandas as pd
@@ -218,4 +247,4 @@ def drop_toxic(docs: DataFrame, model: NoisyOr, threshold: float = 0.5, id_col:
     import pandas as pd
 
     run.__annotations__ = {"texts": It[pd.Series], "return": It[pd.Series]}
-    return docs.where(F.pandas_udf(run, "double")(F.col(text_col)) < threshold)
+    return docs.where(F.pandas_udf(run, "double")(column(text_col)) < threshold)
