@@ -17,12 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeweave.llm.common import column, gapless_rank, written
-from lakeweave.llm.words import slices, span_index, split_words, sums_by_span
+from lakeweave.llm.words import slices, span_index, sums_by_span
 
 CAPACITY = 2048
 MOST_KEPT = 250_000
 #: What the vocabulary's own splitting pattern finds in lower-case ASCII text.
-ASCII_UNIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\v\f\ra-z0-9]+")
+ASCII_UNIT = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ a-z0-9]+"
+ASCII_BLANK = "[\\t\\n\\v\\f\\r]"
 TAIL = re.compile(r"[!-&(-/:-@\[-`{-~]+\Z")
 
 
@@ -30,7 +31,10 @@ class WordIds:
     """Ids of space-free words by the tokenizers library, which sees each distinct unit once per worker.
 
     The vocabulary drops white space and never joins across it, so words stand for themselves.
-    ASCII words are cut further as the vocabulary's pattern cuts them.
+    ASCII words are cut further as the vocabulary's pattern cuts them; of others the signs at the
+    end, where what is left is letters only. When the vocabulary is read, cut words of all pairs
+    of ASCII signs, with and without an apostrophe between, are compared with whole ones; if any
+    differ, no word is cut.
     """
 
     def __init__(self, path: str) -> None:
@@ -41,45 +45,77 @@ class WordIds:
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.kept: dict[str, bytes] = {}
-
-    def cut(self, word: str) -> list[str]:
-        if word.isascii():
-            return [word] if word.isalpha() and word.islower() or "<|" in word else ASCII_UNIT.findall(word.lower())
-        tail = TAIL.search(word)
-        # what the vocabulary makes of the head must be letters only: a mark would join the signs
-        if tail and unicodedata.normalize("NFC", head := word[: tail.start()]).lower().isalpha():
-            return [head, tail[0]]
-        return [word]
+        self.cuts_hold = True
+        signs = [chr(i) for i in range(128) if i != 32]
+        probe = [f"{a}{between}{b}" for a in [*signs, "é", "日"] for between in ("", "'") for b in signs]
+        ids, ends = self.documents(pa.array(probe), 0)
+        whole = self.library.encode_batch_fast(probe, add_special_tokens=False)
+        self.cuts_hold = all(ids[a : b - 1].tolist() == e.ids for a, b, e in zip([0, *ends[:-1]], ends, whole, strict=True))
+        self.kept.clear()
+
+    def units(self, words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The units of all words, and of each word the place of its first one and their number."""
+        special = pc.match_substring(words, "<|")
+        plain = pc.and_(pc.and_not(pc.string_is_ascii(words), special), self.cuts_hold)
+        easy = pc.replace_substring_regex(pc.ascii_lower(words.filter(plain)), ASCII_BLANK, " ")
+        parts = pc.split_pattern(pc.replace_substring_regex(easy, ASCII_UNIT, r"\0 "), " ")
+        flat = parts.flatten()
+        there = pc.greater(pc.binary_length(flat), 0)
+        ends = np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+        before = np.concatenate([[0], np.cumsum(there.to_numpy(zero_copy_only=False))])
+        first, last = before[np.concatenate([[0], ends[:-1]]).astype(np.int64)], before[ends]
+        odd: list[str] = []
+        odd_counts: list[int] = []
+        for word in words.filter(pc.invert(plain)).to_pylist():
+            tail = TAIL.search(word) if self.cuts_hold else None
+            # what the vocabulary makes of the head must be letters only: a mark would join the signs
+            if tail and not word.isascii() and "<|" not in word and unicodedata.normalize("NFC", head := word[: tail.start()]).lower().isalpha():
+                odd += [head, tail[0]]
+                odd_counts.append(2)
+            else:
+                odd.append(word)
+                odd_counts.append(1)
+        flat = pa.concat_arrays([flat.filter(there), pa.array(odd, pa.string())])
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        begin, count = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        begin[is_plain], count[is_plain] = first, last - first
+        count[~is_plain] = odd_counts
+        begin[~is_plain] = before[-1] + np.cumsum(odd_counts) - odd_counts
+        return flat, begin, count
 
     def learn(self, units: list[str]) -> None:
-        easy = [u for u in units if u.isalpha()]  # a single word of letters has a single end mark
+        easy = [u for u in units if u.isalpha() or (u.isascii() and "<|" not in u)]  # one word for the vocabulary, with a single end mark
         for a in range(0, len(easy), 2000):
             some = easy[a : a + 2000]
-            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) == len(some):
-                self.kept.update((u, ids[i:j].tobytes()) for u, i, j in zip(some, [0, *ends[:-1]], ends, strict=True))
+                raw, cuts = ids.tobytes(), (4 * ends).tolist()
+                self.kept.update(zip(some, map(raw.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
         hard = [u for u in units if u not in self.kept]
-        for u, e in zip(hard, self.library.encode_batch(hard, add_special_tokens=False), strict=True):
+        for u, e in zip(hard, self.library.encode_batch_fast(hard, add_special_tokens=False), strict=True):
             self.kept[u] = np.array(e.ids, "<u4").tobytes()
 
     def documents(self, texts: pa.Array, last_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text's followed by ``last_id``, and where each text ends."""
         if len(self.kept) > MOST_KEPT:
             self.kept.clear()
-        w = split_words(texts, " ")
-        cut = [self.cut(x) for x in w.distinct]
-        new = list({u: None for parts in cut for u in parts if u not in self.kept})
+        parts = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        coded = pc.dictionary_encode(parts.flatten())
+        words = coded.indices.to_numpy(zero_copy_only=False)
+        ends = np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64))
+        flat, begin, count = self.units(coded.dictionary)
+        unit = pc.dictionary_encode(flat)
+        distinct = unit.dictionary.to_pylist()
+        new = [u for u in distinct if u not in self.kept]
         if new:
             self.learn(new)
-        kept = self.kept
-        raw = [kept[parts[0]] if len(parts) == 1 else b"".join([kept[u] for u in parts]) for parts in cut]
-        raw.append(np.array([last_id], "<u4").tobytes())
-        table = pa.array(raw, pa.binary())
-        del cut, raw
+        table = pa.array([*map(self.kept.__getitem__, distinct), np.array([last_id], "<u4").tobytes()], pa.binary())
         length = pc.binary_length(table).to_numpy() // 4
-        codes = np.insert(w.codes, w.ends, len(table) - 1)
-        ends = w.ends + np.arange(1, len(w.ends) + 1)
+        codes = unit.indices.to_numpy(zero_copy_only=False)[span_index(begin[words], count[words])]
+        ends = np.concatenate([[0], np.cumsum(count[words])])[ends]
+        codes = np.insert(codes, ends, len(table) - 1)
+        ends = ends + np.arange(1, len(ends) + 1)
         ids = np.frombuffer(table.take(pa.array(codes)).buffers()[2], "<u4")
         return ids, np.cumsum(sums_by_span(length[codes], ends))
 

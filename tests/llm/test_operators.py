@@ -445,12 +445,23 @@ def test_ids_equal_the_library_on_whole_texts():
     w = packing.WordIds(WORDS)
     signs = [x for i in range(128) for x in (chr(i), f"a{chr(i)}b", f"a {chr(i)}{chr(i)}9")]
     letters = [f"{c}!" for i in range(128, 0x11000) if not 0xD800 <= i < 0xE000 and (c := chr(i)).isalpha()]
-    texts = [*signs, *letters, "xİ!", "a\u0958.)"]
+    r = random.Random(7)
+    some = [*map(chr, range(1, 128)), *map(chr, range(1, 128)), *"éİ\u0301ΣǄ《中😀\xa0\x85\u2028ﬁªⅠก١²"]
+    mixed = ["".join(r.choices(some, k=40)) for _ in range(3000)]
+    texts = [*signs, *letters, *mixed, "xİ!", "a\u0958.)", "<|endoftext|>a!", "é<|endoftext|>!"]
     ids, ends = w.documents(pa.array(texts), 0)
     whole = [e.ids for e in w.library.encode_batch(texts, add_special_tokens=False)]
+    assert w.cuts_hold
     assert [t for t, a, b, x in zip(texts, [0, *ends[:-1]], ends, whole, strict=True) if ids[a : b - 1].tolist() != x] == []
 
 
+def test_words_stay_whole_where_cuts_do_not_hold(data):
+    w, plain = packing.WordIds(WORDS), packing.WordIds(WORDS)
+    w.cuts_hold = False
+    texts = pa.array(sample_texts(data, 50))
+    assert all((a == b).all() for a, b in zip(w.documents(texts, 0), plain.documents(texts, 0), strict=True))
+
+
 def test_packing(odd, spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").union(odd.select((F.coalesce("doc_id", F.lit(0)) + 10**6).alias("doc_id"), "text"))
     lib = packing.word_ids(WORDS).library
