@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeweave.functions.media import best_video_variant, over_cap
+from lakeweave.functions.urls import let
 
 SHORT_LINK = r"https?://t\.co/\S+"  # fixed value
 DAY, MINUTE = "MMMM dd, yyyy", "MMMM dd, yyyy 'at' HH:mm"
@@ -47,7 +48,10 @@ X_POST = "struct<text:string,created_at:timestamp,author:struct<name:string,user
 
 def x_post_card(payload: Column, media_number: Column | None = None) -> Column:
     """A post: text without short links, then photos and best video variants. A media number picks one distinct medium, from 1. Media of unknown type give a null card."""
-    p = F.from_json(payload, X_POST)
+    return let(F.from_json(payload, X_POST), lambda p: _x_post_card(p, media_number))
+
+
+def _x_post_card(p: Column, media_number: Column | None) -> Column:
     found = F.transform(F.coalesce(p["media"], F.array()), lambda m: F.when(m["type"] == "photo", F.struct(F.lit("image").alias("kind"), m["url"].alias("url"))).when(m["type"].isin("video", "animated_gif"), F.struct(F.lit("video").alias("kind"), best_video_variant(m["variants"]).alias("url"))))
     odd = F.exists(F.coalesce(p["media"], F.array()), lambda m: ~F.coalesce(m["type"].isin("photo", "video", "animated_gif"), F.lit(False)))
     media = F.array_distinct(F.filter(found, lambda m: m["url"].isNotNull()))
@@ -71,10 +75,13 @@ X_USER = "struct<name:string,username:string,created_at:timestamp,profile_image_
 
 def x_profile_card(payload: Column) -> Column:
     """A profile with its metrics and account properties."""
-    p = F.from_json(payload, X_USER)
+    return let(F.from_json(payload, X_USER), lambda p: _x_profile_card(p))
+
+
+def _x_profile_card(p: Column) -> Column:
     image = F.replace(p["profile_image_url"], F.lit("_normal"), F.lit(""))
     verified = F.coalesce(p["verified"], F.lit(False))
-    name = lambda k: F.concat(F.upper(F.substring(k, 1, 1)), F.lower(F.replace(F.substring(k, 2, 1000), F.lit("_"), F.lit(" "))))
+    name = lambda k: F.concat(F.upper(F.substring(k, 1, 1)), F.lower(F.replace(F.substring(k, F.lit(2), F.length(k)), F.lit("_"), F.lit(" "))))
     metrics = F.transform(F.map_entries(p["public_metrics"]), lambda e: F.concat(F.lit(" - "), name(e["key"]), F.lit(": "), e["value"].cast("string")))
     metrics = F.concat(metrics, F.when(p["verified_followers_count"].isNotNull(), F.array(F.concat(F.lit(" - Verified followers count: "), p["verified_followers_count"].cast("string")))).otherwise(F.array().cast("array<string>")))
     properties = F.array_compact(F.array(
@@ -96,13 +103,19 @@ BLUESKY_POST = f"struct<`$type`:string,post:struct<uri:string,like_count:long,re
 
 def bluesky_error(payload: Column) -> Column:
     """Why a post can't be shown; null if it can."""
-    kind = F.get_json_object(payload, "$['$type']")
+    return _bluesky_error(F.get_json_object(payload, "$['$type']"))
+
+
+def _bluesky_error(kind: Column) -> Column:
     return F.when(kind == "app.bsky.feed.defs#notFoundPost", "not found").when(kind == "app.bsky.feed.defs#blockedPost", "blocked")
 
 
 def bluesky_post_card(payload: Column, parent_handle: Column | None = None) -> Column:
     """A post with images or a video; ``parent_handle`` is the author of the post that it replies to. Missing and blocked posts give null."""
-    p = F.from_json(payload, BLUESKY_POST)["post"]
+    return let(F.from_json(payload, BLUESKY_POST), lambda whole: let(whole["post"], lambda p: _bluesky_post_card(whole["$type"], p, parent_handle)))
+
+
+def _bluesky_post_card(kind: Column, p: Column, parent_handle: Column | None) -> Column:
     record, author, embed = p["record"], p["author"], p["embed"]
     parent = record["reply"]["parent"]["uri"]
     handle = F.lit(None).cast("string") if parent_handle is None else parent_handle
@@ -118,7 +131,7 @@ def bluesky_post_card(payload: Column, parent_handle: Column | None = None) -> C
     )
     images = F.transform(F.coalesce(embed["images"], F.array()), lambda i: _medium("image", i["fullsize"]))
     media = F.when(embed["$type"] == "app.bsky.embed.images#view", F.filter(images, lambda m: m["url"].isNotNull())).when(embed["$type"] == "app.bsky.embed.video#view", _media(_medium("video", embed["playlist"]))).otherwise(F.array().cast(MEDIA))
-    return F.when(p.isNotNull() & bluesky_error(payload).isNull(), _card(text, media))
+    return F.when(p.isNotNull() & _bluesky_error(kind).isNull(), _card(text, media))
 
 
 def with_reply_authors(posts: DataFrame) -> DataFrame:
@@ -131,7 +144,10 @@ def with_reply_authors(posts: DataFrame) -> DataFrame:
 
 def bluesky_facets(payload: Column) -> Column:
     """Struct of hashtags, mentions and links."""
-    facets = F.from_json(payload, BLUESKY_POST)["post"]["record"]["facets"]
+    return let(F.from_json(payload, BLUESKY_POST)["post"]["record"]["facets"], _bluesky_facets)
+
+
+def _bluesky_facets(facets: Column) -> Column:
     features = F.coalesce(F.flatten(F.transform(facets, lambda f: F.coalesce(f["features"], F.array()))), F.array())
     pick = lambda kind, field: F.transform(F.filter(features, lambda x: x["$type"] == f"app.bsky.richtext.facet#{kind}"), lambda x: F.coalesce(x[field], F.lit("")))
     return F.struct(pick("tag", "tag").alias("hashtags"), pick("mention", "did").alias("mentions"), pick("link", "uri").alias("links"))
@@ -141,7 +157,10 @@ BLUESKY_USER = "struct<handle:string,display_name:string,created_at:string,avata
 
 
 def bluesky_profile_card(payload: Column, url: Column) -> Column:
-    p = F.from_json(payload, BLUESKY_USER)
+    return let(F.from_json(payload, BLUESKY_USER), lambda p: _bluesky_profile_card(p, url))
+
+
+def _bluesky_profile_card(p: Column, url: Column) -> Column:
     avatar, banner = F.nullif(p["avatar"], F.lit("")), F.nullif(p["banner"], F.lit(""))
     text = _lines(
         "**Profile on Bluesky**", _text("User: ", p["display_name"], " (@", p["handle"], ")"), _text("Created on: ", p["created_at"]),
@@ -157,7 +176,10 @@ TIKTOK_VIDEO = "struct<username:string,uploader:string,video_description:string,
 
 def tiktok_video_card(payload: Column) -> Column:
     """A video from API fields, with those of the fallback where they are empty; the video, else its thumbnail."""
-    p = F.from_json(payload, TIKTOK_VIDEO)
+    return let(F.from_json(payload, TIKTOK_VIDEO), lambda p: _tiktok_video_card(p))
+
+
+def _tiktok_video_card(p: Column) -> Column:
     unknown = F.lit("Unknown")
     tags = F.when(F.size(p["hashtag_names"]) > 0, F.concat(F.lit("Hashtags: "), F.array_join(F.transform(p["hashtag_names"], lambda t: F.concat(F.lit("#"), t)), ", ")))
     voice = F.when(F.coalesce(p["voice_to_text"], F.lit("")) != "", F.concat(F.lit("Voice transcription: "), p["voice_to_text"]))
@@ -178,7 +200,10 @@ TIKTOK_USER = "struct<display_name:string,bio_description:string,follower_count:
 
 
 def tiktok_profile_card(payload: Column, username: Column, url: Column) -> Column:
-    p = F.from_json(payload, TIKTOK_USER)
+    return let(F.from_json(payload, TIKTOK_USER), lambda p: _tiktok_profile_card(p, username, url))
+
+
+def _tiktok_profile_card(p: Column, username: Column, url: Column) -> Column:
     avatar = F.nullif(p["avatar_url"], F.lit(""))
     text = _lines(
         "**TikTok Profile**", _text("User: ", F.coalesce(p["display_name"], F.lit("")), " (@", username, ")"), F.when(p["is_verified"], "Verified").otherwise("Not verified"),
@@ -190,25 +215,26 @@ def tiktok_profile_card(payload: Column, username: Column, url: Column) -> Colum
 
 def _count(v: Column, key: str) -> Column:
     """A whole number with separators; a missing key is 0, null and anything else Unknown."""
-    x = F.try_variant_get(v, f"$.{key}", "variant")
-    kind = F.schema_of_variant(x)
-    return F.when(x.isNull(), "0").when(kind == "BIGINT", F.format_number(F.try_variant_get(v, f"$.{key}", "long"), 0)).otherwise("Unknown")
+    return let(F.try_variant_get(v, f"$.{key}", "variant"), lambda x: F.when(x.isNull(), "0").when(F.schema_of_variant(x) == "BIGINT", F.format_number(F.try_variant_get(x, "$", "long"), 0)).otherwise("Unknown"))
 
 
 def generic_video_card(payload: Column, platform: Column, max_video_size: Column | None = None) -> Column:
     """A video of any platform. Dates of eight digits become ISO dates, impossible ones stay. A video that is absent or over the cap gives way to its thumbnail."""
-    v = F.try_parse_json(payload)
+    return let(F.try_parse_json(payload), lambda v: _generic_video_card(v, platform, max_video_size))
+
+
+def _generic_video_card(v: Column, platform: Column, max_video_size: Column | None) -> Column:
     get = lambda k, kind="string": F.try_variant_get(v, f"$.{k}", kind)
     raw = F.coalesce(get("upload_date"), F.lit(""))
-    day = F.date_format(F.try_to_timestamp(F.when(raw.rlike(r"^\d{8}$"), raw), F.lit("yyyyMMdd")), "yyyy-MM-dd")
+    day = let(raw, lambda r: F.coalesce(F.date_format(F.try_to_timestamp(F.when(r.rlike(r"^\d{8}$"), r), F.lit("yyyyMMdd")), "yyyy-MM-dd"), r))
     text = _lines(
-        _text("**", platform, " Video**"), _text("Author: @", F.coalesce(get("uploader"), F.lit("Unknown"))), _text("Posted: ", F.coalesce(day, raw)),
+        _text("**", platform, " Video**"), _text("Author: @", F.coalesce(get("uploader"), F.lit("Unknown"))), _text("Posted: ", day),
         _text("Duration: ", F.coalesce(get("duration"), F.lit("0")), "s"),
         _text("Views: ", _count(v, "view_count"), " - Likes: ", _count(v, "like_count"), " - Comments: ", _count(v, "comment_count")), "", F.coalesce(get("description"), F.lit("")),
     )
     over = F.lit(False) if max_video_size is None else over_cap(get("filesize", "long"), max_video_size)
-    video = F.when(~over, get("video_url"))
-    return F.when(v.isNotNull(), _card(text, F.when(video.isNotNull(), _media(_medium("video", video))).otherwise(_media(_medium("image", get("thumbnail"))))))
+    media = let(F.when(~over, get("video_url")), lambda video: F.when(video.isNotNull(), _media(_medium("video", video))).otherwise(_media(_medium("image", get("thumbnail")))))
+    return F.when(v.isNotNull(), _card(text, media))
 
 
 TELEGRAM = "struct<author:struct<type:string,title:string,username:string,first_name:string,last_name:string,bot:boolean,phone:string,verified:boolean>,date:timestamp,edit_date:timestamp,views:long,forwards:long,reactions:string,text:string,media:array<string>>"
@@ -216,7 +242,10 @@ TELEGRAM = "struct<author:struct<type:string,title:string,username:string,first_
 
 def telegram_post_card(payload: Column) -> Column:
     """A post with its sender, a channel or a user, and the references of its media."""
-    p = F.from_json(payload, TELEGRAM)
+    return let(F.from_json(payload, TELEGRAM), lambda p: _telegram_post_card(p))
+
+
+def _telegram_post_card(p: Column) -> Column:
     a = p["author"]
     blank = F.lit("")
     at = F.when(F.coalesce(a["username"], blank) != "", F.concat(F.lit(" (@"), a["username"], F.lit(")"))).otherwise(blank)

@@ -7,20 +7,16 @@ import re
 from html.parser import HTMLParser
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-#: An opening tag of the key ends open tags of the value, up to a tag of BOUNDS.
-ENDS = {"li": {"li"}, "p": {"p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
-BOUNDS = {"ul", "ol", "table", "div", "body", "html", "article", "section", "blockquote", "td", "th", "dl", "select"}
-#: Blocks that end an open paragraph.
-BLOCKS = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 
 
 class Node:
-    __slots__ = ("attrs", "kids", "parent", "tag", "text")
+    __slots__ = ("attrs", "kids", "nth", "parent", "tag", "text")
 
     def __init__(self, tag: str | None, attrs: dict[str, str | None] | None = None, text: str = "") -> None:
         self.tag, self.attrs, self.text = tag, attrs or {}, text
         self.kids: list[Node] = []
         self.parent: Node | None = None
+        self.nth = 0
 
     def add(self, kid: Node) -> None:
         kid.parent = self
@@ -59,13 +55,6 @@ class _Builder(HTMLParser):
         self.open = [self.root]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        ends = ENDS.get(tag, set()) | ({"p"} if tag in BLOCKS else set())
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in ends:
-                del self.open[i:]
-                break
-            if self.open[i].tag in BOUNDS and not (tag == "tr" and self.open[i].tag in ("td", "th")):
-                break
         node = Node(tag, dict(attrs))
         self.open[-1].add(node)
         if tag not in VOID:
@@ -85,9 +74,12 @@ class _Builder(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.open[-1].add(Node(None, text=data))
 
+    def handle_comment(self, data: str) -> None:
+        self.open[-1].add(Node(None))  # without text, but it parts what stands around it
+
 
 def parse(page: str | None) -> Node:
-    """Tree of a page; whatever the markup, there is one."""
+    """Tree of a page; whatever the markup, there is one. Elements end at their end tags and at those of elements around them, never before."""
     b = _Builder()
     b.feed(page or "")
     b.close()
@@ -133,95 +125,218 @@ def text_of(root: Node) -> str:
 
 # --- Markdown -------------------------------------------------------------------------------
 
-SPACE = re.compile(r"[ \t\r\n\f]+")
+#: What a node may stand in: preformatted text, code of any kind, a heading or a table cell (one line), a list item.
+PRE, CODE, LINE, ITEM = 1, 2, 4, 8
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: White space just inside these, and outside them, says nothing.
+SOLID = {*HEADINGS, "p", "blockquote", "article", "div", "section", "ol", "ul", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th"}
+MARKS = {"b": "**", "strong": "**", "em": "*", "i": "*", "del": "~~", "s": "~~", "sub": "", "sup": ""}
+BULLETS = "*+-"
+BLANK = " \t\r\n"
+BREAKS, GAPS, SPACES = re.compile(r"[ \t\r\n]*[\r\n][ \t\r\n]*"), re.compile(r"[\t ]+"), re.compile(r"[\t\r\n ]+")
+LINES = re.compile(r"^(.*)", re.MULTILINE)
 
 
-def _line(s: str) -> str:
-    return SPACE.sub(" ", s).strip()
+def _within(n: Node) -> int:
+    """What the children of a node stand in on its account."""
+    return PRE * (n.tag == "pre") | CODE * (n.tag in ("pre", "code", "kbd", "samp")) | LINE * (n.tag in HEADINGS or n.tag in ("td", "th")) | ITEM * (n.tag == "li")
 
 
-def _around(s: str, mark: str) -> str:
-    core = s.strip()
-    if not core:
-        return s
-    a = len(s) - len(s.lstrip())
-    return s[:a] + mark + core + mark + s[a + len(core) :]
+def _solid(n: Node | None, outside: bool = False) -> bool:
+    return n is not None and (n.tag in SOLID or (outside and n.tag == "pre"))
+
+
+def _plain_text(n: Node, before: Node | None, after: Node | None, place: int) -> str:
+    """A text between two siblings: white space runs become one sign, signs with a meaning are escaped."""
+    text = n.text
+    edge = _solid(n.parent)
+    if not text.strip() and ((edge and (before is None or after is None)) or _solid(before, True) or _solid(after, True)):
+        return ""
+    if not place & PRE:
+        text = GAPS.sub(" ", BREAKS.sub("\n", text))
+    if not place & CODE:
+        text = text.replace("*", "\\*").replace("_", "\\_")
+    if _solid(before, True) or (edge and before is None):
+        text = text.lstrip(BLANK)
+    if _solid(after, True) or (edge and after is None):
+        text = text.rstrip()
+    return text
+
+
+def _side_by_side(parts: list[str]) -> str:
+    """Children's texts; where line ends of two meet, the larger number stays, two at most."""
+    out, ends = [], 0
+    for part in parts:
+        core = part.strip("\n")
+        begins = len(part) - len(part.lstrip("\n"))
+        out.append("\n" * (min(2, max(ends, begins)) if ends and begins else ends + begins))
+        out.append(core)
+        ends = len(part) - len(part.rstrip("\n")) if core else 0
+    return "".join(out) + "\n" * ends
+
+
+def _marked(text: str, mark: str, wide: str = "") -> str:
+    """The text between marks; one space at either end stays outside."""
+    core = text.strip()
+    return f"{' ' * text.startswith(' ')}{mark}{wide}{core}{wide}{mark}{' ' * text.endswith(' ')}" if core else ""
+
 
+def _block(text: str, place: int) -> str:
+    return f" {text} " if place & LINE else f"\n\n{text}\n\n" if text else ""
 
-def _table(node: Node, cells: dict[int, list[str]]) -> str:
-    rows = [cells[id(n)] for n in node.walk() if n.tag == "tr" and cells.get(id(n))]
-    if not rows:
+
+def _titled(url: str, n: Node) -> str:
+    title = n.attrs.get("title")
+    return url + (' "' + title.replace('"', '\\"') + '"' if title else "")
+
+
+def _link(n: Node, text: str, place: int) -> str:
+    core, href = text.strip(), n.attrs.get("href")
+    if place & CODE:
+        return text
+    if not core:
         return ""
-    width = max(map(len, rows))
-    lines = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in rows]
-    lines.insert(1, "| " + " | ".join(["---"] * width) + " |")
-    return "\n\n" + "\n".join(lines) + "\n\n"
+    if core.replace("\\_", "_") == href and not n.attrs.get("title"):
+        return f"<{href}>"
+    linked = f"[{core}]({_titled(href, n)})" if href else core
+    return f"{' ' * text.startswith(' ')}{linked}{' ' * text.endswith(' ')}" if href else text
+
+
+def _image(n: Node, text: str, place: int) -> str:
+    alt = n.attrs.get("alt") or ""
+    return alt if place & LINE else f"![{alt}]({_titled(n.attrs.get('src') or '', n)})"
+
+
+def _video(n: Node, text: str, place: int) -> str:
+    if place & LINE:
+        return text
+    src = n.attrs.get("src") or next((k.attrs["src"] for k in n.all("source") if k.attrs.get("src") is not None), "")
+    poster = n.attrs.get("poster")
+    still = f"![{text}]({poster})" if poster else text
+    return f"[{still}]({src})" if src else still
+
+
+def _code(n: Node, text: str, place: int) -> str:
+    if place & CODE:
+        return text
+    longest = max(map(len, re.findall("`+", text)), default=0)
+    return _marked(text, "`" * (longest + 1), " " * (longest > 0))
+
+
+def _item(n: Node, text: str, place: int) -> str:
+    text = text.strip()
+    if not text:
+        return "\n"
+    if n.parent is not None and n.parent.tag == "ol":
+        start = n.parent.attrs.get("start") or ""
+        mark = f"{(int(start) if start.isdecimal() else 1) + n.nth}. "
+    else:
+        depth, up = -1, n
+        while up is not None:
+            depth += up.tag == "ul"
+            up = up.parent
+        mark = BULLETS[depth % len(BULLETS)] + " "
+    return mark + _indented(text, " " * len(mark))[len(mark) :] + "\n"
+
+
+def _indented(text: str, by: str, blank: str = "") -> str:
+    return LINES.sub(lambda m: by + m[1] if m[1] else blank, text)
+
+
+def _list(n: Node, text: str, place: int) -> str:
+    if place & ITEM:
+        return "\n" + text.rstrip()
+    kids = n.parent.kids if n.parent is not None else [n]
+    later = kids[next(i for i, k in enumerate(kids) if k is n) + 1 :]
+    following = next((k for k in later if k.tag is not None or k.text.strip()), None)
+    return "\n\n" + text + "\n" * (following is not None and following.tag not in ("ul", "ol"))
+
+
+def _quote(n: Node, text: str, place: int) -> str:
+    text = text.strip()
+    if place & LINE:
+        return f" {text} "
+    return "\n" + _indented(text, "> ", ">") + "\n\n" if text else "\n"
+
+
+def _definition(n: Node, text: str, place: int) -> str:
+    text = text.strip()
+    if place & LINE:
+        return f" {text} "
+    return ":" + _indented(text, "    ")[1:] + "\n" if text else "\n"
+
+
+def _term(n: Node, text: str, place: int) -> str:
+    text = SPACES.sub(" ", text.strip())
+    if place & LINE:
+        return f" {text} "
+    return f"\n\n{text}\n" if text else "\n"
+
+
+def _preformatted(n: Node, text: str, place: int) -> str:
+    return "\n\n```\n" + re.sub(r"[ \n]*\Z", "", re.sub(r"\A[ \n]*\n", "", text)) + "\n```\n\n" if text else ""
+
+
+def _span(n: Node) -> int:
+    span = n.attrs.get("colspan") or ""
+    return max(1, min(1000, int(span))) if span.isdigit() else 1
+
+
+def _cell(n: Node, text: str, place: int) -> str:
+    return " " + text.strip().replace("\n", " ") + " |" * _span(n)
+
+
+def _row(n: Node, text: str, place: int) -> str:
+    """A table row; the first one gets a rule below it where it is a heading, else an empty heading above it."""
+    cells, up = n.all("td", "th"), n.parent
+    width = sum(map(_span, cells))
+    rule = "| " + " | ".join(["---"] * width) + " |\n"
+
+    def leads(x: Node) -> bool:
+        return x.parent is None or next(k for k in x.parent.kids if k.tag is not None) is x
+
+    row, first = f"|{text}\n", leads(n)
+    if first and (all(c.tag == "th" for c in cells) or (up.tag == "thead" and len(up.all("tr")) == 1)):
+        return row + rule
+    headless = up.tag != "tbody" or up.parent is None or not up.parent.all("thead") or leads(up)
+    return "| " + " | ".join([""] * width) + " |\n" + rule + row if first and headless else row
+
+
+WAYS = {
+    "a": _link, "img": _image, "video": _video, "code": _code, "kbd": _code, "samp": _code, "li": _item, "ul": _list, "ol": _list, "blockquote": _quote, "dd": _definition, "dt": _term, "pre": _preformatted, "td": _cell, "th": _cell, "tr": _row,
+    "br": lambda n, text, place: " " if place & LINE else "  \n",
+    "hr": lambda n, text, place: "\n\n---\n\n",
+    "q": lambda n, text, place: f'"{text}"',
+    "p": lambda n, text, place: _block(text.strip(BLANK), place),
+    "table": lambda n, text, place: "\n\n" + text.strip() + "\n\n",
+    "caption": lambda n, text, place: text.strip() + "\n\n",
+    "figcaption": lambda n, text, place: "\n\n" + text.strip() + "\n\n",
+    **dict.fromkeys(("div", "article", "section", "dl"), lambda n, text, place: _block(text.strip(), place)),
+    **dict.fromkeys(("script", "style"), lambda n, text, place: ""),
+    **{h: lambda n, text, place: text if place & LINE else f"\n\n{'#' * int(n.tag[1])} {SPACES.sub(' ', text.strip())}\n\n" for h in HEADINGS},
+    **{t: lambda n, text, place: text if place & CODE else _marked(text, MARKS[n.tag]) for t in MARKS},
+}
 
 
 def markdown(root: Node) -> str:
-    """Markdown with ATX headings. Children come before parents, so depth costs no stack."""
+    """Markdown with ATX headings, escaped stars and underscores, ``<address>`` links and bullets by depth. Children come before parents, so depth costs no stack."""
     nodes = root.walk()
-    in_pre: set[int] = set()
+    place = {id(root): 0}
     for n in nodes:
-        if n.tag == "pre" or (n.parent is not None and id(n.parent) in in_pre):
-            in_pre.add(id(n))
+        inside, items = place[id(n)] | _within(n), 0
+        for k in n.kids:
+            place[id(k)], k.nth = inside, items
+            items += k.tag == "li"
     done: dict[int, str] = {}
-    cells: dict[int, list[str]] = {}
     for n in reversed(nodes):
         if n.tag is None:
-            done[id(n)] = n.text if id(n) in in_pre else SPACE.sub(" ", n.text)
             continue
-        inner = "".join(done.pop(id(k)) for k in n.kids)
-        t = n.tag
-        if t in ("script", "style", "template"):
-            out = ""
-        elif t in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            out = f"\n\n{'#' * int(t[1])} {_line(inner)}\n\n" if inner.strip() else ""
-        elif t == "br":
-            out = "  \n"
-        elif t == "hr":
-            out = "\n\n---\n\n"
-        elif t in ("b", "strong"):
-            out = _around(inner, "**")
-        elif t in ("i", "em"):
-            out = _around(inner, "*")
-        elif t == "code" and id(n) not in in_pre:
-            out = _around(inner, "`")
-        elif t == "pre":
-            out = "\n\n```\n" + inner.strip("\n") + "\n```\n\n"
-        elif t == "a" and n.attrs.get("href") and inner.strip():
-            title = n.attrs.get("title")
-            out = f"[{inner.strip()}]({n.attrs['href']}" + (f' "{title}"' if title else "") + ")"
-        elif t == "img":
-            title = n.attrs.get("title")
-            out = f"![{n.attrs.get('alt') or ''}]({n.attrs.get('src') or ''}" + (f' "{title}"' if title else "") + ")"
-        elif t == "li":
-            lists = n.parent.tag if n.parent is not None else "ul"
-            if lists == "ol":
-                same = [k for k in n.parent.kids if k.tag == "li"]
-                first = n.parent.attrs.get("start") or "1"
-                mark = f"{(int(first) if first.isdigit() else 1) + next(i for i, k in enumerate(same) if k is n)}. "
-            else:
-                mark = "* "
-            body = re.sub(r"\n{2,}", "\n", inner.strip())
-            out = mark + body.replace("\n", "\n" + " " * len(mark)) + "\n"
-        elif t in ("ul", "ol"):
-            nested = n.parent is not None and n.parent.tag == "li"
-            out = ("\n" if nested else "\n\n") + inner.strip() + ("\n" if nested else "\n\n")
-        elif t == "blockquote":
-            out = "\n\n" + "\n".join(("> " + x).rstrip() for x in re.sub(r"\n{3,}", "\n\n", inner.strip()).split("\n")) + "\n\n" if inner.strip() else ""
-        elif t in ("td", "th"):
-            up = n.parent
-            while up is not None and up.tag != "tr":
-                up = up.parent
-            if up is not None:
-                cells.setdefault(id(up), []).insert(0, _line(inner).replace("|", "\\|"))
-            out = inner
-        elif t == "table":
-            out = _table(n, cells)
-        elif t in BLOCKS or t in ("title", "body", "html", "head", "tr", "dt", "dd", "figcaption", "caption", "iframe", "video"):
-            out = "\n\n" + inner.strip() + "\n\n" if inner.strip() else ""
-        else:
-            out = inner
-        done[id(n)] = out
-    return done[id(root)]
+        kids, parts = n.kids, []
+        for i, k in enumerate(kids):
+            text = done.pop(id(k)) if k.tag is not None else _plain_text(k, kids[i - 1] if i else None, kids[i + 1] if i + 1 < len(kids) else None, place[id(k)])
+            if text:
+                parts.append(text)
+        text = "".join(parts) if n.tag == "pre" or place[id(n)] & PRE else _side_by_side(parts)
+        way = WAYS.get(n.tag)
+        done[id(n)] = way(n, text, place[id(n)]) if way else text
+    return done[id(root)].strip("\n")

@@ -60,10 +60,15 @@ def over_cap(size: Column, cap: Column) -> Column:
     return F.coalesce((cap > 0) & (size > cap), F.lit(False))
 
 
-def inline_size_gate(kind: Column, content_length: Column, blob_size: Column) -> Column:
-    """Why a medium isn't inlined: too_large_precheck (announced), too_large (fetched), streaming (no size at all); null if it is."""
-    cap = F.when(kind == "video", 250 * MB).otherwise(50 * MB)
-    return F.when(content_length > cap, "too_large_precheck").when(blob_size > cap, "too_large").when(content_length.isNull() & blob_size.isNull(), "streaming")
+def is_streaming(url: Column, content_type: Column) -> Column:
+    """Whether an address, or the type of what it gives, is a playlist's. Without an address nothing is."""
+    return F.coalesce(url != "", F.lit(False)) & (F.lower(url).contains("m3u8") | F.coalesce(F.lower(content_type).contains("mpegurl"), F.lit(False)))
+
+
+def inline_size_gate(kind: Column, url: Column, content_type: Column, content_length: Column, blob_size: Column) -> Column:
+    """Why a medium isn't inlined: too_large_precheck (announced), streaming (see ``is_streaming``), too_large (fetched); null if it is."""
+    cap = F.when(kind == "image", 50 * MB).otherwise(250 * MB)
+    return F.when(content_length > cap, "too_large_precheck").when(is_streaming(url, content_type), "streaming").when(blob_size > cap, "too_large")
 
 
 def best_video_variant(variants: Column) -> Column:

@@ -10,16 +10,17 @@ WALL = ("security check", "captcha", "just a moment", "performing security verif
 CHALLENGE = ("Just a moment", "Performing security verification")
 UNAVAILABLE = "503 service unavailable"
 MISSING = "not found (yet?)"
+#: Phrase, class, and the source whose phrase it is (None: any that downloads videos).
 MESSAGES = (
-    ("Your IP address is blocked from accessing this post", "IPBanned"),
-    ("This post may not be comfortable for some audiences", "ContentBlocked"),
-    ("No video formats found", "ContentBlocked"),
-    ("This video is only available for registered users", "RateLimit"),
-    ("rate-limit reached", "RateLimit"),
-    ("This content isn't available to everyone", "ContentBlocked"),
-    ("Video unavailable", "TargetUnavailable"),
-    ("HTTP Error 404: Not Found", "TargetUnavailable"),
-    ("Cannot parse data; please report this issue", "RetrievalFailed"),
+    ("Your IP address is blocked from accessing this post", "IPBanned", "tiktok"),
+    ("This post may not be comfortable for some audiences", "ContentBlocked", "tiktok"),
+    ("No video formats found", "ContentBlocked", "facebook"),
+    ("This video is only available for registered users", "RateLimit", "facebook"),
+    ("rate-limit reached", "RateLimit", "instagram"),
+    ("This content isn't available to everyone", "ContentBlocked", None),
+    ("Video unavailable", "TargetUnavailable", None),
+    ("HTTP Error 404: Not Found", "TargetUnavailable", None),
+    ("Cannot parse data; please report this issue", "RetrievalFailed", None),
 )
 
 
@@ -41,10 +42,11 @@ def block_page_reason(text: Column, final_url: Column) -> Column:
 
 
 def classify_error(source: Column, message: Column, status: Column) -> Column:
-    """Class of an error by its message, then by the source (x, scraping_api, target, head, bluesky, telegram) and status."""
+    """Class of an error by its message, where the phrase is one of its source's, then by the source (x, scraping_api, target, head, bluesky, telegram, facebook, instagram, tiktok) and status."""
     by_message = F.lit(None).cast("string")
-    for phrase, name in reversed(MESSAGES):
-        by_message = F.when(message.contains(phrase), name).otherwise(by_message)
+    for phrase, name, of in reversed(MESSAGES):
+        said = message.contains(phrase)
+        by_message = F.when(said if of is None else said & (source == of), name).otherwise(by_message)
     by_status = (
         F.when((source == "x") & (status == 429), "RateLimit")
         .when((source == "x") & (status == 402), "QuotaExceeded")

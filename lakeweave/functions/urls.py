@@ -112,7 +112,7 @@ def _first(parts: Column) -> Column:
     return F.try_element_at(parts, F.lit(1))
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value worked out once, however often it is used."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
@@ -126,7 +126,7 @@ def _link(platform: str, kind: Column, ident: Column | None = None, username: Co
 def _x(url: Column) -> Column:
     published = url.startswith("https://publish.twitter.com/?query=")
     plain = F.when(published, F.coalesce(query_value(url, "query"), url)).otherwise(url)
-    return _let(plain, lambda u: _let(url_path(u), lambda path: _x_parts(u, path)))
+    return let(plain, lambda u: let(url_path(u), lambda path: _x_parts(u, path)))
 
 
 def _x_parts(url: Column, path: Column) -> Column:
@@ -139,7 +139,7 @@ def _x_parts(url: Column, path: Column) -> Column:
 
 
 def _tiktok(url: Column) -> Column:
-    return _let(_parts(url_path(url)), lambda parts: _tiktok_parts(url, parts))
+    return let(_parts(url_path(url)), lambda parts: _tiktok_parts(url, parts))
 
 
 def _tiktok_parts(url: Column, parts: Column) -> Column:
@@ -154,8 +154,8 @@ def _tiktok_parts(url: Column, parts: Column) -> Column:
 
 def _facebook(url: Column) -> Column:
     past_login = F.coalesce(F.when(url.contains("/login"), query_value(url, "next")), url)
-    bare = _let(past_login, lambda u: F.coalesce(F.when(u.contains("/plugins/"), query_value(u, "href")), u))
-    return _let(bare, _facebook_parts)
+    bare = let(past_login, lambda u: F.coalesce(F.when(u.contains("/plugins/"), query_value(u, "href")), u))
+    return let(bare, _facebook_parts)
 
 
 def _facebook_parts(url: Column) -> Column:
@@ -171,7 +171,7 @@ def _instagram(url: Column) -> Column:
 
 
 def _telegram(url: Column) -> Column:
-    return _let(_parts(url_path(url)), lambda parts: _telegram_parts(url, parts))
+    return let(_parts(url_path(url)), lambda parts: _telegram_parts(url, parts))
 
 
 def _telegram_parts(url: Column, parts: Column) -> Column:
@@ -190,7 +190,7 @@ def _bluesky(url: Column) -> Column:
 
 def classify_link(url: Column) -> Column:
     """Struct of platform, kind, id, username, media_number and normalized_url of a cleaned URL; null for other sites."""
-    return _let(url_domain(url), lambda domain: _by_domain(url, domain))
+    return let(url_domain(url), lambda domain: _by_domain(url, domain))
 
 
 def _by_domain(url: Column, domain: Column) -> Column:

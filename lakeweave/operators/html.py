@@ -18,7 +18,7 @@ from lakeweave.functions.urls import BACKGROUND, PIXEL, VECTOR, resolve_media_ur
 from lakeweave.operators.media import attach_media
 
 DROPPED = ("script", "style", "noscript", "footer", "aside")
-ELEMENTS = "page_id long, ordinal int, tag string, kind string, raw_uri string, has_child_tags boolean"
+ELEMENTS = "ordinal int, tag string, kind string, raw_uri string, has_child_tags boolean"
 _BACKGROUND = re.compile(BACKGROUND)
 
 
@@ -74,12 +74,14 @@ def _browser_candidates(root: dom.Node, base: str) -> list[tuple[dom.Node, str,
     return [(n, k, urljoin(base, u)) for n, k, u in out]
 
 
-def media_elements(pages: DataFrame, mode: str = "page", most: int | None = None) -> DataFrame:
+def media_elements(pages: DataFrame, mode: str = "page", most: int | None = None, keep_url: bool = False) -> DataFrame:
     """One row per media candidate of each page (page_id, url, html): ordinal, tag, kind, raw_uri, has_child_tags.
 
     Mode 'page' groups images, background hosts and videos; 'browser' gives absolute URIs of all
-    that a browser would load. ``most`` keeps the first so many of a page. Rows carry no HTML.
+    that a browser would load. ``most`` keeps the first so many of a page. Rows carry no HTML, and
+    the page's url only with ``keep_url``.
     """
+    keys = ["page_id", "url"] if keep_url else ["page_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -87,10 +89,12 @@ def media_elements(pages: DataFrame, mode: str = "page", most: int | None = None
             for page_id, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"], strict=True):
                 root = dom.parse(html)
                 found = _browser_candidates(root, url or "") if mode == "browser" else _candidates(root)
-                rows += [(page_id, i, n.tag, kind, uri, any(k.tag for k in n.kids)) for i, (n, kind, uri) in enumerate(found[:most])]
-            yield pd.DataFrame(rows, columns=["page_id", "ordinal", "tag", "kind", "raw_uri", "has_child_tags"])
+                key = (page_id, url)[: len(keys)]
+                rows += [(*key, i, n.tag, kind, uri, any(k.tag for k in n.kids)) for i, (n, kind, uri) in enumerate(found[:most])]
+            yield pd.DataFrame(rows, columns=[*keys, "ordinal", "tag", "kind", "raw_uri", "has_child_tags"])
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, ELEMENTS)
+    typed = ", ".join(f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in keys)
+    return pages.select("page_id", "url", "html").mapInPandas(run, f"{typed}, {ELEMENTS}")
 
 
 def inline_candidates(pages: DataFrame) -> DataFrame:
@@ -193,7 +197,7 @@ def html_to_markdown(html: Column) -> Column:
 
 
 def reference(kind: Column, media_id: Column) -> Column:
-    return F.concat(F.lit("<"), kind, F.lit(":"), F.substring(media_id, 1, 16), F.lit(">"))
+    return F.concat(F.lit("<"), kind, F.lit(":"), F.substring(media_id, 1, 32), F.lit(">"))
 
 
 def _tokens(attached: DataFrame) -> DataFrame:
@@ -211,18 +215,29 @@ def _size(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([header(b)[1:] for b in content], columns=["width", "height"]).astype("Int32")
 
 
-def to_documents(captures: DataFrame, blobs: DataFrame | None = None, include_media: bool = True) -> DataFrame:
-    """Markdown documents (page_id, url, text, items) of captures (page_id, url, html).
+ITEMS = "array<struct<ordinal:int,token:string>>"
+
+
+def to_documents(captures: DataFrame, blobs: DataFrame | None = None, include_media: bool = True, format: str = "multimodal_sequence", policy: DataFrame | None = None) -> DataFrame:
+    """Documents (page_id, url, text, items) of captures (page_id, url, html).
+
+    Format 'multimodal_sequence' gives Markdown with media references, 'html' the raw HTML without
+    items. With a policy, Markdown is made of the part of the page that its selector names.
 
     With media: elements are extracted without HTML, their URIs resolved and joined with the
     blobs' metadata (url, media_id, kind, width, height), data URIs decoded in place; what passes
     the size test goes back to its page as a short array, and one fused pass rewrites the page and
     makes it Markdown. Without media it is one map-only pass.
     """
+    if format == "html":
+        return captures.select("page_id", "url", F.col("html").alias("text"), F.array().cast(ITEMS).alias("items"))
+    if format != "multimodal_sequence":
+        raise ValueError(f"unknown format {format!r}")
+    pages = (captures if policy is None else select_content_root(captures, policy)).select("page_id", "url", "html")
     if not include_media:
-        return captures.select("page_id", "url", html_to_markdown(F.col("html")).alias("text"), F.array().cast("array<struct<ordinal:int,token:string>>").alias("items"))
-    pages = captures.select("page_id", "url", inline_text_data_uris(F.col("html")).alias("html"))
-    elements = media_elements(pages).join(pages.select("page_id", "url"), "page_id")
+        return pages.select("page_id", "url", html_to_markdown(F.col("html")).alias("text"), F.array().cast(ITEMS).alias("items"))
+    pages = pages.withColumn("html", inline_text_data_uris(F.col("html")))
+    elements = media_elements(pages, keep_url=True)
     inline = decode_data_uri_media(F.col("raw_uri"))
     elements = elements.withColumn("inline", inline).withColumn("origin", F.when(F.col("inline").isNotNull(), "data_uri").otherwise("download"))
     fetched = elements.where("inline is null").withColumn("uri", resolve_media_url(F.col("raw_uri"), F.col("url"))).select("page_id", "ordinal", "kind", "uri", "origin")
@@ -231,7 +246,21 @@ def to_documents(captures: DataFrame, blobs: DataFrame | None = None, include_me
     own = own.where("media_kind = 'video' or (s.width >= 256 and s.height >= 256)").select("page_id", "ordinal", "media_kind", "media_id")
     parts = own if blobs is None else own.unionByName(attach_media(fetched, blobs).where("media_id is not null").select("page_id", "ordinal", "media_kind", "media_id"))
     joined = pages.join(_tokens(parts), "page_id", "left")
-    return joined.select("page_id", "url", tidy_markdown(_rewrite_to_markdown("html", "media")).alias("text"), F.coalesce("media", F.array().cast("array<struct<ordinal:int,token:string>>")).alias("items"))
+    return joined.select("page_id", "url", tidy_markdown(_rewrite_to_markdown("html", "media")).alias("text"), F.coalesce("media", F.array().cast(ITEMS)).alias("items"))
+
+
+def captured_documents(captures: DataFrame, blobs: DataFrame | None = None, **options: object) -> DataFrame:
+    """``to_documents`` of successful rows of the captures table, the last capture of each URL: url, text, items.
+
+    A capture succeeds with HTML and a status below 400, or none. The HTML stays out of the
+    aggregation: only the time of the last success is looked up, then met with the rows.
+    """
+    good = captures.where("html is not null and coalesce(status, 200) < 400 and url is not null")
+    last = good.groupBy("url").agg(F.max(F.struct("fetched_at", "method")).alias("last")).select("url", "last.*")
+    same = [F.col("g.url") == F.col("l.url"), F.col("g.fetched_at").eqNullSafe(F.col("l.fetched_at")), F.col("g.method").eqNullSafe(F.col("l.method"))]
+    pages = good.alias("g").join(last.alias("l"), same, "left_semi").dropDuplicates(["url"])
+    pages = pages.withColumn("page_id", F.col("url"))
+    return to_documents(pages, blobs, **options).select("url", "text", "items")
 
 
 FEATURES = {"size": "integer", "text_length": "integer", "has_media": "boolean", "has_wayback": "boolean", "has_ghost": "boolean", "has_nested": "boolean", "body_children": "integer", "photo_wraps": "integer", "videos": "integer", "images": "integer"}

@@ -321,11 +321,11 @@ def expect_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SAID = ["HTTP Error 404: Not Found", "rate-limit reached for you", "No video formats found!", "something", "Video unavailable", "flood wait of 5", "Cannot parse data; please report this issue"]
-SOURCES = ["x", "scraping_api", "target", "bluesky", "telegram"]
+SOURCES = ["x", "scraping_api", "target", "bluesky", "telegram", "facebook", "instagram"]
 
 
 @query(
-    f"""SELECT event_id, CASE WHEN m LIKE '%404: Not Found%' OR m LIKE 'Video un%' THEN 'TargetUnavailable' WHEN m LIKE 'rate-limit%' THEN 'RateLimit' WHEN m LIKE 'No video%' THEN 'ContentBlocked' WHEN m LIKE 'Cannot%' THEN 'RetrievalFailed'
+    f"""SELECT event_id, CASE WHEN m LIKE '%404: Not Found%' OR m LIKE 'Video un%' THEN 'TargetUnavailable' WHEN m LIKE 'rate-limit%' AND s = 'instagram' THEN 'RateLimit' WHEN m LIKE 'No video%' AND s = 'facebook' THEN 'ContentBlocked' WHEN m LIKE 'Cannot%' THEN 'RetrievalFailed'
     WHEN s = 'x' AND c = 429 THEN 'RateLimit' WHEN s = 'x' AND c = 402 THEN 'QuotaExceeded' WHEN s = 'scraping_api' AND c = 429 THEN 'RateLimit' WHEN s = 'target' AND c >= 400 THEN 'RetrievalFailed'
     WHEN s = 'bluesky' AND c IN (400, 404) THEN 'TargetUnavailable' WHEN s = 'telegram' AND m LIKE 'flood%' THEN 'RateLimit' ELSE 'Runtime' END AS cls
     FROM (SELECT event_id, {pick_sql(SAID, "event_id")} AS m, {pick_sql(SOURCES, "user_id")} AS s, ([200, 402, 404, 429])[(event_id // 7 % 4 + 1)::INT] AS c FROM events)"""

@@ -10,11 +10,11 @@ from lakeweave.functions import media as M
 from lakeweave.functions import pagequality as Q
 from lakeweave.functions import text as X
 from lakeweave.functions import urls as U
-from lakeweave.llm.common import written
 from lakeweave.operators import html as H
 from lakeweave.operators import media as J
 from lakeweave.operators import pages as P
 from lakeweave.queries import FILES, pick, pick_sql, query, quoted, table, variants, variants_sql
+from lakeweave.scratch import scratch_dir, written
 from lakeweave.sources import io
 from lakeweave.sources import policy as policies
 from lakeweave.streaming import streams as S
@@ -73,7 +73,20 @@ def inline_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.inline_candidates(marked_pages(spark, sf_dir)).select("page_id", "ordinal", "kind", "raw_uri")
 
 
-@query()
+def _sql_chain(start: str, *steps: tuple[str, str]) -> str:
+    """Nested regexp_replace calls of DuckDB."""
+    for pattern, to in steps:
+        start = f"regexp_replace({start}, {pattern}, {to}, 'gs')"
+    return start
+
+
+#: The pages' texts hold three entities, whole or cut off at the end; their paragraphs and bold texts end with the article.
+_UNESCAPED = "replace(replace(replace(regexp_replace(html, '&amp;?', '&', 'g'), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·')"
+_OPEN = "(strlen(html) - strlen(replace(html, '<p><b>', ''))) // 6"
+
+
+@query(f"""SELECT page_id, {_sql_chain("html", ("'<!DOCTYPE html>|<!--.*?-->|<script>.*?</script>|<style>.*?</style>|<footer>.*?(</footer>|$)'", "''"), ("'</article>'", f"repeat('</b></p>', {_OPEN}) || '</article>'"), ("'&quot;'", "'\"'"), ("'&(amp;?)?'", "'&amp;'"))}
+    || CASE WHEN contains(html, '</html>') THEN '' ELSE '</body></html>' END AS html FROM pages""")
 def drop_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", H.drop_tags(F.col("html")).alias("html"))
 
@@ -119,19 +132,87 @@ def _attached(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").where("page_id % 2 = 0").select("page_id", at.alias("a"), F.sha2(_id(), 256).alias("media_id")).select("page_id", "a.*", "media_id")
 
 
-@query("""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '<image:' || substr(sha256(page_id::VARCHAR), 1, 16) || '>' ELSE '' END AS image, CASE WHEN page_id % 2 = 0 THEN '<video:' || substr(sha256(page_id::VARCHAR), 1, 16) || '>' ELSE '' END AS video, false AS has_img, true AS has_style FROM pages""")
+@query("""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '<image:' || substr(sha256(page_id::VARCHAR), 1, 32) || '>' ELSE '' END AS image, CASE WHEN page_id % 2 = 0 THEN '<video:' || substr(sha256(page_id::VARCHAR), 1, 32) || '>' ELSE '' END AS video, false AS has_img, true AS has_style FROM pages""")
 def rewrite_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = H.rewrite_media(marked_pages(spark, sf_dir), _attached(spark, sf_dir))
     ref = lambda kind: F.regexp_replace(F.regexp_extract("html", f"&lt;({kind}:[0-9a-f]+)&gt;", 1), "^(.+)$", "<$1>")
     return html.select("page_id", ref("image").alias("image"), ref("video").alias("video"), F.contains("html", F.lit('<img src="/img')).alias("has_img"), F.contains("html", F.lit('<div style="color:red">')).alias("has_style"))
 
 
-@query()
+_MARKDOWN = _sql_chain(
+    f"replace(replace({_UNESCAPED}, '*', '\\*'), '_', '\\_')",
+    ("'<!DOCTYPE html>|<!--.*?-->|<script>.*?</script>|<style>.*?</style>|</?(html|head|body|nav|footer)[^>]*>|<meta[^>]*>|<title>|</b>|</?ul>'", "''"),
+    ("'<li><a href=\"([^\"]*)\">([^<]*)</a></li>'", "'\n* [\\2](\\1)'"),
+    ("'[ \n]+</(h1|p|div)>'", "'</\\1>'"), ("'<(h1|p|div[^>]*)>[ \n]+'", "'<\\1>'"),
+    ("'<h1>'", "E'\n\n# '"), ("'<p><b>'", "E'\n\n**'"), ("'<br>'", "E' \n'"),
+    ("'(</p>|\\s)*</article>'", f"repeat('**', {_OPEN}) || E'\n\n'"),
+    ("'</?(title|div|h1|p|article)[^>]*>'", "E'\n\n'"),
+    ("' {2,}'", "' '"), ("'(\n *){3,}'", "E'\n\n'"), ("'^\\s+|\\s+$'", "''"),
+)
+
+
+@query(f"SELECT page_id, {_MARKDOWN} AS markdown FROM pages")
 def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", H.html_to_markdown(F.col("html")).alias("markdown"))
 
 
-@query()
+_SAID = "replace(replace(url, '_', '\\_'), '*', '\\*')"
+
+
+@query(f"""SELECT page_id, '# a\\_b ' || page_id || E'\n\n<' || url || '> [' || {_SAID} || '!](' || url || E' "t")\n\n* a\n + ' || page_id || E'\n - c\n* d\n\n3. x\n4. \\\\*y\\\\*\n\n> q' || page_id || E'\n\n| h | i |\n| --- | --- |\n| ' || page_id || E' | 2 3 |\n\n| | |\n| --- | --- |\n| ' || {_SAID} || E' | |\n\n```\na_b *c*\n```\n\n`x_y` ~~z~~ *i* \n[v](v' || page_id || '.mp4)' AS markdown FROM pages""")
+def markdown_constructs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Escapes, addresses as links, bullets by depth, tables with and without headings, quotes, code."""
+    u, i = F.col("url"), _id()
+    html = F.concat(
+        F.lit("<h1>a_b "), i, F.lit('</h1><p><a href="'), u, F.lit('">'), u, F.lit('</a> <a title="t" href="'), u, F.lit('">'), u, F.lit("!</a></p><ul><li>a<ul><li>"), i, F.lit("<ul><li>c</li></ul></li></ul></li>\n<li>d</li></ul><ol start=3><li>x</li><li>*y*</li></ol><blockquote><p>q"), i,
+        F.lit("</p></blockquote><table><tr><th>h</th><th>i</th></tr><tr><td>"), i, F.lit("</td><td>2<br>3</td></tr></table><table><tbody><tr><td>"), u, F.lit("</td><td></td></tr></tbody></table><pre>\na_b *c*\n</pre><code>x_y</code> <del>z</del> <i>i</i><br><video src=v"), i, F.lit(".mp4>v</video>"),
+    )
+    return table(spark, sf_dir, "pages").select("page_id", H.html_to_markdown(html).alias("markdown"))
+
+
+def _captures(spark: SparkSession, sf_dir: str, html) -> DataFrame:
+    """The captures table: of each page an old capture, the good one, and failures after it."""
+    path = scratch_dir(spark)
+    at = lambda day: F.make_timestamp(F.lit(2024), F.lit(1), F.lit(day), F.lit(0), F.lit(0), F.lit(0))
+    take = lambda method, day, status, page: F.struct(F.lit(method).alias("method"), at(day).alias("fetched_at"), F.lit(status).cast("int").alias("status"), page.cast("string").alias("html"))
+    takes = F.explode(F.array(take("a", 1, 200, F.lit("<p>old</p>")), take("b", 3, None, html), take("a", 4, 500, F.lit("<p>error</p>")), take("a", 5, 200, F.lit(None))))
+    table(spark, sf_dir, "pages").select("url", takes.alias("t")).select("url", "t.*").write.parquet(path)
+    return io.read_captures(spark, path)
+
+
+@query("SELECT url, max(html) AS html FROM pages GROUP BY url")
+def captured_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The captures table to raw HTML."""
+    return H.captured_documents(_captures(spark, sf_dir, F.col("html")), format="html").select("url", F.col("text").alias("html"))
+
+
+@query(f"SELECT url, CASE WHEN contains(url, '//archive.ph/') THEN 'in' ELSE E'out\n\nin' END || ' <' || url || '>' AS text FROM (SELECT CASE WHEN page_id % 3 = 0 THEN 'https://archive.ph/' || page_id ELSE 'https://e.example.org/' || page_id END AS url FROM pages)")
+def captured_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The captures table to Markdown of the part that the domain's selector names."""
+    path = scratch_dir(spark)
+    url = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://archive.ph/"), _id())).otherwise(F.concat(F.lit("https://e.example.org/"), _id()))
+    html = F.concat(F.lit('<html><body><p>out</p><div id="CONTENT">in <a href="'), F.col("url"), F.lit('">'), F.col("url"), F.lit("</a></div></body></html>"))
+    rows = table(spark, sf_dir, "pages").select(url.alias("url")).select("url", F.lit("a").alias("method"), F.current_timestamp().alias("fetched_at"), F.lit(200).alias("status"), html.alias("html"))
+    rows.write.parquet(path)
+    return H.captured_documents(io.read_captures(spark, path), policy=policies.load_domain_policy(spark)).select("url", "text")
+
+
+_ROOT = "regexp_extract(url, '^(:?https?://)?([^/]+)', 0)"
+
+
+@query(f"""SELECT page_id, url, 'before <image:' || substr(sha256(page_id::VARCHAR), 1, 32) || '> after <video:' || substr(sha256('v' || page_id), 1, 32) || '> **' || {_SAID} || '**' AS text, 2 AS n_items FROM pages""")
+def documents_with_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images and videos become references; what has no blob, or a small one, goes."""
+    i, u = _id(), F.col("url")
+    html = F.concat(F.lit("before <img src='/img/"), i, F.lit(".jpg'><img src='/small/"), i, F.lit(".jpg'><img src='/none.jpg'> after <video src='/v/"), i, F.lit(".mp4'></video> <b>"), u, F.lit("</b>"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html"))
+    root = U.url_root(u)
+    blob = lambda at, end, media_id, kind, side: F.struct(F.concat(root, F.lit(at), i, F.lit(end)).alias("url"), F.sha2(media_id, 256).alias("media_id"), F.lit(kind).alias("kind"), F.lit(side).alias("width"), F.lit(side).alias("height"))
+    blobs = table(spark, sf_dir, "pages").select(F.explode(F.array(blob("/img/", ".jpg", i, "image", 640), blob("/small/", ".jpg", i, "image", 256), blob("/v/", ".mp4", F.concat(F.lit("v"), i), "video", 0))).alias("b")).select("b.*")
+    return H.to_documents(pages, blobs).select("page_id", "url", "text", F.size("items").alias("n_items"))
+
+
+@query(f"""SELECT page_id, url, {_MARKDOWN} AS text, 1 AS n_items FROM (SELECT page_id, url, html || '<image:' || substr(sha256(page_id::VARCHAR), 1, 32) || '>![](//cdn.example.org/' || page_id || E'.svg)\n\nin' AS html FROM pages)""")
 def to_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = marked_pages(spark, sf_dir)
     image = F.concat(U.url_root(F.col("url")), F.lit("/img/"), _id(), F.lit(".jpg"))
@@ -238,11 +319,15 @@ def cap_media_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.cap_media_size(rows, thumbnails=True).select("l_orderkey", "l_linenumber", "kind", "url")
 
 
-@query("""SELECT event_id, CASE WHEN announced > cap THEN 'too_large_precheck' WHEN fetched > cap THEN 'too_large' WHEN announced IS NULL AND fetched IS NULL THEN 'streaming' END AS reason
-    FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 262144000 ELSE 52428800 END AS cap, CASE WHEN event_id % 3 > 0 THEN event_id % 601 * 1048576 END AS announced, CASE WHEN event_id % 5 > 0 THEN event_id % 307 * 1048576 END AS fetched FROM events)""")
+@query("""SELECT event_id, CASE WHEN announced > cap THEN 'too_large_precheck' WHEN strlen(u) > 0 AND (contains(lower(u), 'm3u8') OR contains(lower(t), 'mpegurl')) THEN 'streaming' WHEN fetched > cap THEN 'too_large' END AS reason
+    FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 262144000 ELSE 52428800 END AS cap, CASE WHEN event_id % 3 > 0 THEN event_id % 601 * 1048576 END AS announced, CASE WHEN event_id % 5 > 0 THEN event_id % 307 * 1048576 END AS fetched,
+    CASE user_id % 5 WHEN 0 THEN 'https://v.example.org/' || event_id || '.M3U8?x' WHEN 1 THEN '' WHEN 2 THEN NULL ELSE 'https://v.example.org/' || event_id END AS u, CASE WHEN user_id % 3 = 0 THEN 'Application/vnd.apple.mpegURL' WHEN user_id % 3 = 1 THEN 'video/mp4' END AS t FROM events)""")
 def inline_size_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.col("event_id")
-    return table(spark, sf_dir, "events").select("event_id", M.inline_size_gate(F.when(e % 2 == 0, "video").otherwise("image"), F.when(e % 3 > 0, e % 601 * M.MB), F.when(e % 5 > 0, e % 307 * M.MB)).alias("reason"))
+    e, k = F.col("event_id"), F.col("user_id") % 5
+    at = F.concat(F.lit("https://v.example.org/"), _id("event_id"))
+    url = F.when(k == 0, F.concat(at, F.lit(".M3U8?x"))).when(k == 1, "").when(k > 2, at)
+    kind, sort = F.when(e % 2 == 0, "video").otherwise("image"), F.when(F.col("user_id") % 3 == 0, "Application/vnd.apple.mpegURL").when(F.col("user_id") % 3 == 1, "video/mp4")
+    return table(spark, sf_dir, "events").select("event_id", M.inline_size_gate(kind, url, sort, F.when(e % 3 > 0, e % 601 * M.MB), F.when(e % 5 > 0, e % 307 * M.MB)).alias("reason"))
 
 
 @query("""SELECT l_orderkey, first(url ORDER BY r DESC, l_linenumber) AS url FROM (SELECT l_orderkey, l_linenumber, l_quantity::BIGINT % 5 AS r, 'https://v.example.org/' || l_linenumber AS url, l_returnflag FROM lineitem) WHERE l_returnflag <> 'N' GROUP BY 1
@@ -453,18 +538,9 @@ def telegram_post_card(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sources and streams --------------------------------------------------------------------
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder; a temporary one where none is set."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-lakeweave-")
-    return f"{base.rstrip('/')}/captures-{uuid.uuid4().hex}"
-
-
 @query("SELECT url, count(*) AS n FROM pages GROUP BY url")
 def read_url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark)
+    path = scratch_dir(spark)
     lines = F.explode(F.array(F.concat(F.lit("  "), F.col("url"), F.lit(" ")), F.lit("   ")))
     table(spark, sf_dir, "pages").select(lines.alias("value")).write.text(path)
     return io.read_url_list(spark, path).groupBy("url").agg(F.count(F.lit(1)).alias("n"))
@@ -472,14 +548,14 @@ def read_url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT page_id, length(html) AS size, (page_id % 5)::INT AS crawl_date FROM pages")
 def write_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark)
+    path = scratch_dir(spark)
     io.write_documents(table(spark, sf_dir, "pages").withColumn("crawl_date", (F.col("page_id") % 5).cast("int")), path, files_a_date=2)
     return spark.read.parquet(path).select("page_id", F.length("html").alias("size"), "crawl_date")
 
 
 @query("SELECT url, strlen(html) AS content_length, sha256(html) AS media_id FROM pages")
 def read_media_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark)
+    path = scratch_dir(spark)
     content = F.col("html").cast("binary")
     table(spark, sf_dir, "pages").select("url", F.lit("text/html").alias("content_type"), F.octet_length(content).cast("long").alias("content_length"), content.alias("content")).write.parquet(path)
     return io.read_media_blobs(spark, path).select("url", "content_length", F.sha2("content", 256).alias("media_id"))
@@ -487,14 +563,14 @@ def read_media_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ran(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there, into a table in the shared folder."""
-    spark, path = stream.sparkSession, _scratch(stream.sparkSession)
+    spark, path = stream.sparkSession, scratch_dir(stream.sparkSession)
     stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}/state").option("path", f"{path}/rows").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
 def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as a stream of files, written in order of time."""
-    path = _scratch(spark)
+    path = scratch_dir(spark)
     table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(path)
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
 
@@ -510,7 +586,7 @@ def stream_method_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = _feed(spark, sf_dir).select("ts", F.col("event_type").alias("method"), F.col("value").alias("elapsed"))
     # one row per window in the end: complete results of the batch that the files make
     stats = S.stream_method_stats(feed, {"click": 60}, "1 day", "60 days").withColumn("avg_time", F.round("avg_time", 6))
-    path = _scratch(spark)
+    path = scratch_dir(spark)
 
     def keep(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/rows")
@@ -524,7 +600,7 @@ def stream_method_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_first_success(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    path = _scratch(spark)
+    path = scratch_dir(spark)
     step = (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).cast("int")
     log = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("https://example.org/"), F.col("user_id").cast("string")).alias("url"), step.alias("step"), F.col("event_type").alias("method"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_id") % 3 == 0, F.col("props")).alias("content"), F.lit(None).cast("string").alias("error_message"))
     parts, e = 4, F.col("event_id")

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 import struct
+from pathlib import Path
 from urllib.parse import unquote
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -106,18 +109,86 @@ def test_background_hosts_and_rewriting(spark):
     assert got == [(1, 0, "img", "image", None, False), (1, 1, "div", "image", "https://cdn.e.org/a.jpg", True), (1, 2, "source", "video", "/v.mp4", False)]
     attached = spark.createDataFrame([(1, 1, "image", "ab" * 32)], "page_id long, ordinal int, media_kind string, media_id string")
     out = {r.page_id: r.html for r in H.rewrite_media(pages, attached).collect()}
-    assert out[1] == '&lt;image:abababababababab&gt;<div style="color:red"><p>t</p></div><img src="/s.svg"><a style="background-image:url(//telegram.org/img/emoji/1.png)">e</a>'
+    assert out[1] == '&lt;image:abababababababababababababababab&gt;<div style="color:red"><p>t</p></div><img src="/s.svg"><a style="background-image:url(//telegram.org/img/emoji/1.png)">e</a>'
     assert out[2] == "<p>plain" and out[3] is None
 
 
 def test_markdown_of_broken_and_deep_pages():
-    assert text_of("<h2>A &amp; <b>b</b></h2><ul><li>x<li>y<ol start=3><li>z</ol></ul>") == "## A & **b**\n\n* x\n* y\n  3. z"
-    assert text_of("<table><tr><th>a<th>b<tr><td>1</table>") == "| a | b |\n| --- | --- |\n| 1 |  |"
-    assert text_of("<p>a<p>b<br>c<script>x</script>") == "a\n\nb  \nc"
+    assert text_of("<h2>A &amp; <b>b</b></h2><ul><li>x</li><li>y<ol start=3><li>z</li></ol></ul>") == "## A & **b**\n\n* x\n* y\n  3. z"
+    assert text_of("<p>b<br>c<script>x</script>") == "b  \nc"
+    assert text_of("<p><b>T.<br><p>A</p><p>B</p></article>") == "**T.  \n\nA\n\nB**"  # an element ends at no other's start
+    assert text_of("<ul><li>a<li>b</ul>") == "* a* b"
     assert text_of("<div>" * 20000 + "deep") == "deep"
     assert text_of("") == ""
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p>a_b *c* <code>d_e</code></p>", "a\\_b \\*c\\* `d_e`"),
+        ('<a href="http://e.org/a_b">http://e.org/a_b</a>', "<http://e.org/a_b>"),
+        ('<a href="/x" title="t&quot;q">x <b>y</b> </a>z', '[x **y**](/x "t\\"q") z'),
+        ('<a href="/x"> </a><a>plain</a>', "plain"),
+        ("<ul><li>a<ul><li>b<ul><li>c</li></ul></li></ul></li><li>d</li></ul><p>e", "* a\n  + b\n    - c\n* d\n\ne"),
+        ("<ol start=3><li>x<p>y</p></li>\n<li>z</li></ol>", "3. x\n\n   y\n4. z"),
+        ("<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td colspan=2>2<br>3</td></tr></table>", "| a | b |\n| --- | --- |\n| 1 | 2 3 | |"),
+        ("<table><tbody><tr><td>1</td></tr></tbody></table>", "|  |\n| --- |\n| 1 |"),
+        ("<table><thead><tr><td>a</td></tr></thead><tbody><tr><td>1</td></tr></tbody></table>", "| a |\n| --- |\n| 1 |"),
+        ("<h1> a\n <i>b</i> <img src=x alt=al> </h1>", "# a *b* al"),
+        ("<pre>\n x_y\n  z </pre>", "```\n x_y\n  z\n```"),
+        ("<code>a`b</code> <del>d</del> <q>e</q>", '`` a`b `` ~~d~~ "e"'),
+        ("<blockquote><p>q</p>\n\n<p>r</p></blockquote>", "> q\n>\n> r"),
+        ("<dl><dt>a</dt><dd>b</dd></dl>", "a\n:   b"),
+        ("<video src=v poster=p></video><video><source src=s>t</video><img src=i title=j>", '[![](p)](v)[t](s)![](i "j")'),
+        ("<div> a <!-- c --> b </div>c", "a  b\n\nc"),
+    ],
+)
+def test_markdown_of_elements(page, want):
+    assert text_of(page) == want
+
+
+def test_cards_parse_their_payload_once(spark):
+
+    df = spark.createDataFrame([("{}", "u")], "p string, u string")
+    p, u = F.col("p"), F.col("u")
+    for card in (cards.x_post_card(p), cards.x_profile_card(p), cards.bluesky_post_card(p), cards.bluesky_profile_card(p, u), cards.tiktok_video_card(p), cards.tiktok_profile_card(p, u, u), cards.generic_video_card(p, u, F.lit(9)), cards.telegram_post_card(p)):
+        plan = df.select(card.alias("c")).select("c.text", "c.media")._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert plan.count("from_json(") + plan.count("jsontostructs") + plan.count("parse_json(") <= 1 or plan.count("invoke(") == 1, plan
+
+
+def test_reply_authors_and_facets(spark):
+
+    post = lambda uri, handle, parent=None: json.dumps({"$type": "x", "post": {"uri": uri, "author": {"handle": handle}, "record": {"text": "t", "reply": parent and {"parent": {"uri": parent}}, "facets": [{"features": [{"$type": "app.bsky.richtext.facet#mention", "did": "did:1"}, {"$type": "app.bsky.richtext.facet#tag"}]}]}}})
+    rows = [("at://a/1", post("at://a/1", "ann")), ("at://b/2", post("at://b/2", "bob", "at://a/1")), ("at://c/3", post("at://c/3", "cat", "at://gone/9"))]
+    got = cards.with_reply_authors(spark.createDataFrame(rows, "uri string, payload string"))
+    got = got.select("uri", "parent_handle", cards.bluesky_post_card(F.col("payload"), F.col("parent_handle"))["text"].alias("t"), cards.bluesky_facets(F.col("payload")).alias("f"))
+    got = {r.uri: r for r in got.collect()}
+    assert {u: r.parent_handle for u, r in got.items()} == {"at://a/1": None, "at://b/2": "ann", "at://c/3": None}
+    assert "Reply to: https://bsky.app/profile/ann/post/1" in got["at://b/2"].t and "Reply to" not in got["at://c/3"].t
+    assert all((r.f.mentions, r.f.hashtags, r.f.links) == (["did:1"], [""], []) for r in got.values())
+
+
+def test_documents_of_captures(spark, tmp_path):
+    from lakeweave.sources import io
+
+    rows = [("u", "a", 1, 200, "<p>old</p>"), ("u", "a", 2, None, "<p>new_</p>"), ("u", "b", 3, 500, "<p>bad</p>"), ("u", "b", 4, 200, None), ("v", "a", None, 200, "<b>v</b>"), (None, "a", 1, 200, "x")]
+    df = spark.createDataFrame(rows, "url string, method string, t int, status int, html string").withColumn("fetched_at", F.timestamp_seconds("t"))
+    df.select("url", "method", "fetched_at", "status", "html").write.parquet(f"{tmp_path}/c")
+    captures = io.read_captures(spark, f"{tmp_path}/c")
+    text = lambda **o: sorted((r.url, r.text) for r in H.captured_documents(captures, **o).collect())
+    assert text() == [("u", "new\\_"), ("v", "**v**")] == text(include_media=False)
+    assert text(format="html") == [("u", "<p>new_</p>"), ("v", "<b>v</b>")]
+    with pytest.raises(ValueError):
+        text(format="pdf")
+
+
+def test_scratch_folders(spark):
+    from lakeweave import scratch
+
+    path = scratch.written(spark.range(3)).inputFiles()[0]
+    assert scratch.clear_scratch(spark) > 0 and not Path(path.removeprefix("file://")).exists()
+
+
 def text_of(page):
     return re.sub(r"\n{3,}", "\n\n", dom.markdown(dom.parse(page))).strip()
 
