@@ -31,7 +31,8 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return io.spread(df) if name in ("pages", "documents", "orders") else df
 
 
 def quoted(value: str) -> str:

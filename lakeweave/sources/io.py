@@ -12,6 +12,12 @@ BLOBS = "url string, content_type string, content_length long, content binary"
 ENVELOPE = "status string, status_code int, message string, results array<struct<content: string, status_code: int, url: string>>"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table as read from files, dealt to as many partitions as there are cores where it has fewer: few splits mean little data, and work on each row would leave cores idle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def read_url_list(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
     """One URL a line, blank lines dropped; with ``ordered``, pos follows the lines of each file."""
     lines = spark.read.text(path).select(F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("url"))
