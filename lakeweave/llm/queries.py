@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lakeweave.llm import embed_dedup, exact_dedup, ngram_join, packing, piece_codec, quality, sharding, suffix_dedup, toxicity, warc
+from lakeweave.sources.io import spread
 
 
 def _tokenizer(name: str) -> str:
@@ -16,7 +17,7 @@ def _tokenizer(name: str) -> str:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_kk_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
