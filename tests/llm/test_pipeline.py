@@ -96,3 +96,55 @@ def test_run_equals_brute_force(spark, corpus):
     lib = packing.word_ids(public_tokenizers.path("word_bpe_49k.json")).library
     ids = {i: [*lib.encode(t, add_special_tokens=False).ids, 0] for i, t in want.items()}
     assert {(r.doc_id, r.piece): (r.length, r.ids_crc32) for r in got} == {(i, p // 2048): (len(x[p : p + 2048]), zlib.crc32(np.array(x[p : p + 2048], "<u4").tobytes())) for i, x in ids.items() for p in range(0, len(x), 2048)}
+
+
+def odd_rows():
+    r = random.Random(3)
+    prose = lambda n: " ".join(f"w{r.randrange(500)}" for _ in range(n))
+    shared, long = prose(70), prose(80)
+    twin = long.split()
+    twin[40] = "other"
+    rows = [(None, prose(30)), (None, prose(30)), (None, None), (None, ""), (None, " \n"), (1, prose(20)), (1, prose(25)), (2, long), (2, long), (3, long), (None, long), (4, " ".join(twin)), (5, " ".join(twin) + " x"), (5, prose(20) + " " + shared), (6, prose(22) + " " + shared), (6, "a"), (6, "b"), (7, "a"), (None, "z")]
+    return [*rows, (8, "é" * 5000 + prose(10)), (9, "é" * 5000 + prose(10))]
+
+
+@pytest.mark.parametrize("rows", [odd_rows(), []])
+def test_stages_on_odd_rows(spark, tmp_path, rows):
+    """Null and repeated ids, empty texts, columns whose names stages might use or can't quote."""
+    pd.DataFrame({"doc_id": pd.Series([], dtype="int64"), "quality": pd.Series([], dtype="int64"), "toxic": pd.Series([], dtype="int64")}).to_parquet(tmp_path / "labels.parquet")
+    schema = "doc_id long, text string, n_chars long, __keep string, `a.b` string, `__id` string, spans int, h long, `te``xt` string"
+    table = spark.createDataFrame([(i, t, len(t or ""), "k", "a.b", "id", 7, 8, "q") for i, t in rows], schema)
+    seen = {name: None for name, _ in corpus_pipeline.STAGES}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, table, str(tmp_path))
+        assert out.columns == table.columns
+        out.write.parquet(f"{tmp_path}/{name}")
+        table = spark.read.parquet(f"{tmp_path}/{name}")
+        seen[name] = sorted(((r.doc_id, r.text or "") for r in table.collect()), key=str)
+        assert all((r["__keep"], r["a.b"], r["__id"], r.spans, r.h, r["te`xt"]) == ("k", "a.b", "id", 7, 8, "q") for r in table.collect())
+    plain = [(i, t or "") for i, t in rows]
+    assert seen["toxicity"] == sorted(plain, key=str)
+    best = {}
+    for i, t in plain:
+        best[t] = max(best.get(t, -1), -1 if i is None else i)
+    exact = {(i, t) for i, t in plain if best[t] == (-1 if i is None else i)}
+    assert seen["exact_dedup"] == sorted(exact, key=str)
+    near, kept = [], []
+    for i, t in sorted(exact, key=lambda x: (x[0] is None, x[0] or 0, x[1])):
+        g = grams(t)
+        if not any(g and len(g & o) >= 0.8 * len(g | o) for o in near):
+            kept.append((i, t))
+        near.append(g)
+    assert seen["ngram_jaccard_join"] == sorted(kept, key=str)
+    count = collections.Counter(b[k : k + 200] for _, t in kept for b in [t.encode()] for k in range(len(b) - 199))
+    want = []
+    for i, t in kept:
+        b = t.encode()
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - 199):
+            if count[b[k : k + 200]] > 1:
+                gone[k : k + 200] = True
+        want.append((i, bytes(np.frombuffer(b, np.uint8)[~gone]).decode(errors="ignore")))
+    assert seen["suffix_array_dedup"] == sorted(want, key=str)
+    got = corpus_pipeline.STAGES[-1][1](spark, table, str(tmp_path)).collect()
+    assert sorted((r.doc_id for r in got), key=str) == sorted((i for i, _ in want), key=str)
