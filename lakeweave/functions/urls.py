@@ -89,10 +89,11 @@ def background_image_url(style: Column) -> Column:
 
 
 def expand_short_urls(urls, redirects):
-    """``urls`` (short_url) with long_url: where the redirect ended, if elsewhere; else the target of a refresh in its body; else null."""
+    """``urls`` (short_url) with long_url: where the redirect ended, if elsewhere; else the target of a refresh in its body; else null. Of several redirects of one URL the least that leads anywhere counts."""
     moved = F.rtrim(F.col("final_url"), F.lit("/")) != F.rtrim(F.col("short_url"), F.lit("/"))
     refresh = F.nullif(F.regexp_extract("body", META_REFRESH, 1), F.lit(""))
-    return urls.join(redirects, "short_url", "left").select(urls["*"], F.coalesce(F.when(moved, F.col("final_url")), refresh).alias("long_url"))
+    found = redirects.groupBy("short_url").agg(F.min(F.coalesce(F.when(moved, F.col("final_url")), refresh)).alias("long_url"))
+    return urls.join(found, "short_url", "left").select(urls["*"], found["long_url"])
 
 
 # --- platform links -------------------------------------------------------------------------

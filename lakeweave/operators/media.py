@@ -5,7 +5,7 @@ from __future__ import annotations
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,11 +35,15 @@ def parse_playlist(playlists: DataFrame) -> DataFrame:
 
 
 def assemble_segments(segments: DataFrame, most_bytes: int = 1 << 30) -> DataFrame:
-    """Content of each playlist from its segments in order, missing ones skipped; null without any or beyond ``most_bytes``, which one row couldn't hold."""
-    sized = segments.groupBy("playlist_url").agg(F.sum(F.octet_length("content")).alias("size"))
-    small = segments.join(sized.where(F.col("size") <= most_bytes).select("playlist_url"), "playlist_url", "left_semi")
-    made = small.groupBy("playlist_url").agg(F.expr("listagg(content) within group (order by idx)").alias("content"))
-    return sized.join(made, "playlist_url", "left").select("playlist_url", "size", "content")
+    """Content of each playlist from its segments in order, missing ones skipped; null without any.
+
+    Rows playlist_url, part, size, content. A playlist over ``most_bytes``, which one row couldn't
+    hold, comes in parts from 0 on: each begins with the first segment behind a multiple of it.
+    One shuffle by playlist serves the running size and the parts.
+    """
+    before = F.sum(F.octet_length("content")).over(Window.partitionBy("playlist_url").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1))
+    dealt = segments.withColumn("part", F.floor(F.coalesce(before, F.lit(0)) / most_bytes).cast("int"))
+    return dealt.groupBy("playlist_url", "part").agg(F.sum(F.octet_length("content")).alias("size"), F.expr("listagg(content) within group (order by idx)").alias("content"))
 
 
 def cap_media_size(media: DataFrame, thumbnails: bool = False) -> DataFrame:

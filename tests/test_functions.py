@@ -182,6 +182,20 @@ def test_documents_of_captures(spark, tmp_path):
         text(format="pdf")
 
 
+def test_segments_of_large_playlists_come_in_parts(spark):
+    rows = [("a", i, bytearray(b"x%d" % i * 3)) for i in range(6)] + [("b", 0, None), ("c", 0, bytearray(b"y")), ("c", 1, None)]
+    df = spark.createDataFrame(rows, "playlist_url string, idx int, content binary")
+    got = sorted((r.playlist_url, r.part, r.content and bytes(r.content)) for r in J.assemble_segments(df, most_bytes=12).collect())
+    assert got == [("a", 0, b"x0x0x0x1x1x1"), ("a", 1, b"x2x2x2x3x3x3"), ("a", 2, b"x4x4x4x5x5x5"), ("b", 0, None), ("c", 0, b"y")]
+    assert [bytes(r.content) for r in J.assemble_segments(df).where("playlist_url = 'a'").collect()] == [b"".join(bytes(c) for u, _, c in rows if u == "a")]
+
+
+def test_short_urls_with_several_redirects(spark):
+    short = spark.createDataFrame([("https://t.co/a", 1), ("https://t.co/b", 2), ("https://t.co/c", 3)], "short_url string, k int")
+    redirects = spark.createDataFrame([("https://t.co/a", "https://e.org/2", ""), ("https://t.co/a", "https://e.org/1", ""), ("https://t.co/a", "https://t.co/a/", ""), ("https://t.co/b", "https://t.co/b", "")], "short_url string, final_url string, body string")
+    assert sorted(tuple(r) for r in urls.expand_short_urls(short, redirects).collect()) == [("https://t.co/a", 1, "https://e.org/1"), ("https://t.co/b", 2, None), ("https://t.co/c", 3, None)]
+
+
 def test_scratch_folders(spark):
     from lakeweave import scratch
 
