@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -94,6 +95,16 @@ def test_differencing_is_tight_and_whole():
     assert (np.sort(again) == np.sort(sums)).all() and sums.max() - sums.min() <= 3
 
 
+def test_differencing_against_the_optimum():
+    r = random.Random(11)
+    for _ in range(30):
+        k, items = r.choice([2, 3]), [r.randint(1, 60) for _ in range(r.randint(3, 9))]
+        best = min(max(sum(x for x, p in zip(items, to, strict=True) if p == j) for j in range(k)) for to in itertools.product(range(k), repeat=len(items)))
+        _, sums = sharding.difference([np.array([0.0] * (k - 1) + [float(x)]) for x in items])
+        assert best <= sums.max() <= 4 / 3 * best
+    assert sharding.difference([np.array([0.0, float(x)]) for x in (8, 7, 6, 5, 4)])[1].tolist() == [14, 16]
+
+
 def test_balance_in_levels(spark):
     r = random.Random(1)
     groups = spark.createDataFrame([(bytearray(str(i).encode()), float(r.randint(1, 5000))) for i in range(400)], "key binary, weight double")
