@@ -175,7 +175,7 @@ def _verify(threshold: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, block: int = 256, giant: int = 20_000, bundle_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, block: int = 256, giant: int = 20_000, bundle_bytes: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Join documents whose sets of word ``n``-grams have a Jaccard similarity of ``threshold`` or more.
 
     Returns one row per row of ``docs``: doc_id; class_id, the smallest doc_id with the same
@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     return _near_rows(docs, n, threshold, recall, block, giant, bundle_bytes, id_col, text_col).drop("h")
 
 
-def _near_rows(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, block: int = 256, giant: int = 20_000, bundle_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _near_rows(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, block: int = 256, giant: int = 20_000, bundle_bytes: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``near_duplicates`` with h, the hash of each row's text."""
     bands, rows = choose_bands(threshold, recall)
     t = text_or_empty(text_col)
