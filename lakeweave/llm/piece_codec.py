@@ -44,7 +44,9 @@ class PieceCodec:
         self.id_of = {p.piece: i for i, p in enumerate(proto.pieces) if p.type in (1, 4)}
         self.score = {p.piece: p.score for p in proto.pieces if p.type in (1, 4)}
         self.byte_id = {int(p.piece[1:-1], 16): i for i, p in enumerate(proto.pieces) if p.type == 6}
-        self.byte_of = {i: b for b, i in self.byte_id.items()}
+        self.said = [p.replace(SPACE, " ").encode() for p in self.pieces]
+        for b, i in self.byte_id.items():
+            self.said[i] = bytes([b])
         pairs = {p[i : i + 2] for p in self.id_of for i in range(len(p) - 1)}
         self.units_hold = all(UNIT.findall(p) == [p] for p in pairs)
         self.lead = [self.id_of[SPACE], self.byte_id[10]]
@@ -79,10 +81,7 @@ class PieceCodec:
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids; bytes that form no character become U+FFFD. The dummy prefix, the first space, goes."""
-        out = bytearray()
-        for i in ids:
-            out += bytes([self.byte_of[i]]) if i in self.byte_of else self.pieces[i].replace(SPACE, " ").encode()
-        return out.decode(errors="replace").removeprefix(" ")
+        return b"".join(map(self.said.__getitem__, ids)).decode(errors="replace").removeprefix(" ")
 
     def learn(self, units: list[str]) -> None:
         """Encode units not met before and check them against the library, whose ids hold where they differ (``differed`` counts these)."""
