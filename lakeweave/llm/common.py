@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lakeweave.scratch import scratch_dir, written
 
-__all__ = ["column", "components", "fresh", "gapless_rank", "row_id", "row_name", "scratch_dir", "text_or_empty", "written"]
+__all__ = ["column", "components", "fresh", "gapless_rank", "low_hashes", "row_id", "row_name", "scratch_dir", "text_or_empty", "written"]
 
 
 def column(name: str) -> Column:
@@ -42,6 +42,11 @@ def row_name(row_id: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), row_id.cast("string")), F.lit(""))
 
 
+def low_hashes(df: DataFrame, hashed: Column, share: float) -> DataFrame:
+    """About that share of the rows, those with the least 64-bit hashes; all where it is 1 or more. Without a shuffle."""
+    return df if share >= 1 else df.where(hashed < F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64))))
+
+
 def gapless_rank(df: DataFrame, keys: list[str], order: list[str], rows: int, out: str = "rank", per_task: int = 20_000) -> DataFrame:
     """Number the rows of each key from 0 without gaps, though one key may hold most rows.
 

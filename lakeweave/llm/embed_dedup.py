@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import column, components, written
+from lakeweave.llm.common import column, components, low_hashes, written
 
 #: Reference points grow with the root of the number of vectors up to so many; a list then holds about as many vectors at every size.
 LEAST_PIVOTS, MOST_PIVOTS = 64, 8192
@@ -267,7 +267,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, block: int = 1024,
 
     1. Reference points are directions between vectors of a sample, seen from its mean. Their
        number grows with the root of the number of vectors, from 64 to 8,192; the sample has
-       two vectors for each, so at most 16,384. See ``fit_index`` for the other choices.
+       about two vectors for each, so some 16,384 at most. See ``fit_index`` for the other choices.
     2. A vector is described by its nearest reference points and stands in the inverted list of
        each pair of these. On the lists' numbers alone, shared pivots are counted and rows without
        a candidate go. Long lists are dealt to pairs of blocks of ``block`` entries.
@@ -289,7 +289,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, block: int = 1024,
     if not n:
         return known.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     n_pivots = min(MOST_PIVOTS, max(LEAST_PIVOTS, 1 << math.ceil(math.log2(4 * math.sqrt(n)))))
-    sample = pa.chunked_array([classes.orderBy("same").select("unit").limit(2 * n_pivots).toArrow().column("unit").combine_chunks()])
+    sample = low_hashes(classes, F.xxhash64("same"), 2 * n_pivots / n).select("same", "unit").toArrow().sort_by("same").column("unit")
     width = int(pc.max(pc.list_value_length(sample)).as_py())
     index = fit_index(matrix(sample, width), n_pivots, threshold)
 

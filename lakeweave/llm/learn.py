@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import column, text_or_empty
+from lakeweave.llm.common import column, low_hashes, text_or_empty
 
 
 def held_out(id_col: str, modulus: int, remainder: int):
@@ -19,12 +19,15 @@ def held_out(id_col: str, modulus: int, remainder: int):
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """At most ``most`` labelled documents outside the held-out part, half of them of either label: rows doc_id, text, label (double).
 
-    The ids are drawn by hash, before any text is read. Being at most ``most`` rows of two
-    numbers, they are broadcast to the documents. An id with several labels has their mean.
+    The ids are drawn by hash, before any text is read; where there are many, those with high
+    hashes don't come to the draw. Being at most ``most`` rows of two numbers, they are broadcast
+    to the documents. An id with several labels has their mean.
     """
     rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", modulus, remainder))
     rows = rows.groupBy(F.col("doc_id").alias("__id")).agg(F.avg(label).alias("label"))
-    drawn = [rows.where(part).orderBy(F.xxhash64("__id"), "__id").limit(most // 2) for part in ("label >= 0.5", "label < 0.5")]
+    hashed, parts = F.xxhash64("__id"), (F.col("label") >= 0.5, F.col("label") < 0.5)
+    counts = rows.agg(*(F.count_if(part) for part in parts)).first()
+    drawn = [low_hashes(rows.where(part), hashed, (most + 100) / max(1, n)).orderBy(hashed, "__id").limit(most // 2) for part, n in zip(parts, counts, strict=True)]
     ids = drawn[0].union(drawn[1])
     return docs.select(column(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "label")
 
