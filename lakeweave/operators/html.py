@@ -252,14 +252,11 @@ def to_documents(captures: DataFrame, blobs: DataFrame | None = None, include_me
 def captured_documents(captures: DataFrame, blobs: DataFrame | None = None, **options: object) -> DataFrame:
     """``to_documents`` of successful rows of the captures table, the last capture of each URL: url, text, items.
 
-    A capture succeeds with HTML and a status below 400, or none. The HTML stays out of the
-    aggregation: only the time of the last success is looked up, then met with the rows.
+    A capture succeeds with HTML and a status below 400, or none. HTML moves once, after each
+    task has kept the last of its own captures of a URL.
     """
     good = captures.where("html is not null and coalesce(status, 200) < 400 and url is not null")
-    last = good.groupBy("url").agg(F.max(F.struct("fetched_at", "method")).alias("last")).select("url", "last.*")
-    same = [F.col("g.url") == F.col("l.url"), F.col("g.fetched_at").eqNullSafe(F.col("l.fetched_at")), F.col("g.method").eqNullSafe(F.col("l.method"))]
-    pages = good.alias("g").join(last.alias("l"), same, "left_semi").dropDuplicates(["url"])
-    pages = pages.withColumn("page_id", F.col("url"))
+    pages = good.groupBy("url").agg(F.max_by("html", F.struct("fetched_at", "method")).alias("html")).withColumn("page_id", F.col("url"))
     return to_documents(pages, blobs, **options).select("url", "text", "items")
 
 
