@@ -318,6 +318,16 @@ def test_cut_repeats_leaves_whole_characters(spark):
 # --- models ---------------------------------------------------------------------------------
 
 
+def test_samples_are_of_the_least_hashes(spark):
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    got = {(r.doc_id, r.label) for r in learn.labelled_sample(docs, labels, "toxic", 5, 0, 200).collect()}
+    own = labels.where(~learn.held_out("doc_id", 5, 0))
+    want = {(r.doc_id, float(r.toxic)) for k in (0, 1) for r in own.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id")).limit(100).collect()}
+    assert got == want and len(got) == 200
+    assert common.low_hashes(docs, F.xxhash64("doc_id"), 1.5).count() == 5000 and 300 < common.low_hashes(docs, F.xxhash64("doc_id"), 0.08).count() < 500
+
+
 def test_trees_learn_and_flatten():
     r = np.random.default_rng(0)
     x = r.normal(size=(3000, 5))
