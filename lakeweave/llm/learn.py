@@ -21,7 +21,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
 
     The ids are drawn by hash, before any text is read; where there are many, those with high
     hashes don't come to the draw. Being at most ``most`` rows of two numbers, they are broadcast
-    to the documents. An id with several labels has their mean.
+    to the documents. An id with several labels has their mean, one with several texts the least.
     """
     rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", modulus, remainder))
     rows = rows.groupBy(F.col("doc_id").alias("__id")).agg(F.avg(label).alias("label"))
@@ -29,7 +29,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     counts = rows.agg(*(F.count_if(part) for part in parts)).first()
     drawn = [low_hashes(rows.where(part), hashed, (most + 100) / max(1, n)).orderBy(hashed, "__id").limit(most // 2) for part, n in zip(parts, counts, strict=True)]
     ids = drawn[0].union(drawn[1])
-    return docs.select(column(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "label")
+    found = docs.select(column(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("__id"))
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 @dataclass

@@ -16,6 +16,9 @@ from lakeweave.llm.learn import held_out, labelled_sample
 from lakeweave.llm.words import Words, slices, split_words
 
 BITS = 18
+MASK = (1 << BITS) - 1
+#: Lengths of words' beginnings that are looked at.
+STEMS = (4, 5, 6, 7, 8)
 STRIP = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»„“”‘’¿¡…"
 ENDS = (".", "!", "?", "…")
 #: Words without an end mark, as in tables, make sentences of at most so many.
@@ -24,10 +27,28 @@ LONGEST = 40
 LEAST_TEXTS, START = 3, 1.0
 #: The sum that a sentence starts from, and the most that a text scores which says nothing telling.
 BIAS, MOST_BASE = -9.0, 0.4
+#: Training weighs label 1 as if so many texts had it at least: a toxic text left in costs more than a clean one lost.
+LEAST_SHARE = 0.3
+#: Words of the sample that go to the driver at most; texts beyond that, by id, are left out of the fit.
+MOST_WORDS = 20_000_000
 
 
-def _slot(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word.strip(STRIP).lower()) & ((1 << BITS) - 1)
+def _slots(word: str) -> list[int]:
+    """Hashes of a word and of its beginnings, each length as a mark of longer words only; -1 where it isn't longer. What a language derives from one stem is told by that, however rare each form is."""
+    word = word.strip(STRIP).lower()
+    return [xxhash.xxh3_64_intdigest(word) & MASK, *(xxhash.xxh3_64_intdigest(word[:k] + "+") & MASK if len(word) > k else -1 for k in STEMS)]
+
+
+def features(w: Words) -> np.ndarray:
+    """``_slots`` of each distinct word, a row each."""
+    return np.array([_slots(x) for x in w.distinct], np.int64).reshape(-1, 1 + len(STEMS))
+
+
+def sentence_features(slots: np.ndarray, codes: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """sentence << BITS | slot of all words, each once in a sentence, in order; slots of -1 are none."""
+    every = slots[codes]
+    keys = (number[:, None] << BITS | every)[every >= 0]
+    return np.unique(keys)
 
 
 def sentences(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -67,10 +88,11 @@ class NoisyOr:
     def sentence_scores(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Score and text of each sentence, and the sentence of each word."""
         number, text = sentences(w)
-        slots = np.array([_slot(x) for x in w.distinct], np.int64)[w.codes] if w.distinct else np.zeros(0, np.int64)
-        tells = self.weight[slots] > 0
-        once = np.unique(number[tells] << BITS | slots[tells])
-        total = np.bincount(once >> BITS, self.weight[once & ((1 << BITS) - 1)], len(text)) if len(text) else np.zeros(0)
+        slots = features(w)
+        slots[self.weight[slots] == 0] = -1  # weight[-1] is a slot's too, and stays -1
+        tells = (slots >= 0).any(axis=1)[w.codes]
+        once = sentence_features(slots, w.codes[tells], number[tells])
+        total = np.bincount(once >> BITS, self.weight[once & MASK], len(text)) if len(text) else np.zeros(0)
         return -np.expm1(_clean(self.bias + total, self.bias)), text, number
 
     def scores(self, w: Words) -> np.ndarray:
@@ -91,7 +113,7 @@ def said(w: Words, number: np.ndarray, sentence: int) -> str:
     return " ".join(w.distinct[c] for c in w.codes[a:b])
 
 
-def train(words: np.ndarray, sentence: np.ndarray, text: np.ndarray, y: np.ndarray, n: np.ndarray | None = None, share: float | None = None, rounds: int = 60, rate: float = 0.05, ridge: float = 2e-4, least_texts: int = LEAST_TEXTS, start: float = START) -> NoisyOr:
+def train(words: np.ndarray, sentence: np.ndarray, text: np.ndarray, y: np.ndarray, n: np.ndarray | None = None, share: float | None = None, rounds: int = 150, rate: float = 0.05, ridge: float = 3e-3, least_texts: int = LEAST_TEXTS, start: float = START) -> NoisyOr:
     """Fit on words (hashed), each one's sentence, each sentence's text, and the texts' labels and numbers of sentences ``n``, by Adam on the log loss.
 
     With ``share``, texts are weighted as if label 1 had that share of them. The base score is
@@ -117,7 +139,7 @@ def train(words: np.ndarray, sentence: np.ndarray, text: np.ndarray, y: np.ndarr
     sentence = sentence[common]
     once = np.unique(sentence.astype(np.int64) << BITS | words[common])
     sentence = once >> BITS
-    slots, at = np.unique((once & ((1 << BITS) - 1)).astype(np.int32), return_inverse=True)
+    slots, at = np.unique((once & MASK).astype(np.int32), return_inverse=True)
     del once, common
     # each word starts at how much likelier it makes label 1 by itself: words of copied texts then explain no others away
     odds = np.log((bad + 0.5) / (y.sum() + 1)) - np.log((times - bad + 0.5) / (len(y) - y.sum() + 1))
@@ -143,10 +165,10 @@ def train(words: np.ndarray, sentence: np.ndarray, text: np.ndarray, y: np.ndarr
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, remainder: int = 0, most: int = 8_000) -> NoisyOr:
-    """A model fitted on at most ``most`` labelled documents.
+    """A model fitted on at most ``most`` labelled documents, one a doc_id, with at most ``MOST_WORDS`` words.
 
-    Spark counts which words speak for label 1; only the places of these, out of at most
-    ``most`` documents, reach the driver.
+    Spark counts which words and beginnings of words speak for label 1; only the places of these
+    reach the driver.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,17 +176,20 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modul
             w = split_words(batch.column("text"))
             number, text = sentences(w)
             n = np.bincount(text, minlength=len(w.ends))
-            slots = np.array([_slot(x) for x in w.distinct], np.int64)[w.codes] if w.distinct else np.zeros(0, np.int64)
-            once = np.unique(number << BITS | slots)
+            once = sentence_features(features(w), w.codes, number)
             sentence = once >> BITS
             ends = np.cumsum(np.bincount(text[sentence], minlength=len(w.ends)))
             offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
             local = sentence - (np.cumsum(n) - n)[text[sentence]]
-            columns = [batch.column("doc_id"), batch.column("label"), pa.array(n.astype(np.int32)), *(pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (once & ((1 << BITS) - 1), local))]
+            columns = [batch.column("doc_id"), batch.column("label"), pa.array(n.astype(np.int32)), *(pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (once & MASK, local))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "n", "words", "sentence"])
 
     sample = labelled_sample(docs, labels, label, modulus, remainder, most)
     sample = written(sample.mapInArrow(run, "doc_id long, label double, n int, words array<int>, sentence array<int>"), "sample")
+    size = sample.select("doc_id", F.size("words").alias("size")).toArrow().sort_by("doc_id")
+    over = np.cumsum(size.column("size").to_numpy().astype(np.int64)) > MOST_WORDS
+    if over.any():  # from this id on
+        sample = sample.where(F.col("doc_id") < int(size.column("doc_id")[int(over.argmax())].as_py()))
     known = sample.select("doc_id", "label", "n").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending"), ("n", "ascending")])
     y, n = known.column("label").to_numpy(), known.column("n").to_numpy()
     by_word = sample.select("label", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("times"), F.sum("label").alias("bad"))
@@ -178,7 +203,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modul
     place = got.column("sentence").to_numpy().astype(np.int64)
     key, sentence = np.unique(owner.astype(np.int64) << 32 | place, return_inverse=True)
     text = key >> 32
-    return train(got.column("word").to_numpy(), sentence, text, y, n, share)
+    return train(got.column("word").to_numpy(), sentence, text, y, n, max(share or 0.0, LEAST_SHARE))
 
 
 def score_toxicity(docs: DataFrame, model: NoisyOr, modulus: int = 5, remainder: int = 0, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
