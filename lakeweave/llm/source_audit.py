@@ -131,8 +131,11 @@ def pair_prices(kept: DataFrame, groups: DataFrame) -> DataFrame:
     """
     block = F.floor(F.col("id") / BLOCK).cast("int")
     arrays = kept.groupBy("lang", "source", block.alias("block")).agg(F.array_sort(F.collect_list(F.struct(F.col("id"), F.col("count")))).alias("c"))
-    arrays = arrays.join(groups.select("lang", "source", "band", "bands", "total", "kept"), ["lang", "source"])
-    arrays = arrays.select("lang", "block", "source", "band", "bands", "total", "kept", F.col("c.id").alias("ids"), F.col("c.count").alias("counts"))
+    # every group has every block of its language, be it empty: what only the other side has is priced too
+    blocks = groups.where("kept > 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("kept") - 1) / BLOCK).cast("int"))))
+    arrays = blocks.join(arrays, ["lang", "source", "block"], "left")
+    none = F.array().cast("array<long>")
+    arrays = arrays.select("lang", "block", "source", "band", "bands", "total", "kept", F.coalesce("c.id", none).alias("ids"), F.coalesce("c.count", none).alias("counts"))
     arrays = written(arrays, "arrays")
     # a band meets itself and all later ones from the left, itself and all earlier ones from the right
     left = arrays.withColumn("band_a", F.col("band")).withColumn("band_b", F.explode(F.sequence(F.col("band"), F.col("bands") - 1)))

@@ -7,6 +7,7 @@ import hashlib
 import itertools
 import random
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -353,8 +354,18 @@ def test_quality_on_held_out_labels(spark):
     assert held_out_accuracy(spark, "/root/testdata/sf0.1", quality.score_quality, quality.fit_quality, "quality") > 0.97
 
 
-def test_toxicity_on_held_out_labels(spark):
-    assert held_out_accuracy(spark, "/root/testdata/sf0.1", toxicity.score_toxicity, toxicity.fit_toxicity, "toxic") > 0.95
+@pytest.mark.parametrize(("sf", "everywhere", "in_each"), [("sf0.1", 0.88, 0.75), ("check_s", 0.99, 0.97)])
+def test_toxicity_on_held_out_labels(spark, sf, everywhere, in_each):
+    """Recall in all and in each language, and false alarms. In sf0.1 some texts labelled toxic say nothing toxic."""
+    sf_dir = f"/root/testdata/{sf}"
+    if not Path(sf_dir).exists():
+        pytest.skip("no such tables here")
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    got = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels)).where("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    by_lang = got.groupBy("lang").agg(F.count_if(F.expr("toxic = 1")).alias("bad"), F.count_if(F.expr("toxic = 1 and predicted = 1")).alias("found"), F.count_if(F.expr("toxic = 0")).alias("clean"), F.count_if(F.expr("toxic = 0 and predicted = 1")).alias("false")).collect()
+    assert sum(r.found for r in by_lang) >= everywhere * sum(r.bad for r in by_lang)
+    assert all(r.found >= in_each * r.bad for r in by_lang)
+    assert sum(r.false for r in by_lang) <= 0.01 * sum(r.clean for r in by_lang)
 
 
 def test_toxicity_finds_the_sentence(spark):
@@ -411,14 +422,29 @@ def test_archives_round_trip(spark):
     assert {r.page_id: bytes(r.payload).decode() for r in got if r.page_id in (2, 7)} == {2: "b" * 999, 7: dict(pages)[7]}
 
 
+def test_revisits_name_records_that_exist(spark):
+    """Also where rows repeat both the page and the payload."""
+    pages = [(i, f"http://e.org/{i}", f"{i % 7}" * (900 + 50 * (i % 7))) for i in range(60)] + [(59, "http://e.org/again", "3" * 1050), (None, None, "6" * 1200)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    manifest = warc.write_archives(warc.with_roles(df), f"{common.scratch_dir(spark)}/archives", 700, 4000)
+    records = warc.read_records(manifest).collect()
+    assert len({r.record_id for r in records}) == len(records) == manifest.groupBy().sum("records").first()[0]
+    responses = {r.record_id: (r.digest, r.uri) for r in records if r.kind == "response"}
+    revisits = [r for r in records if r.kind == "revisit"]
+    assert len(revisits) == sum(len([p for p in pages if p[2] == h]) - len([p for p in pages if p[2] == h and p[0] == max(q[0] for q in pages if q[2] == h and q[0] is not None)]) for h in {p[2] for p in pages if len(p[2]) >= 1000})
+    assert all(responses[r.refers_to][0] == r.digest for r in revisits)
+    got = {(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_archives(manifest).collect()}
+    assert got >= {(1, 950, "response", None), (2, 1000, "revisit", 58), (None, 1200, "revisit", 55)}
+
+
 def test_broken_segments_are_told(spark):
-    records = [r for r in warc.page_records("urn:page:1:x", "u", b"q" * 5000, hashlib.sha1(b"q" * 5000).hexdigest(), None, 700)]
+    records = list(warc.response_records("urn:page:1:x", "u", b"q" * 5000, hashlib.sha1(b"q" * 5000).hexdigest(), 700))
     parsed = [p for r in records for p in warc.parsed(r)]
     assert b"".join(b for _, b in parsed) and warc.payload_of(b"".join(b for _, b in parsed)) == b"q" * 5000
-    lost = [(h["warc-record-id"].strip("<>"), h["warc-type"], int(h["warc-segment-number"]), int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None, h.get("warc-segment-origin-id", h["warc-record-id"]).strip("<>"), None, None, h.get("warc-payload-digest"), 5000, bytearray(b)) for i, (h, b) in enumerate(parsed) if i != 2]
+    lost = [(h["warc-record-id"].strip("<>"), h["warc-type"], int(h["warc-segment-number"]), int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None, h.get("warc-segment-origin-id", h["warc-record-id"]).strip("<>"), None, None, h.get("warc-payload-digest"), bytearray(b)) for i, (h, b) in enumerate(parsed) if i != 2]
     got = warc.reassemble(spark.createDataFrame(lost, warc.RECORD)).collect()
     assert [r.whole for r in got] == [False]
-    two = [*records, *warc.page_records("urn:page:2:x", "u", b"p" * 1200, hashlib.sha1(b"p" * 1200).hexdigest(), "urn:page:1", 700), warc.record({"WARC-Type": "response", "WARC-Record-ID": "<urn:page:3:x>", "WARC-Payload-Digest": None}, b"no head")]
+    two = [*records, warc.revisit_record("urn:page:2:x", "u", hashlib.sha1(b"p" * 1200).hexdigest(), 1200, "urn:page:1:x", "u"), warc.record({"WARC-Type": "response", "WARC-Record-ID": "<urn:page:3:x>", "WARC-Payload-Digest": None}, b"no head")]
     kinds = [(h["warc-type"], h.get("warc-segment-number")) for step in (1, 50, 1 << 14) for h, _ in warc.parsed(b"".join(two), step)]
     assert kinds == 3 * [("response", "1"), *(("continuation", str(n)) for n in range(2, len(records) + 1)), ("revisit", None), ("response", None)]
 
