@@ -9,6 +9,7 @@ from lakeweave.functions.media import best_video_variant, over_cap
 from lakeweave.functions.urls import let
 
 SHORT_LINK = r"https?://t\.co/\S+"  # fixed value
+BLANK_ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 DAY, MINUTE = "MMMM dd, yyyy", "MMMM dd, yyyy 'at' HH:mm"
 MEDIA = "array<struct<kind:string,url:string>>"
 
@@ -65,7 +66,7 @@ def _x_post_card(p: Column, media_number: Column | None) -> Column:
         _text("Posted on: ", F.date_format(p["created_at"], MINUTE)),
         _text("Likes: ", m["like_count"], " - Retweets: ", m["retweet_count"], " - Replies: ", m["reply_count"], " - Views: ", m["impression_count"]),
         "",
-        F.trim(F.regexp_replace(p["text"], SHORT_LINK, "")),
+        F.regexp_replace(F.regexp_replace(p["text"], SHORT_LINK, ""), BLANK_ENDS, ""),
     )
     return F.when(p.isNotNull() & ~odd, _card(text, media))
 
@@ -219,18 +220,19 @@ def _count(v: Column, key: str) -> Column:
 
 
 def generic_video_card(payload: Column, platform: Column, max_video_size: Column | None = None) -> Column:
-    """A video of any platform. Dates of eight digits become ISO dates, impossible ones stay. A video that is absent or over the cap gives way to its thumbnail."""
+    """A video of any platform. Fields that are missing have defaults, those that are null read None. Dates of eight digits become ISO dates, impossible ones stay. A video that is absent or over the cap gives way to its thumbnail."""
     return let(F.try_parse_json(payload), lambda v: _generic_video_card(v, platform, max_video_size))
 
 
 def _generic_video_card(v: Column, platform: Column, max_video_size: Column | None) -> Column:
     get = lambda k, kind="string": F.try_variant_get(v, f"$.{k}", kind)
-    raw = F.coalesce(get("upload_date"), F.lit(""))
-    day = let(raw, lambda r: F.coalesce(F.date_format(F.try_to_timestamp(F.when(r.rlike(r"^\d{8}$"), r), F.lit("yyyyMMdd")), "yyyy-MM-dd"), r))
+    # a missing key has a default, one that is null reads None
+    said = lambda k, default: F.when(get(k, "variant").isNull(), default).otherwise(F.coalesce(get(k), F.lit("None")))
+    day = let(said("upload_date", ""), lambda r: F.coalesce(F.date_format(F.try_to_timestamp(F.when(r.rlike(r"^\d{8}$"), r), F.lit("yyyyMMdd")), "yyyy-MM-dd"), r))
     text = _lines(
-        _text("**", platform, " Video**"), _text("Author: @", F.coalesce(get("uploader"), F.lit("Unknown"))), _text("Posted: ", day),
-        _text("Duration: ", F.coalesce(get("duration"), F.lit("0")), "s"),
-        _text("Views: ", _count(v, "view_count"), " - Likes: ", _count(v, "like_count"), " - Comments: ", _count(v, "comment_count")), "", F.coalesce(get("description"), F.lit("")),
+        _text("**", platform, " Video**"), _text("Author: @", said("uploader", "Unknown")), _text("Posted: ", day),
+        _text("Duration: ", said("duration", "0"), "s"),
+        _text("Views: ", _count(v, "view_count"), " - Likes: ", _count(v, "like_count"), " - Comments: ", _count(v, "comment_count")), "", said("description", ""),
     )
     over = F.lit(False) if max_video_size is None else over_cap(get("filesize", "long"), max_video_size)
     media = let(F.when(~over, get("video_url")), lambda video: F.when(video.isNotNull(), _media(_medium("video", video))).otherwise(_media(_medium("image", get("thumbnail")))))

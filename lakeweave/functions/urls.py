@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 # Patterns and suffixes that decide which URLs match.
 DOMAIN = r"(?:https?:\/\/)?(?:www\.)?([-a-zA-Z0-9@:%._\+~#=]{1,256}\.[a-zA-Z0-9()]{1,6})/?"
 URL = r"^https?:\/\/(?:www\.)?[-a-zA-Z0-9@:%._\+~#=]{1,256}\.[a-zA-Z0-9()]{1,6}\b(?:[-a-zA-Z0-9@:%_\+.~#?&//=]*)"
+PATH = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/]*)?(.*)$"
 ROOT = r"^(:?https?://)?([^/]+)"
 DATA_URI = r"^data:([\w/+.-]+/[\w.+-]+);base64,([A-Za-z0-9+/=]+)"
 BACKGROUND = r"""(?i)background-image\s*:\s*url\(\s*['"]?([^'")\s]+)['"]?\s*\)"""
@@ -57,7 +58,7 @@ def url_kind_flags(url: Column) -> Column:
 def url_path(url: Column) -> Column:
     """Path without query, fragment and ``;params``."""
     bare = F.regexp_replace(url, r"[?#].*$", "")
-    path = F.regexp_extract(bare, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/]*)?(.*)$", 1)
+    path = F.regexp_extract(bare, PATH, 1)
     return F.regexp_replace(path, r";[^/]*$", "")
 
 
@@ -88,11 +89,15 @@ def background_image_url(style: Column) -> Column:
     return F.when(~reject & accept, url)
 
 
-def expand_short_urls(urls, redirects):
-    """``urls`` (short_url) with long_url: where the redirect ended, if elsewhere; else the target of a refresh in its body; else null. Of several redirects of one URL the least that leads anywhere counts."""
+def redirected() -> Column:
+    """Where a row of redirects (short_url, final_url, body) leads, if elsewhere; else the target of a refresh in its body."""
     moved = F.rtrim(F.col("final_url"), F.lit("/")) != F.rtrim(F.col("short_url"), F.lit("/"))
-    refresh = F.nullif(F.regexp_extract("body", META_REFRESH, 1), F.lit(""))
-    found = redirects.groupBy("short_url").agg(F.min(F.coalesce(F.when(moved, F.col("final_url")), refresh)).alias("long_url"))
+    return F.coalesce(F.when(moved, F.col("final_url")), F.nullif(F.regexp_extract("body", META_REFRESH, 1), F.lit("")))
+
+
+def expand_short_urls(urls, redirects):
+    """``urls`` (short_url) with long_url, where its redirect leads (``redirected``); null if nowhere. Of several redirects of one URL the least that leads anywhere counts."""
+    found = redirects.groupBy("short_url").agg(F.min(redirected()).alias("long_url"))
     return urls.join(found, "short_url", "left").select(urls["*"], found["long_url"])
 
 
@@ -118,6 +123,30 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+# Beginnings of addresses that carry another one.
+PUBLISH = "https://publish.twitter.com/?query="
+LOGIN, EMBED = "https://www.facebook.com/login/?next=", "https://www.facebook.com/plugins/post.php?href="
+SHORTENER = "t.co"
+
+
+def _unwrapped_x(url: Column) -> Column:
+    return F.when(url.startswith(PUBLISH), query_value(url, "query"))
+
+
+def _unwrapped_facebook(url: Column) -> Column:
+    return F.when(url.startswith(LOGIN), query_value(url, "next")).when(url.startswith(EMBED), query_value(url, "href"))
+
+
+def unwrapped(url: Column) -> Column:
+    """The address that a publishing, login or embedding address carries; null if it is none of these."""
+    return F.coalesce(_unwrapped_x(url), _unwrapped_facebook(url))
+
+
+def is_short(url: Column) -> Column:
+    """Whether an address is one of the shortener's, which only a redirect tells."""
+    return F.regexp_extract(url, r"^https?://([^/?#]+)", 1) == SHORTENER
+
+
 def _link(platform: str, kind: Column, ident: Column | None = None, username: Column | None = None, number: Column | None = None, url: Column | None = None) -> Column:
     ident, username, url = (F.lit(None).cast("string") if x is None else x for x in (ident, username, url))
     number = F.lit(None).cast("int") if number is None else number
@@ -125,16 +154,14 @@ def _link(platform: str, kind: Column, ident: Column | None = None, username: Co
 
 
 def _x(url: Column) -> Column:
-    published = url.startswith("https://publish.twitter.com/?query=")
-    plain = F.when(published, F.coalesce(query_value(url, "query"), url)).otherwise(url)
-    return let(plain, lambda u: let(url_path(u), lambda path: _x_parts(u, path)))
+    return let(F.coalesce(_unwrapped_x(url), url), lambda u: let(url_path(u), lambda path: _x_parts(u, path)))
 
 
 def _x_parts(url: Column, path: Column) -> Column:
     post = path.rlike(X_POST)
-    name = F.try_element_at(F.filter(_parts(path), lambda p: F.length(p) >= 3), F.lit(1))
-    short = F.regexp_extract(url, r"^https?://([^/?#]+)", 1) == "t.co"
-    kind = F.when(short, "short").when(post, "post").when(path.startswith("/search"), "unsupported").when(name.isNotNull(), "profile").otherwise("unsupported")
+    first = _first(_parts(path))
+    name = F.when(F.length(first) >= 3, first)
+    kind = F.when(is_short(url), "short").when(post, "post").when(path.startswith("/search"), "unsupported").when(name.isNotNull(), "profile").otherwise("unsupported")
     number = F.nullif(F.regexp_extract(path, X_POST, 2), F.lit("")).try_cast("int")
     return _link("x", kind, F.when(post, F.regexp_extract(path, X_POST, 1)), F.when(kind == "profile", name), F.when(post, number), url)
 
@@ -149,25 +176,23 @@ def _tiktok_parts(url: Column, parts: Column) -> Column:
     digits = F.try_element_at(F.filter(parts, lambda p: p.rlike(r"^\d{10,}$")), F.lit(-1))
     ident = F.when(moving, _first(parts)).otherwise(F.coalesce(F.nullif(F.regexp_extract(url, r"/video/(\d+)", 1), F.lit("")), digits))
     named = F.nullif(F.regexp_extract(url, r"/@([^/?]+)", 1), F.lit(""))
-    other = F.when(~_first(parts).startswith("video") & ~_first(parts).rlike(r"^\d+$"), F.ltrim(_first(parts), F.lit("@")))
+    other = _first(F.filter(F.transform(F.filter(parts, lambda p: ~p.startswith("video") & ~p.rlike(r"^\d+$")), lambda p: F.ltrim(p, F.lit("@"))), lambda p: p != ""))
     return _link("tiktok", F.when(video, "video").otherwise("profile"), F.when(video, ident), F.coalesce(named, other), url=url)
 
 
 def _facebook(url: Column) -> Column:
-    past_login = F.coalesce(F.when(url.contains("/login"), query_value(url, "next")), url)
-    bare = let(past_login, lambda u: F.coalesce(F.when(u.contains("/plugins/"), query_value(u, "href")), u))
-    return let(bare, _facebook_parts)
+    return let(F.coalesce(_unwrapped_facebook(url), url), _facebook_parts)
 
 
 def _facebook_parts(url: Column) -> Column:
     parts = _parts(url_path(url))
-    video = url.contains("/watch") | url.contains("/reel") | url.rlike(FACEBOOK_VIDEO) | url.contains("fb.watch") | url.contains("/videos/")
+    video = url.contains("facebook.com/watch") | url.contains("facebook.com/reel") | url.rlike(FACEBOOK_VIDEO) | url.contains("fb.watch") | url.contains("/videos/")
     kind = F.when(video, "video").when(url.contains("facebook.com/photo"), "photo").when(url.rlike(r"facebook\.com/.+/posts/.+"), "post").when(_first(parts) == "profile.php", "profile").otherwise("other")
     return _link("facebook", kind, query_value(url, "v"), url=url)
 
 
 def _instagram(url: Column) -> Column:
-    kind = F.when(url.contains("/reels") | url.contains("/reel/"), "video").when(url.contains("/p/"), "photo_or_reel").otherwise("profile")
+    kind = F.when(url.contains("instagram.com/reels") | url.contains("instagram.com/reel/"), "video").when(url.contains("instagram.com/p/"), "photo_or_reel").otherwise("profile")
     return _link("instagram", kind, username=F.when(kind == "profile", _first(_parts(url_path(url)))), url=url)
 
 

@@ -3,28 +3,32 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urljoin
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeweave.functions import dom
-from lakeweave.functions.media import decode_data_uri_media, header
+from lakeweave.functions.media import decode_data_uri_media, header, is_streaming
 from lakeweave.functions.text import inline_text_data_uris, tidy_markdown
-from lakeweave.functions.urls import BACKGROUND, PIXEL, VECTOR, resolve_media_url, url_domain
+from lakeweave.functions.urls import BACKGROUND, PATH, PIXEL, VECTOR, let, resolve_media_url, url_domain
 from lakeweave.operators.media import attach_media
+from lakeweave.operators.nodes import page_nodes, parsed, tree
+from lakeweave.scratch import written
 
 DROPPED = ("script", "style", "noscript", "footer", "aside")
 ELEMENTS = "ordinal int, tag string, kind string, raw_uri string, has_child_tags boolean"
-_BACKGROUND = re.compile(BACKGROUND)
+_BACKGROUND, _PATH = re.compile(BACKGROUND), re.compile(PATH)
 
 
 def _suffix(url: str) -> str:
-    path = re.sub(r"[?#].*$", "", url).rsplit("/", 1)[-1].split(";")[0].lower()
-    return path.rpartition(".")[2] if "." in path else ""
+    """Suffix of the path, as ``url_media_class`` sees it; a bare host has none."""
+    path = _PATH.match(re.sub(r"[?#].*$", "", url))[1]
+    return re.sub(r";[^/]*$", "", path).rpartition("/")[2].rpartition(".")[2].lower() if "." in path else ""
 
 
 def _background(style: str | None) -> str | None:
@@ -145,10 +149,16 @@ def _plain(style: str | None) -> str | None:
 def rewritten(html: str, media: dict[int, str]) -> dom.Node | None:
     """The page's tree with candidates replaced by references (ordinal -> token); None if it has no candidates."""
     root = dom.parse(html)
-    found = _candidates(root)
+    found = [n for n, _, _ in _candidates(root)]
     if not found:
         return None
-    for i, (n, _, _) in enumerate(found):
+    place(found, media)
+    return root
+
+
+def place(found: list[dom.Node], media: dict[int, str]) -> None:
+    """Put the tokens (ordinal -> token) in the place of the nodes found in a tree. Wrappers stay behind their token, without the background; other nodes go."""
+    for i, n in enumerate(found):
         if n.parent is None:
             continue
         wrapper = any(k.tag for k in n.kids)
@@ -163,7 +173,6 @@ def rewritten(html: str, media: dict[int, str]) -> dom.Node | None:
                 n.put(*token, n)
         else:
             n.put(*token)
-    return root
 
 
 @F.pandas_udf(T.StringType())
@@ -175,15 +184,19 @@ def _rewrite(html: pd.Series, media: pd.Series) -> pd.Series:
     return pd.Series([one(p, m) for p, m in zip(html, media, strict=True)])
 
 
-@F.pandas_udf(T.StringType())
-def _rewrite_to_markdown(html: pd.Series, media: pd.Series) -> pd.Series:
-    def one(page: str | None, found: object) -> str | None:
+@F.arrow_udf(T.StringType())
+def _documents(nodes: pa.Array, found: pa.Array, media: pa.Array) -> pa.Array:
+    """Markdown of parsed pages with the tokens (ordinal, token) in the places of what was found."""
+    out = []
+    for page, places, tokens in zip(page_nodes(nodes), found, media, strict=True):
         if page is None:
-            return None
-        root = rewritten(page, {int(m["ordinal"]): m["token"] for m in (found if found is not None else [])})
-        return dom.markdown(dom.parse(page) if root is None else root)
-
-    return pd.Series([one(p, m) for p, m in zip(html, media, strict=True)])
+            out.append(None)
+            continue
+        at = tree(*page)
+        seen = [at[f["node"].as_py()] if f["node"].as_py() >= 0 else dom.Node("") for f in places]
+        place(seen, {t["ordinal"].as_py(): t["token"].as_py() for t in tokens} if tokens.is_valid else {})
+        out.append(dom.markdown(at[0]))
+    return pa.array(out, pa.string())
 
 
 @F.pandas_udf(T.StringType())
@@ -200,14 +213,15 @@ def reference(kind: Column, media_id: Column) -> Column:
     return F.concat(F.lit("<"), kind, F.lit(":"), F.substring(media_id, 1, 32), F.lit(">"))
 
 
-def _tokens(attached: DataFrame) -> DataFrame:
+def _tokens(attached: DataFrame, *keys: str) -> DataFrame:
     token = F.struct("ordinal", reference(F.col("media_kind"), F.col("media_id")).alias("token"))
-    return attached.where("media_id is not null").groupBy("page_id").agg(F.array_sort(F.collect_list(token)).alias("media"))
+    return attached.where("media_id is not null").groupBy(*keys).agg(F.array_sort(F.collect_list(token)).alias("media"))
 
 
 def rewrite_media(pages: DataFrame, attached: DataFrame) -> DataFrame:
-    """Replace or remove each page's media candidates; ``attached`` has page_id, ordinal, media_kind, media_id."""
-    return pages.join(_tokens(attached), "page_id", "left").withColumn("html", _rewrite("html", "media")).drop("media")
+    """Replace or remove each page's media candidates; ``attached`` has page_id, ordinal, media_kind, media_id, and the page's url where page_id alone doesn't tell pages apart."""
+    keys = ["page_id", "url"] if "url" in attached.columns else ["page_id"]
+    return pages.join(_tokens(attached, *keys), keys, "left").withColumn("html", _rewrite("html", "media")).drop("media")
 
 
 @F.pandas_udf(T.StructType().add("width", "integer").add("height", "integer"))
@@ -224,10 +238,12 @@ def to_documents(captures: DataFrame, blobs: DataFrame | None = None, include_me
     Format 'multimodal_sequence' gives Markdown with media references, 'html' the raw HTML without
     items. With a policy, Markdown is made of the part of the page that its selector names.
 
-    With media: elements are extracted without HTML, their URIs resolved and joined with the
-    blobs' metadata (url, media_id, kind, width, height), data URIs decoded in place; what passes
-    the size test goes back to its page as a short array, and one fused pass rewrites the page and
-    makes it Markdown. Without media it is one map-only pass.
+    With media, each page is parsed once, into a written table of nodes (``operators.nodes``) in
+    which every row has a number of its own: pages may share page_id and url. The elements found
+    are a few short columns of it; their URIs are resolved and joined with the blobs' metadata (as
+    of ``media_catalogue``), data URIs decoded in place. What passes the size test goes back to its
+    page as a short array, and one pass over the nodes makes Markdown. Without media it is one
+    map-only pass.
     """
     if format == "html":
         return captures.select("page_id", "url", F.col("html").alias("text"), F.array().cast(ITEMS).alias("items"))
@@ -236,17 +252,18 @@ def to_documents(captures: DataFrame, blobs: DataFrame | None = None, include_me
     pages = (captures if policy is None else select_content_root(captures, policy)).select("page_id", "url", "html")
     if not include_media:
         return pages.select("page_id", "url", html_to_markdown(F.col("html")).alias("text"), F.array().cast(ITEMS).alias("items"))
-    pages = pages.withColumn("html", inline_text_data_uris(F.col("html")))
-    elements = media_elements(pages, keep_url=True)
-    inline = decode_data_uri_media(F.col("raw_uri"))
-    elements = elements.withColumn("inline", inline).withColumn("origin", F.when(F.col("inline").isNotNull(), "data_uri").otherwise("download"))
-    fetched = elements.where("inline is null").withColumn("uri", resolve_media_url(F.col("raw_uri"), F.col("url"))).select("page_id", "ordinal", "kind", "uri", "origin")
+    pages = parsed(pages.withColumn("html", inline_text_data_uris(F.col("html"))), _candidates).withColumn("row", F.monotonically_increasing_id())
+    pages = written(pages, "parsed")
+    elements = pages.select("row", "url", F.explode("found").alias("f")).select("row", "url", "f.ordinal", "f.kind", "f.raw_uri")
+    elements = elements.withColumn("inline", decode_data_uri_media(F.col("raw_uri")))
     size = _size("inline.content")
-    own = elements.where("inline is not null").select("page_id", "ordinal", F.col("inline.kind").alias("media_kind"), F.sha2("inline.content", 256).alias("media_id"), size.alias("s"))
-    own = own.where("media_kind = 'video' or (s.width >= 256 and s.height >= 256)").select("page_id", "ordinal", "media_kind", "media_id")
-    parts = own if blobs is None else own.unionByName(attach_media(fetched, blobs).where("media_id is not null").select("page_id", "ordinal", "media_kind", "media_id"))
-    joined = pages.join(_tokens(parts), "page_id", "left")
-    return joined.select("page_id", "url", tidy_markdown(_rewrite_to_markdown("html", "media")).alias("text"), F.coalesce("media", F.array().cast(ITEMS)).alias("items"))
+    own = elements.where("inline is not null").select("row", "ordinal", F.col("inline.kind").alias("media_kind"), F.sha2("inline.content", 256).alias("media_id"), size.alias("s"))
+    parts = own.where("media_kind = 'video' or (s.width >= 256 and s.height >= 256)").select("row", "ordinal", "media_kind", "media_id")
+    if blobs is not None:
+        fetched = elements.where("inline is null").select("row", "ordinal", "kind", resolve_media_url(F.col("raw_uri"), F.col("url")).alias("uri"), F.lit("download").alias("origin")).where("uri is not null")
+        parts = parts.unionByName(attach_media(fetched, blobs, page=("row",)).where("media_id is not null").select("row", "ordinal", "media_kind", "media_id"))
+    joined = pages.join(_tokens(parts, "row"), "row", "left")
+    return joined.select("page_id", "url", tidy_markdown(_documents("nodes", "found", "media")).alias("text"), F.coalesce("media", F.array().cast(ITEMS)).alias("items"))
 
 
 def captured_documents(captures: DataFrame, blobs: DataFrame | None = None, **options: object) -> DataFrame:
@@ -281,14 +298,15 @@ def _features(html: pd.Series) -> pd.DataFrame:
         src = [n for n in nodes if n.tag in ("img", "video", "source") and n.attrs.get("src")]
         body = next((n for n in nodes if n.tag == "body"), root)
         wraps = sum("tgme_widget_message_photo_wrap" in n.classes for n in nodes)
+        shown = sum("tgme_widget_message_photo_wrap" in n.classes and "background-image" in (n.attrs.get("style") or "") for n in nodes)
         content = any(n.tag in ("article", "main") or n.attrs.get("role") == "main" for n in nodes)
         media = bool(src) or wraps > 0 or any("background-image" in (n.attrs.get("style") or "") or "tgme_widget_message_video" in n.classes for n in nodes)
-        rows.append((len(page or ""), len(dom.text_of(root)), media, any("/web/" in u for u in srcs + hrefs) or bool(src) or content, any("_/http" in u for u in srcs + hrefs), any(n.tag == "iframe" for n in nodes), sum(k.tag is not None for k in body.kids), wraps, sum(n.tag == "video" and bool(n.attrs.get("src")) for n in nodes), sum(n.tag == "img" for n in nodes)))
+        rows.append((len(page or ""), len(dom.text_of(root)), media, any("/web/" in u for u in srcs + hrefs) or bool(src) or content, any("_/http" in u for u in srcs + hrefs), any(n.tag == "iframe" for n in nodes), sum(k.tag is not None for k in body.kids), shown, sum(n.tag == "video" and "src" in n.attrs for n in nodes), sum(n.tag == "img" and "src" in n.attrs for n in nodes)))
     return pd.DataFrame(rows, columns=list(FEATURES))
 
 
 def page_readiness(pages: DataFrame) -> DataFrame:
-    """Add features of html and the tests on them: ready_perma, ready_wayback, archived."""
+    """Add features of html and the tests on them: ready_perma, ready_wayback, archived. Of photo wraps those with a background image count, of videos and images those with a src."""
     f = pages.withColumn("f", _features("html"))
     return f.select(
         *pages.columns, "f.*",
@@ -303,7 +321,29 @@ def tiktok_video_candidates(html: Column) -> Column:
     script = F.regexp_extract(html, r'(?s)<script[^>]*id="__UNIVERSAL_DATA_FOR_REHYDRATION__"[^>]*>(.*?)</script>', 1)
     schema = "struct<`__DEFAULT_SCOPE__`: struct<`webapp.video-detail`: struct<itemInfo: struct<itemStruct: struct<video: struct<playAddr: string, downloadAddr: string, bitrateInfo: array<struct<PlayAddr: struct<UrlList: array<string>>>>>>>>>>"
     video = F.from_json(F.nullif(script, F.lit("")), schema)["__DEFAULT_SCOPE__"]["webapp.video-detail"]["itemInfo"]["itemStruct"]["video"]
+    return let(video, _video_urls)
+
+
+def _video_urls(video: Column) -> Column:
     none = F.array().cast("array<string>")
     rates = F.coalesce(F.flatten(F.transform(video["bitrateInfo"], lambda b: F.coalesce(b["PlayAddr"]["UrlList"], none))), none)
     urls = F.concat(F.array(video["playAddr"], video["downloadAddr"]), rates)
-    return F.array_distinct(F.filter(urls, lambda u: u.isNotNull() & (u != "") & ~u.contains(".m3u8")))
+    return F.array_distinct(F.filter(urls, lambda u: u.isNotNull() & (u != "") & ~is_streaming(u, F.lit(None).cast("string"))))
+
+
+def post_process(pages: DataFrame, rules: dict[str, Callable[[str], str]]) -> DataFrame:
+    """Pages (url, html) with the html of domains that have a rule as their rule returns it.
+
+    Rules are functions of the HTML, registered by the URL's domain (``functions.urls.url_domain``). Other
+    domains' pages aren't sent to Python; null html stays null, and a rule that returns None
+    leaves its page as it was.
+    """
+
+    def run(domains: pd.Series, html: pd.Series) -> pd.Series:
+        return pd.Series([None if h is None else rules[d](h) for d, h in zip(domains, html, strict=True)], dtype=object)
+
+    run.__annotations__ = {"domains": pd.Series, "html": pd.Series, "return": pd.Series}
+    domain = F.col("__domain")
+    ruled = domain.isin(*rules) if rules else F.lit(False)
+    changed = F.pandas_udf(run, "string")(F.when(ruled, domain), F.when(ruled, F.col("html")))
+    return pages.withColumn("__domain", url_domain(F.col("url"))).withColumn("html", F.when(ruled, F.coalesce(changed, F.col("html"))).otherwise(F.col("html"))).drop("__domain")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeweave.scratch import written
+from lakeweave.scratch import counted, written
 
 
 def settled_snapshot(snapshots: DataFrame, archived: bool = False) -> DataFrame:
@@ -35,19 +35,20 @@ def best_frame(frames: DataFrame, roots: DataFrame) -> DataFrame:
     """Of each root (page_id, frame_id) and its descendants the frame with the highest score; the root wins ties, then the lowest index.
 
     Descendants are found at any depth, by joins with ancestors twice as far each round, until no
-    frame meets a further root; each round's result is a written table.
+    frame has any so far or none meets a further root; each round's result is a written table,
+    counted as it is written.
     """
     at = ["page_id", "frame_id"]
     under = written(roots.select(*at, F.col("frame_id").alias("root_id")).distinct(), "under")
-    up = written(frames.where("page_id is not null and parent_id is not null").select(*at, F.col("parent_id").alias("far_id")).distinct(), "up")
-    n = under.count()
-    while True:
+    up, n_up = counted(frames.where("page_id is not null and parent_id is not null").select(*at, F.col("parent_id").alias("far_id")).distinct(), "up")
+    n = None
+    while n_up:
         far = under.withColumnRenamed("frame_id", "far_id")
-        under = written(under.unionByName(up.join(far, ["page_id", "far_id"]).select(*at, "root_id")).distinct(), "under")
-        if (more := under.count()) == n:
+        under, more = counted(under.unionByName(up.join(far, ["page_id", "far_id"]).select(*at, "root_id")).distinct(), "under")
+        if more == n:
             break
         n = more
-        up = written(up.join(up.select("page_id", F.col("frame_id").alias("far_id"), F.col("far_id").alias("farther")), ["page_id", "far_id"]).select(*at, F.col("farther").alias("far_id")).distinct(), "up")
+        up, n_up = counted(up.join(up.select("page_id", F.col("frame_id").alias("far_id"), F.col("far_id").alias("farther")), ["page_id", "far_id"]).select(*at, F.col("farther").alias("far_id")).distinct(), "up")
     found = under.join(frames.select(*at, "score", "frame_idx"), at).withColumn("is_root", F.col("frame_id") == F.col("root_id"))
     best = F.max_by("frame_id", F.struct(F.col("score"), F.col("is_root"), -F.col("frame_idx"), -F.col("frame_id")))
     return found.groupBy("page_id", "root_id").agg(best.alias("best_frame_id"), F.max("score").alias("score"), F.count(F.lit(1)).alias("candidates"))

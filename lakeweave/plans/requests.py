@@ -67,10 +67,10 @@ def direct_media_shortcut(plan: DataFrame, blobs: DataFrame | None = None) -> Da
 
 
 def explode_plan(plan: DataFrame, policy: DataFrame) -> DataFrame:
-    """One row per URL and step, with the settings that hold there."""
+    """One row per URL and step, with the settings that hold there. Requests that don't say are for completeness."""
     own = policy.select(F.col("domain").alias("__domain"), "no_bot", "premium_proxy", "no_ad_block")
     rows = plan.select("*", F.posexplode("steps").alias("step", "step_method")).join(F.broadcast(own), F.col("domain") == F.col("__domain"), "left").drop("__domain")
-    speed = F.coalesce("prioritize", F.lit("speed")) == "speed"
+    speed = F.coalesce("prioritize", F.lit("completeness")) == "speed"
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     return rows.select(
         "url", "clean_url", "domain", "step", F.col("step_method").alias("method"),

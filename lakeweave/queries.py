@@ -141,6 +141,10 @@ LINKS = [
     ("https://www.facebook.com/page/posts/pfbid1", "facebook", "post", None, None, None), ("https://www.instagram.com/reel/abc/", "instagram", "video", None, None, None), ("https://www.instagram.com/p/abc/", "instagram", "photo_or_reel", None, None, None),
     ("https://www.instagram.com/someone/", "instagram", "profile", None, "someone", None), ("https://t.me/channel/77", "telegram", "post", "77", "channel", None), ("https://t.me/channel", "telegram", "invalid", None, None, None),
     ("https://bsky.app/profile/a.example.org/post/3k", "bluesky", "post", "3k", "a.example.org", None), ("https://bsky.app/profile/a.example.org", "bluesky", "profile", None, "a.example.org", None), ("https://example.org/", None, None, None, None, None),
+    ("https://x.com/i/bookmarks", "x", "unsupported", None, None, None), ("https://www.instagram.com/someone/reels/", "instagram", "profile", None, "someone", None), ("https://www.instagram.com/someone/p/ABC/", "instagram", "profile", None, "someone", None),
+    ("https://www.facebook.com/some/watchparty", "facebook", "other", None, None, None), ("https://www.facebook.com/page/reel_fans", "facebook", "other", None, None, None), ("https://www.tiktok.com/video/name", "tiktok", "video", None, "name", None),
+    ("https://www.facebook.com/a/login?next=https%3A%2F%2Fwww.facebook.com%2Freel%2F9", "facebook", "other", None, None, None), ("https://m.facebook.com/plugins/x.php?href=https%3A%2F%2Fwww.facebook.com%2Fa%2Fposts%2F1", "facebook", "other", None, None, None),
+    ("https://www.facebook.com/plugins/post.php?href=https%3A%2F%2Fwww.facebook.com%2Fa%2Fposts%2F1", "facebook", "post", None, None, None), ("https://publish.twitter.com/?query=https%3A%2F%2Fx.com%2Fme%2Fstatus%2F5", "x", "post", "5", None, None), ("https://www.tiktok.com/12/@/who", "tiktok", "profile", None, "who", None),
 ]
 
 
@@ -175,16 +179,16 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     site = pick(SITES, "user_id")
     methods = F.when(F.col("event_id") % 7 == 0, F.array(F.lit("decodo"))).when(F.col("event_id") % 11 == 0, F.array(F.lit("firecrawl"), F.lit("nope"))).when(F.col("event_id") % 13 == 0, F.array().cast("array<string>"))
-    return e.select(F.col("event_id").alias("pos"), F.concat(site, F.lit("?u="), F.col("user_id").cast("string")).alias("url"), methods.alias("methods"), F.when(F.col("event_id") % 5 == 0, "html").otherwise("markdown").alias("format"), (F.col("event_id") % 3 != 0).alias("include_media"), F.lit(None).cast("long").alias("max_video_size"), F.when(F.col("event_id") % 2 == 0, "speed").otherwise("completeness").alias("prioritize"))
+    return e.select(F.col("event_id").alias("pos"), F.concat(site, F.lit("?u="), F.col("user_id").cast("string")).alias("url"), methods.alias("methods"), F.when(F.col("event_id") % 5 == 0, "html").otherwise("markdown").alias("format"), (F.col("event_id") % 3 != 0).alias("include_media"), F.lit(None).cast("long").alias("max_video_size"), F.when(F.col("event_id") % 3 == 0, "speed").when(F.col("event_id") % 3 == 1, "completeness").alias("prioritize"))
 
 
 REQUESTS_SQL = f"""requests AS (SELECT event_id AS pos, {pick_sql(SITES, "user_id")} || '?u=' || user_id AS url,
     CASE WHEN event_id % 7 = 0 THEN ['decodo'] WHEN event_id % 11 = 0 THEN ['firecrawl', 'nope'] WHEN event_id % 13 = 0 THEN [] END AS methods,
-    CASE WHEN event_id % 5 = 0 THEN 'html' ELSE 'markdown' END AS format, event_id % 3 <> 0 AS include_media, CASE WHEN event_id % 2 = 0 THEN 'speed' ELSE 'completeness' END AS prioritize FROM events)"""
+    CASE WHEN event_id % 5 = 0 THEN 'html' ELSE 'markdown' END AS format, event_id % 3 <> 0 AS include_media, CASE event_id % 3 WHEN 0 THEN 'speed' WHEN 1 THEN 'completeness' END AS prioritize FROM events)"""
 _policy_rows = sorted({*policies.METHODS, *(d for ds in policies.INTEGRATIONS.values() for d in ds), *policies.NO_BOT, *policies.PREMIUM_PROXY})
 _list = lambda v: "NULL" if v is None else "[" + ", ".join(map(quoted, v)) + "]::VARCHAR[]"
 POLICY_SQL = "policy(domain, p_methods, owners, no_bot, premium, no_ad) AS (VALUES " + ", ".join(f"({quoted(d)}, {_list(policies.METHODS.get(d))}, {_list([n for n, ds in policies.INTEGRATIONS.items() if d in ds])}, {str(d in policies.NO_BOT).lower()}, {str(d in policies.PREMIUM_PROXY).lower()}, {str(d in policies.NO_AD_BLOCK).lower()})" for d in _policy_rows) + ")"
-DEDUPED_SQL = "deduped AS (SELECT url, max(pos) AS pos, arg_max(struct_pack(m := methods), pos).m AS methods, arg_max(format, pos) AS format, arg_max(include_media, pos) AS include_media, arg_max(prioritize, pos) AS prioritize FROM requests GROUP BY url)"
+DEDUPED_SQL = "deduped AS (SELECT url, max(pos) AS pos, arg_max(struct_pack(m := methods), pos).m AS methods, arg_max(format, pos) AS format, arg_max(include_media, pos) AS include_media, arg_max(struct_pack(p := prioritize), pos).p AS prioritize FROM requests GROUP BY url)"
 ROUTED_SQL = f"""named AS (SELECT *, array_to_string(string_split(nullif(regexp_extract(url, {RE_DOMAIN}, 1), ''), '.')[-2:], '.') AS domain FROM deduped),
     routed AS (SELECT n.*, coalesce(p.no_bot, false) AS no_bot, coalesce(premium, false) AS premium, coalesce(no_ad, false) AS no_ad,
       flatten(list_transform(coalesce(methods, p_methods, {_list(policies.DEFAULT_METHODS)}), lambda m: CASE WHEN m = 'integrations' THEN coalesce(owners, []) ELSE [m] END)) AS steps FROM named n LEFT JOIN policy p ON p.domain = n.domain)"""

@@ -27,13 +27,12 @@ def _id(name: str = "page_id"):
 # --- HTML -----------------------------------------------------------------------------------
 
 
-@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '<p>' || substr(text, 1, 60) || '</p>' WHEN 1 THEN '<p>data:text/plain;base64,/w==</p>' WHEN 2 THEN '<p>data:text/plain;base64,aGk</p>'
-    ELSE '<p>data:image/png;base64,' || to_base64(encode(substr(text, 1, 60))) || '</p>' END AS html FROM documents""")
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '<p>' || CASE text WHEN '' THEN 'data:text/plain;base64,' ELSE text END || '</p>' WHEN 1 THEN '<p>data:text/plain;base64,/w==</p>' || text WHEN 2 THEN '<p>data:text/plain;base64,aGk</p>' || text
+    ELSE '<p>data:image/png;base64,' || to_base64(encode(text)) || '</p>' END AS html FROM documents""")
 def inline_text_data_uris(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id") % 4
-    code = F.base64(F.encode(F.substring("text", 1, 60), "UTF-8"))
-    code = F.regexp_replace(code, r"\s", "")
-    html = F.concat(F.lit("<p>data:"), F.when(k == 3, "image/png").otherwise("text/plain"), F.lit(";base64,"), F.when(k == 1, "/w==").when(k == 2, "aGk").otherwise(code), F.lit("</p>"))
+    code = F.regexp_replace(F.base64(F.encode("text", "UTF-8")), r"\s", "")
+    html = F.concat(F.lit("<p>data:"), F.when(k == 3, "image/png").otherwise("text/plain"), F.lit(";base64,"), F.when(k == 1, "/w==").when(k == 2, "aGk").otherwise(code), F.lit("</p>"), F.when(k.isin(1, 2), F.col("text")).otherwise(""))
     return table(spark, sf_dir, "documents").select("doc_id", X.inline_text_data_uris(html).alias("html"))
 
 
@@ -108,10 +107,16 @@ def unique_media_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _elements_and_blobs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    part = F.col("l_partkey").cast("string")
-    elements = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").cast("int").alias("ordinal"), F.concat(F.lit("https://m.example.org/"), part).alias("uri"), F.when(F.col("l_linenumber") % 5 == 0, "data_uri").otherwise("download").alias("origin"))
+    """A sixth of the elements ask for videos; every address was fetched twice, and gave another medium the first time."""
+    part, at = F.col("l_partkey").cast("string"), F.col("l_linenumber")
+    kind = F.when(F.col("l_suppkey") % 6 == 0, "video").otherwise("image")
+    elements = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page_id"), (at * 100_000 + F.col("l_suppkey")).cast("int").alias("ordinal"), kind.alias("kind"), F.concat(F.lit("https://m.example.org/"), part).alias("uri"), F.when(at % 5 == 0, "data_uri").otherwise("download").alias("origin"))
     p = F.col("p_partkey")
-    blobs = table(spark, sf_dir, "part").select(F.concat(F.lit("https://m.example.org/"), p.cast("string")).alias("url"), F.concat(F.lit("m"), p.cast("string")).alias("media_id"), F.when(p % 10 == 0, "video").otherwise("image").alias("kind"), (200 + p % 100).cast("int").alias("width"), (180 + p * 7 % 3000).cast("int").alias("height"))
+    fetch = F.explode(F.array(F.struct(F.lit("m").alias("sign"), F.lit(2).alias("day"), (200 + p % 100).alias("width")), F.struct(F.lit("z").alias("sign"), F.lit(1).alias("day"), F.lit(900).cast("long").alias("width"))))
+    blobs = table(spark, sf_dir, "part").select(p, fetch.alias("f")).select(
+        F.concat(F.lit("https://m.example.org/"), p.cast("string")).alias("url"), F.concat("f.sign", p.cast("string")).alias("media_id"), F.when(p % 10 == 0, "video").otherwise("image").alias("kind"),
+        F.col("f.width").cast("int").alias("width"), (180 + p * 7 % 3000).cast("int").alias("height"), F.make_timestamp(F.lit(2024), F.lit(1), F.col("f.day"), F.lit(0), F.lit(0), F.lit(0)).alias("fetched_at"),
+    )
     return elements, blobs
 
 
@@ -120,8 +125,9 @@ KEEP_SQL = """CASE WHEN origin = 'data_uri' THEN width >= 256 AND height >= 256
 
 
 @query(f"""WITH b AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 10 = 0 THEN 'video' ELSE 'image' END AS kind, 200 + p_partkey % 100 AS width, 180 + p_partkey * 7 % 3000 AS height FROM part),
-    e AS (SELECT l_orderkey AS page_id, l_linenumber AS ordinal, l_partkey AS k, CASE WHEN l_linenumber % 5 = 0 THEN 'data_uri' ELSE 'download' END AS origin FROM lineitem)
-    SELECT page_id, ordinal, CASE WHEN kind = 'video' OR {KEEP_SQL} THEN 'm' || e.k END AS media_id FROM e LEFT JOIN b ON b.k = e.k""")
+    e AS (SELECT l_orderkey AS page_id, (l_linenumber * 100000 + l_suppkey)::INT AS ordinal, l_partkey AS k, CASE WHEN l_linenumber % 5 = 0 THEN 'data_uri' ELSE 'download' END AS origin,
+          CASE WHEN arg_min(l_suppkey, l_linenumber * 100000 + l_suppkey) OVER (PARTITION BY l_orderkey, l_partkey) % 6 = 0 THEN 'video' ELSE 'image' END AS asked FROM lineitem)
+    SELECT page_id, ordinal, CASE WHEN kind = 'video' OR {KEEP_SQL} THEN 'm' || e.k END AS media_id FROM e LEFT JOIN b ON b.k = e.k AND kind = asked""")
 def attach_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.attach_media(*_elements_and_blobs(spark, sf_dir)).select("page_id", "ordinal", "media_id")
 
@@ -338,12 +344,12 @@ def best_video_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT page_id, url, unnest(CASE WHEN page_id % 3 = 0 THEN [0] ELSE [0, 1, 2] END) AS idx FROM pages)
-    SELECT page_id, page_id % 3 = 0 AS is_master, page_id % 3 = 1 AS is_cmaf, idx, CASE WHEN page_id % 3 = 0 THEN 'https://h.example.org/' || page_id || '/hi.m3u8' WHEN idx = 2 THEN 'https://cdn.example.org/2.ts'
+    SELECT page_id, page_id % 3 = 0 AS is_master, page_id % 3 = 1 AND page_id % 2 = 0 AS is_cmaf, idx, CASE WHEN page_id % 3 = 0 THEN 'https://h.example.org/' || page_id || '/hi.m3u8' WHEN idx = 2 THEN 'https://cdn.example.org/2.ts'
     WHEN idx = 1 THEN 'https://h.example.org/b.ts' ELSE 'https://h.example.org/' || page_id || '/a.' || CASE WHEN page_id % 3 = 1 THEN 'm4s' ELSE 'ts' END END AS target FROM p""")
 def parse_playlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("page_id") % 3
     master = F.lit("#EXTM3U\n#EXT-X-STREAM-INF:BANDWIDTH=1\nlo.m3u8\n#EXT-X-STREAM-INF:BANDWIDTH=2\nhi.m3u8\n")
-    media = F.concat(F.lit("#EXTM3U\n#EXTINF:4,\na."), F.when(k == 1, "m4s").otherwise("ts"), F.lit("?t=1\r\n#EXTINF:4,\n/b.ts\n\n#EXTINF:4,\nhttps://cdn.example.org/2.ts\n"))
+    media = F.concat(F.lit("#EXTM3U\n#EXTINF:4,\na."), F.when(k == 1, "m4s").otherwise("ts"), F.when(F.col("page_id") % 2 == 0, "\r\n").otherwise("?t=1\r\n"), F.lit("#EXTINF:4,\n/b.ts\n\n#EXTINF:4,\nhttps://cdn.example.org/2.ts\n"))
     lists = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("https://h.example.org/"), _id(), F.lit("/list.m3u8")).alias("url"), F.when(k == 0, master).otherwise(media).alias("text"))
     got = J.parse_playlist(lists).join(lists.select("page_id", "url"), "url")
     return got.select("page_id", "is_master", "is_cmaf", "idx", F.regexp_replace("target", r"\?t=1$", "").alias("target"))
@@ -359,7 +365,7 @@ def assemble_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tiktok_video_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("page_id") % 3
     play = F.concat(F.lit("https://v.example.org/"), _id(), F.lit("/play.mp4"))
-    full = F.concat(F.lit('{"playAddr":"'), play, F.lit('","downloadAddr":"https://v.example.org/x.m3u8","bitrateInfo":[{"PlayAddr":{"UrlList":["https://v.example.org/hd.mp4","'), play, F.lit('"]}},{"PlayAddr":{}}]}'))
+    full = F.concat(F.lit('{"playAddr":"'), play, F.lit('","downloadAddr":"https://v.example.org/M3U8/x","bitrateInfo":[{"PlayAddr":{"UrlList":["https://v.example.org/hd.mp4","'), play, F.lit('"]}},{"PlayAddr":{}}]}'))
     data = F.when(k == 0, full).otherwise('{"playAddr":"","downloadAddr":"https://v.example.org/down.mp4"}')
     script = F.concat(F.lit('<script id="__UNIVERSAL_DATA_FOR_REHYDRATION__" type="application/json">{"__DEFAULT_SCOPE__":{"webapp.video-detail":{"itemInfo":{"itemStruct":{"video":'), data, F.lit("}}}}}</script>"))
     html = F.when(k < 2, F.concat("html", script)).otherwise(F.col("html"))
@@ -464,7 +470,7 @@ def x_post_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     medium = F.struct(F.when(k % 2 == 0, "photo").otherwise("animated_gif").alias("type"), F.concat(F.lit("p"), k.cast("string")).alias("url"), F.array(variant("a", 1), variant("b", 2), variant("c", 2), variant("d", 9, "application/x-mpegURL")).alias("variants"))
     author = F.struct(F.col("o_orderpriority").alias("name"), F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("username"))
     metrics = F.struct(k.alias("like_count"), F.col("o_custkey").alias("retweet_count"), F.lit(0).alias("reply_count"), F.lit(7).alias("impression_count"))
-    payload = _json(text=F.concat(F.lit("said "), F.col("o_orderstatus"), F.lit(" https://t.co/abc ")), created_at=F.col("day"), author=author, metrics=metrics, media=F.array(medium))
+    payload = _json(text=F.concat(F.lit(" \n\u00a0said "), F.col("o_orderstatus"), F.lit("\n\thttps://t.co/abc \n")), created_at=F.col("day"), author=author, metrics=metrics, media=F.array(medium))
     card = C.x_post_card(payload)
     return o.select("o_orderkey", card.alias("c")).select("o_orderkey", "c.text", F.array_join(F.transform("c.media", lambda m: F.concat(m["kind"], F.lit(":"), m["url"])), " ").alias("media"))
 
@@ -516,12 +522,12 @@ def tiktok_profile_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", C.tiktok_profile_card(payload, F.concat(F.lit("u"), F.col("o_custkey").cast("string")), F.lit("https://www.tiktok.com/@u"))["text"].alias("text"))
 
 
-@query("""SELECT o_orderkey, E'**YouTube Video**\nAuthor: @' || o_orderpriority || E'\nPosted: ' || CASE WHEN o_orderkey % 2 = 0 THEN '20240231' ELSE strftime(o_orderdate::TIMESTAMP, '%Y-%m-%d') END || E'\nDuration: 0s\nViews: ' || format('{:,}', o_orderkey * 1000) || ' - Likes: ' || CASE WHEN o_orderkey % 3 = 0 THEN 'Unknown' ELSE '5' END || E' - Comments: 0\n\nd' AS text,
+@query("""SELECT o_orderkey, E'**YouTube Video**\nAuthor: @' || CASE WHEN o_orderkey % 7 = 0 THEN 'None' ELSE o_orderpriority END || E'\nPosted: ' || CASE WHEN o_orderkey % 13 = 0 THEN 'None' WHEN o_orderkey % 2 = 0 THEN '20240231' ELSE strftime(o_orderdate::TIMESTAMP, '%Y-%m-%d') END || E'\nDuration: ' || CASE WHEN o_orderkey % 5 = 0 THEN '12' ELSE 'None' END || E's\nViews: ' || format('{:,}', o_orderkey * 1000) || ' - Likes: ' || CASE WHEN o_orderkey % 3 = 0 THEN 'Unknown' ELSE '5' END || E' - Comments: 0\n\n' || CASE WHEN o_orderkey % 11 = 0 THEN 'None' ELSE 'd' END AS text,
     CASE WHEN o_custkey > 700 THEN 'image' ELSE 'video' END AS kind FROM orders""")
 def generic_video_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, k = _orders(spark, sf_dir), F.col("o_orderkey")
-    date = F.when(k % 2 == 0, "20240231").otherwise(F.date_format("day", "yyyyMMdd"))
-    payload = _json(uploader=F.col("o_orderpriority"), upload_date=date, view_count=k * 1000, like_count=F.when(k % 3 > 0, 5), description="d", video_url="v.mp4", thumbnail="t.jpg", filesize=F.col("o_custkey"))
+    date = F.when(k % 13 == 0, None).when(k % 2 == 0, "20240231").otherwise(F.date_format("day", "yyyyMMdd"))
+    payload = _json(uploader=F.when(k % 7 > 0, F.col("o_orderpriority")), upload_date=date, duration=F.when(k % 5 == 0, 12), view_count=k * 1000, like_count=F.when(k % 3 > 0, 5), description=F.when(k % 11 > 0, "d"), video_url="v.mp4", thumbnail="t.jpg", filesize=F.col("o_custkey"))
     return o.select("o_orderkey", C.generic_video_card(payload, F.lit("YouTube"), F.lit(700)).alias("c")).select("o_orderkey", "c.text", F.element_at("c.media.kind", 1).alias("kind"))
 
 

@@ -88,17 +88,17 @@ def rewrite_media_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.rewrite_media(table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html")), attached).select("page_id", "html")
 
 
-_SIZES = "page_id % 50 AS n, page_id % 4 AS wraps, page_id % 3 AS videos, page_id % 6 AS images, page_id % 7 = 0 AS framed, page_id % 11 = 0 AS archived"
+_SIZES = "page_id % 50 AS n, page_id % 4 AS wraps, page_id % 3 AS videos, page_id % 6 AS images, page_id % 2 AS bare, page_id % 7 = 0 AS framed, page_id % 11 = 0 AS archived"
 
 
 @query(f"""WITH p AS (SELECT page_id, {_SIZES}, length(left(url, page_id % 50)) AS said FROM pages)
-    SELECT page_id, said AS text_length, said > 40 OR wraps > 0 OR videos > 0 OR framed AS ready_perma, said > 40 OR videos > 0 OR 1 + wraps + videos + images + framed::INT + archived::INT > 3 AS ready_wayback, archived,
+    SELECT page_id, said AS text_length, said > 40 OR wraps > 0 OR bare > 0 OR videos > 0 OR framed AS ready_perma, said > 40 OR videos > 0 OR 1 + wraps + videos + images + 2 * bare + framed::INT + archived::INT > 3 AS ready_wayback, archived,
     10 * wraps + 10 * videos + least(images, 3) + CASE WHEN page_id % 5 = 0 THEN 5 ELSE 0 END AS score FROM p""")
 def readiness_and_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Small pages whose features all vary; the score is of the features found."""
     i = F.col("page_id")
     html = F.concat(
-        _text("<html><body><p>", F.expr("left(url, cast(page_id % 50 as int))"), "</p>"), F.repeat(F.lit('<a class="tgme_widget_message_photo_wrap"></a>'), (i % 4).cast("int")), F.repeat(F.lit('<video src="v"></video>'), (i % 3).cast("int")), F.repeat(F.lit("<img>"), (i % 6).cast("int")),
+        _text("<html><body><p>", F.expr("left(url, cast(page_id % 50 as int))"), "</p>"), F.repeat(F.lit('<a class="tgme_widget_message_photo_wrap" style="background-image:url(/b.jpg)"></a>'), (i % 4).cast("int")), F.repeat(F.lit('<a class="tgme_widget_message_photo_wrap"></a>'), (i % 2).cast("int")), F.repeat(F.lit('<video src="v"></video>'), (i % 3).cast("int")), F.repeat(F.lit("<img>"), (i % 2).cast("int")), F.repeat(F.lit('<img src="">'), (i % 6).cast("int")),
         F.when(i % 7 == 0, "<iframe></iframe>").otherwise(""), F.when(i % 11 == 0, '<a href="https://g.example.org/_/http://a.example"></a>').otherwise(""), F.lit("</body></html>"),
     )
     pages = table(spark, sf_dir, "pages").select("page_id", html.alias("html"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _made: dict[str, list[str]] = {}
 
@@ -39,3 +40,10 @@ def written(df: DataFrame, name: str = "table", compression: str | None = None)
     path = f"{scratch_dir(spark)}/{name}"
     df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, name: str = "table") -> tuple[DataFrame, int]:
+    """``written``, and the number of rows, counted by the job that writes them."""
+    seen = Observation()
+    out = written(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out, seen.get["n"]

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeweave.functions.urls import let
+
 REQUESTS = "pos long, url string, methods array<string>, format string, include_media boolean, max_video_size long, prioritize string"
 ATTEMPTS = "url string, step int, method string, ts timestamp, status int, content string, error_class string, error_message string, elapsed double"
 CAPTURES = "url string, method string, fetched_at timestamp, status int, html string"
 BLOBS = "url string, content_type string, content_length long, content binary"
+#: The same with the time of the fetch, which tells the latest of several.
+FETCHED_BLOBS = BLOBS + ", fetched_at timestamp"
 ENVELOPE = "status string, status_code int, message string, results array<struct<content: string, status_code: int, url: string>>"
 
 
@@ -29,10 +33,10 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CAPTURES).parquet(path)
 
 
-def read_media_blobs(spark: SparkSession, path: str, files: bool = False) -> DataFrame:
-    """Media bytes with URL and type: a Parquet table, or a folder of files whose path stands for the URL."""
+def read_media_blobs(spark: SparkSession, path: str, files: bool = False, fetched: bool = False) -> DataFrame:
+    """Media bytes with URL and type: a Parquet table (with ``fetched`` one that has fetched_at), or a folder of files whose path stands for the URL. ``operators.media.media_catalogue`` makes of them what documents refer to."""
     if not files:
-        return spark.read.schema(BLOBS).parquet(path)
+        return spark.read.schema(FETCHED_BLOBS if fetched else BLOBS).parquet(path)
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("url"), F.lit(None).cast("string").alias("content_type"), F.col("length").alias("content_length"), "content")
 
 
@@ -45,7 +49,11 @@ def write_documents(docs: DataFrame, path: str, date_col: str = "crawl_date", fi
 
 def parse_scrape_envelope(df: DataFrame, json_col: str) -> DataFrame:
     """Add html and error (struct of cls, message) from a scraping API's JSON reply; exactly one of the two is set."""
-    r = F.from_json(F.col(json_col), ENVELOPE)
+    reply = df.withColumn("__reply", let(F.from_json(F.col(json_col), ENVELOPE), _unwrapped))
+    return reply.withColumn("error", F.col("__reply.error")).withColumn("html", F.col("__reply.html")).drop("__reply")
+
+
+def _unwrapped(r: Column) -> Column:
     first = F.try_element_at(r["results"], F.lit(1))
     error = lambda cls, message: F.struct(F.lit(cls).alias("cls"), message.alias("message"))
     code = lambda x: F.coalesce(x.cast("string"), F.lit("unknown"))
@@ -55,4 +63,4 @@ def parse_scrape_envelope(df: DataFrame, json_col: str) -> DataFrame:
         .when(first["status_code"] >= 400, error("RetrievalFailed", F.concat(F.lit("target returned "), code(first["status_code"]))))
         .when(F.coalesce(first["content"], F.lit("")) == "", error("RetrievalFailed", F.lit("empty content")))
     )
-    return df.withColumn("error", failed).withColumn("html", F.when(failed.isNull(), first["content"]))
+    return F.struct(failed.alias("error"), F.when(failed.isNull(), first["content"]).alias("html"))

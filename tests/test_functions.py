@@ -57,7 +57,7 @@ def test_url_domain_keeps_its_quirks(spark):
 
 
 def test_links_of_platforms(spark):
-    got = column(spark, ["https://t.me/durov/7 ".strip(), "https://www.facebook.com/plugins/video.php?href=https%3A%2F%2Fwww.facebook.com%2F1%2Fvideos%2F2%2F", "https://x.com/a/status/9/video/1"], urls.classify_link)
+    got = column(spark, ["https://t.me/durov/7 ".strip(), "https://www.facebook.com/plugins/post.php?href=https%3A%2F%2Fwww.facebook.com%2F1%2Fvideos%2F2%2F", "https://x.com/a/status/9/video/1"], urls.classify_link)
     assert [(g.platform, g.kind, g.id, g.media_number) for g in got] == [("telegram", "post", "7", None), ("facebook", "video", None, None), ("x", "post", "9", 1)]
 
 
