@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -115,6 +116,71 @@ def _webp(b: bytes) -> tuple[int, int] | None:
     return None
 
 
+def _bmp(b: bytes) -> tuple[int, int] | None:
+    if int.from_bytes(b[14:18], "little") == 12:  # the first kind of header has short numbers
+        return struct.unpack("<HH", b[18:22])
+    w, h = struct.unpack("<ii", b[18:26])
+    return w, abs(h)
+
+
+def _ico(b: bytes) -> tuple[int, int] | None:
+    """The largest of the pictures listed; a side of 0 means 256."""
+    listed = [(b[at] or 256, b[at + 1] or 256) for at in range(6, min(len(b), 6 + 16 * int.from_bytes(b[4:6], "little")) - 15, 16)]
+    return max(listed, key=lambda s: s[0] * s[1], default=None)
+
+
+def _tiff(b: bytes) -> tuple[int, int] | None:
+    """Width and height in the first directory, which may lie anywhere."""
+    order = "little" if b[:2] == b"II" else "big"
+    num = lambda at, n: int.from_bytes(b[at : at + n], order)
+    at, sides = num(4, 4), {}
+    for entry in range(at + 2, min(len(b) - 11, at + 2 + 12 * num(at, 2)), 12):
+        if num(entry, 2) in (256, 257):
+            sides[num(entry, 2)] = num(entry + 8, 2 if num(entry + 2, 2) == 3 else 4)
+    return (sides[256], sides[257]) if len(sides) == 2 else None
+
+
+def _boxes(b: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """Kind, begin and end of what is in each box of a stretch."""
+    while at + 8 <= end:
+        size, head = int.from_bytes(b[at : at + 4], "big"), 8
+        if size == 1:
+            size, head = int.from_bytes(b[at + 8 : at + 16], "big"), 16
+        size = size or end - at
+        if size < head or at + size > end:
+            return
+        yield b[at + 4 : at + 8], at + head, at + size
+        at += size
+
+
+def _avif(b: bytes) -> tuple[int, int] | None:
+    """Extent of the primary item, or the largest extent where none is named."""
+    meta = next(((x, y) for kind, x, y in _boxes(b, 0, len(b)) if kind == b"meta"), None)
+    if meta is None:
+        return None
+    inside = {kind: (x, y) for kind, x, y in _boxes(b, meta[0] + 4, meta[1])}
+    listed = {kind: (x, y) for kind, x, y in _boxes(b, *inside.get(b"iprp", (0, 0)))}
+    props = [struct.unpack(">II", b[x + 4 : x + 12]) if kind == b"ispe" and y - x >= 12 else None for kind, x, y in _boxes(b, *listed.get(b"ipco", (0, 0)))]
+    sizes = [p for p in props if p]
+    if b"pitm" in inside and b"ipma" in listed:
+        own = _properties_of(b, int.from_bytes(b[inside[b"pitm"][0] + 4 : inside[b"pitm"][1]], "big"), *listed[b"ipma"])
+        sizes = [props[i - 1] for i in own if 0 < i <= len(props) and props[i - 1]] or sizes
+    return max(sizes, key=lambda s: s[0] * s[1], default=None)
+
+
+def _properties_of(b: bytes, item: int, at: int, end: int) -> list[int]:
+    """Numbers of the properties that an association box gives to an item."""
+    wide_id, wide = 4 if b[at] else 2, 2 if b[at + 3] & 1 else 1
+    at += 8
+    while at + wide_id < end:
+        own, n = int.from_bytes(b[at : at + wide_id], "big"), b[at + wide_id]
+        first = at + wide_id + 1
+        at = first + wide * n
+        if own == item:
+            return [int.from_bytes(b[k : k + wide], "big") & (0x7FFF if wide == 2 else 0x7F) for k in range(first, min(at, end), wide)]
+    return []
+
+
 def header(b: bytes | None) -> tuple[str, int, int] | tuple[None, None, None]:
     """Format, width and height that the first bytes of an image state."""
     size, form = None, None
@@ -127,8 +193,13 @@ def header(b: bytes | None) -> tuple[str, int, int] | tuple[None, None, None]:
     elif b and b[:4] == b"RIFF" and b[8:12] == b"WEBP":
         form, size = "webp", _webp(b)
     elif b and b[:2] == b"BM" and len(b) >= 26:
-        w, h = struct.unpack("<ii", b[18:26])
-        form, size = "bmp", (w, abs(h))
+        form, size = "bmp", _bmp(b)
+    elif b and b[:4] in (b"II*\0", b"MM\0*") and len(b) >= 8:
+        form, size = "tiff", _tiff(b)
+    elif b and b[:4] == b"\0\0\1\0" and len(b) >= 22:
+        form, size = "ico", _ico(b)
+    elif b and b[4:8] == b"ftyp" and b[8:12] in (b"avif", b"avis", b"mif1") and b"avi" in b[8 : int.from_bytes(b[:4], "big")]:
+        form, size = "avif", _avif(b)
     return (form, *size) if size else (None, None, None)
 
 

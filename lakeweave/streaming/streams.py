@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 RESPONSE = "url string, method string, step int, content string, errors string, successful boolean"
@@ -60,3 +61,102 @@ def stream_first_success(attempts: DataFrame, last_step: int, timeout: str = "1
             yield pd.DataFrame([answer], columns=["url", "method", "step", "content", "errors", "successful"])
 
     return attempts.withWatermark("ts", timeout).groupBy("url").applyInPandasWithState(step, RESPONSE, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_fan_out(requests: DataFrame, responses: DataFrame, wait: str = "1 hour") -> DataFrame:
+    """Every request (url, ts, and others) with each response to its URL (url, answered_at, and others) that comes within ``wait`` after it, or with nulls once no more can come.
+
+    Both sides have watermarks of ``wait``, so that the state of either is dropped in time.
+    """
+    asked = requests.withWatermark("ts", wait)
+    told = responses.withColumnRenamed("url", "__url").withWatermark("answered_at", wait)
+    near = (F.col("url") == F.col("__url")) & (F.col("answered_at") >= F.col("ts")) & (F.col("answered_at") <= F.col("ts") + F.expr(f"INTERVAL {wait}"))
+    return asked.join(told, near, "leftOuter").drop("__url")
+
+
+def document_sink(stream: DataFrame, path: str, checkpoint: str, make: Callable[[DataFrame], DataFrame], trigger: dict | None = None) -> StreamingQuery:
+    """Write ``make`` of every batch of a stream (such as ``to_documents`` of captures) below ``path``, a folder ``batch_id=n`` each.
+
+    A batch that comes again after a failure finds its folder complete and writes nothing, or
+    writes it whole in place of what a failed attempt left.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        folder = f"{path}/batch_id={batch_id}"
+        if not _complete(batch.sparkSession, folder):
+            make(batch).write.mode("overwrite").parquet(folder)
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).foreachBatch(write).start()
+
+
+def _complete(spark: SparkSession, folder: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+SETTLED = "page_id long, snap_ts timestamp, size long, settled boolean"
+
+
+class _Settling(StatefulProcessor):
+    """State of a page: its last snapshots (three at most), and a mark once it has been answered."""
+
+    def __init__(self, quiet_ms: int) -> None:
+        self.quiet_ms = quiet_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getListState("last", "snap_ts timestamp, size long, ready boolean")
+        self.done = handle.getValueState("done", "done boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        if self.done.exists():
+            return
+        seen = [tuple(x) for x in self.last.get()]
+        for row in pd.concat(list(rows)).sort_values("snap_ts", kind="stable").itertuples(index=False):
+            seen.append((row.snap_ts.to_pydatetime(), int(row.size), bool(row.ready)))
+            if len(seen) >= 3 and _stable(seen[-3], seen[-2]) and _stable(seen[-2], seen[-1]):
+                self.done.update((True,))
+                self.last.clear()
+                self._wake(timerValues)
+                yield self._row(key, seen[-1], True)
+                return
+        self.last.put(seen[-3:])
+        self._wake(timerValues)
+
+    def _wake(self, timers: object) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(timers.getCurrentWatermarkInMs() + self.quiet_ms)
+
+    def _row(self, key: tuple, shot: tuple, settled: bool) -> pd.DataFrame:
+        return pd.DataFrame([(int(key[0]), shot[0], shot[1], settled)], columns=["page_id", "snap_ts", "size", "settled"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        """No more came: the last snapshot is the answer, unless there was one; the state goes."""
+        seen = [] if self.done.exists() else [tuple(x) for x in self.last.get()]
+        self.last.clear()
+        self.done.clear()
+        if seen:
+            yield self._row(key, seen[-1], False)
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: object) -> None:
+        self.last.put([(r.snap_ts.to_pydatetime(), int(r.size), bool(r.ready)) for r in initialState.sort_values("snap_ts", kind="stable").tail(3).itertuples(index=False)])
+
+    def close(self) -> None:
+        pass
+
+
+def _stable(before: tuple, after: tuple) -> bool:
+    return before[2] and after[2] and abs(after[1] - before[1]) <= max(256, before[1] // 100)
+
+
+def stream_settled_snapshots(snapshots: DataFrame, quiet: str = "1 hour", known: DataFrame | None = None) -> DataFrame:
+    """``operators.pages.settled_snapshot`` live: each page's first snapshot (page_id, snap_ts, size, ready) after two stable steps in a row, as soon as it comes, or its last one, with settled false, when ``quiet`` has passed without more.
+
+    Snapshots of a page have to come in order. ``known``, a table of earlier snapshots, is the
+    state that pages begin with. Needs the RocksDB state store.
+    """
+    rows = snapshots.withWatermark("snap_ts", quiet).groupBy("page_id")
+    first = known.groupBy("page_id") if known is not None else None
+    quiet_ms = int(pd.Timedelta(quiet).total_seconds() * 1000)
+    return rows.transformWithStateInPandas(_Settling(quiet_ms), SETTLED, "append", "EventTime", initialState=first)

@@ -132,3 +132,42 @@ def test_rules_by_domain(spark):
     assert {r.page_id: r.html for r in H.post_process(df, {"a.org": rule}).collect()} == {1: "p!", 2: "keep", 3: "q", 4: None, 5: "r"}
     assert seen.value == 2
     assert H.post_process(df, {}).count() == 5
+
+
+def tiff(order, w, h, kind, far=0):
+    num = lambda v, n: v.to_bytes(n, order)
+    entry = lambda tag, v: num(tag, 2) + num(kind, 2) + num(1, 4) + (num(v, 2) + b"\0\0" if kind == 3 else num(v, 4))
+    return (b"II*\0" if order == "little" else b"MM\0*") + num(8 + far, 4) + bytes(far) + num(3, 2) + entry(254, 0) + entry(256, w) + entry(257, h)
+
+
+def box(kind, *parts):
+    body = b"".join(parts)
+    return (8 + len(body)).to_bytes(4, "big") + kind + body
+
+
+def avif(w, h, wide=False, primary=True):
+    ispe = lambda a, b: box(b"ispe", bytes(4), struct.pack(">II", a, b))
+    own = (b"\0\0\0\1" + struct.pack(">I", 2) + struct.pack(">HBH", 1, 1, 1) + struct.pack(">HBHH", 7, 2, 3, 0x8002)) if wide else (bytes(4) + struct.pack(">I", 2) + struct.pack(">HBB", 1, 1, 1) + struct.pack(">HBBB", 7, 2, 3, 0x82))
+    props = box(b"iprp", box(b"ipco", ispe(4000, 4000), ispe(w, h), box(b"pixi", bytes(8))), *([box(b"ipma", own)] if primary else []))
+    return box(b"ftyp", b"avif", bytes(4), b"mif1") + box(b"free", bytes(3)) + box(b"meta", bytes(4), box(b"hdlr", bytes(20)), *([box(b"pitm", bytes(4), struct.pack(">H", 7))] if primary else []), props)
+
+
+def test_image_containers(spark):
+    from lakeweave.functions import media
+
+    ico = b"\0\0\1\0\2\0" + bytes([16, 16]) + bytes(14) + bytes([0, 64]) + bytes(14)
+    old_bmp = b"BM" + bytes(12) + struct.pack("<IHH", 12, 300, 200) + bytes(4)
+    bmp = b"BM" + bytes(12) + struct.pack("<Iii", 40, 301, -201)
+    files = {"ico": ico, "old": old_bmp, "bmp": bmp, "far": tiff("little", 310, 210, 4, 200_000), "t3": tiff("big", 65_000, 2, 3), "a1": avif(640, 480), "a2": avif(641, 481, wide=True), "a3": avif(1, 2, primary=False), "cut": avif(640, 480)[:60], "t0": b"II*\0" + bytes(4), "heic": box(b"ftyp", b"heic", bytes(4), b"mif1") + bytes(99), "i0": b"\0\0\1\0" + bytes(20)}
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in files.items()], "k string, content binary")
+    got = {r.k: (r.d.format, r.d.width, r.d.height) for r in df.select("k", media.image_dims(F.col("content")).alias("d")).collect()}
+    none = (None, None, None)
+    assert got == {"ico": ("ico", 256, 64), "old": ("bmp", 300, 200), "bmp": ("bmp", 301, 201), "far": ("tiff", 310, 210), "t3": ("tiff", 65_000, 2), "a1": ("avif", 640, 480), "a2": ("avif", 641, 481), "a3": ("avif", 4000, 4000), "cut": none, "t0": none, "heic": none, "i0": none}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.sampled_from([b"II*\0", b"MM\0*", b"\0\0\1\0", b"BM", b"\0\0\0\x18ftypavif"]), st.binary(max_size=200))
+def test_headers_of_any_bytes(start, rest):
+    from lakeweave.functions import media
+
+    assert len(media.header(start + rest)) == 3
