@@ -319,7 +319,7 @@ WAYS = {
 
 
 def markdown(root: Node) -> str:
-    """Markdown with ATX headings, escaped stars and underscores, ``<address>`` links and bullets by depth. Children come before parents, so depth costs no stack."""
+    """Markdown with ATX headings, escaped stars and underscores, ``<address>`` links and bullets by depth, by the rules of the public markdownify converter with its defaults. Children come before parents, so depth costs no stack."""
     nodes = root.walk()
     place = {id(root): 0}
     for n in nodes:
