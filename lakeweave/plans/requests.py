@@ -54,14 +54,15 @@ def validate_plan(plan: DataFrame, unsupported: tuple[str, ...] = ()) -> DataFra
 
 
 def direct_media_shortcut(plan: DataFrame, blobs: DataFrame | None = None) -> DataFrame:
-    """Add direct_kind (image or video by suffix, unless html is asked for or media aren't) and, given blobs, direct_ok and method. A failed download falls through to the steps."""
+    """Add direct_kind (image or video by suffix, unless html is asked for or media aren't) and, given blobs, direct_ok and method. A failed download falls through to the steps; where blobs have kinds (as of ``media_catalogue``), so does one of another kind."""
     by_url = url_media_class(F.col("clean_url"))
     asked = (F.coalesce("format", F.lit("")) != "html") & F.col("include_media")
     plan = plan.withColumn("direct_kind", F.when(asked, F.when(by_url == "image", "image").when(by_url.isin("video", "hls"), "video")))
     if blobs is None:
         return plan
-    have = blobs.select(F.col("url").alias("__blob")).distinct()
-    joined = plan.join(have, F.when(F.col("direct_kind").isNotNull(), F.col("clean_url")) == F.col("__blob"), "left")
+    have = blobs.select(F.col("url").alias("__blob"), *([F.col("kind").alias("__kind")] if "kind" in blobs.columns else [])).distinct()
+    on = F.when(F.col("direct_kind").isNotNull(), F.col("clean_url")) == F.col("__blob")
+    joined = plan.join(have, on & (F.col("direct_kind") == F.col("__kind")) if "kind" in blobs.columns else on, "left").drop("__kind")
     ok = F.col("__blob").isNotNull()
     return joined.withColumn("direct_ok", ok).withColumn("method", F.when(ok, "Direct download")).drop("__blob")
 

@@ -44,13 +44,14 @@ def classify_link_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", link.alias("l")).select("page_id", "l.platform", "l.kind", "l.id", "l.username", "l.media_number")
 
 
-@query("""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'image' WHEN 1 THEN 'video' END AS direct_kind, page_id % 3 < 2 AND page_id % 5 > 0 AS direct_ok, CASE WHEN page_id % 3 < 2 AND page_id % 5 > 0 THEN 'Direct download' END AS method FROM pages""")
+@query("""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'image' WHEN 1 THEN 'video' END AS direct_kind, page_id % 3 < 2 AND page_id % 5 > 1 AS direct_ok, CASE WHEN page_id % 3 < 2 AND page_id % 5 > 1 THEN 'Direct download' END AS method FROM pages""")
 def direct_media_downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fifth of the files can't be had and fall through to the steps."""
+    """A fifth of the files can't be had, another gives a medium of another kind: both fall through to the steps."""
     i = F.col("page_id")
     url = _text("https://f.example.org/", i, F.when(i % 3 == 0, ".jpg").when(i % 3 == 1, ".mp4").otherwise(".html"))
     pages = table(spark, sf_dir, "pages").select("page_id", url.alias("clean_url"), F.lit("markdown").alias("format"), F.lit(True).alias("include_media"))
-    blobs = pages.where("page_id % 5 > 0").select(F.col("clean_url").alias("url"))
+    kind = F.when((i % 3 == 0) != (i % 5 == 1), "image").otherwise("video")
+    blobs = pages.where("page_id % 5 > 0").select(F.col("clean_url").alias("url"), kind.alias("kind"))
     return R.direct_media_shortcut(pages, blobs.union(blobs)).select("page_id", "direct_kind", "direct_ok", "method")
 
 

@@ -8,7 +8,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from lakeweave import queries, queries_content, queries_live, queries_media, queries_varied  # noqa: F401
+from lakeweave import queries, queries_batch, queries_content, queries_live, queries_media, queries_varied  # noqa: F401
 
 
 def rows(df: pd.DataFrame) -> list[tuple[str, ...]]:
