@@ -95,7 +95,7 @@ def _gram_sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most_bytes=4 << 20):
             h, ends = gram_hashes(split_words(batch.column("text")), n)
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(h.view(np.int64)))], ["cls", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("bands"), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(h.view(np.int64)))], ["cid", "bands", "grams"])
 
     return run
 
@@ -175,6 +175,49 @@ def _verify(threshold: float):
     return run
 
 
+DEALT = ["cid", "size", "bytes", "grp", "bucket", "mine", "lo", "hi"]
+
+
+def _pair_of_blocks(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other")).select(*DEALT)
+
+
+def _dealt_groups(ways: DataFrame, met: DataFrame, block: int, bundle_bytes: int) -> DataFrame:
+    """Deal the classes of whole groups to pairs of blocks.
+
+    Classes with one head share a bucket and stay together: heads of few classes fill blocks of
+    ``block`` classes or half of ``bundle_bytes`` in order, those of many are dealt to blocks of their
+    own. Only counts of heads are put in order, so that no task holds a large group. A class goes
+    to the pairs of its own block with those that hold a class of one of its buckets, and to no
+    other: what moves grows with the pairs that share buckets, not with the group's square.
+    """
+    weight = F.greatest(F.lit(1.0 / block), F.col("bytes") * 2.0 / bundle_bytes)
+    heads = written(ways.groupBy("grp", "head").agg(F.sum(weight).alias("weight")), "weights")
+    # in halves of blocks: a block that a head overruns is then full at most
+    many_of = F.col("weight") > 0.5
+    taken = F.when(many_of, F.ceil("weight") + 1.0).otherwise(F.col("weight") * 2)
+    before = F.coalesce(F.sum(taken).over(Window.partitionBy("grp").orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    several = F.sum(taken).over(Window.partitionBy("grp")) > 1
+    heads = written(heads.select("grp", "head", F.floor(before + 1e-9).cast("int").alias("start"), F.when(many_of, F.ceil("weight")).otherwise(0).cast("int").alias("own"), several.alias("several")), "starts")
+    mine = F.when(F.col("own") > 0, F.col("start") + 1 + F.pmod(F.xxhash64("cid"), F.col("own"))).otherwise(F.col("start")).cast("int")
+    placed = written(ways.join(heads.hint("merge"), ["grp", "head"]).select("cid", "size", "bytes", "grp", F.lit(False).alias("bucket"), mine.alias("mine"), "several"), "placed")
+    single, many = placed.where("not several").withColumn("other", F.col("mine")), placed.where("several")
+    at = written(met.select("cid", F.col("bucket").alias("key")).join(many.select("cid", "mine").hint("merge"), "cid"), "placed_in")
+    # buckets of one group mostly lie in the same few blocks: sets of sets stay short
+    held = at.groupBy("key").agg(F.sort_array(F.collect_set("mine")).alias("held"))
+    others = at.select("cid", "key").join(held.hint("merge"), "key").groupBy("cid").agg(F.collect_set("held").alias("held"))
+    others = others.select("cid", F.explode(F.array_distinct(F.flatten("held"))).alias("other"))
+    return _pair_of_blocks(single).unionByName(_pair_of_blocks(many.join(others.hint("merge"), "cid")))
+
+
+def _dealt_buckets(ways: DataFrame, met: DataFrame, block: int, bundle_bytes: int) -> DataFrame:
+    """Deal the classes of very large groups bucket by bucket to pairs of blocks: in a bucket all pairs are candidates."""
+    per = met.select("cid", F.col("bucket").alias("grp")).join(ways.select("cid", "size", "bytes").hint("merge"), "cid")
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("bytes") * 2 / bundle_bytes)).cast("int").alias("parts")
+    per = per.join(per.groupBy("grp").agg(parts).hint("merge"), "grp").withColumn("bucket", F.lit(True)).withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    return _pair_of_blocks(per.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, block: int = 256, giant: int = 20_000, bundle_bytes: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Join documents whose sets of word ``n``-grams have a Jaccard similarity of ``threshold`` or more.
 
@@ -190,8 +233,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
        classes, directly or through others, make a group, found by edges to each bucket's least
        member; groups of over ``giant`` classes go bucket by bucket instead. Both ways verify the
        same pairs: those that share a bucket.
-    3. Groups are dealt to pairs of blocks of about ``block`` classes, fewer where these are long,
-       and blocks to tasks by their bytes. No pair is a row.
+    3. Groups are cut into blocks of at most ``block`` classes, fewer where these are long; a class
+       goes to the pairs of blocks in which it shares a bucket (``_dealt_groups``), and these go
+       to tasks by their bytes. No pair is a row.
 
     Words are what white space parts. A text of fewer than ``n`` words is one gram; null, empty
     and blank texts have none and link with nothing. Repeated rows of one id and text link with
@@ -219,30 +263,22 @@ def _near_rows(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
     headed = written(met.select("cid", "a", F.min("a").over(Window.partitionBy("cid")).alias("head")), "heads")
     reach = components(headed.select("a", F.col("head").alias("b")))
     groups = headed.groupBy("cid").agg(F.min("head").alias("head")).join(reach.withColumnRenamed("id", "head").hint("merge"), "head", "left")
-    groups = written(groups.select("cid", F.coalesce("component", "head").alias("grp")), "groups")
+    groups = written(groups.select("cid", "head", F.coalesce("component", "head").alias("grp")), "groups")
     candidates = written(classes.select("cid", "doc", "h", "size", "bands", (F.col("grams") * 8 + 400).alias("bytes")).join(groups.hint("merge"), "cid"), "candidates")
     members = F.count(F.lit(1)).alias("members")
-    parts = F.ceil(F.greatest(F.col("members") / block, F.col("load") * 2 / bundle_bytes)).cast("int").alias("parts")
-    sized = written(candidates.groupBy("grp").agg(members, F.sum("bytes").alias("load")).select("grp", "members", parts), "members")
-
-    wanted = candidates.select("doc", "h", F.col("cid").alias("cls")).where("doc is not null")
-    text_of = keyed.join(wanted.hint("merge"), ["doc", "h"]).dropDuplicates(["cls"]).select("cls", "text")
-    alone = candidates.where("doc is null").select("h", F.col("cid").alias("cls"))
-    text_of = text_of.unionByName(keyed.where("doc is null").join(alone.hint("merge"), "h").dropDuplicates(["cls"]).select("cls", "text"))
-    sets = text_of.mapInArrow(_gram_sets(n), "cls long, grams array<long>")
-
-    ways = candidates.join(sized.hint("merge"), "grp").select("cid", "size", "bytes", "bands", "grp", "members", "parts")
-    whole = ways.where(F.col("members") <= giant).select("cid", "size", "bytes", "bands", "grp", F.lit(False).alias("bucket"), "parts")
-    per = met.select("cid", F.col("bucket").alias("grp")).join(ways.where(F.col("members") > giant).select("cid", "size", "bytes", "bands").hint("merge"), "cid")
-    count = per.groupBy("grp").agg(members, F.sum("bytes").alias("load")).select("grp", parts)
-    whole = whole.unionByName(per.join(count.hint("merge"), "grp").select("cid", "size", "bytes", "bands", "grp", F.lit(True).alias("bucket"), "parts"))
-
-    mine = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")
-    dealt = whole.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = written(dealt.select("cid", "size", "bytes", "grp", "bucket", "bands", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi")), "dealt")
+    sized = written(candidates.groupBy("grp").agg(members), "members")
+
+    wanted = candidates.select("doc", "h", "cid", "bands").where("doc is not null")
+    text_of = keyed.join(wanted.hint("merge"), ["doc", "h"]).dropDuplicates(["cid"]).select("cid", "bands", "text")
+    alone = candidates.where("doc is null").select("h", "cid", "bands")
+    text_of = text_of.unionByName(keyed.where("doc is null").join(alone.hint("merge"), "h").dropDuplicates(["cid"]).select("cid", "bands", "text"))
+    sets = text_of.mapInArrow(_gram_sets(n), "cid long, bands array<long>, grams array<long>")
+
+    ways = written(candidates.select("cid", "size", "bytes", "head", "grp").join(sized.hint("merge"), "grp"), "ways")
+    dealt = written(_dealt_groups(ways.where(F.col("members") <= giant), met, block, bundle_bytes).unionByName(_dealt_buckets(ways.where(F.col("members") > giant), met, block, bundle_bytes)), "dealt")
     load = dealt.agg(F.sum("bytes")).first()[0] or 0
     bundle = F.pmod(F.xxhash64("grp", "bucket", "lo", "hi"), F.lit(max(1, math.ceil(load / bundle_bytes))))
-    loaded = dealt.join(sets.withColumnRenamed("cls", "cid").hint("merge"), "cid").withColumn("bundle", bundle)
+    loaded = dealt.join(sets.hint("merge"), "cid").withColumn("bundle", bundle)
     links = written(loaded.groupBy("bundle").applyInArrow(_verify(threshold), "cid long, links long, peer long"), "links")
 
     total = links.groupBy("cid").agg(F.sum("links").alias("links"))
