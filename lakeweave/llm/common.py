@@ -7,9 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeweave.scratch import scratch_dir, written
+from lakeweave.scratch import counted, scratch_dir, written
 
-__all__ = ["column", "components", "fresh", "gapless_rank", "low_hashes", "row_id", "row_name", "scratch_dir", "text_or_empty", "written"]
+__all__ = ["column", "components", "counted", "fresh", "gapless_rank", "low_hashes", "row_id", "row_name", "scratch_dir", "text_or_empty", "written"]
 
 
 def column(name: str) -> Column:

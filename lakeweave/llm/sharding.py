@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import column, gapless_rank, text_or_empty, written
+from lakeweave.llm.common import column, counted, gapless_rank, text_or_empty, written
 
 
 def difference(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -82,8 +82,8 @@ def balance(groups: DataFrame, n_shards: int, per_block: int = 20_000, fan_in: i
     by level, until one is left. No task sees more than a block or ``fan_in`` partial partitions.
     """
     spark = groups.sparkSession
-    groups = written(groups.select("key", "weight"), "groups")
-    n_blocks = max(1, math.ceil(groups.count() / per_block))
+    groups, n = counted(groups.select("key", "weight"), "groups")
+    n_blocks = max(1, math.ceil(n / per_block))
     dealt = groups.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(n_blocks)))
     items = written(dealt.groupBy("block").applyInPandas(_difference_items(n_shards), "block long, key binary, weight double, part int"), "items")
     # sums as an array of all parts, empty ones too
@@ -116,8 +116,8 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, overhead: int = 16, id_
     """
     t = text_or_empty(text_col)
     rows = docs.select(column(id_col).alias("doc_id"), (F.octet_length(t) + overhead).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(t.cast("binary"), 256)).alias("key"))
-    rows = written(rows, "sizes")
+    rows, n = counted(rows, "sizes")
     shards = balance(rows.groupBy("key").agg(F.sum("size").cast("double").alias("weight")), n_shards)
-    placed = rows.join(shards, "key").select("doc_id", "size", "text_crc32", "shard")
-    placed = gapless_rank(placed, ["shard"], ["doc_id", "size", "text_crc32"], rows.count(), "slot", per_task=20_000 * 8)
+    placed = written(rows.join(shards, "key").select("doc_id", "size", "text_crc32", "shard"), "placed")
+    placed = gapless_rank(placed, ["shard"], ["doc_id", "size", "text_crc32"], n, "slot", per_task=20_000 * 8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
