@@ -65,7 +65,8 @@ def fit_index(sample: np.ndarray, n_pivots: int, threshold: float) -> Index:
     threshold: the hardest pairs that have to be found. The prefix is the shortest with which
     ``RECALL`` of them share two pivots or more, and candidates have to share as many as that
     recall allows. Where no prefix is long enough, fewer pivots, whose order is the steadier, are
-    tried, half as many each time.
+    tried, half as many each time. Where even the least number doesn't do, there is one list for
+    each label, so that all its pairs are verified, in blocks: slow, but whole.
     """
     middle, pivots = sample.mean(axis=0), choose_pivots(sample, n_pivots)
     one = sample[:1024]
@@ -83,7 +84,7 @@ def fit_index(sample: np.ndarray, n_pivots: int, threshold: float) -> Index:
             if enough:
                 return Index(middle, pivots, p, max(enough))
         if len(pivots) <= LEAST_PIVOTS:
-            return index
+            return Index(middle, pivots[:1], 1, 1)  # all stand in one list
         pivots = pivots[: len(pivots) // 2]
 
 
