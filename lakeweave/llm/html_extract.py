@@ -41,14 +41,25 @@ def _words(n: dom.Node) -> set[str]:
     return set(_WORD.findall(_CAMEL.sub("-", named).lower())) if named.strip() else set()
 
 
-def _beside(n: dom.Node, words: set[str]) -> bool:
-    """Whether a node and all in it is beside the article. A form that holds an article is only a wrapper."""
+def _wrappers(root: dom.Node) -> set[int]:
+    """Identities of the nodes around articles, main parts and first headings."""
+    around: set[int] = set()
+    for n in root.all("article", "main", "h1"):
+        up = n.parent
+        while up is not None and id(up) not in around:
+            around.add(id(up))
+            up = up.parent
+    return around
+
+
+def _beside(n: dom.Node, words: set[str], around: set[int]) -> bool:
+    """Whether a node and all in it is beside the article. A form around an article is only a wrapper."""
     if n.tag in UNSEEN:
         return True
     if n.tag in ("", "html", "body", "main", "article"):
         return False
     if n.tag == "form":
-        return not n.all("article", "main", "h1")
+        return id(n) not in around
     return "hidden" in n.attrs or n.attrs.get("aria-hidden") == "true" or bool(words & SIDE)
 
 
@@ -66,9 +77,11 @@ class Page:
         self.items: list[str | None] = []
         #: path, first item, item behind the last, and score: characters of plain text, less those of links twice over
         self.holders: list[tuple[str, int, int, int]] = []
+        root = dom.parse(html)
+        around = _wrappers(root)
         gain, open_holders = 0, []
         # node, path of the holder around it, in a link, in the head of an article; a node of None ends a block
-        stack: list[tuple[dom.Node | None, str, bool, bool]] = [(dom.parse(html), "", False, False)]
+        stack: list[tuple[dom.Node | None, str, bool, bool]] = [(root, "", False, False)]
         while stack:
             n, path, linked, head = stack.pop()
             if n is None:
@@ -85,7 +98,7 @@ class Page:
                 self.items.append(" ")
             else:
                 words = _words(n)
-                if _beside(n, words):
+                if _beside(n, words, around):
                     continue
                 if n.tag == "header" or ("header" in words and n.tag not in HEADINGS):
                     if path in ("/page", "/page/body"):
