@@ -181,6 +181,22 @@ def test_near_duplicates(spark, block, giant):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.collect())
 
 
+def test_sets_go_where_buckets_are_shared(spark):
+    """A chain of classes, each in a bucket with the next: a set goes to the two blocks at its sides at most, not to all of the group's."""
+    n, block = 4000, 64
+    met = spark.createDataFrame([(c, b) for b in range(n - 1) for c in (b, b + 1)], "cid long, bucket long")
+    ways = spark.createDataFrame([(c, 1, 400, c, 0) for c in range(n)], "cid long, size long, bytes long, head long, grp long")
+    got = ngram_join._dealt_groups(ways, met, block, 2 << 20).collect()
+    assert len(got) <= n + 2 * (2 * n // block + 1)
+    places = collections.defaultdict(set)
+    for r in got:
+        places[r.cid].add((r.lo, r.hi))
+    assert all(places[c] & places[c + 1] for c in range(n - 1))
+    clique = spark.createDataFrame([(c, b) for b in range(5) for c in range(300)], "cid long, bucket long")
+    dealt = ngram_join._dealt_groups(ways.where("cid < 300").withColumn("head", F.lit(0).cast("long")), clique, block, 2 << 20)
+    assert dealt.count() == 300 * 5 and dealt.groupBy("lo", "hi").count().count() == 15
+
+
 def test_bands_reach_their_recall():
     bands, n = ngram_join.choose_bands(0.8, 0.9999)
     assert 1 - (1 - 0.8**n) ** bands >= 0.9999
@@ -236,6 +252,18 @@ def test_index_finds_links_and_keeps_lists_short(spark, kind):
         assert max(lists.values()) < len(v) / 10
 
 
+def test_all_pairs_where_no_index_reaches_the_recall(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "RECALL", 2)
+    v = cloud(np.random.default_rng(9), 600, "flat")
+    label = [i % 2 for i in range(len(v))]
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    hit = (u @ u.T >= 0.98) & (np.array(label)[:, None] == np.array(label)[None, :])
+    np.fill_diagonal(hit, False)
+    assert embed_dedup.fit_index(u[:200], 64, 0.98).prefix == 1
+    got = embed_dedup.near_vectors(spark.createDataFrame([(i, a.tolist(), b) for i, (a, b) in enumerate(zip(v, label, strict=True))], "vec_id long, embedding array<double>, label int"), block=100).collect()
+    assert {x.vec_id: x.n_links for x in got} == {i: int(h) for i, h in enumerate(hit.sum(axis=1))}
+
+
 def test_norms_beyond_the_range_of_squares(spark):
     rows_ = [(1, [1e200, 2e200], "x"), (2, [1e200, 2.01e200], "x"), (3, [1e-200, 2e-200], "x"), (4, [5e-324, 1e-323], "x"), (5, [2e200, -1e200], "x"), (6, [1e200, 2e200], "y")]
     got = rows(embed_dedup.near_vectors(spark.createDataFrame(rows_, "vec_id long, embedding array<double>, label string")))

@@ -184,9 +184,9 @@ def test_a_host_outvotes_a_page(spark):
 
 
 def test_odd_pages(spark):
-    pages = [(1, None), (2, ""), (3, "plain &amp text"), (4, "<p>" * 30_000 + "deep"), (5, "<div><section>" * 3_000 + "deep" + "</section></div>" * 3_000), (6, "<nav>x</nav>"), (7, "a<b"), (8, "<article></article>"), (9, "<article><a href=x>only a link</a></article>"), (None, "<p>no id"), (None, "<p>no id"), (10, "<p>x</p>" * 60_000), (11, "<body><form><article>in a form</article></form>")]
+    pages = [(1, None), (2, ""), (3, "plain &amp text"), (4, "<p>" * 30_000 + "deep"), (5, "<div><section>" * 3_000 + "deep" + "</section></div>" * 3_000), (6, "<nav>x</nav>"), (7, "a<b"), (8, "<article></article>"), (9, "<article><a href=x>only a link</a></article>"), (None, "<p>no id"), (None, "<p>no id"), (10, "<p>x</p>" * 60_000), (11, "<body><form><article>in a form</article></form>"), (12, "<form>" * 20_000 + "<p>x"), (13, "<form>" * 20_000 + "<h1>x")]
     df = spark.createDataFrame([(i, "http://o.org", h) for i, h in pages], "page_id long, url string, html string")
     got = sorted(((r.page_id, r.text) for r in html_extract.main_texts(df).collect()), key=str)
-    want = [(1, ""), (2, ""), (3, "plain & text"), (4, "deep"), (5, "deep"), (6, ""), (7, "a<b"), (8, ""), (9, "only a link"), (None, "no id"), (None, "no id"), (10, "\n".join("x" * 60_000)), (11, "in a form")]
+    want = [(1, ""), (2, ""), (3, "plain & text"), (4, "deep"), (5, "deep"), (6, ""), (7, "a<b"), (8, ""), (9, "only a link"), (None, "no id"), (None, "no id"), (10, "\n".join("x" * 60_000)), (11, "in a form"), (12, ""), (13, "x")]
     assert [(i, len(t), t[:50]) for i, t in got] == [(i, len(t), t[:50]) for i, t in sorted(want, key=str)]
     assert html_extract.main_texts(df.limit(0)).count() == 0
