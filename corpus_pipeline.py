@@ -70,7 +70,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to the documents; each one's result is written and read again."""
+    """Apply all stages to the documents; each one's result is written and read again.
+
+    What stages write below ``spark.checkpoint.dir`` stays there, as the result is read from it;
+    call ``lakeweave.scratch.clear_scratch`` once that is written elsewhere.
+    """
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES:
         path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}"
