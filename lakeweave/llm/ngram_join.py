@@ -204,7 +204,7 @@ def _dealt_groups(ways: DataFrame, met: DataFrame, block: int, bundle_bytes: int
     single, many = placed.where("not several").withColumn("other", F.col("mine")), placed.where("several")
     at = written(met.select("cid", F.col("bucket").alias("key")).join(many.select("cid", "mine").hint("merge"), "cid"), "placed_in")
     # buckets of one group mostly lie in the same few blocks: sets of sets stay short
-    held = at.groupBy("key").agg(F.sort_array(F.collect_set("mine")).alias("held"))
+    held = written(at.groupBy("key").agg(F.sort_array(F.collect_set("mine")).alias("held")), "held")
     others = at.select("cid", "key").join(held.hint("merge"), "key").groupBy("cid").agg(F.collect_set("held").alias("held"))
     others = others.select("cid", F.explode(F.array_distinct(F.flatten("held"))).alias("other"))
     return _pair_of_blocks(single).unionByName(_pair_of_blocks(many.join(others.hint("merge"), "cid")))
