@@ -269,11 +269,12 @@ def to_documents(captures: DataFrame, blobs: DataFrame | None = None, include_me
 def captured_documents(captures: DataFrame, blobs: DataFrame | None = None, **options: object) -> DataFrame:
     """``to_documents`` of successful rows of the captures table, the last capture of each URL: url, text, items.
 
-    A capture succeeds with HTML and a status below 400, or none. HTML moves once, after each
-    task has kept the last of its own captures of a URL.
+    A capture succeeds with HTML and a status below 400, or none. Of several at one time, that of
+    the last method and then of the largest HTML counts. HTML moves once, after each task has kept
+    the last of its own captures of a URL.
     """
     good = captures.where("html is not null and coalesce(status, 200) < 400 and url is not null")
-    pages = good.groupBy("url").agg(F.max_by("html", F.struct("fetched_at", "method")).alias("html")).withColumn("page_id", F.col("url"))
+    pages = good.groupBy("url").agg(F.max(F.struct("fetched_at", "method", "html")).alias("last")).select("url", "last.html", F.col("url").alias("page_id"))
     return to_documents(pages, blobs, **options).select("url", "text", "items")
 
 
