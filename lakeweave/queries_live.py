@@ -30,7 +30,7 @@ def budgeted_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_id, CASE event_id % 5 WHEN 4 THEN NULL WHEN 3 THEN 'avif' WHEN 2 THEN 'bmp' ELSE 'tiff' END AS format, CASE WHEN event_id % 5 < 4 THEN event_id % 60000 END AS width, CASE WHEN event_id % 5 < 4 THEN user_id END AS height FROM events""")
 def image_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directories of either byte order, old bitmap headers, boxes, and boxes of another format."""
+    """Directories of either byte order, bitmap headers, boxes, and boxes of another format. A height of more than 16 bits is a long number in a directory, and takes the newer bitmap header."""
     e, w, h = F.col("event_id"), F.col("event_id") % 60000, F.col("user_id")
     big = lambda c, n: F.lpad(F.hex(c.cast("long")), 2 * n, "0")
 
@@ -38,9 +38,10 @@ def image_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
         hexed = big(c, n)
         return F.concat(*(F.substring(hexed, 2 * i - 1, 2) for i in range(n, 0, -1)))
 
-    motorola = F.concat(F.lit("4D4D002A00000008" + "0002" + "0100000400000001"), big(w, 4), F.lit("0101000300000001"), big(h, 2), F.lit("0000"))
-    intel = F.concat(F.lit("49492A0008000000" + "0200" + "0001040001000000"), little(w, 4), F.lit("0101030001000000"), little(h, 2), F.lit("0000"))
-    bitmap = F.concat(F.lit("424D" + "00" * 12 + "0C000000"), little(w, 2), little(h, 2), F.lit("01001800"))
+    short = h < 65536
+    motorola = F.concat(F.lit("4D4D002A00000008" + "0002" + "0100000400000001"), big(w, 4), F.when(short, F.concat(F.lit("0101000300000001"), big(h, 2), F.lit("0000"))).otherwise(F.concat(F.lit("0101000400000001"), big(h, 4))))
+    intel = F.concat(F.lit("49492A0008000000" + "0200" + "0001040001000000"), little(w, 4), F.when(short, F.concat(F.lit("0101030001000000"), little(h, 2), F.lit("0000"))).otherwise(F.concat(F.lit("0101040001000000"), little(h, 4))))
+    bitmap = F.concat(F.lit("424D" + "00" * 12), F.when(short, F.concat(F.lit("0C000000"), little(w, 2), little(h, 2))).otherwise(F.concat(F.lit("28000000"), little(w, 4), little(h, 4))), F.lit("01001800"))
     boxes = lambda brand: F.concat(F.lit("00000010667479706" + brand + "00000000" + "00000030" + "6D657461" + "00000000" + "00000024" + "69707270" + "0000001C" + "6970636F" + "00000014" + "69737065" + "00000000"), big(w, 4), big(h, 4))
     content = F.unhex(F.when(e % 5 == 0, motorola).when(e % 5 == 1, intel).when(e % 5 == 2, bitmap).when(e % 5 == 3, boxes("1766966")).otherwise(boxes("8656963")))
     return table(spark, sf_dir, "events").select("event_id", M.image_dims(content).alias("d")).select("event_id", "d.*")

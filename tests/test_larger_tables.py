@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import duckdb
+import pytest
 from test_queries import rows
 
 from lakeweave import queries, queries_batch, queries_content, queries_live, queries_media, queries_varied  # noqa: F401
@@ -24,3 +25,9 @@ def test_pages_with_one_url(spark, tmp_path):
     """Captures of one time: the order of rows doesn't decide."""
     pages = [(i, f"https://e.example.org/{i % 3}", f"<p>{(i * 7) % 10}</p>") for i in range(30)]
     check(spark, tmp_path, "captured_pages", pages=spark.createDataFrame(pages, "page_id long, url string, html string"))
+
+
+@pytest.mark.parametrize("name", ["image_containers", "image_dims"])
+def test_sides_of_more_than_16_bits(spark, tmp_path, name):
+    events = [(i, 5) for i in range(20)] + [(20 + i, user) for i, user in enumerate([65_535, 65_536, 90_000, 131_072, 700_001] * 6)]
+    check(spark, tmp_path, name, events=spark.createDataFrame(events, "event_id long, user_id long"))
