@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeweave.functions import dom
+from lakeweave.functions.slices import by_slices, in_slices
 
 NODE = pa.struct([("tag", pa.string()), ("end", pa.int32()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string())])
 #: A node of null tag is a text or, without one, a comment; ``end`` is the place behind its subtree, counted from 0.
@@ -78,9 +79,9 @@ def parsed(pages: DataFrame, found: Callable[[dom.Node], list[tuple[dom.Node, st
     others = [c for c in pages.columns if c != html_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (part for batch in batches for part in in_slices(*batch.columns)):
             flats, lists = [], []
-            for html in batch.column(len(others)):
+            for html in part[-1]:
                 if not html.is_valid:
                     flats.append(None)
                     lists.append([])
@@ -91,7 +92,7 @@ def parsed(pages: DataFrame, found: Callable[[dom.Node], list[tuple[dom.Node, st
                 place = {id(n): i for i, n in enumerate(nodes)}
                 flats.append(lists_of)
                 lists.append([{"ordinal": k, "node": place.get(id(n), -1), "tag": n.tag, "kind": kind, "raw_uri": uri, "has_child_tags": any(c.tag for c in n.kids)} for k, (n, kind, uri) in enumerate(seen)])
-            columns = [*batch.columns[: len(others)], node_array(flats), *([pa.array(lists, listed)] if found else [])]
+            columns = [*part[:-1], node_array(flats), *([pa.array(lists, listed)] if found else [])]
             yield pa.RecordBatch.from_arrays(columns, [*others, "nodes", *(["found"] if found else [])])
 
     schema = T.StructType([pages.schema[c] for c in others]).add("nodes", T._parse_datatype_string(NODES))
@@ -123,7 +124,6 @@ def subtree(nodes: Column, test: Callable[[Column], Column]) -> Column:
 def without(nodes: Column, *tags: str) -> Column:
     """The nodes without the subtrees of the tags: ranges are cut out, ends move up by what went before them."""
 
-    @F.arrow_udf(NODES)
     def run(column: pa.Array) -> pa.Array:
         out = []
         for page in page_nodes(column):
@@ -141,27 +141,19 @@ def without(nodes: Column, *tags: str) -> Column:
             out.append(([page[0][i] for i in keep], [int(before[page[1][i]]) for i in keep], [page[2][i] for i in keep], [page[3][i] for i in keep]))
         return node_array(out)
 
-    run.__annotations__ = {"column": pa.Array, "return": pa.Array}
-    return run(nodes)
+    return by_slices(run, NODES)(nodes)
 
 
-def _written(column: pa.Array, write: Callable[[dom.Node], str]) -> pa.Array:
-    return pa.array([None if p is None else write(tree(*p)[0]) if p[0] else "" for p in page_nodes(column)], pa.string())
+def _written(write: Callable[[dom.Node], str]) -> Callable[[Column], Column]:
+    def run(nodes: pa.Array) -> pa.Array:
+        return pa.array([None if p is None else write(tree(*p)[0]) if p[0] else "" for p in page_nodes(nodes)], pa.string())
 
+    return by_slices(run, T.StringType())
 
-@F.arrow_udf(T.StringType())
-def node_html(nodes: pa.Array) -> pa.Array:
-    """HTML of the nodes."""
-    return _written(nodes, dom.serialize)
 
-
-@F.arrow_udf(T.StringType())
-def node_markdown(nodes: pa.Array) -> pa.Array:
-    """Markdown of the nodes, not yet tidy."""
-    return _written(nodes, dom.markdown)
-
-
-@F.arrow_udf(T.StringType())
-def node_text(nodes: pa.Array) -> pa.Array:
-    """Visible text of the nodes."""
-    return _written(nodes, dom.text_of)
+#: HTML of the nodes.
+node_html = _written(dom.serialize)
+#: Markdown of the nodes, not yet tidy.
+node_markdown = _written(dom.markdown)
+#: Visible text of the nodes.
+node_text = _written(dom.text_of)
