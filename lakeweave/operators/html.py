@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from lakeweave.functions import dom
 from lakeweave.functions.media import decode_data_uri_media, header, is_streaming
+from lakeweave.functions.slices import by_slices, in_slices
 from lakeweave.functions.text import inline_text_data_uris, tidy_markdown
 from lakeweave.functions.urls import BACKGROUND, PATH, PIXEL, VECTOR, let, resolve_media_url, url_domain
 from lakeweave.operators.media import attach_media
@@ -22,6 +23,7 @@ from lakeweave.scratch import written
 
 DROPPED = ("script", "style", "noscript", "footer", "aside")
 ELEMENTS = "ordinal int, tag string, kind string, raw_uri string, has_child_tags boolean"
+ELEMENT = pa.schema([("ordinal", pa.int32()), ("tag", pa.string()), ("kind", pa.string()), ("raw_uri", pa.string()), ("has_child_tags", pa.bool_())])
 _BACKGROUND, _PATH = re.compile(BACKGROUND), re.compile(PATH)
 
 
@@ -87,18 +89,19 @@ def media_elements(pages: DataFrame, mode: str = "page", most: int | None = None
     """
     keys = ["page_id", "url"] if keep_url else ["page_id"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for page_id, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (part for batch in batches for part in in_slices(*batch.columns)):
+            at, rows = [], []
+            for nth, (url, html) in enumerate(zip(part[1].to_pylist(), part[2].to_pylist(), strict=True)):
                 root = dom.parse(html)
                 found = _browser_candidates(root, url or "") if mode == "browser" else _candidates(root)
-                key = (page_id, url)[: len(keys)]
-                rows += [(*key, i, n.tag, kind, uri, any(k.tag for k in n.kids)) for i, (n, kind, uri) in enumerate(found[:most])]
-            yield pd.DataFrame(rows, columns=[*keys, "ordinal", "tag", "kind", "raw_uri", "has_child_tags"])
+                rows += [(i, n.tag, kind, uri, any(k.tag for k in n.kids)) for i, (n, kind, uri) in enumerate(found[:most])]
+                at += [nth] * (len(rows) - len(at))
+            own = [column.take(pa.array(at, pa.int64())) for column in part[: len(keys)]]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array([r[k] for r in rows], f.type) for k, f in enumerate(ELEMENT))], [*keys, *(f.name for f in ELEMENT)])
 
     typed = ", ".join(f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in keys)
-    return pages.select("page_id", "url", "html").mapInPandas(run, f"{typed}, {ELEMENTS}")
+    return pages.select("page_id", "url", "html").mapInArrow(run, f"{typed}, {ELEMENTS}")
 
 
 def inline_candidates(pages: DataFrame) -> DataFrame:
@@ -106,18 +109,22 @@ def inline_candidates(pages: DataFrame) -> DataFrame:
     return media_elements(pages, mode="browser")
 
 
+def _texts(make: Callable[[str], str]) -> Callable[[Column], Column]:
+    """What is made of each text; null stays null."""
+
+    def run(html: pa.Array) -> pa.Array:
+        return pa.array([None if p is None else make(p) for p in html.to_pylist()], pa.string())
+
+    return by_slices(run, T.StringType())
+
+
 def drop_tags(html: Column, tags: tuple[str, ...] = DROPPED) -> Column:
     """HTML without the subtrees of the tags."""
 
-    @F.pandas_udf("string")
-    def run(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda p: None if p is None else dom.serialize(dom.drop(dom.parse(p), tags)))
-
-    return run(html)
+    return _texts(lambda p: dom.serialize(dom.drop(dom.parse(p), tags)))(html)
 
 
-@F.pandas_udf(T.StringType())
-def _select(pages: pd.Series, selectors: pd.Series) -> pd.Series:
+def _selected(pages: pa.Array, selectors: pa.Array) -> pa.Array:
     """First match of ``tag#id`` or ``tag.class`` alternatives; an id gives its inner HTML, a class the element."""
 
     def one(page: str | None, selector: str | None) -> str | None:
@@ -130,7 +137,10 @@ def _select(pages: pd.Series, selectors: pd.Series) -> pd.Series:
                     return dom.serialize(n, inner=sort == "#")
         return page
 
-    return pd.Series([one(p, s) for p, s in zip(pages, selectors, strict=True)])
+    return pa.array([one(p, s) for p, s in zip(pages.to_pylist(), selectors.to_pylist(), strict=True)], pa.string())
+
+
+_select = by_slices(_selected, T.StringType())
 
 
 def select_content_root(pages: DataFrame, policy: DataFrame) -> DataFrame:
@@ -175,17 +185,18 @@ def place(found: list[dom.Node], media: dict[int, str]) -> None:
             n.put(*token)
 
 
-@F.pandas_udf(T.StringType())
-def _rewrite(html: pd.Series, media: pd.Series) -> pd.Series:
-    def one(page: str | None, found: object) -> str | None:
-        root = rewritten(page, {int(m["ordinal"]): m["token"] for m in (found if found is not None else [])}) if page is not None else None
+def _rewritten(html: pa.Array, media: pa.Array) -> pa.Array:
+    def one(page: str | None, found: list[dict] | None) -> str | None:
+        root = rewritten(page, {m["ordinal"]: m["token"] for m in found or []}) if page is not None else None
         return page if root is None else dom.serialize(root)
 
-    return pd.Series([one(p, m) for p, m in zip(html, media, strict=True)])
+    return pa.array([one(p, m) for p, m in zip(html.to_pylist(), media.to_pylist(), strict=True)], pa.string())
+
+
+_rewrite = by_slices(_rewritten, T.StringType())
 
 
-@F.arrow_udf(T.StringType())
-def _documents(nodes: pa.Array, found: pa.Array, media: pa.Array) -> pa.Array:
+def _documents_of(nodes: pa.Array, found: pa.Array, media: pa.Array) -> pa.Array:
     """Markdown of parsed pages with the tokens (ordinal, token) in the places of what was found."""
     out = []
     for page, places, tokens in zip(page_nodes(nodes), found, media, strict=True):
@@ -199,9 +210,8 @@ def _documents(nodes: pa.Array, found: pa.Array, media: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-@F.pandas_udf(T.StringType())
-def _markdown(html: pd.Series) -> pd.Series:
-    return html.map(lambda p: None if p is None else dom.markdown(dom.parse(p)))
+_documents = by_slices(_documents_of, T.StringType())
+_markdown = _texts(lambda p: dom.markdown(dom.parse(p)))
 
 
 def html_to_markdown(html: Column) -> Column:
@@ -288,10 +298,9 @@ def _struct(fields: dict[str, str]) -> T.StructType:
     return out
 
 
-@F.pandas_udf(_struct(FEATURES))
-def _features(html: pd.Series) -> pd.DataFrame:
+def _features_of(html: pa.Array) -> pa.Array:
     rows = []
-    for page in html:
+    for page in html.to_pylist():
         root = dom.parse(page)
         nodes = root.walk()
         srcs = [n.attrs.get("src") or "" for n in nodes if n.tag in ("img", "video", "source")]
@@ -303,7 +312,11 @@ def _features(html: pd.Series) -> pd.DataFrame:
         content = any(n.tag in ("article", "main") or n.attrs.get("role") == "main" for n in nodes)
         media = bool(src) or wraps > 0 or any("background-image" in (n.attrs.get("style") or "") or "tgme_widget_message_video" in n.classes for n in nodes)
         rows.append((len(page or ""), len(dom.text_of(root)), media, any("/web/" in u for u in srcs + hrefs) or bool(src) or content, any("_/http" in u for u in srcs + hrefs), any(n.tag == "iframe" for n in nodes), sum(k.tag is not None for k in body.kids), shown, sum(n.tag == "video" and "src" in n.attrs for n in nodes), sum(n.tag == "img" and "src" in n.attrs for n in nodes)))
-    return pd.DataFrame(rows, columns=list(FEATURES))
+    kinds = {"integer": pa.int32(), "boolean": pa.bool_()}
+    return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kinds[kind]) for k, kind in enumerate(FEATURES.values())], list(FEATURES))
+
+
+_features = by_slices(_features_of, _struct(FEATURES))
 
 
 def page_readiness(pages: DataFrame) -> DataFrame:
@@ -340,11 +353,10 @@ def post_process(pages: DataFrame, rules: dict[str, Callable[[str], str]]) -> Da
     leaves its page as it was.
     """
 
-    def run(domains: pd.Series, html: pd.Series) -> pd.Series:
-        return pd.Series([None if h is None else rules[d](h) for d, h in zip(domains, html, strict=True)], dtype=object)
+    def run(domains: pa.Array, html: pa.Array) -> pa.Array:
+        return pa.array([None if h is None else rules[d](h) for d, h in zip(domains.to_pylist(), html.to_pylist(), strict=True)], pa.string())
 
-    run.__annotations__ = {"domains": pd.Series, "html": pd.Series, "return": pd.Series}
     domain = F.col("__domain")
     ruled = domain.isin(*rules) if rules else F.lit(False)
-    changed = F.pandas_udf(run, "string")(F.when(ruled, domain), F.when(ruled, F.col("html")))
+    changed = by_slices(run, "string")(F.when(ruled, domain), F.when(ruled, F.col("html")))
     return pages.withColumn("__domain", url_domain(F.col("url"))).withColumn("html", F.when(ruled, F.coalesce(changed, F.col("html"))).otherwise(F.col("html"))).drop("__domain")

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import duckdb
+import pyarrow as pa
 import pytest
 from test_queries import rows
 
 from lakeweave import queries, queries_batch, queries_content, queries_live, queries_media, queries_varied  # noqa: F401
+from lakeweave.functions import dom
+from lakeweave.functions.slices import MOST, in_slices
+from lakeweave.operators import html as H
+from lakeweave.operators import nodes as N
 
 
 def check(spark, folder, name, **tables):
@@ -31,3 +36,24 @@ def test_pages_with_one_url(spark, tmp_path):
 def test_sides_of_more_than_16_bits(spark, tmp_path, name):
     events = [(i, 5) for i in range(20)] + [(20 + i, user) for i, user in enumerate([65_535, 65_536, 90_000, 131_072, 700_001] * 6)]
     check(spark, tmp_path, name, events=spark.createDataFrame(events, "event_id long, user_id long"))
+
+
+def test_slices_hold_few_pages():
+    """A batch of many pages is worked on in parts, whatever its size; each row comes once, in order."""
+    texts = [None if i % 7 == 0 else "x" * (i % 5 * 3000) for i in range(4000)] + ["y" * (2 * MOST), "", None]
+    parts = list(in_slices(pa.array(range(len(texts))), pa.array(texts)))
+    assert [x for _, p in parts for x in p.to_pylist()] == texts and [x for n, _ in parts for x in n.to_pylist()] == list(range(len(texts)))
+    assert all(sum(len(x or "") for x in p.to_pylist()[1:]) <= MOST for _, p in parts)
+    nodes = pa.array([["n"] * 500, None, []] * 1000)
+    assert max(len(p) for (p,) in in_slices(nodes)) * 500 / 3 * 64 < 2 * MOST
+    assert list(in_slices(pa.array([], pa.string()))) == []
+
+
+@pytest.mark.parametrize("make", [H._markdown, N.node_text, N.node_html, N.node_markdown, H._features])
+def test_pages_of_a_batch_are_taken_in_parts(make):
+    """No more than some of a batch's pages are trees at a time: their results come before further pages are read."""
+    page = "<html><body>" + "<p>a<b>c</b></p>" * 300 + "</body></html>"
+    flats = N.node_array([N.flat(dom.parse(page))[0]] * 200)
+    batch = flats if make in (N.node_text, N.node_html, N.node_markdown) else pa.array([page] * 200)
+    parts = [len(x) for x in make.func(iter([batch]))]
+    assert sum(parts) == 200 and max(parts) <= 150
