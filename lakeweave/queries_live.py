@@ -9,7 +9,7 @@ from lakeweave.functions import media as M
 from lakeweave.operators import html as H
 from lakeweave.plans.schedule import budgeted_schedule as schedule
 from lakeweave.queries import query, table
-from lakeweave.queries_content import _MARKDOWN, _ran, _settled_sql
+from lakeweave.queries_content import _MARKDOWN, _ran, _settled_sql, in_parts
 from lakeweave.scratch import scratch_dir, written
 from lakeweave.streaming import streams as S
 
@@ -47,17 +47,6 @@ def image_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", M.image_dims(content).alias("d")).select("event_id", "d.*")
 
 
-def _in_parts(spark: SparkSession, rows: DataFrame, part, last: DataFrame) -> DataFrame:
-    """A stream of files written one after another: the rows by their part, then the rows that close all windows, one a file."""
-    path = scratch_dir(spark)
-    rows = written(rows.withColumn("__part", part), "parts")
-    for k in sorted(r[0] for r in rows.select("__part").distinct().collect()):  # a handful
-        rows.where(F.col("__part") == k).drop("__part").repartition(1).write.mode("append").parquet(path)
-    for _ in range(2):
-        last.write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.drop("__part").schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
 def _week(ts="ts"):
     return F.floor(F.unix_seconds(ts) / (8 * 86400))
 
@@ -67,8 +56,8 @@ def stream_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every view with the purchases of its user in the day after it, those without any too."""
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("url", F.concat(F.lit("https://example.org/"), F.col("user_id").cast("string")))
     far = spark.range(0, 1, 1, 1).select(F.lit(-1).cast("long").alias("id"), F.lit("none").alias("url"), F.timestamp_seconds(F.lit(4_000_000_000)).alias("ts"))
-    requests = _in_parts(spark, e.where("event_type = 'view'").select(F.col("event_id").alias("pos"), "url", "ts"), _week(), far.withColumnRenamed("id", "pos"))
-    responses = _in_parts(spark, e.where("event_type = 'purchase'").select("url", F.col("ts").alias("answered_at"), F.col("event_id").alias("answer")), _week("answered_at"), far.select("url", F.col("ts").alias("answered_at"), F.col("id").alias("answer")))
+    requests = in_parts(spark, e.where("event_type = 'view'").select(F.col("event_id").alias("pos"), "url", "ts"), _week(), far.withColumnRenamed("id", "pos"))
+    responses = in_parts(spark, e.where("event_type = 'purchase'").select("url", F.col("ts").alias("answered_at"), F.col("event_id").alias("answer")), _week("answered_at"), far.select("url", F.col("ts").alias("answered_at"), F.col("id").alias("answer")))
     return _ran(S.stream_fan_out(requests, responses, "1 day")).where("pos >= 0").select("pos", "url", "answer")
 
 
@@ -84,7 +73,7 @@ def stream_settled_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     shots = written(shots.withColumn("nth", nth), "shots")
     far = spark.range(0, 1, 1, 1).select(F.lit(-1).cast("long").alias("page_id"), F.timestamp_seconds(F.lit(4_000_000_000)).alias("snap_ts"), F.lit(0).cast("long").alias("size"), F.lit(False).alias("ready"))
     top = table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0
-    feed = _in_parts(spark, shots.where("nth > 2").drop("nth"), F.floor(F.unix_seconds("snap_ts") / (top // 4 + 1)), far)
+    feed = in_parts(spark, shots.where("nth > 2").drop("nth"), F.floor(F.unix_seconds("snap_ts") / (top // 4 + 1)), far)
     had = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     try:
@@ -96,11 +85,11 @@ def stream_settled_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT page_id, url, {_MARKDOWN} AS text FROM pages")
 def document_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as a stream of batches into documents, run twice: the second time all batches come again and write nothing."""
-    path = scratch_dir(spark)
+    """Pages as a stream of three batches, a file a core each, into documents, run twice: the second time all batches come again and write nothing."""
+    path, cores = scratch_dir(spark), spark.sparkContext.defaultParallelism
     pages = table(spark, sf_dir, "pages")
-    pages.repartition(3).write.parquet(f"{path}/pages")
+    pages.repartition(3 * cores).write.parquet(f"{path}/pages")
     for k in range(2):
-        feed = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/pages")
+        feed = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", cores).parquet(f"{path}/pages")
         S.document_sink(feed, f"{path}/documents", f"{path}/state{k}", lambda batch: H.to_documents(batch, include_media=False)).awaitTermination()
     return spark.read.parquet(f"{path}/documents").select("page_id", "url", "text")

@@ -12,7 +12,7 @@ from lakeweave.operators import media as J
 from lakeweave.operators import pages as P
 from lakeweave.plans import requests as R
 from lakeweave.queries import query, table
-from lakeweave.queries_content import _ran
+from lakeweave.queries_content import _ran, in_parts
 from lakeweave.scratch import scratch_dir
 from lakeweave.sources import io
 from lakeweave.streaming import streams as S
@@ -131,12 +131,9 @@ def bluesky_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 'https://example.org/' || user_id AS url, min(event_id) AS event_id, arg_min(event_type, event_id) AS kind FROM events GROUP BY 1")
 def stream_first_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first request of each URL comes in the first batch, all others in later ones and go."""
-    path = scratch_dir(spark)
     nth = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("https://example.org/"), F.col("user_id").cast("string")).alias("url"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("event_type").alias("kind"), F.least(nth, F.lit(3)).alias("part"))
-    for k in (1, 2, 3):
-        rows.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(path)
-    feed = spark.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(path)
+    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("https://example.org/"), F.col("user_id").cast("string")).alias("url"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("event_type").alias("kind"), nth.alias("nth"))
+    feed = in_parts(spark, rows, F.least("nth", F.lit(3))).drop("nth")
     return _ran(S.stream_dedupe_requests(feed, "400 days")).select("url", "event_id", "kind")
 
 

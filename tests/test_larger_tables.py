@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import datetime
+import tempfile
+
 import duckdb
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from test_queries import rows
 
 from lakeweave import queries, queries_batch, queries_content, queries_live, queries_media, queries_varied  # noqa: F401
@@ -12,6 +16,8 @@ from lakeweave.functions import dom
 from lakeweave.functions.slices import MOST, in_slices
 from lakeweave.operators import html as H
 from lakeweave.operators import nodes as N
+from lakeweave.queries_content import _ran, in_parts
+from lakeweave.streaming import streams as S
 
 
 def check(spark, folder, name, **tables):
@@ -57,3 +63,32 @@ def test_pages_of_a_batch_are_taken_in_parts(make):
     batch = flats if make in (N.node_text, N.node_html, N.node_markdown) else pa.array([page] * 200)
     parts = [len(x) for x in make.func(iter([batch]))]
     assert sum(parts) == 200 and max(parts) <= 150
+
+
+def test_parts_of_a_stream_are_whole_batches(spark):
+    """A part is one batch of several files, with as many rows of each; the closing rows are two more."""
+    rows = spark.range(0, 100_000, 1, 7).withColumn("k", F.col("id") % 2)
+    stream = in_parts(spark, rows.drop("k"), F.col("id") % 2, spark.range(-1, 0, 1, 1))
+    seen = []
+
+    def note(batch, n):
+        seen.append((batch.select(F.input_file_name()).distinct().count(), batch.where("id >= 0").count(), [r[0] for r in batch.select(F.pmod("id", F.lit(2))).distinct().collect()]))
+
+    stream.writeStream.option("checkpointLocation", tempfile.mkdtemp()).trigger(availableNow=True).foreachBatch(note).start().awaitTermination()
+    assert [s[1:] for s in seen if s[0]] == [(50_000, [0]), (50_000, [1]), (0, [1]), (0, [1])] and {s[0] for s in seen if s[0]} == {4}
+
+
+def test_quiet_begins_anew_with_each_snapshot(spark, tmp_path):
+    """A timer that runs out before the quiet ends answers nothing; the page's state isn't lost by it."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", queries_live.ROCKSDB)
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    steps = [(9, 10_000, 1), (1, 10_100, 1000), (2, 12_000, 1), (1, 13_000, 9000), (2, 14_500, 1), (2, 15_000, 1), (1, 15_500, 100), (3, 90_000, 1), (3, 180_000, 1), (3, 270_000, 1)]
+    batches = [[(page, at(s), size, True)] for page, s, size in steps]
+    for b in batches:
+        spark.createDataFrame(b, "page_id long, snap_ts timestamp, size long, ready boolean").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    feed = spark.readStream.schema("page_id long, snap_ts timestamp, size long, ready boolean").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    try:
+        got = _ran(S.stream_settled_snapshots(feed, "1 hour")).where("page_id = 1").collect()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert [(r.size, r.settled) for r in got] == [(100, False)]
