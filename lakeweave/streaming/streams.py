@@ -45,18 +45,21 @@ def stream_first_success(attempts: DataFrame, last_step: int, timeout: str = "1
             if not done:
                 yield pd.DataFrame([(key[0], None, None, None, errors, False)], columns=["url", "method", "step", "content", "errors", "successful"])
             return
-        rows = pd.concat(list(batches)).sort_values("step", kind="stable")
-        for r in rows.itertuples(index=False):
-            if done:
-                break
-            if r.content is not None and r.content == r.content:
-                answer, done = (key[0], r.method, r.step, r.content, errors, True), True
+        rows, newest = [], 0
+        for pdf in batches:
+            newest = max(newest, int(pdf["ts"].max().timestamp() * 1000))
+            if not done:
+                rows += zip(pdf["step"], pdf["method"], pdf["content"], pdf["error_message"], strict=True)
+        for at, method, content, message in sorted(rows, key=lambda r: r[0]):
+            if content is not None and content == content:
+                answer, done = (key[0], method, at, content, errors, True), True
                 break
-            errors = "; ".join(filter(None, [errors, f"{r.method}: {r.error_message or f'Method {r.method} returned no content.'}"]))
-            if r.step >= last_step:
+            errors = "; ".join(filter(None, [errors, f"{method}: {message or f'Method {method} returned no content.'}"]))
+            if at >= last_step:
                 answer, done = (key[0], None, None, None, errors, False), True
+                break
         state.update(("" if done else errors, done))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows["ts"].max().timestamp() * 1000)) + wait_ms)
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), newest) + wait_ms)
         if answer:
             yield pd.DataFrame([answer], columns=["url", "method", "step", "content", "errors", "successful"])
 
@@ -94,53 +97,58 @@ def _complete(spark: SparkSession, folder: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+SHOT = "snap_ts: timestamp, size: long, ready: boolean"
 SETTLED = "page_id long, snap_ts timestamp, size long, settled boolean"
 
 
 class _Settling(StatefulProcessor):
-    """State of a page: its last snapshots (three at most), and a mark once it has been answered."""
+    """State of a page in one value, read and written once a call: its last snapshots (three at most), a mark once it has been answered, and when its quiet ends.
+
+    A timer stays as it is when more snapshots come; one that runs out before the quiet ends is set anew.
+    """
 
     def __init__(self, quiet_ms: int) -> None:
         self.quiet_ms = quiet_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getListState("last", "snap_ts timestamp, size long, ready boolean")
-        self.done = handle.getValueState("done", "done boolean")
+        self.page = handle.getValueState("page", f"done boolean, until long, last array<struct<{SHOT}>>")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        if self.done.exists():
+        done, until, last = self.page.get() or (False, None, [])
+        if done:
             return
-        seen = [tuple(x) for x in self.last.get()]
-        for row in pd.concat(list(rows)).sort_values("snap_ts", kind="stable").itertuples(index=False):
-            seen.append((row.snap_ts.to_pydatetime(), int(row.size), bool(row.ready)))
+        seen = [tuple(x) for x in last]
+        new = [r for pdf in rows for r in zip((t.to_pydatetime() for t in pdf["snap_ts"]), pdf["size"], pdf["ready"], strict=True)]
+        for at, size, ready in sorted(new, key=lambda r: r[0]):
+            seen.append((at, int(size), bool(ready)))
             if len(seen) >= 3 and _stable(seen[-3], seen[-2]) and _stable(seen[-2], seen[-1]):
-                self.done.update((True,))
-                self.last.clear()
-                self._wake(timerValues)
+                self._wait(True, until, [], timerValues)
                 yield self._row(key, seen[-1], True)
                 return
-        self.last.put(seen[-3:])
-        self._wake(timerValues)
+        self._wait(False, until, seen[-3:], timerValues)
 
-    def _wake(self, timers: object) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer(timers.getCurrentWatermarkInMs() + self.quiet_ms)
+    def _wait(self, done: bool, until: int | None, last: list[tuple], timers: object) -> None:
+        end = timers.getCurrentWatermarkInMs() + self.quiet_ms
+        if until is None:
+            self.handle.registerTimer(end)
+        self.page.update((done, end, last))
 
     def _row(self, key: tuple, shot: tuple, settled: bool) -> pd.DataFrame:
         return pd.DataFrame([(int(key[0]), shot[0], shot[1], settled)], columns=["page_id", "snap_ts", "size", "settled"])
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
         """No more came: the last snapshot is the answer, unless there was one; the state goes."""
-        seen = [] if self.done.exists() else [tuple(x) for x in self.last.get()]
-        self.last.clear()
-        self.done.clear()
-        if seen:
-            yield self._row(key, seen[-1], False)
+        done, until, last = self.page.get() or (True, None, [])
+        if until is not None and until > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(until)
+            return
+        self.page.clear()
+        if not done and last:
+            yield self._row(key, tuple(last[-1]), False)
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: object) -> None:
-        self.last.put([(r.snap_ts.to_pydatetime(), int(r.size), bool(r.ready)) for r in initialState.sort_values("snap_ts", kind="stable").tail(3).itertuples(index=False)])
+        self.page.update((False, None, [(r.snap_ts.to_pydatetime(), int(r.size), bool(r.ready)) for r in initialState.sort_values("snap_ts", kind="stable").tail(3).itertuples(index=False)]))
 
     def close(self) -> None:
         pass
