@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -256,7 +257,8 @@ def minimizer_runs(data: np.ndarray, ends: np.ndarray, window: int = WINDOW, gra
 
 
 RUN = "m long, c long, h long, g int, doc long, start long, n long, copies long, again boolean"
-CUT = "key long, m long, c long, off long, times int, asks boolean, again boolean, bytes binary"
+#: ``pieces`` are the runs that a string answers for, with the place of their first window in it as first cut; strings that don't ask have none.
+CUT = "key long, c long, off long, times int, asks boolean, again boolean, pieces array<struct<m:long,c:long,at:long>>, bytes binary"
 SPAN = "m long, c long, start long, n long"
 
 
@@ -305,32 +307,41 @@ def _runs(window: int):
     return run
 
 
-def _cut_out(window: int):
-    """Map rows of (text, runs) to a row for each run with its bytes."""
+def _cut_out(window: int, most: int):
+    """Map rows of (text, runs) to strings: runs with one ``link`` that follow each other are a chain of about ``most`` windows and have their bytes in one string, others in one each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most_bytes=4 << 20):
-            out: list[tuple] = []
-            size = 0
-            for text, runs in zip(*(batch.column(c).to_pylist() for c in ("text", "runs")), strict=True):
-                data = text.encode()
-                for r in runs:
-                    out.append((r["m"], r["m"], r["c"], 0, r["times"], r["asks"], r["again"], data[r["start"] : r["start"] + r["n"] + window - 1]))
-                    size += r["n"] + window
-                    if size > 4 << 20:
-                        yield _cut_batch(out)
-                        out, size = [], 0
-            if out:
-                yield _cut_batch(out)
+            texts = batch.column("text").cast(pa.binary())
+            runs = batch.column("runs")
+            flat = runs.flatten()
+            row = np.repeat(np.arange(len(runs)), pc.list_value_length(runs).to_numpy(zero_copy_only=False))
+            m, c, start, n, times, asks, again = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("m", "c", "start", "n", "times", "asks", "again"))
+            linked = pc.is_valid(flat.field("link")).to_numpy(zero_copy_only=False)
+            link = pc.fill_null(flat.field("link"), 0).to_numpy(zero_copy_only=False)
+            order = np.lexsort((start, asks, row))
+            row, m, c, start, n, times, asks, again, linked, link = (x[order] for x in (row, m, c, start, n, times, asks, again, linked, link))
+            new = _run_starts(row, asks, link) | ~linked
+            new[1:] |= start[1:] != start[:-1] + n[:-1]
+            head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            new |= _run_starts(head, (start - start[head]) // most)
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(new))
+            at = start - start[first][np.cumsum(new) - 1]
+            size = start[last - 1] + n[last - 1] - start[first] + window - 1
+            told = np.concatenate([[0], np.cumsum(np.where(asks, 1, 0))])
+            pieces = pa.StructArray.from_arrays([pa.array(x[asks]) for x in (m, c, at)], ["m", "c", "at"])
+            part = np.cumsum(size) // (4 << 20)
+            edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(first)]
+            for i, j in zip(edges, edges[1:], strict=False):
+                own = first[i:j]
+                listed = pa.ListArray.from_arrays(pa.array(told[np.append(own, last[j - 1])].astype(np.int32)), pieces)
+                data = [texts[r].as_buffer().slice(a, k).to_pybytes() for r, a, k in zip(row[own].tolist(), start[own].tolist(), size[i:j].tolist(), strict=True)]
+                yield _batch(CUT, [m[own], c[own], np.zeros(len(own), np.int64), times[own].astype(np.int32), asks[own], again[own], listed, pa.array(data, pa.binary())])
 
     return run
 
 
-def _cut_batch(out: list[tuple]) -> pa.RecordBatch:
-    key, m, c, off, times, asks, again, data = zip(*out, strict=True)
-    return _batch(CUT, [*(pa.array(x, pa.int64()) for x in (key, m, c, off)), pa.array(times, pa.int32()), pa.array(asks), pa.array(again), pa.array(data, pa.binary())])
-
-
 def _cut_again(window: int, seed: int):
     """Map strings to those of their runs under another order of gram hashes: a string's windows part where the new minimizer changes."""
 
@@ -341,18 +352,18 @@ def _cut_again(window: int, seed: int):
             whole = b"".join(strings)
             at, n, least, again = minimizer_runs(np.frombuffer(whole, np.uint8), ends, window, seed=seed)
             row = np.searchsorted(ends, at, side="right")
-            key, m, c, off, times, asks = (batch.column(x).to_numpy(zero_copy_only=False)[row] for x in ("key", "m", "c", "off", "times", "asks"))
+            key, c, off, times, asks = (batch.column(x).to_numpy(zero_copy_only=False)[row] for x in ("key", "c", "off", "times", "asks"))
             with np.errstate(over="ignore"):
                 key = (key * np.int64(0x2545F4914F6CDD1D)) ^ least
             off = off + at - (ends - np.diff(ends, prepend=0))[row]
             parts = [whole[a:b] for a, b in zip(at.tolist(), (at + n + window - 1).tolist(), strict=True)]
-            yield _batch(CUT, [key, m, c, off, times.astype(np.int32), asks.astype(bool), again, pa.array(parts, pa.binary())])
+            yield _batch(CUT, [key, c, off, times.astype(np.int32), asks.astype(bool), again, batch.column("pieces").take(pa.array(row)), pa.array(parts, pa.binary())])
 
     return run
 
 
 def _marked(window: int):
-    """Of a bucket's strings: the stretches of starts whose windows occur twice in the bucket."""
+    """Of a bucket's strings: the stretches of starts whose windows occur twice in the bucket, as stretches of their runs."""
 
     def run(table: pa.Table) -> pa.Table:
         # a string that is there twice follows itself
@@ -367,8 +378,19 @@ def _marked(window: int):
         edge = np.diff(np.concatenate([[0], (found & (np.cumsum(valid)[:-1] > 0)).view(np.int8), [0]]))
         a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         of = np.searchsorted(share, a, side="right") - 1
-        m, c, off = (table.column(x).to_numpy()[row[of]] for x in ("m", "c", "off"))
-        return pa.table({"m": m, "c": c, "start": off + a - share[of], "n": b - a})
+        own = row[of].astype(np.int64)
+        begin = (own << np.int64(32)) + table.column("off").to_numpy()[own] + a - share[of]
+        pieces = table.column("pieces").combine_chunks()
+        flat = pieces.flatten()
+        m, c, at = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("m", "c", "at"))
+        at = at + (np.repeat(np.arange(len(pieces)), pc.list_value_length(pieces).to_numpy(zero_copy_only=False)) << np.int64(32))
+        # a stretch goes to each piece that it meets
+        i, j = (np.searchsorted(at, x, side="right") - 1 for x in (begin, begin + (b - a) - 1))
+        met = j - i + 1
+        piece = np.repeat(i - np.cumsum(met) + met, met) + np.arange(met.sum())
+        until = np.minimum(np.repeat(begin + (b - a), met), np.append(at[1:], np.iinfo(np.int64).max)[piece])
+        since = np.maximum(np.repeat(begin, met), at[piece])
+        return pa.table({"m": m[piece], "c": c[piece], "start": since - at[piece], "n": until - since})
 
     return run
 
@@ -388,7 +410,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = 1
        inside a window: equal windows meet under the same one. Runs are rows of a few numbers;
        those whose minimizer is nowhere else can't repeat and go no further.
     2. Of runs with the same minimizer and digest (104 bits together) two go on with their bytes,
-       or one where there is only one; what is found for them holds for all.
+       or one where there is only one; what is found for them holds for all. Runs that follow each
+       other in both their texts go on as one string, where no other run has their minimizers: they
+       would share all but a run's length of each string's bytes with the next.
     3. These are dealt by minimizer into buckets of about ``bucket_bytes``. In a bucket, shards
        are transformed and the transforms merged; windows whose block has two or more repeat.
     4. Strings of a minimizer that would overfill a bucket are cut again, by a second minimizer,
@@ -398,18 +422,20 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = 1
     t = text_or_empty(text_col)
     keyed = docs.select(*_text_key(t), row_id(id_col).alias("doc"), t.alias("text"))
     runs = written(keyed.mapInArrow(_runs(window), RUN), "runs")
-    shared = runs.groupBy("m").agg(F.sum("copies").alias("copies"), F.max("again").alias("again")).where("copies > 1 or again").select("m")
-    found = written(runs.join(written(shared, "minimizers").hint("merge"), "m", "left_semi"), "found")
+    shared = runs.groupBy("m").agg(F.sum("copies").alias("copies"), F.max("again").alias("again"), (F.min("c") == F.max("c")).alias("pure")).where("copies > 1 or again").select("m", "pure")
+    found = written(runs.join(written(shared, "minimizers").hint("merge"), "m"), "found")
 
     at = F.struct("h", "g", "doc", "start")
-    strings = found.groupBy("m", "c").agg(F.min(at).alias("a"), F.max(at).alias("z"), F.sum("copies").alias("copies"), F.max("n").alias("n"), F.max("again").alias("again"))
+    strings = found.groupBy("m", "c").agg(F.min(at).alias("a"), F.max(at).alias("z"), F.sum("copies").alias("copies"), F.max("n").alias("n"), F.max("again").alias("again"), F.max("pure").alias("pure"))
     alone = F.col("a") == F.col("z")
-    first = F.struct("a.*", F.when(alone & (F.col("copies") > 1), 2).otherwise(1).alias("times"), F.lit(True).alias("asks"))
-    last = F.struct("z.*", F.lit(1).alias("times"), F.lit(False).alias("asks"))
+    # equal for runs whose other string is in one text and as far away there
+    link = lambda other: F.when(F.col("pure") & (F.col("copies") > 1) & ~F.col("again"), F.xxhash64(f"{other}.h", f"{other}.g", f"{other}.doc", F.col("z.start") - F.col("a.start"))).alias("link")
+    first = F.struct("a.*", F.when(alone & (F.col("copies") > 1), 2).otherwise(1).alias("times"), F.lit(True).alias("asks"), link("z"))
+    last = F.struct("z.*", F.lit(1).alias("times"), F.lit(False).alias("asks"), link("a"))
     taken = strings.select("m", "c", "n", "again", F.explode(F.when(alone, F.array(first)).otherwise(F.array(first, last))).alias("one"))
-    wanted = taken.groupBy("one.h", "one.g", "one.doc").agg(F.collect_list(F.struct("m", "c", "one.start", "n", "one.times", "one.asks", "again")).alias("runs"))
+    wanted = taken.groupBy("one.h", "one.g", "one.doc").agg(F.collect_list(F.struct("m", "c", "one.start", "n", "one.times", "one.asks", "again", "one.link")).alias("runs"))
     texts = keyed.join(written(wanted, "wanted").hint("merge"), ["h", "g", "doc"]).dropDuplicates(["h", "g", "doc"]).select("text", "runs")
-    cut = written(texts.mapInArrow(_cut_out(window), CUT), "bytes", "zstd")
+    cut = written(texts.mapInArrow(_cut_out(window, max(1, bucket_bytes // 8)), CUT), "bytes", "zstd")
 
     usual, blocks = None, None
     for seed in range(1, rounds + 2):

@@ -338,6 +338,48 @@ def test_every_repeated_window_comes_from_a_merge(spark, monkeypatch):
     assert suffix_dedup.repeated_spans(spark.createDataFrame(docs, "doc_id long, text string")).count() == 0
 
 
+def test_runs_that_follow_each_other_are_cut_once(spark, monkeypatch):
+    """A passage that two texts share goes to the merge once a text, not with 199 bytes more for each of its runs."""
+    r = random.Random(5)
+    passage = "".join(r.choices("abcdefgh ", k=20_000))
+    own = ["".join(r.choices("ijklmnop ", k=3000)) for _ in range(4)]
+    docs = [(0, own[0] + passage + own[1]), (1, own[2] + passage + own[3])]
+    cut, real = [], suffix_dedup.written
+
+    def noted(df, name="table", *more):
+        out = real(df, name, *more)
+        if name == "bytes":
+            cut.append(out.agg({"bytes": "count"}).first()[0])
+            cut.append(sum(len(x.bytes) for x in out.select("bytes").collect()))
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "written", noted)
+    assert rows(suffix_dedup.removal_digests(spark.createDataFrame(docs, "doc_id long, text string"))) == cut_brute(docs)
+    assert cut[0] <= 10 and cut[1] < 2 * len(passage) + 10 * 400
+
+
+@pytest.mark.parametrize("bucket_bytes", [1 << 20, 20_000, 3000])
+def test_chains_of_runs_find_what_repeats(spark, monkeypatch, bucket_bytes):
+    """Passages that lie once or twice in one text or in several, whole or in part, in one order or another, with a byte changed."""
+    r = random.Random(6)
+    passages = ["".join(r.choices("abcdefgh ", k=r.choice([300, 900, 2500]))) for _ in range(6)]
+    passages.append("xy" * 1500)
+    docs = []
+    for i in range(24):
+        text = ""
+        for _ in range(r.randrange(5)):
+            one = r.choice(passages)
+            a = r.choice([0, 0, r.randrange(200)])
+            part = one[a : len(one) - r.choice([0, 0, r.randrange(90)])]
+            if r.random() < 0.3:
+                part = part[:150] + "é" + part[151:]
+            text += part + "".join(r.choices("ijklmnop ", k=r.choice([0, 0, 60, 500])))
+        docs.append((i, text))
+    docs += [(24, docs[0][1]), (25, docs[1][1]), (25, docs[1][1]), (None, docs[2][1])]
+    monkeypatch.setattr(suffix_dedup.repeated_spans, "__defaults__", (200, bucket_bytes, 3, "doc_id", "text"))
+    assert rows(suffix_dedup.removal_digests(spark.createDataFrame(docs, "doc_id long, text string"))) == cut_brute(docs)
+
+
 def test_cut_repeats_leaves_whole_characters(spark):
     docs = spark.createDataFrame([(1, "ä" + "é" * 150 + "ö", 1), (2, "ß" + "é" * 150 + "ü", 2), (3, None, 3)], "doc_id long, text string, `a.b` int")
     got = {r.doc_id: (r.text, r["a.b"]) for r in suffix_dedup.cut_repeats(docs).collect()}
