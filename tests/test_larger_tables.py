@@ -15,6 +15,7 @@ from lakeweave import queries, queries_batch, queries_content, queries_live, que
 from lakeweave.functions import dom
 from lakeweave.functions.slices import MOST, in_slices
 from lakeweave.operators import html as H
+from lakeweave.operators import media as J
 from lakeweave.operators import nodes as N
 from lakeweave.queries_content import _ran, in_parts
 from lakeweave.streaming import streams as S
@@ -65,6 +66,17 @@ def test_pages_of_a_batch_are_taken_in_parts(make):
     assert sum(parts) == 200 and max(parts) <= 150
 
 
+def test_media_are_not_broadcast(spark):
+    """However few media the planner expects, none of a task's memory goes by the number of all."""
+    elements = spark.createDataFrame([(i // 3, i, "image", f"u{i % 5}", "download") for i in range(30)], "page_id long, ordinal int, kind string, uri string, origin string")
+    blobs = spark.createDataFrame([(f"u{i}", f"m{i}", "image", 300, 100 + 100 * i) for i in range(4)], "url string, media_id string, kind string, width int, height int")
+    out = J.attach_media(elements, blobs)
+    assert [r.media_id for r in out.orderBy("ordinal").collect()] == [f"m{i % 5}" if i % 5 in (2, 3) else None for i in range(30)]
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_parts_of_a_stream_are_whole_batches(spark):
     """A part is one batch of several files, with as many rows of each; the closing rows are two more."""
     rows = spark.range(0, 100_000, 1, 7).withColumn("k", F.col("id") % 2)
